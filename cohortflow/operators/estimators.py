@@ -64,29 +64,38 @@ def _as_vector(df: DataFrame) -> DataFrame:
     return df.withColumn("_features", array_to_vector("_x"))
 
 
-def balanced_weight(train: DataFrame, label: str = "label") -> Column:
+ROWS_PER_TASK = 200_000
+
+
+def class_weight(n: int, positives: int, label: str = "label") -> Column:
     """n / (2 * class size) of each row's class."""
+    return F.when(F.col(label) == 1, F.lit(n / (2.0 * positives))).otherwise(F.lit(n / (2.0 * (n - positives))))
+
+
+def balanced_weight(train: DataFrame, label: str = "label") -> Column:
     r = train.agg(F.count("*").alias("n"), F.count_if(F.col(label) == 1).alias("p")).first()
-    return F.when(F.col(label) == 1, F.lit(r["n"] / (2.0 * r["p"]))).otherwise(F.lit(r["n"] / (2.0 * (r["n"] - r["p"]))))
+    return class_weight(r["n"], r["p"], label)
 
 
 def training_rows(train: DataFrame, prep: Preparation, label: str = "label", weight: Column | None = None) -> DataFrame:
-    """Scaled inputs as one vector column with label and weight."""
+    """Scaled inputs as one vector column with label and weight, in as many tasks as the rows need."""
     cols = [F.array(*prep.scaled().values()).alias("_x"), F.col(label).cast("double").alias("label")]
     rows = train.select(*cols, (weight if weight is not None else F.lit(1.0)).cast("double").alias("weight"))
-    return _as_vector(rows).drop("_x")
+    packed = _as_vector(rows).drop("_x")
+    return packed.coalesce(max(1, -(-prep.rows // ROWS_PER_TASK))) if prep.rows else packed
 
 
 def fit_logistic(
     train: DataFrame, columns: list[str], *, C: float = 1.0, l1_ratio: float = 0.0, label: str = "label", indicators: bool = False,
-    weight: Column | None = None, prep: Preparation | None = None, rows: DataFrame | None = None, max_iter: int = MAX_ITER,
+    weight: Column | None = None, prep: Preparation | None = None, rows: DataFrame | None = None, total: float | None = None,
+    max_iter: int = MAX_ITER,
 ) -> LogisticFit:
     """Penalised logistic fit; the penalty is 1/(C * sum of weights) per unit of mean loss, the intercept is free."""
     prep = prep or fit_preparation(train, columns, indicators=indicators)
     data = rows if rows is not None else training_rows(train, prep, label, weight)
-    total = data.agg(F.sum("weight")).first()[0]
+    weights = total if total is not None else data.agg(F.sum("weight")).first()[0]
     model = LogisticRegression(
-        featuresCol="_features", labelCol="label", weightCol="weight", regParam=1.0 / (C * total), elasticNetParam=l1_ratio,
+        featuresCol="_features", labelCol="label", weightCol="weight", regParam=1.0 / (C * weights), elasticNetParam=l1_ratio,
         standardization=False, maxIter=max_iter, tol=TOLERANCE * 1e-2,
     ).fit(data)
     used = int(model.summary.totalIterations)

@@ -55,7 +55,8 @@ def fit_hazard(
     for steps in range(1, max_iter + 1):
         terms = _risk_terms(df, cols, time, event, beta, splits).filter("d > 0")
         # Event number l of a tie sees the risk sums less the share l/d of the tied events.
-        tied = terms.withColumn("_w", F.explode(F.sequence(F.lit(0), F.col("d").cast("int") - 1)) / F.col("d"))
+        tied = terms.withColumn("_l", F.explode(F.sequence(F.lit(0), F.col("d").cast("int") - 1)))
+        tied = tied.withColumn("_w", F.col("_l") / F.col("d"))
         phi = F.col("s0") - F.col("_w") * F.col("e0")
         mean = [(F.col(f"s1_{i}") - F.col("_w") * F.col(f"e1_{i}")) / phi for i in range(d)]
         grad = [F.sum(F.col(f"x{i}") / F.col("d") - mean[i]).alias(f"g{i}") for i in range(d)]

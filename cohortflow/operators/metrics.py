@@ -138,12 +138,12 @@ def brier_skill(preds: DataFrame, keys: list[str]) -> DataFrame:
     return preds.groupBy(*keys).agg(b.alias("Brier"), F.when(q * (1 - q) > 0, 1.0 - b / (q * (1 - q))).alias("BSS"))
 
 
-def run_metrics(preds: DataFrame, keys: list[str]) -> DataFrame:
+def run_metrics(preds: DataFrame, keys: list[str], *, splits: list[float] | None = None) -> DataFrame:
     """AUC, AP, Brier and Brier skill per run."""
-    return ranking_metrics(preds, keys).join(brier_skill(preds, keys), keys)
+    return ranking_metrics(preds, keys, splits=splits).join(brier_skill(preds, keys), keys)
 
 
-def threshold_target_specificity(preds: DataFrame, keys: list[str], *, target: float = 0.70) -> DataFrame:
+def threshold_target_specificity(preds: DataFrame, keys: list[str], *, target: float = 0.70, splits: list[float] | None = None) -> DataFrame:
     """Cut value per run such that scores strictly above it are predicted positive.
 
     The cut is the negative score of rank min(floor(target*n), n-1); a prediction is
@@ -153,7 +153,7 @@ def threshold_target_specificity(preds: DataFrame, keys: list[str], *, target: f
     if not 0.0 <= target <= 1.0:
         raise ValueError("target must lie in [0, 1]")
     clipped = preds.withColumn("score", clip01(F.col("score")))
-    ranked = prefix_sums(clipped.filter("label = 0"), keys, "score", {"n": F.count("*")})
+    ranked = prefix_sums(clipped.filter("label = 0"), keys, "score", {"n": F.count("*")}, splits=splits)
     at = F.least(F.floor(F.lit(float(target)) * F.col("n_total")), F.col("n_total") - 1)
     at = F.col("n_total") - 1 if target >= 1.0 else at
     here = (F.col("n_before") <= at) & (at < F.col("n_before") + F.col("n"))

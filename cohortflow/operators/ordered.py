@@ -25,6 +25,10 @@ def value_splits(df: DataFrame, cols: list[str], buckets: int = DEFAULT_BUCKETS)
     return {c: [float("-inf"), *sorted(set(q)), float("inf")] for c, q in zip(cols, found)}
 
 
+# Bounds of a single bucket, for groups known to be small.
+ONE_BUCKET = [float("-inf"), float("inf")]
+
+
 def add_bucket(df: DataFrame, col: str, splits: list[float], out: str = "_bucket") -> DataFrame:
     """Bucket number of a double column; rows keep their order across buckets."""
     if len(splits) < 3:
@@ -113,18 +117,22 @@ def exact_quantiles(
     cols: list[str],
     probs: dict[str, float],
     *,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = HOT_ROWS,
     buckets: int = DEFAULT_BUCKETS,
 ) -> DataFrame:
     """Linearly interpolated quantiles of double columns per group, named `<col>_<prob name>`.
 
     Groups of at most `hot_rows` rows use the built-in aggregate.  Larger groups are
-    split into value buckets; the answer is exact on both ways.
+    split into value buckets; the answer is exact on both ways.  `hot_rows=None` states that
+    the caller has already checked the group sizes.
     """
     narrow = df.select(*keys, *cols)
+    if hot_rows is None:
+        return _native_quantiles(narrow, keys, cols, probs)
     if not keys:
-        big = narrow.count() > hot_rows
-        return (_bucketed_quantiles if big else lambda *a: _native_quantiles(*a[:-1]))(narrow, keys, cols, probs, buckets)
+        if narrow.count() > hot_rows:
+            return _bucketed_quantiles(narrow, keys, cols, probs, buckets)
+        return _native_quantiles(narrow, keys, cols, probs)
     hot = narrow.groupBy(*keys).count().filter(F.col("count") > hot_rows).select(*keys)
     if hot.isEmpty():
         return _native_quantiles(narrow, keys, cols, probs)

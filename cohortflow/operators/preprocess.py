@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.ml.feature import OneHotEncoder, StringIndexer
@@ -22,6 +23,18 @@ class Preparation:
     indicators: list[str] = field(default_factory=list)
     means: dict[str, float] = field(default_factory=dict)
     scales: dict[str, float] = field(default_factory=dict)
+    rows: int = 0
+    positives: int = 0
+
+    def set_scale(self, name: str, mean: float, spread: float) -> None:
+        self.means[name] = mean
+        self.scales[name] = spread if spread > 1e-12 * max(1.0, abs(mean)) else 1.0
+
+    def subset(self, columns: list[str]) -> "Preparation":
+        """The same values for some of the inputs."""
+        return Preparation(
+            list(columns), self.medians, [c for c in columns if c in self.indicators], self.means, self.scales, self.rows, self.positives
+        )
 
     @property
     def outputs(self) -> list[str]:
@@ -37,31 +50,53 @@ class Preparation:
         return {n: (e - F.lit(self.means.get(n, 0.0))) / F.lit(self.scales.get(n, 1.0)) for n, e in self.filled().items()}
 
 
-def fit_preparation(
-    train: DataFrame, columns: list[str], *, indicators: bool = False, scale: bool = True, hot_rows: int = HOT_ROWS
-) -> Preparation:
-    """Learn medians, indicator columns, means and population sds from training rows.
+def fit_preparations(
+    df: DataFrame, columns: list[str], key: str, *, indicators: bool = False, scale: bool = True, label: str | None = None,
+    hot_rows: int = HOT_ROWS,
+) -> dict:
+    """One preparation per training set named by a key column, all sets in two grouped jobs.
 
     A column without any value is kept and filled with 0; a column without spread keeps scale 1.
+    Mean and sd after the fill follow from those of the present values and the number of gaps.
     """
-    x = train.select(*[nan_to_null(F.col(c).cast("double")).alias(c) for c in columns])
-    med = exact_quantiles(x, [], columns, {"m": 0.5}, hot_rows=hot_rows).first()
-    medians = {c: float(med[f"{c}_m"]) if med[f"{c}_m"] is not None else 0.0 for c in columns}
-    prep = Preparation(list(columns), medians)
-    if indicators:
-        gaps = x.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first()
-        prep.indicators = [c for c in columns if gaps[c]]
-    if scale:
-        values = prep.filled()
-        row = train.agg(
-            *[F.avg(e).alias(f"m{i}") for i, e in enumerate(values.values())],
-            *[F.stddev_pop(e).alias(f"s{i}") for i, e in enumerate(values.values())],
-        ).first()
-        for i, n in enumerate(values):
-            prep.means[n] = float(row[f"m{i}"])
-            spread = float(row[f"s{i}"])
-            prep.scales[n] = spread if spread > 10 * abs(prep.means[n]) * 2.2e-16 and spread > 0 else 1.0
-    return prep
+    x = df.select(
+        F.col(key).alias("_set"), *([F.col(label).alias("_y")] if label else []), *[nan_to_null(F.col(c).cast("double")).alias(c) for c in columns]
+    )
+    facts = x.groupBy("_set").agg(
+        F.count("*").alias("_n"), (F.count_if(F.col("_y") == 1) if label else F.lit(0)).alias("_p"),
+        *[e for i, c in enumerate(columns) for e in (F.count(c).alias(f"n{i}"), F.avg(c).alias(f"m{i}"), F.var_pop(c).alias(f"v{i}"))],
+    ).collect()
+    largest = max((r["_n"] for r in facts), default=0)
+    # Where no set is large the built-in quantile needs no size check of its own.
+    ways = {"hot_rows": hot_rows} if largest > hot_rows else {"hot_rows": None}
+    med = {r["_set"]: r for r in exact_quantiles(x, ["_set"], columns, {"m": 0.5}, **ways).collect()}
+    out = {}
+    for r in facts:
+        n = r["_n"]
+        prep = Preparation(list(columns), {}, rows=n, positives=r["_p"])
+        for i, c in enumerate(columns):
+            present, fill = r[f"n{i}"], med[r["_set"]][f"{c}_m"]
+            fill = float(fill) if fill is not None else 0.0
+            prep.medians[c] = fill
+            gaps = n - present
+            if indicators and gaps:
+                prep.indicators.append(c)
+            if scale:
+                m, v = (float(r[f"m{i}"]), float(r[f"v{i}"])) if present else (0.0, 0.0)
+                mean = (present * m + gaps * fill) / n
+                spread = math.sqrt((present * (v + (m - mean) ** 2) + gaps * (fill - mean) ** 2) / n)
+                prep.set_scale(c, mean, spread)
+                prep.set_scale(f"missing_{c}", gaps / n, math.sqrt(gaps / n * (1 - gaps / n)))
+        out[r["_set"]] = prep
+    return out
+
+
+def fit_preparation(
+    train: DataFrame, columns: list[str], *, indicators: bool = False, scale: bool = True, label: str | None = None, hot_rows: int = HOT_ROWS
+) -> Preparation:
+    """Learn medians, indicator columns, means and population sds from training rows."""
+    one = train.withColumn("_one", F.lit(0))
+    return fit_preparations(one, columns, "_one", indicators=indicators, scale=scale, label=label, hot_rows=hot_rows)[0]
 
 
 def impute_median(df: DataFrame, columns: list[str], **kw) -> DataFrame:

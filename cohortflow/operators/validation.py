@@ -16,20 +16,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.constants import SCREEN_C, SCREEN_L1_RATIO
+from ..session import cut_lineage
 from .distributions import best_by_score, repeated_summary, repeated_summary_wide
 from .estimators import (
-    ForestFit, LogisticFit, PriorFit, balanced_weight, fit_forest, fit_logistic, fit_prior, l2_grid, training_rows, tree_draws,
+    ForestFit, LogisticFit, PriorFit, class_weight, fit_forest, fit_logistic, fit_prior, l2_grid, training_rows, tree_draws,
 )
 from .folds import stratified_folds
 from .metrics import apply_cut, compute_metrics, ranking_metrics, run_metrics, threshold_target_specificity
-from .preprocess import fit_preparation
+from .ordered import HOT_ROWS, ONE_BUCKET
+from .preprocess import fit_preparations
 from .relational import assert_unique, stack_frames
 
-PARALLEL_FITS = 4
+PARALLEL_FOLDS = 3
+PARALLEL_FITS = 8
 
 
-def _parallel(tasks: list) -> list:
-    with ThreadPoolExecutor(PARALLEL_FITS) as pool:
+def _parallel(tasks: list, width: int = PARALLEL_FITS) -> list:
+    if not tasks:
+        return []
+    with ThreadPoolExecutor(min(width, len(tasks))) as pool:
         return list(pool.map(inheritable_thread_target(lambda t: t()), tasks))
 
 
@@ -42,6 +47,31 @@ class CVResult:
     fits: list[dict]
 
 
+@dataclass
+class Setup:
+    """What all fits of one run share."""
+
+    kind: str
+    inner: int
+    seed: int
+    indicators: bool
+    balanced: bool
+    metric: str
+
+
+@dataclass
+class Fold:
+    """What one outer fold leaves behind."""
+
+    best: str
+    final: object
+    fits: dict
+    cut: float
+    inclusive: bool
+    inner_ap: float | None
+    splits: list[float] | None
+
+
 def _with_folds(frame: DataFrame, k: int, seed: int, out: str) -> DataFrame:
     folds = stratified_folds(frame, k, [seed]).select("entity_id", F.col("fold").alias(out))
     return frame.join(folds, "entity_id")
@@ -51,52 +81,72 @@ def _score(df: DataFrame, fit: LogisticFit | PriorFit | ForestFit) -> DataFrame:
     return fit.scored(df) if isinstance(fit, ForestFit) else df.withColumn("score", fit.score())
 
 
-def _fit_one(kind: str, train: DataFrame, cols: list[str], params: dict, seed: int, indicators: bool, prep=None, rows=None, balanced=False):
-    if kind == "prior":
-        return fit_prior(train)
-    if kind == "trees":
-        return fit_forest(train, cols, params, seed=seed)
-    weight = balanced_weight(train) if balanced and rows is None else None
-    return fit_logistic(train, cols, indicators=indicators, weight=weight, prep=prep, rows=rows, **params)
-
-
-def _inner_search(train: DataFrame, kind: str, candidates: list[tuple[str, list[str], dict]], inner: int, seed: int, indicators: bool, balanced: bool, metric: str):
-    """Fit every candidate on every inner fold; mean metric per candidate and the fits."""
-    fits: dict[tuple[str, int], object] = {}
-    scored = []
-    for j in range(1, inner + 1):
-        part = train.filter(F.col("inner_fold") != j)
-        shared: dict[tuple, tuple] = {}
-        if kind == "logistic":
-            for _, cols, _ in candidates:
-                if tuple(cols) not in shared:
-                    prep = fit_preparation(part, cols, indicators=indicators)
-                    weight = balanced_weight(part) if balanced else None
-                    shared[tuple(cols)] = (prep, training_rows(part, prep, weight=weight).persist())
-        tasks = [
-            (lambda c=cols, p=params: _fit_one(kind, part, c, p, seed, indicators, *shared.get(tuple(c), (None, None)), balanced=balanced))
-            for _, cols, params in candidates
-        ]
-        for (name, _, _), fit in zip(candidates, _parallel(tasks)):
-            fits[(name, j)] = fit
-        for _, rows in shared.values():
-            rows.unpersist()
-        held = train.filter(F.col("inner_fold") == j)
-        if kind == "trees":
-            scored += [
-                _score(held, fits[(n, j)]).select(F.lit(n).alias("candidate"), F.lit(j).alias("inner_fold"), "entity_id", "label", "score")
-                for n, _, _ in candidates
+class _TrainingSets:
+    """Rows outside one outer fold: set 0 is all of them, set j leaves out inner fold j."""
+
+    def __init__(self, base: DataFrame, k: int, setup: Setup, cols: list[str]):
+        self.setup = setup
+        self.train = _with_folds(base.filter(F.col("fold") != k), setup.inner, setup.seed, "inner_fold").persist()
+        self.preps = {}
+        if setup.kind == "logistic":
+            member = F.explode(F.filter(F.sequence(F.lit(0), F.lit(setup.inner)), lambda j: j != F.col("inner_fold")))
+            self.preps = fit_preparations(
+                self.train.withColumn("_member", member), cols, "_member", indicators=setup.indicators, label="label"
+            )
+        self.cached: dict[tuple, tuple] = {}
+
+    def part(self, j: int) -> DataFrame:
+        return self.train if j == 0 else self.train.filter(F.col("inner_fold") != j)
+
+    def prepare(self, pairs: set[tuple[int, tuple]]) -> None:
+        """Cache the scaled rows of every (set, inputs) pair that several settings will fit."""
+        for j, cols in pairs:
+            if self.setup.kind == "logistic" and (j, cols) not in self.cached:
+                prep = self.preps[j].subset(list(cols))
+                weight = class_weight(prep.rows, prep.positives) if self.setup.balanced else None
+                self.cached[(j, cols)] = (prep, training_rows(self.part(j), prep, weight=weight).persist())
+
+    def fit(self, j: int, cols: list[str], params: dict):
+        if self.setup.kind == "prior":
+            return fit_prior(self.part(j))
+        if self.setup.kind == "trees":
+            return fit_forest(self.part(j), cols, params, seed=self.setup.seed)
+        self.prepare({(j, tuple(cols))})
+        prep, rows = self.cached[(j, tuple(cols))]
+        return fit_logistic(self.train, cols, prep=prep, rows=rows, total=float(prep.rows), **params)
+
+    def splits(self) -> list[float] | None:
+        """One value bucket where every scored group is known to be small."""
+        return ONE_BUCKET if self.preps and self.preps[0].rows <= HOT_ROWS else None
+
+    def search(self, candidates: list[tuple[str, list[str], dict]]):
+        """Fit every candidate on every inner fold; best candidate, its mean metric, all fits and held-out scores."""
+        inner = range(1, self.setup.inner + 1)
+        self.prepare({(j, tuple(c)) for j in inner for _, c, _ in candidates})
+        keys = [(n, j) for j in inner for n, _, _ in candidates]
+        tasks = [(lambda c=c, p=p, j=j: self.fit(j, c, p)) for j in inner for _, c, p in candidates]
+        fits = dict(zip(keys, _parallel(tasks)))
+        held = {j: self.train.filter(F.col("inner_fold") == j) for j in inner}
+        if self.setup.kind == "trees":
+            parts = [
+                _score(held[j], f).select(F.lit(n).alias("candidate"), "inner_fold", "entity_id", "label", "score") for (n, j), f in fits.items()
             ]
+            scores = stack_frames(parts)
         else:
-            entries = [F.struct(F.lit(n).alias("candidate"), fits[(n, j)].score().alias("score")) for n, _, _ in candidates]
-            scored.append(
-                held.select("entity_id", "label", "inner_fold", F.explode(F.array(*entries)).alias("_e")).select(
-                    F.col("_e.candidate").alias("candidate"), "inner_fold", "entity_id", "label", F.col("_e.score").alias("score")
-                )
-            )
-    inner_scores = stack_frames([s.select("candidate", F.col("inner_fold").cast("int").alias("inner_fold"), "entity_id", "label", "score") for s in scored])
-    means = ranking_metrics(inner_scores, ["candidate", "inner_fold"]).groupBy("candidate").agg(F.avg(metric).alias("score"))
-    return means, fits, inner_scores
+            entries = F.lit(None).cast("array<struct<candidate:string,score:double>>")
+            for j in inner:
+                here = F.array(*[F.struct(F.lit(n).alias("candidate"), fits[(n, j)].score().alias("score")) for n, _, _ in candidates])
+                entries = F.when(F.col("inner_fold") == j, here).otherwise(entries)
+            rows = self.train.select("entity_id", "label", "inner_fold", F.explode(entries).alias("_e"))
+            scores = rows.select(F.col("_e.candidate").alias("candidate"), "inner_fold", "entity_id", "label", F.col("_e.score").alias("score"))
+        means = ranking_metrics(scores, ["candidate", "inner_fold"], splits=self.splits()).groupBy("candidate").agg(F.avg(self.setup.metric).alias("score"))
+        best = best_by_score(means.withColumn("_k", F.lit(1)), ["_k"], "score", "candidate").first()
+        return best["candidate"], float(best["score"]), fits, scores
+
+    def release(self) -> None:
+        for _, rows in self.cached.values():
+            rows.unpersist()
+        self.train.unpersist()
 
 
 def nested_cv(
@@ -113,39 +163,44 @@ def nested_cv(
     base = _with_folds(frame.select("entity_id", F.col("label").cast("int").alias("label"), *cols), outer, seed, "fold").persist()
     settings = [{}] if model == "prior" else grid or (tree_draws(n_iter, seed) if model == "trees" else l2_grid())
     named = {json.dumps(p, sort_keys=True): p for p in settings}
-    chosen, finals, inner_frames, fits = {}, {}, [], []
-    for k in range(1, outer + 1):
-        train = _with_folds(base.filter(F.col("fold") != k), inner, seed, "inner_fold").persist()
-        means, inner_fits, scores = _inner_search(train, model, [(n, cols, p) for n, p in named.items()], inner, seed, indicators, balanced, metric)
-        best = best_by_score(means.withColumn("_k", F.lit(1)), ["_k"], "score", "candidate").first()
-        chosen[k] = (best["candidate"], best["score"])
-        finals[k] = _fit_one(model, train, cols, named[best["candidate"]], seed, indicators, balanced=balanced)
-        inner_frames.append(scores.filter(F.col("candidate") == best["candidate"]).select(F.lit(k).alias("fold"), "entity_id", "label", "score"))
-        for (name, j), fit in inner_fits.items():
-            if isinstance(fit, LogisticFit):
-                fits.append(_fit_record(seed, k, j, "hyperparameter_search", profile, fit))
-        if isinstance(finals[k], LogisticFit):
-            fits.append(_fit_record(seed, k, 0, "outer_final_refit", profile, finals[k]))
-        train.unpersist()
+    setup = Setup(model, inner, seed, indicators, balanced, metric)
+
+    def one_fold(k: int):
+        sets = _TrainingSets(base, k, setup, cols)
+        best, _, fits, scores = sets.search([(n, cols, p) for n, p in named.items()])
+        final = sets.fit(0, cols, named[best])
+        kept = scores.filter(F.col("candidate") == best).withColumn("fold", F.lit(k))
+        # Both facts of the fold are taken while its rows are cached: two numbers leave the cluster.
+        cut = threshold_target_specificity(kept, ["fold"], target=target_specificity, splits=sets.splits()).first()
+        ap = ranking_metrics(kept, ["fold"], splits=sets.splits()).first()["AP"]
+        sets.release()
+        return Fold(best, final, fits, float(cut["cut"]), bool(cut["inclusive"]), ap, sets.splits())
+
+    done = dict(zip(range(1, outer + 1), _parallel([lambda k=k: one_fold(k) for k in range(1, outer + 1)], PARALLEL_FOLDS)))
+    fits = []
+    for k, d in done.items():
+        fits += [_fit_record(seed, k, j, "hyperparameter_search", profile, f) for (_, j), f in d.fits.items() if isinstance(f, LogisticFit)]
+        if isinstance(d.final, LogisticFit):
+            fits.append(_fit_record(seed, k, 0, "outer_final_refit", profile, d.final))
     if model == "trees":
-        parts = [_score(base.filter(F.col("fold") == k), f).select("entity_id", "label", "fold", "score") for k, f in finals.items()]
-        oof = stack_frames(parts)
+        parts = [_score(base.filter(F.col("fold") == k), d.final).select("entity_id", "label", "fold", "score") for k, d in done.items()]
+        scored = stack_frames(parts)
     else:
         score = F.lit(None).cast("double")
-        for k, f in finals.items():
-            score = F.when(F.col("fold") == k, f.score()).otherwise(score)
-        oof = base.select("entity_id", "label", "fold", score.alias("score"))
-    inner_oof = stack_frames(inner_frames)
-    cuts = threshold_target_specificity(inner_oof, ["fold"], target=target_specificity)
-    name = run or model
-    tagged = apply_cut(oof, cuts, ["fold"]).withColumns({"model": F.lit(name), "profile": F.lit(profile), "seed": F.lit(seed)})
-    inner_ap = ranking_metrics(inner_oof, ["fold"]).select("fold", F.col("AP").alias("inner_oof_AP"))
-    picks = F.create_map(*[v for k, (c, s) in chosen.items() for v in (F.lit(k), F.lit(c))])
-    folds = (
-        compute_metrics(tagged, ["model", "profile", "seed", "fold"]).join(cuts.select("fold", "cut"), "fold").join(inner_ap, "fold")
-        .withColumn("best_params", F.element_at(picks, F.col("fold")))
+        for k, d in done.items():
+            score = F.when(F.col("fold") == k, d.final.score()).otherwise(score)
+        scored = base.select("entity_id", "label", "fold", score.alias("score"))
+    rows = [(k, d.cut, d.inclusive, d.inner_ap, d.best) for k, d in done.items()]
+    facts = frame.sparkSession.createDataFrame(rows, "fold int, cut double, inclusive boolean, inner_oof_AP double, best_params string")
+    tagged = apply_cut(scored, facts.select("fold", "cut", "inclusive"), ["fold"]).withColumns(
+        {"model": F.lit(run or model), "profile": F.lit(profile), "seed": F.lit(seed)}
+    )
+    oof = cut_lineage(tagged)
+    base.unpersist()
+    folds = compute_metrics(oof, ["model", "profile", "seed", "fold"], splits=done[1].splits).join(
+        facts.select("fold", F.col("cut").alias("threshold"), "inner_oof_AP", "best_params"), "fold"
     )
-    return CVResult(tagged, folds, fits)
+    return CVResult(oof, folds, fits)
 
 
 def _fit_record(seed: int, outer: int, inner: int, stage: str, recipe: str, fit: LogisticFit) -> dict:
@@ -173,26 +228,30 @@ def recipe_selector_cv(
     base = _with_folds(frame.select("entity_id", F.col("label").cast("int").alias("label"), *every), outer, seed, "fold").persist()
     named = {json.dumps(p, sort_keys=True): p for p in (grid or elastic_grid())}
     screen = {"C": SCREEN_C, "l1_ratio": SCREEN_L1_RATIO}
-    score, fits, rows = F.lit(None).cast("double"), [], []
-    for k in range(1, outer + 1):
-        train = _with_folds(base.filter(F.col("fold") != k), inner, seed, "inner_fold").persist()
-        means, screened, _ = _inner_search(train, "logistic", [(n, recipes[n], screen) for n in sorted(recipes)], inner, seed, True, False, "AP")
-        pick = best_by_score(means.withColumn("_k", F.lit(1)), ["_k"], "score", "candidate").first()
-        cols = recipes[pick["candidate"]]
-        tuned, searched, _ = _inner_search(train, "logistic", [(n, cols, p) for n, p in named.items()], inner, seed, True, False, "AP")
-        best = best_by_score(tuned.withColumn("_k", F.lit(1)), ["_k"], "score", "candidate").first()
-        final = fit_logistic(train, cols, indicators=True, **named[best["candidate"]])
-        score = F.when(F.col("fold") == k, final.score()).otherwise(score)
-        train.unpersist()
-        fits += [_fit_record(seed, k, j, "recipe_screening", n, f) for (n, j), f in screened.items()]
-        fits += [_fit_record(seed, k, j, "hyperparameter_search", pick["candidate"], f) for (_, j), f in searched.items()]
-        fits.append(_fit_record(seed, k, 0, "outer_final_refit", pick["candidate"], final))
-        rows.append((k, pick["candidate"], len(cols), float(pick["score"]), float(named[best["candidate"]]["C"]), float(named[best["candidate"]]["l1_ratio"]), float(best["score"])))
-    oof = base.select("entity_id", "label", "fold", score.alias("score")).withColumns({"model": F.lit(run), "seed": F.lit(seed)})
+    setup = Setup("logistic", inner, seed, True, False, "AP")
+
+    def one_fold(k: int):
+        sets = _TrainingSets(base, k, setup, every)
+        recipe, screening, screened, _ = sets.search([(n, recipes[n], screen) for n in sorted(recipes)])
+        best, tuned, searched, _ = sets.search([(n, recipes[recipe], p) for n, p in named.items()])
+        final = sets.fit(0, recipes[recipe], named[best])
+        sets.release()
+        row = (k, recipe, len(recipes[recipe]), screening, float(named[best]["C"]), float(named[best]["l1_ratio"]), tuned)
+        records = [_fit_record(seed, k, j, "recipe_screening", n, f) for (n, j), f in screened.items()]
+        records += [_fit_record(seed, k, j, "hyperparameter_search", recipe, f) for (_, j), f in searched.items()]
+        return final, row, [*records, _fit_record(seed, k, 0, "outer_final_refit", recipe, final)], sets.splits()
+
+    done = _parallel([lambda k=k: one_fold(k) for k in range(1, outer + 1)], PARALLEL_FOLDS)
+    score = F.lit(None).cast("double")
+    for k, d in enumerate(done, start=1):
+        score = F.when(F.col("fold") == k, d[0].score()).otherwise(score)
+    oof = cut_lineage(base.select("entity_id", "label", "fold", score.alias("score")).withColumns({"model": F.lit(run), "seed": F.lit(seed)}))
+    base.unpersist()
     picks = frame.sparkSession.createDataFrame(
-        rows, "fold int, selected_recipe string, input_count int, screening_AP double, best_C double, best_l1_ratio double, inner_best_AP double"
+        [d[1] for d in done], "fold int, selected_recipe string, input_count int, screening_AP double, best_C double, best_l1_ratio double, inner_best_AP double"
     )
-    return CVResult(oof, run_metrics(oof, ["model", "seed", "fold"]).join(picks, "fold"), fits)
+    folds = run_metrics(oof, ["model", "seed", "fold"], splits=done[0][3]).join(picks, "fold")
+    return CVResult(oof, folds, [f for d in done for f in d[2]])
 
 
 def fixed_recipe_cv(frame: DataFrame, recipe: str, cols: list[str], **kw) -> CVResult:
@@ -210,8 +269,10 @@ def repeated_cv(
     frame: DataFrame, cols: list[str], *, models: list[str], seeds: list[int], outer: int = 5, inner: int = 3, **kw
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Several models over several seeds on shared outer folds: predictions, per-seed metrics and their summary."""
-    oof = stack_frames([nested_cv(frame, cols, model=m, seed=s, outer=outer, inner=inner, **kw).oof for s in seeds for m in models])
-    per_seed = compute_metrics(oof, ["model", "seed"])
+    kept = frame.persist()
+    oof = stack_frames([nested_cv(kept, cols, model=m, seed=s, outer=outer, inner=inner, check=i + j == 0, **kw).oof for i, s in enumerate(seeds) for j, m in enumerate(models)])
+    kept.unpersist()
+    per_seed = cut_lineage(compute_metrics(oof, ["model", "seed"]))
     return oof, per_seed, repeated_summary(per_seed)
 
 

@@ -4,7 +4,7 @@ from importlib import import_module
 
 # The modules that register queries.
 MODULES = [
-    "parsing_queries", "relational_queries", "aggregate_queries", "window_queries", "outcome_queries",
+    "parsing_queries", "relational_queries", "aggregate_queries", "window_queries", "outcome_queries", "quality_queries", "source_queries", "model_queries",
 ]
 
 

@@ -60,7 +60,7 @@ def header_inventory(headers: DataFrame) -> DataFrame:
     """
     stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"[.][^.]*$", "")
     lines = F.filter(
-        F.transform(F.split(F.regexp_replace("text", "^﻿", ""), r"\r\n|\r|\n"), F.trim),
+        F.transform(F.split(F.regexp_replace("text", "^﻿", ""), r"\r\n|\r|\n"), lambda x: F.trim(x)),
         lambda x: (x != "") & ~x.startswith("#"),
     )
     base = headers.select("path", stem.alias("record_id"), entity_id_from_name(stem).alias("entity_id"), lines.alias("_l"))
