@@ -17,38 +17,37 @@ KEYS = ["entity_id", "window_id"]
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def _lag_matches(x: np.ndarray, radius: float):
-    """For every lag, flags telling which samples lie within the radius of the sample `lag` later."""
-    for lag in range(1, len(x)):
-        yield lag, np.abs(x[lag:] - x[:-lag]) <= radius
+# Cells of one block of sample distances.
+BLOCK_CELLS = 2_000_000
+
+
+def _template_neighbours(x: np.ndarray, radius: float, size: int) -> np.ndarray:
+    """For each template of the given size, how many templates (itself included) lie within the radius.
+
+    The last possible start is left out.  Distances are taken in row blocks, so memory stays bounded.
+    """
+    count = len(x) - size
+    out = np.zeros(count)
+    step = max(1, BLOCK_CELLS // len(x))
+    for start in range(0, count, step):
+        stop = min(start + step, count)
+        close = np.abs(x[start:stop + size - 1, None] - x[None, :]) <= radius
+        hit = close[: stop - start, :count]
+        for k in range(1, size):
+            hit = hit & close[k:k + stop - start, k:k + count]
+        out[start:stop] = hit.sum(axis=1)
+    return out
 
 
 def _entropy_pair(x: np.ndarray, m: int, ratio: float) -> tuple[float | None, float | None]:
-    n = len(x)
-    sd = x.std() if n else 0.0
-    if n < 10 or sd < 1e-12:
+    """Sample and approximate entropy of one series."""
+    sd = x.std() if len(x) else 0.0
+    if len(x) < 10 or sd < 1e-12:
         return None, None
-    totals = {}
-    neighbours = {}
-    # A template pair matches if m neighbouring samples match at one lag, so the
-    # pairs are walked diagonal by diagonal in linear memory.
-    for d in (m, m + 1):
-        totals[d] = 0
-        neighbours[d] = np.ones(n - d)
-    for lag, close in _lag_matches(x, ratio * sd):
-        for d in (m, m + 1):
-            size = n - d - lag
-            if size <= 0:
-                continue
-            hit = close[:size].copy()
-            for step in range(1, d):
-                hit &= close[step:step + size]
-            totals[d] += int(hit.sum())
-            neighbours[d][:size] += hit
-            neighbours[d][lag:lag + size] += hit
-    phi = {d: np.log(c / len(c) + 1e-8).mean() if len(c) > 1 else 0.0 for d, c in neighbours.items()}
-    sample = -np.log(totals[m + 1] / totals[m]) if totals[m] and totals[m + 1] else None
-    return sample, phi[m] - phi[m + 1]
+    near = [_template_neighbours(x, ratio * sd, size) for size in (m, m + 1)]
+    pairs = [(c.sum() - len(c)) / 2 for c in near]
+    phi = [np.log(c / len(c) + 1e-8).mean() if len(c) > 1 else 0.0 for c in near]
+    return -np.log(pairs[1] / pairs[0]) if min(pairs) > 0 else None, phi[0] - phi[1]
 
 
 def entropies(series: DataFrame, *, m: int = 2, ratio: float = 0.2) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import offsets_by_bucket, add_bucket, prefix_sums, value_splits
+from .ordered import choose_splits, prefix_sums, running_offsets
 
 PENALTY = 0.1
 
@@ -38,7 +38,7 @@ def _risk_terms(df: DataFrame, cols: list[str], time: str, event: str, beta: np.
         sums |= {f"s2_{i}_{j}": F.sum(risk * both), f"e2_{i}_{j}": F.sum(dead * risk * both)}
     grouped = df.groupBy(time).agg(*[e.alias(n) for n, e in sums.items()])
     running = [n for n in sums if n.startswith("s")]
-    placed = offsets_by_bucket(add_bucket(grouped, time, splits), [], "_bucket", [F.col(time)], running)
+    placed = running_offsets(grouped, [], time, running, splits)
     return placed.withColumns({n: F.col(f"{n}_total") - F.col(f"{n}_before") for n in running})
 
 
@@ -47,7 +47,7 @@ def fit_hazard(
 ) -> HazardFit:
     """Newton steps on the partial likelihood with tied events spread over the tie, and the penalty
     n * penalty / 2 * sum(b*b).  Each step is one Spark job that returns a handful of sums."""
-    splits = value_splits(df, [time])[time]
+    splits = choose_splits(df.select(time).distinct(), time)
     head = df.agg(F.count("*").alias("n"), F.sum(F.col(event)).alias("e")).first()
     d, n = len(cols), int(head["n"])
     beta = np.zeros(d)
@@ -87,7 +87,7 @@ def hazard_table(frame: DataFrame, cause: str, fit: HazardFit, *, penalty: float
 
 def baseline_cumulative_hazard(df: DataFrame, fit: HazardFit, time: str, event: str) -> DataFrame:
     """Running sum of events over risk sums at every distinct time."""
-    splits = value_splits(df, [time])[time]
+    splits = choose_splits(df.select(time).distinct(), time)
     terms = _risk_terms(df, fit.columns, time, event, np.array(fit.coef), splits)
     steps = terms.select(time, (F.col("d") / F.col("s0")).alias("_h"))
     summed = prefix_sums(steps, [], time, {"_s": F.sum("_h")}, splits=splits)

@@ -29,6 +29,11 @@ def value_splits(df: DataFrame, cols: list[str], buckets: int = DEFAULT_BUCKETS)
 ONE_BUCKET = [float("-inf"), float("inf")]
 
 
+def choose_splits(df: DataFrame, col: str, *, hot_rows: int = HOT_ROWS, buckets: int = DEFAULT_BUCKETS) -> list[float]:
+    """One bucket for a table of at most `hot_rows` rows, else bounds from its quantiles."""
+    return ONE_BUCKET if df.count() <= hot_rows else value_splits(df, [col], buckets)[col]
+
+
 def add_bucket(df: DataFrame, col: str, splits: list[float], out: str = "_bucket") -> DataFrame:
     """Bucket number of a double column; rows keep their order across buckets."""
     if len(splits) < 3:
@@ -56,6 +61,20 @@ def offsets_by_bucket(rows: DataFrame, keys: list[str], bucket: str, order: list
     return joined.withColumns(before).drop(*[f"_b_{s}" for s in sums])
 
 
+def running_offsets(rows: DataFrame, keys: list[str], order: str, sums: list[str], splits: list[float]) -> DataFrame:
+    """`offsets_by_bucket` over value buckets; with a single bucket a plain window per group."""
+    if len(splits) >= 3:
+        return offsets_by_bucket(add_bucket(rows, order, splits), keys, "_bucket", [F.col(order)], sums).drop("_bucket")
+    whole = Window.partitionBy(*keys)
+    earlier = whole.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumns(
+        {
+            **{f"{s}_total": F.sum(s).over(whole) for s in sums},
+            **{f"{s}_before": F.coalesce(F.sum(s).over(earlier), F.lit(0)) for s in sums},
+        }
+    )
+
+
 def prefix_sums(
     df: DataFrame,
     keys: list[str],
@@ -63,14 +82,15 @@ def prefix_sums(
     sums: dict[str, Column],
     *,
     splits: list[float] | None = None,
-    buckets: int = DEFAULT_BUCKETS,
 ) -> DataFrame:
-    """One row per group and distinct value with its sums, the sums before it and the group totals."""
+    """One row per group and distinct value with its sums, the sums before it and the group totals.
+
+    Without given `splits` the row count decides whether values are cut into buckets.
+    """
     present = df.filter(F.col(value).isNotNull())
-    bounds = splits or value_splits(present, [value], buckets)[value]
+    bounds = splits or choose_splits(present, value)
     grouped = present.groupBy(*keys, value).agg(*[e.alias(n) for n, e in sums.items()])
-    bucketed = add_bucket(grouped, value, bounds)
-    return offsets_by_bucket(bucketed, keys, "_bucket", [F.col(value)], list(sums)).drop("_bucket")
+    return running_offsets(grouped, keys, value, list(sums), bounds)
 
 
 def _native_quantiles(df: DataFrame, keys: list[str], cols: list[str], probs: dict[str, float]) -> DataFrame:

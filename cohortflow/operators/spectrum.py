@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 KEYS = ["entity_id", "window_id"]
@@ -18,18 +18,21 @@ def spectral_bands(samples: DataFrame) -> DataFrame:
     Spark groups the samples by window; the transform of one window is the only Python step.
     """
 
-    def bands(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        v = frame.sort_values("pos")["value"].to_numpy(float)
-        if len(v) < 8:
-            return pd.DataFrame([[*key, None, None, None, None]], columns=[*KEYS, *BANDS, "pow_hf_ratio"])
-        power = np.abs(np.fft.rfft(v)) ** 2 / len(v)
-        hz = np.fft.rfftfreq(len(v), 1.0 / float(frame["fs"].iloc[0]))
-        total = power.sum() + 1e-12
-        share = [power[(hz >= low) & (hz < high)].sum() / total for low, high in BANDS.values()]
-        ratio = share[2] / (share[0] + share[1] + 1e-12)
-        return pd.DataFrame([[*key, *share, ratio]], columns=[*KEYS, *BANDS, "pow_hf_ratio"])
+    names = [*BANDS, "pow_hf_ratio"]
+
+    def bands(window: pa.Table) -> pa.Table:
+        v = window["value"].to_numpy()[np.argsort(window["pos"].to_numpy())]
+        shares = [None] * len(names)
+        if len(v) >= 8:
+            power = np.abs(np.fft.rfft(v)) ** 2 / len(v)
+            hz = np.fft.rfftfreq(len(v), 1.0 / float(window["fs"][0].as_py()))
+            total = power.sum() + 1e-12
+            part = [power[(hz >= low) & (hz < high)].sum() / total for low, high in BANDS.values()]
+            shares = [*part, part[2] / (part[0] + part[1] + 1e-12)]
+        keys = {k: window[k].slice(0, 1) for k in KEYS}
+        return pa.table({**keys, **{n: pa.array([x], pa.float64()) for n, x in zip(names, shares)}})
 
     fields = samples.schema
     head = ", ".join(f"{k} {fields[k].dataType.simpleString()}" for k in KEYS)
-    schema = head + ", " + ", ".join(f"{c} double" for c in [*BANDS, "pow_hf_ratio"])
-    return samples.select(*KEYS, "pos", "value", "fs").groupBy(*KEYS).applyInPandas(bands, schema)
+    schema = head + ", " + ", ".join(f"{c} double" for c in names)
+    return samples.select(*KEYS, "pos", "value", "fs").groupBy(*KEYS).applyInArrow(bands, schema)

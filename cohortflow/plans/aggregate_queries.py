@@ -8,7 +8,8 @@ from ..functions.constants import HORIZONS, STATES
 from ..functions.parsing import normalise_code
 from ..operators import aggregate, distributions, features, population
 from ..operators.endpoints import build_endpoint
-from ..operators.metrics import compute_metrics, run_metrics, score_curve
+from ..operators.metrics import run_metrics, score_curve
+from ..operators.ordered import value_splits
 from . import tables as t
 from .parsing_queries import STATS_SQL
 from .registry import query
@@ -316,4 +317,4 @@ def _(spark, sf):
 )
 def _(spark, sf):
     p = t.predictions(spark, sf).filter("model = 'rounded'")
-    return score_curve(p, ["model"]).select("model", "score", "pos", "neg", "pos_before", "neg_before")
+    return score_curve(p, ["model"], splits=value_splits(p, ["score"], 16)["score"]).select("model", "score", "pos", "neg", "pos_before", "neg_before")

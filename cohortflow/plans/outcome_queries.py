@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import METRICS
 from ..operators import aggregate, bootstrap, endpoints, folds, metrics, population
+from ..operators.ordered import value_splits
 from . import tables as t
 from .aggregate_queries import COUNTS_SQL
 from .parsing_queries import STATS_SQL
@@ -180,7 +181,10 @@ RANK_SQL = t.PREDICTIONS_SQL + "," + t.curve_sql("preds", "model")
 
 @query("roc_auc", f'WITH {RANK_SQL} SELECT model, round("AUC", 8) AS "AUC" FROM ranked')
 def _(spark, sf):
-    return _rounded(metrics.roc_auc(t.predictions(spark, sf), ["model"]), ["AUC"], 8)
+    # The way large tables take: the curve is cut into value buckets.
+    p = t.predictions(spark, sf)
+    curve = metrics.score_curve(p, ["model"], splits=value_splits(p, ["score"], 64)["score"])
+    return _rounded(metrics.roc_auc_from(curve, ["model"]), ["AUC"], 8)
 
 
 @query("average_precision", f'WITH {RANK_SQL} SELECT model, round("AP", 8) AS "AP" FROM ranked')
@@ -287,7 +291,7 @@ def _(spark, sf):
     SELECT model, bin, round(avg(score), 8) AS mean_predicted, round(avg(label), 8) AS observed_rate, count(*) AS n FROM b GROUP BY 1, 2""",
 )
 def _(spark, sf):
-    df = metrics.calibration_bins(t.predictions(spark, sf).filter("model = 'price'"), ["model"])
+    df = metrics.calibration_bins(t.predictions(spark, sf).filter("model = 'price'"), ["model"], hot_rows=1000)
     return _rounded(df, ["mean_predicted", "observed_rate"], 8)
 
 
