@@ -12,7 +12,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.constants import SCREEN_C, SCREEN_L1_RATIO
@@ -31,11 +31,12 @@ PARALLEL_FOLDS = 3
 PARALLEL_FITS = 8
 
 
-def _parallel(tasks: list, width: int = PARALLEL_FITS) -> list:
+def _parallel(spark: SparkSession, tasks: list, width: int = PARALLEL_FITS) -> list:
     if not tasks:
         return []
+    carry = inheritable_thread_target(spark)
     with ThreadPoolExecutor(min(width, len(tasks))) as pool:
-        return list(pool.map(inheritable_thread_target(lambda t: t()), tasks))
+        return list(pool.map(carry(lambda t: t()), tasks))
 
 
 @dataclass
@@ -125,7 +126,7 @@ class _TrainingSets:
         self.prepare({(j, tuple(c)) for j in inner for _, c, _ in candidates})
         keys = [(n, j) for j in inner for n, _, _ in candidates]
         tasks = [(lambda c=c, p=p, j=j: self.fit(j, c, p)) for j in inner for _, c, p in candidates]
-        fits = dict(zip(keys, _parallel(tasks)))
+        fits = dict(zip(keys, _parallel(self.train.sparkSession, tasks)))
         held = {j: self.train.filter(F.col("inner_fold") == j) for j in inner}
         if self.setup.kind == "trees":
             parts = [
@@ -176,7 +177,7 @@ def nested_cv(
         sets.release()
         return Fold(best, final, fits, float(cut["cut"]), bool(cut["inclusive"]), ap, sets.splits())
 
-    done = dict(zip(range(1, outer + 1), _parallel([lambda k=k: one_fold(k) for k in range(1, outer + 1)], PARALLEL_FOLDS)))
+    done = dict(zip(range(1, outer + 1), _parallel(frame.sparkSession, [lambda k=k: one_fold(k) for k in range(1, outer + 1)], PARALLEL_FOLDS)))
     fits = []
     for k, d in done.items():
         fits += [_fit_record(seed, k, j, "hyperparameter_search", profile, f) for (_, j), f in d.fits.items() if isinstance(f, LogisticFit)]
@@ -241,7 +242,7 @@ def recipe_selector_cv(
         records += [_fit_record(seed, k, j, "hyperparameter_search", recipe, f) for (_, j), f in searched.items()]
         return final, row, [*records, _fit_record(seed, k, 0, "outer_final_refit", recipe, final)], sets.splits()
 
-    done = _parallel([lambda k=k: one_fold(k) for k in range(1, outer + 1)], PARALLEL_FOLDS)
+    done = _parallel(frame.sparkSession, [lambda k=k: one_fold(k) for k in range(1, outer + 1)], PARALLEL_FOLDS)
     score = F.lit(None).cast("double")
     for k, d in enumerate(done, start=1):
         score = F.when(F.col("fold") == k, d[0].score()).otherwise(score)

@@ -47,10 +47,23 @@ def choose_encoding(spark: SparkSession, path: str) -> str:
     return ENCODINGS[0] if flags["utf8"] else ENCODINGS[1] if flags["cp1252"] else ENCODINGS[2]
 
 
+def _from_cp1252(df: DataFrame) -> DataFrame:
+    """Text read byte for byte as Latin-1, with the bytes 80 to 9F turned into their windows-1252 characters."""
+    pairs = [(chr(b), bytes([b]).decode("cp1252", errors="ignore")) for b in range(0x80, 0xA0)]
+    known = {a: c for a, c in pairs if c}
+    source, target = "".join(known), "".join(known.values())
+    names = {c: c.translate(str.maketrans(known)) for c in df.columns}
+    return df.select(*[F.translate(F.col(f"`{c}`"), source, target).alias(n) for c, n in names.items()])
+
+
 def scan_delimited(spark: SparkSession, path: str, *, sep: str = ";", encoding: str | None = None) -> DataFrame:
     """Separated text as strings only; the encoding is found where none is given, a byte-order mark is dropped."""
-    df = spark.read.csv(path, sep=sep, header=True, encoding=encoding or choose_encoding(spark, path), inferSchema=False)
-    return df.withColumnsRenamed({c: c.lstrip("﻿") for c in df.columns if c.startswith("﻿")})
+    found = encoding or choose_encoding(spark, path)
+    plain = "ISO-8859-1" if found == "windows-1252" else found
+    df = spark.read.csv(path, sep=sep, header=True, encoding=plain, inferSchema=False)
+    if found == "windows-1252":
+        df = _from_cp1252(df)
+    return df.withColumnsRenamed({c: c.lstrip("\ufeff") for c in df.columns if c.startswith("\ufeff")})
 
 
 def scan_line_list(spark: SparkSession, path: str) -> DataFrame:
@@ -79,17 +92,20 @@ def scan_hash_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataF
 
 
 def scan_json_report(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A JSON document as rows of the stated schema; an absent or broken file gives no rows."""
-    empty = spark.createDataFrame([], schema)
+    """JSON documents (an object or a list of them per file) as rows; an absent or broken file gives no rows."""
     try:
-        read = spark.read.schema(f"{schema}, _broken string").json(
-            path, multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_broken"
-        )
+        texts = spark.read.text(path, wholetext=True)
     except Exception as exc:  # Spark reports a missing path while it resolves the read
         if "PATH_NOT_FOUND" in str(exc):
-            return empty
+            return spark.createDataFrame([], schema)
         raise
-    return read.filter("_broken is null").drop("_broken")
+    whole = texts.filter(F.try_parse_json("value").isNotNull())
+    return whole.select(F.inline(F.from_json("value", f"array<struct<{_struct_fields(schema)}>>")))
+
+
+def _struct_fields(schema: str) -> str:
+    """Column list in the form that stands inside a struct type."""
+    return T.StructType.fromDDL(schema).simpleString()[len("struct<"):-1]
 
 
 def scan_sharded(spark: SparkSession, base: str, pattern: str = "*.parquet") -> DataFrame:
