@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.constants import BURDEN_THRESHOLD, SUCCESS
 from ..functions.derive import first_reason
 from ..functions.parsing import nan_to_null
-from .ordered import HOT_ROWS, exact_quantiles
+from .ordered import HOT_ROWS, exact_quantiles, hot_groups, rows_allowed
 from .relational import key_spine
 
 STAT_QUANTILES = {"p10": 0.1, "p50": 0.5, "p90": 0.9}
@@ -45,7 +45,8 @@ def usable_values(df: DataFrame, keys: list[str], features: list[str], mask: Col
 def five_stats(values: DataFrame, keys: list[str], features: list[str], *, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Mean, sample sd (0 for one value), p10, p50, p90 and count of every feature per group.
 
-    Mean, sd and count combine before the shuffle; the quantiles split groups above `hot_rows`.
+    Without large groups everything is one aggregate.  Otherwise mean, sd and count still combine
+    before the shuffle and only the quantiles split the large groups.
     """
     moments = []
     for f in features:
@@ -55,6 +56,11 @@ def five_stats(values: DataFrame, keys: list[str], features: list[str], *, hot_r
             F.when(n > 1, F.stddev_samp(f)).when(n == 1, F.lit(0.0)).alias(f"{f}_std"),
             n.alias(f"{f}_valid_count"),
         ]
+    if hot_groups(values, keys, rows_allowed(hot_rows, features)).isEmpty():
+        ps = F.array(*[F.lit(p) for p in STAT_QUANTILES.values()])
+        one = values.groupBy(*keys).agg(*moments, *[F.percentile(F.col(f), ps).alias(f"_q_{f}") for f in features])
+        quantiles = [F.col(f"_q_{f}")[i].alias(f"{f}_{n}") for f in features for i, n in enumerate(STAT_QUANTILES)]
+        return one.select(*[c for c in one.columns if not c.startswith("_q_")], *quantiles)
     basic = values.groupBy(*keys).agg(*moments)
     return basic.join(exact_quantiles(values, keys, features, STAT_QUANTILES, hot_rows=hot_rows), keys, "left")
 
@@ -128,7 +134,7 @@ def entity_feature_table(
     mask = qc_mask(windows) if use_qc_valid else success_mask(windows)
     stats = five_stats(usable_values(windows, key, features, mask), key, features, hot_rows=hot_rows)
     counts = window_counts(windows, key)
-    spine = key_spine(key, windows, *([subjects] if subjects is not None else []))
+    spine = key_spine(key, counts, *([subjects] if subjects is not None else []))
     out = spine.join(counts, key, "left").join(stats, key, "left")
     if subjects is not None:
         extra = [c for c in (metadata or []) if c in subjects.columns]

@@ -50,25 +50,30 @@ def _entropy_pair(x: np.ndarray, m: int, ratio: float) -> tuple[float | None, fl
     return -np.log(pairs[1] / pairs[0]) if min(pairs) > 0 else None, phi[0] - phi[1]
 
 
-def entropies(series: DataFrame, *, m: int = 2, ratio: float = 0.2) -> DataFrame:
-    """Sample and approximate entropy with radius `ratio` population sds; null below ten values.
+def entropies_of(windows: DataFrame, values: Column, *, m: int = 2, ratio: float = 0.2) -> DataFrame:
+    """Sample and approximate entropy of an array column per row, radius `ratio` population sds.
 
     The series of a window travels as one array; no pair of samples becomes a row.
     """
 
     @F.pandas_udf("rr_sampen double, rr_apen double")
-    def both(values: pd.Series) -> pd.DataFrame:
-        pairs = [_entropy_pair(np.asarray(v, dtype=float), m, ratio) for v in values]
+    def both(arrays: pd.Series) -> pd.DataFrame:
+        pairs = [_entropy_pair(np.asarray(v, dtype=float), m, ratio) for v in arrays]
         return pd.DataFrame(pairs, columns=["rr_sampen", "rr_apen"], dtype=float)
 
-    arrays = series.groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct("pos", "value"))).alias("_s"))
-    out = arrays.select(*KEYS, both(F.col("_s.value")).alias("_e"))
+    out = windows.select(*KEYS, both(values).alias("_e"))
     return out.select(
         *KEYS,
         *[F.when(~F.isnan(f"_e.{c}"), F.col(f"_e.{c}")).alias(c) for c in ("rr_sampen", "rr_apen")],
     )
 
 
+def entropies(series: DataFrame, *, m: int = 2, ratio: float = 0.2) -> DataFrame:
+    """Entropies of a long series; null below ten values."""
+    arrays = series.groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct("pos", "value"))).alias("_s"))
+    return entropies_of(arrays, F.col("_s.value"), m=m, ratio=ratio)
+
+
 LADDER_TABLE_END = 512
 
 

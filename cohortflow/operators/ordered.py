@@ -93,6 +93,16 @@ def prefix_sums(
     return running_offsets(grouped, keys, value, list(sums), bounds)
 
 
+def rows_allowed(hot_rows: int, cols: list[str]) -> int:
+    """Rows per group that keep the values of all columns within the limit."""
+    return hot_rows // max(1, len(cols))
+
+
+def hot_groups(df: DataFrame, keys: list[str], limit: int) -> DataFrame:
+    """Keys of the groups above the limit."""
+    return df.groupBy(*keys).count().filter(F.col("count") > limit).select(*keys)
+
+
 def _native_quantiles(df: DataFrame, keys: list[str], cols: list[str], probs: dict[str, float]) -> DataFrame:
     ps = F.array(*[F.lit(float(p)) for p in probs.values()])
     grouped = df.groupBy(*keys).agg(*[F.percentile(F.col(c), ps).alias(f"_q_{c}") for c in cols])
@@ -142,18 +152,19 @@ def exact_quantiles(
 ) -> DataFrame:
     """Linearly interpolated quantiles of double columns per group, named `<col>_<prob name>`.
 
-    Groups of at most `hot_rows` rows use the built-in aggregate.  Larger groups are
-    split into value buckets; the answer is exact on both ways.  `hot_rows=None` states that
-    the caller has already checked the group sizes.
+    Groups that hold at most `hot_rows` values over all columns use the built-in aggregate,
+    which keeps one group in memory.  Larger groups are split into value buckets; the answer
+    is exact on both ways.  `hot_rows=None` states that the caller has checked the sizes.
     """
     narrow = df.select(*keys, *cols)
     if hot_rows is None:
         return _native_quantiles(narrow, keys, cols, probs)
+    limit = rows_allowed(hot_rows, cols)
     if not keys:
-        if narrow.count() > hot_rows:
+        if narrow.count() > limit:
             return _bucketed_quantiles(narrow, keys, cols, probs, buckets)
         return _native_quantiles(narrow, keys, cols, probs)
-    hot = narrow.groupBy(*keys).count().filter(F.col("count") > hot_rows).select(*keys)
+    hot = hot_groups(narrow, keys, limit)
     if hot.isEmpty():
         return _native_quantiles(narrow, keys, cols, probs)
     usual = _native_quantiles(narrow.join(hot, keys, "left_anti"), keys, cols, probs)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.parsing import nan_to_null
-from .ordered import HOT_ROWS, exact_quantiles
+from .ordered import HOT_ROWS, exact_quantiles, rows_allowed
 
 
 @dataclass
@@ -68,7 +68,7 @@ def fit_preparations(
     ).collect()
     largest = max((r["_n"] for r in facts), default=0)
     # Where no set is large the built-in quantile needs no size check of its own.
-    ways = {"hot_rows": hot_rows} if largest > hot_rows else {"hot_rows": None}
+    ways = {"hot_rows": hot_rows if largest > rows_allowed(hot_rows, columns) else None}
     med = {r["_set"]: r for r in exact_quantiles(x, ["_set"], columns, {"m": 0.5}, **ways).collect()}
     out = {}
     for r in facts:

@@ -30,6 +30,14 @@ def join_many_to_one(left: DataFrame, right: DataFrame, keys: list[str]) -> Data
     return left.join(assert_unique(right, keys, "right side"), keys, "left")
 
 
+BROADCAST_ROWS = 1_000_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast hint for a narrow side whose counted rows stay within the bound, else the side as it is."""
+    return F.broadcast(df) if df.count() <= max_rows else df
+
+
 def lookup(left: DataFrame, right: DataFrame, keys: list[str], kind: Column, prefix: str) -> DataFrame:
     """Left join of the right rows of one kind, their columns prefixed."""
     side = right.filter(kind)

@@ -17,6 +17,7 @@ from ..functions.constants import (
 )
 from ..functions.derive import reason_list
 from ..functions.parsing import nan_to_null
+from ..session import cut_lineage
 
 KEYS = ["entity_id", "window_id"]
 
@@ -199,39 +200,63 @@ def validity_bits(df: DataFrame, features: list[str] = WINDOW_FEATURES) -> DataF
     return df.withColumns({**{f"{f}_valid": x.isNotNull() for f, x in clean.items()}, **clean})
 
 
+def interval_table(peaks: DataFrame, *, clean: bool = True) -> DataFrame:
+    """Everything the peaks of a window tell, one row per window with at least one peak.
+
+    One ordered pass gives intervals, validity and the previous kept interval; one aggregate
+    then gives counts, time-domain statistics and the kept series as an array.
+    """
+    order = Window.partitionBy(*KEYS).orderBy("pos")
+    rr = peaks.withColumn("rr", (F.col("pos") - F.lag("pos").over(order)) / F.col("fs")).withColumn("beat_no", F.row_number().over(order))
+    # The first peak has no interval; its null row leaves the local medians as they are.
+    checked = clean_intervals(rr) if clean else rr.withColumn("valid", F.col("rr").isNotNull())
+    kept = F.when(F.col("valid"), F.col("rr"))
+    before = F.last(kept, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    steps = checked.withColumns({"_k": kept, "_d": kept - before})
+    n, mean = F.count("_k"), F.avg("_k")
+    enough = n >= 3
+    raw = F.count("rr")
+    return steps.groupBy(*KEYS).agg(
+        F.count("*").alias("raw_rpeak_count"), raw.alias("raw_rr_count"), n.alias("valid_rr_count"), (raw - n).alias("removed_rr_count"),
+        F.coalesce(F.try_divide(raw - n, raw), F.lit(0.0)).alias("removed_rr_ratio"),
+        F.when(enough, mean).alias("mean_rr"), F.when(enough, F.stddev_samp("_k")).alias("sdnn"),
+        F.when(enough, F.sqrt(F.avg(F.col("_d") * F.col("_d")))).alias("rmssd"),
+        F.when(enough, F.avg((F.abs("_d") > 0.05).cast("double")) * 100.0).alias("pnn50"),
+        F.when(enough & (mean > 1e-8), F.lit(60.0) / mean).alias("mean_hr"),
+        F.when(enough, F.stddev_pop("_k") / (mean + 1e-8)).alias("rr_cv"),
+        F.sort_array(F.collect_list(F.when(F.col("valid"), F.struct("beat_no", "rr")))).alias("kept"),
+    )
+
+
 def window_feature_table(samples: DataFrame, theoretical: DataFrame, *, clean: bool = True) -> DataFrame:
     """One row per theoretical window: status, counters, twenty features with validity bits, quality state.
 
     `clean=False` gives the fixed-schedule variant, which keeps every interval.
+
+    The samples are shuffled once, by window.  Moments, peaks and spectrum all read that one
+    exchange and meet again without another; their short rows are written to the checkpoint
+    folder, and status, entropies and scaling exponents work on those rows alone.
     """
-    from .complexity import dfa_alpha, entropies
+    from .complexity import dfa_alpha, entropies_of
     from .spectrum import spectral_bands
-    from .windows import window_status
-
-    state = window_status(theoretical, samples)
-    good = state.filter("extraction_success").select(*KEYS)
-    scaled = center_scale(samples.join(good, KEYS, "left_semi"))
-    moments = signal_moments(scaled)
-    peaks = detect_peaks(scaled)
-    intervals = interval_series(peaks)
-    checked = clean_intervals(intervals) if clean else intervals.withColumn("valid", F.lit(True))
-    kept = checked.filter("valid").select(*KEYS, "beat_no", "rr")
-    series = kept.select(*KEYS, F.col("beat_no").alias("pos"), F.col("rr").alias("value"))
-    out = state
-    for part in (
-        moments.drop("n_samples", "fs"),
-        beat_rate(moments, peaks),
-        interval_counts(checked),
-        interval_time_domain(kept),
-        entropies(series),
-        dfa_alpha(series),
-        spectral_bands(scaled),
-    ):
-        out = out.join(part, KEYS, "left")
-    short = F.coalesce(F.col("valid_rr_count"), F.lit(0)) < MIN_VALID_INTERVALS
-    nonlinear = {f: F.when(~short, F.col(f)) for f in ("rr_sampen", "rr_apen", "rr_dfa_alpha")}
-    out = out.withColumns(nonlinear).withColumn("raw_rpeak_count", F.coalesce(F.col("beats"), F.lit(0.0)).cast("long"))
-    out = out.na.fill(0, subset=["raw_rr_count", "valid_rr_count", "removed_rr_count", "removed_rr_ratio"])
+    from .windows import status_from_counts
+
+    sized = samples.withColumn("_n", F.count("value").over(Window.partitionBy(*KEYS)))
+    scaled = center_scale(sized)
+    complete = scaled.filter(F.col("_n") == F.col("requested_samples"))
+    core = signal_moments(scaled).join(interval_table(detect_peaks(complete), clean=clean), KEYS, "left")
+    core = cut_lineage(core.join(spectral_bands(complete), KEYS, "left"))
+    long = core.filter(F.col("valid_rr_count") >= MIN_VALID_INTERVALS)
+    series = long.select(*KEYS, F.posexplode("kept.rr").alias("pos", "value"))
+    table = status_from_counts(theoretical, core.drop("kept", "fs"))
+    out = table.join(entropies_of(long, F.col("kept.rr")), KEYS, "left").join(dfa_alpha(series), KEYS, "left")
+    ok = F.col("extraction_success")
+    moments = ["sig_mean", "sig_std", "sig_p2p", "sig_skew", "sig_kurt"]
+    out = out.withColumns({f: F.when(ok, F.col(f)) for f in moments})
+    out = out.na.fill(0, subset=["raw_rpeak_count", "raw_rr_count", "valid_rr_count", "removed_rr_count", "removed_rr_ratio"])
+    beats = F.when(ok, F.col("raw_rpeak_count").cast("double"))
+    seconds = F.col("n_samples") / F.col("fs") + 1e-8
+    out = out.withColumns({"beats": beats, "beats_per_min": beats * 60.0 / seconds}).drop("n_samples")
     return window_qc(validity_bits(out))
 
 

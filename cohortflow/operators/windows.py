@@ -9,6 +9,7 @@ from ..functions.constants import (
     EMPTY_SIGNAL, FULL_SCHEDULE, HOURLY_SCHEDULE, OUTSIDE_RECORD, READ_ERROR, SHORT_READ, SUCCESS,
 )
 from ..functions.derive import first_reason
+from .relational import broadcast_if_small
 
 
 def window_count(duration: Column, first: int = 60, stride: int = 300, length: int = 300) -> Column:
@@ -72,7 +73,9 @@ def assign_windows(
     samples outside every complete window are dropped.
     """
     n = window_count(F.col("sample_count") / F.col("fs"), first, stride, length)
-    joined = samples.join(records.select("entity_id", "fs", n.alias("_n")), "entity_id")
+    # Three numbers per record: within the row bound the samples need no shuffle for this join.
+    side = broadcast_if_small(records.select("entity_id", "fs", n.alias("_n")))
+    joined = samples.join(side, "entity_id")
     fs, idx = F.col("fs"), F.col("sample_idx")
 
     def start(k: Column) -> Column:
@@ -90,16 +93,20 @@ def assign_windows(
     ks = F.when(fs == F.floor(fs), whole).otherwise(shared)
     placed = joined.withColumn("window_id", F.explode(ks))
     return placed.select(
-        "entity_id", "window_id", (idx - start(F.col("window_id"))).alias("pos"), "value", "fs"
+        "entity_id", "window_id", (idx - start(F.col("window_id"))).alias("pos"), "value", "fs", size.alias("requested_samples")
     )
 
 
 def window_status(theoretical: DataFrame, assigned: DataFrame) -> DataFrame:
-    """Status of every theoretical window from its sample count; failing windows stay as rows."""
-    keys = ["entity_id", "window_id"]
-    counts = assigned.groupBy(*keys).agg(F.count("value").alias("_n"))
-    joined = theoretical.join(counts, keys, "left")
-    actual = F.coalesce(F.col("_n"), F.lit(0))
+    """Status of every theoretical window from its samples; failing windows stay as rows."""
+    counts = assigned.groupBy("entity_id", "window_id").agg(F.count("value").alias("n_samples"))
+    return status_from_counts(theoretical, counts).drop("n_samples")
+
+
+def status_from_counts(theoretical: DataFrame, counts: DataFrame) -> DataFrame:
+    """Status from a table that holds `n_samples` per window; its other columns come along."""
+    joined = theoretical.join(counts, ["entity_id", "window_id"], "left")
+    actual = F.coalesce(F.col("n_samples"), F.lit(0))
     inside = (F.col("start_sample") >= 0) & (F.col("end_sample") <= F.col("sample_count"))
     unread = ~F.col("read_ok") if "read_ok" in theoretical.columns else F.lit(False)
     status = first_reason(
@@ -119,7 +126,7 @@ def window_status(theoretical: DataFrame, assigned: DataFrame) -> DataFrame:
             "extraction_success": status == SUCCESS,
             "failure_reason": F.when(status == SUCCESS, "").otherwise(status),
         }
-    ).drop("_n")
+    )
 
 
 def full_schedule() -> dict[str, int]:

@@ -39,7 +39,7 @@ def _(spark, sf):
 
 @query("five_stat_aggregate_split_groups", f"WITH {STATS_SQL} SELECT entity_id, {STAT_ROUND}, {COUNT_COLS} FROM stats")
 def _(spark, sf):
-    # The way large groups take, here for every group above five rows.
+    # The way large groups take, here for every group of more than one row.
     return _rounded(aggregate.five_stats(_usable(spark, sf), KEY, t.FEATURES, hot_rows=5), STAT_COLS)
 
 

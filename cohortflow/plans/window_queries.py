@@ -64,7 +64,6 @@ def _(spark, sf):
     return w.select(*K, "pos", F.round("value", 6).alias("value"))
 
 
-# Samples of event windows: one-day windows per user from 00:01:00 of the first day, in whole seconds.
 @query(
     "window_status",
     f"""WITH {t.SAMPLES_SQL}, kept AS (SELECT * FROM inwin WHERE NOT (entity_id % 3 = 1 AND window_id = 1 AND value > 0) AND NOT (entity_id % 3 = 2 AND window_id = 2)),
@@ -271,10 +270,6 @@ def _(spark, sf):
     )
 
 
-# Fixed value: span of the sparse event windows.
-DAY = 86400
-
-
 @query(
     "streaming_window_aggregates",
     """SELECT user_id AS entity_id, CAST(epoch(ts) - 60 AS BIGINT) // 300 AS slot, count(*) AS n, round(avg(value), 6) AS sig_mean, round(stddev_pop(value), 6) AS sig_std, round(max(value) - min(value), 6) AS sig_p2p
