@@ -121,12 +121,12 @@ def _(spark, sf):
 
 @query(
     "window_sequence_check",
-    f"""WITH {t.SAMPLES_SQL}, kept AS (SELECT * FROM theory WHERE NOT (entity_id % 3 = 1 AND window_id = 1)), g AS (SELECT entity_id, count(*) AS o, max(window_id) AS hi FROM kept GROUP BY 1)
+    f"""WITH {t.SAMPLES_SQL}, kept AS (SELECT * FROM theory WHERE NOT (sample_count > 1500 AND window_id = 1)), g AS (SELECT entity_id, count(*) AS o, max(window_id) AS hi FROM kept GROUP BY 1)
     SELECT entity_id, n AS expected, coalesce(o, 0) AS observed, coalesce(hi = o - 1, TRUE) AS gap_free, 0::BIGINT AS formula_errors FROM counted LEFT JOIN g USING (entity_id)""",
 )
 def _(spark, sf):
     r = t.records(spark, sf)
-    w = windows.complete_windows(r, **t.SHORT_SCHEDULE).filter(~((F.col("entity_id") % 3 == 1) & (F.col("window_id") == 1)))
+    w = windows.complete_windows(r, **t.SHORT_SCHEDULE).filter("not (sample_count > 1500 and window_id = 1)")
     return quality.window_sequence(w, r, **t.SHORT_SCHEDULE)
 
 
@@ -230,15 +230,16 @@ def _(spark, sf):
     return quality.entity_table_check(table, subjects, ["o_totalprice", "o_orderstatus"])
 
 
-DIGESTS_SQL = """files AS (SELECT page_id::VARCHAR AS path, sha256(html) AS digest FROM pages WHERE page_id % 7 <> 3),
-listed AS (SELECT page_id::VARCHAR AS path, CASE WHEN page_id % 5 = 1 THEN sha256(url) ELSE sha256(html) END AS digest FROM pages WHERE page_id % 4 <> 2 UNION ALL SELECT page_id::VARCHAR, sha256(html) FROM pages WHERE page_id % 11 = 0 AND page_id % 4 <> 2)"""
+DIGESTS_SQL = """files AS (SELECT page_id::VARCHAR AS path, sha256(html) AS digest FROM pages WHERE url NOT LIKE '%/fr/%'),
+listed AS (SELECT page_id::VARCHAR AS path, CASE WHEN url LIKE '%page=2%' THEN sha256(url) ELSE sha256(html) END AS digest FROM pages WHERE url NOT LIKE '%/en/%' UNION ALL SELECT page_id::VARCHAR, sha256(html) FROM pages WHERE url LIKE '%/de/%' AND url LIKE 'https%')"""
 
 
 def _digests(spark, sf):
-    p = t.read(spark, sf, "pages").select(F.col("page_id"), F.col("page_id").cast("string").alias("path"), F.sha2("html", 256).alias("digest"), F.sha2("url", 256).alias("other"))
-    files = p.filter("page_id % 7 <> 3").select("path", "digest")
-    listed = p.filter("page_id % 4 <> 2").select("path", F.when(F.col("page_id") % 5 == 1, F.col("other")).otherwise(F.col("digest")).alias("digest"))
-    return files, listed.unionByName(p.filter("page_id % 11 = 0 and page_id % 4 <> 2").select("path", "digest"))
+    p = t.read(spark, sf, "pages").select("url", F.col("page_id").cast("string").alias("path"), F.sha2("html", 256).alias("digest"), F.sha2("url", 256).alias("other"))
+    files = p.filter("url not like '%/fr/%'").select("path", "digest")
+    stale = F.when(F.col("url").like("%page=2%"), F.col("other")).otherwise(F.col("digest"))
+    listed = p.filter("url not like '%/en/%'").select("path", stale.alias("digest"))
+    return files, listed.unionByName(p.filter("url like '%/de/%' and url like 'https%'").select("path", "digest"))
 
 
 @query(
@@ -308,12 +309,12 @@ def _(spark, sf):
 
 @query(
     "copy_equality",
-    f"""WITH {DIGESTS_SQL}, m AS (SELECT path, min(digest) AS expected, count(*) AS n FROM files GROUP BY 1), z AS (SELECT page_id::VARCHAR AS path, sha256(html) AS digest FROM pages WHERE page_id % 4 <> 2)
+    f"""WITH {DIGESTS_SQL}, m AS (SELECT path, min(digest) AS expected, count(*) AS n FROM files GROUP BY 1), z AS (SELECT page_id::VARCHAR AS path, sha256(html) AS digest FROM pages WHERE url NOT LIKE '%/en/%')
     SELECT path, expected, digest AS actual, CASE WHEN digest IS NULL THEN 'MISSING' WHEN expected IS NULL THEN 'EXTRA' WHEN digest = expected THEN 'OK' ELSE 'MISMATCH' END AS verdict FROM m FULL JOIN z USING (path)""",
 )
 def _(spark, sf):
     files, _ = _digests(spark, sf)
-    other = t.read(spark, sf, "pages").filter("page_id % 4 <> 2").select(F.col("page_id").cast("string").alias("path"), F.sha2("html", 256).alias("digest"))
+    other = t.read(spark, sf, "pages").filter("url not like '%/en/%'").select(F.col("page_id").cast("string").alias("path"), F.sha2("html", 256).alias("digest"))
     return quality.hash_manifest_check(other, files)
 
 

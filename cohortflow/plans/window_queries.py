@@ -66,7 +66,7 @@ def _(spark, sf):
 
 @query(
     "window_status",
-    f"""WITH {t.SAMPLES_SQL}, kept AS (SELECT * FROM inwin WHERE NOT (entity_id % 3 = 1 AND window_id = 1 AND value > 0) AND NOT (entity_id % 3 = 2 AND window_id = 2)),
+    f"""WITH {t.SAMPLES_SQL}, kept AS (SELECT * FROM inwin WHERE NOT (window_id = 1 AND value > 0) AND window_id <> 2),
     c AS (SELECT entity_id, window_id, count(value) AS n FROM kept GROUP BY 1, 2)
     SELECT entity_id, window_id, coalesce(n, 0) AS actual_samples, CASE WHEN n IS NULL THEN 'EMPTY_SIGNAL' WHEN n <> 320 THEN 'SHORT_READ' ELSE 'SUCCESS' END AS window_status
     FROM theory LEFT JOIN c USING (entity_id, window_id)""",
@@ -74,8 +74,7 @@ def _(spark, sf):
 def _(spark, sf):
     r = t.records(spark, sf)
     w = windows.assign_windows(t.samples(spark, sf), r, **t.SHORT_SCHEDULE)
-    e, k = F.col("entity_id") % 3, F.col("window_id")
-    kept = w.filter(~((e == 1) & (k == 1) & (F.col("value") > 0)) & ~((e == 2) & (k == 2)))
+    kept = w.filter("not (window_id = 1 and value > 0) and window_id <> 2")
     state = windows.window_status(windows.complete_windows(r, **t.SHORT_SCHEDULE), kept)
     return state.select(*K, "actual_samples", "window_status")
 
