@@ -9,7 +9,6 @@ from ..functions.constants import BURDEN_THRESHOLD, SUCCESS
 from ..functions.derive import first_reason
 from ..functions.parsing import nan_to_null
 from .ordered import HOT_ROWS, exact_quantiles, hot_groups, rows_allowed
-from .relational import key_spine
 
 STAT_QUANTILES = {"p10": 0.1, "p50": 0.5, "p90": 0.9}
 COUNTERS = ["raw_rpeak_count", "raw_rr_count", "valid_rr_count", "removed_rr_count"]
@@ -37,18 +36,21 @@ def value_mask(df: DataFrame, feature: str) -> Column:
     return finite & F.coalesce(F.col(bit), F.lit(False)) if bit in df.columns else finite
 
 
-def usable_values(df: DataFrame, keys: list[str], features: list[str], mask: Column) -> DataFrame:
-    """Feature values that pass the row mask and their own validity, others null."""
-    return df.select(*keys, *[F.when(mask & value_mask(df, f), F.col(f)).alias(f) for f in features])
+def usable_values(df: DataFrame, keys: list[str], features: list[str], mask: Column, keep: list[str] = []) -> DataFrame:
+    """Feature values that pass the row mask and their own validity, others null; `keep` columns as they are."""
+    return df.select(*keys, *keep, *[F.when(mask & value_mask(df, f), F.col(f)).alias(f) for f in features])
 
 
-def five_stats(values: DataFrame, keys: list[str], features: list[str], *, hot_rows: int = HOT_ROWS) -> DataFrame:
+def five_stats(
+    values: DataFrame, keys: list[str], features: list[str], *, extra: list[Column] = [], hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """Mean, sample sd (0 for one value), p10, p50, p90 and count of every feature per group.
 
     Without large groups everything is one aggregate.  Otherwise mean, sd and count still combine
-    before the shuffle and only the quantiles split the large groups.
+    before the shuffle and only the quantiles split the large groups.  `extra` aggregates join
+    the same pass.
     """
-    moments = []
+    moments = list(extra)
     for f in features:
         n = F.count(f)
         moments += [
@@ -65,21 +67,25 @@ def five_stats(values: DataFrame, keys: list[str], features: list[str], *, hot_r
     return basic.join(exact_quantiles(values, keys, features, STAT_QUANTILES, hot_rows=hot_rows), keys, "left")
 
 
-def window_counts(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Theoretical, successful and quality-valid windows, success rate and counter sums."""
+def count_columns(df: DataFrame) -> list[Column]:
+    """Aggregates for theoretical, successful and quality-valid windows, success rate and counter sums."""
     ok, qc = success_mask(df), qc_mask(df)
     sums = [
         (F.coalesce(F.sum(F.when(ok, F.coalesce(F.col(c), F.lit(0)))), F.lit(0)).cast("double") if c in df.columns
          else F.lit(0.0)).alias(f"{c}_total")
         for c in COUNTERS
     ]
-    return df.groupBy(*keys).agg(
+    return [
         F.count("*").alias("n_windows_theoretical"),
         F.count_if(ok).alias("n_windows_successful"),
         F.count_if(qc).alias("n_windows_qc_valid"),
         (F.count_if(ok) / F.count("*")).alias("window_success_rate"),
         *sums,
-    )
+    ]
+
+
+def window_counts(df: DataFrame, keys: list[str]) -> DataFrame:
+    return df.groupBy(*keys).agg(*count_columns(df))
 
 
 def first_by_window(df: DataFrame, keys: list[str], cols: list[str], order: str = "window_id") -> DataFrame:
@@ -93,11 +99,19 @@ def burden_ratio(
     windows: DataFrame, external: DataFrame, keys: list[str], count: str = "pvc_count_24h", *, threshold: float = BURDEN_THRESHOLD
 ) -> DataFrame:
     """External event count over beats detected in covered windows, with a status for every gap."""
+    beats = windows.groupBy(*keys).agg(covered_beats(windows))
+    return burden_columns(external.join(beats, keys, "left"), keys, count, threshold=threshold)
+
+
+def covered_beats(windows: DataFrame) -> Column:
+    """Aggregate of the beats detected in covered windows."""
     covered = F.coalesce(F.col("read_success"), F.lit(False)) if "read_success" in windows.columns else success_mask(windows)
-    beats = windows.groupBy(*keys).agg(
-        F.coalesce(F.sum(F.when(covered, nan_to_null(F.col("raw_rpeak_count").cast("double")))), F.lit(0.0)).alias("_beats")
-    )
-    joined = external.join(beats, keys, "left")
+    beats = F.when(covered, nan_to_null(F.col("raw_rpeak_count").cast("double")))
+    return F.coalesce(F.sum(beats), F.lit(0.0)).alias("_beats")
+
+
+def burden_columns(joined: DataFrame, keep: list[str], count: str = "pvc_count_24h", *, threshold: float = BURDEN_THRESHOLD) -> DataFrame:
+    """Burden, flag and status from the external count and `_beats` (null without windows)."""
     c, b = nan_to_null(F.col(count).cast("double")), F.col("_beats")
     status = first_reason(
         [(c.isNull(), "UNAVAILABLE_OFFICIAL_COUNT"), (b.isNull(), "UNAVAILABLE_NO_COVERAGE"), (b <= 0, "UNAVAILABLE_NO_DETECTED_BEATS")],
@@ -105,7 +119,7 @@ def burden_ratio(
     )
     ratio = F.when(c.isNotNull() & (b > 0), c / b)
     return joined.select(
-        *keys,
+        *[k for k in keep if k != count],
         c.alias(count),
         F.when(c.isNotNull(), b).alias("pvc_denominator_beats"),
         ratio.alias("pvc_burden"),
@@ -132,17 +146,20 @@ def entity_feature_table(
     """
     key = ["entity_id"]
     mask = qc_mask(windows) if use_qc_valid else success_mask(windows)
-    stats = five_stats(usable_values(windows, key, features, mask), key, features, hot_rows=hot_rows)
-    counts = window_counts(windows, key)
-    spine = key_spine(key, counts, *([subjects] if subjects is not None else []))
-    out = spine.join(counts, key, "left").join(stats, key, "left")
-    if subjects is not None:
-        extra = [c for c in (metadata or []) if c in subjects.columns]
-        source = subjects.select("entity_id", *extra)
-        out = out.join(source, key, "left")
-        if "pvc_count_24h" in subjects.columns and "raw_rpeak_count" in windows.columns:
-            burden = burden_ratio(windows, subjects.select("entity_id", "pvc_count_24h"), key, threshold=burden_threshold)
-            out = out.drop("pvc_count_24h").join(burden, key, "left")
+    flags = [c for c in ("extraction_success", "window_status", "read_success", "qc_valid", *COUNTERS) if c in windows.columns]
+    with_beats = "raw_rpeak_count" in windows.columns
+    values = usable_values(windows, key, features, mask, keep=flags)
+    # Counts, sums, beats and statistics come from one pass over the windows.
+    extra = [*count_columns(windows), *([covered_beats(windows)] if with_beats else [])]
+    per_entity = five_stats(values, key, features, extra=extra, hot_rows=hot_rows)
+    if subjects is None:
+        out = per_entity
+    else:
+        wanted = [c for c in dict.fromkeys([*(metadata or []), "pvc_count_24h"]) if c in subjects.columns]
+        out = per_entity.join(subjects.select("entity_id", *wanted), key, "full")
+        if "pvc_count_24h" in wanted and with_beats:
+            out = burden_columns(out, [c for c in out.columns if c != "_beats"], threshold=burden_threshold)
+    out = out.drop("_beats")
     zero = ["n_windows_theoretical", "n_windows_successful", "n_windows_qc_valid", "window_success_rate",
             *[f"{c}_total" for c in COUNTERS], *[f"{f}_valid_count" for f in features]]
     out = out.na.fill(0, subset=zero)

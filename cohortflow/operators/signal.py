@@ -244,7 +244,9 @@ def window_feature_table(samples: DataFrame, theoretical: DataFrame, *, clean: b
     sized = samples.withColumn("_n", F.count("value").over(Window.partitionBy(*KEYS)))
     scaled = center_scale(sized)
     complete = scaled.filter(F.col("_n") == F.col("requested_samples"))
-    core = signal_moments(scaled).join(interval_table(detect_peaks(complete), clean=clean), KEYS, "left")
+    # The moments need neither column; naming both keeps the shuffled rows the same for every branch, so Spark reuses them.
+    every = scaled.filter((F.col("pos") >= 0) & (F.col("requested_samples") >= 0))
+    core = signal_moments(every).join(interval_table(detect_peaks(complete), clean=clean), KEYS, "left")
     core = cut_lineage(core.join(spectral_bands(complete), KEYS, "left"))
     long = core.filter(F.col("valid_rr_count") >= MIN_VALID_INTERVALS)
     series = long.select(*KEYS, F.posexplode("kept.rr").alias("pos", "value"))

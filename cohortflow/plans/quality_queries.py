@@ -131,7 +131,7 @@ def _(spark, sf):
 
 
 @query(
-    "value_preservation",
+    "source_value_preservation",
     f"""WITH {COPIES_SQL}, s AS (SELECT k, s AS v FROM a UNION ALL SELECT k, x::BIGINT::VARCHAR FROM a WHERE FALSE), l AS (SELECT k, 's' AS column_name, s AS value FROM a), r AS (SELECT k, 's' AS column_name, s AS value FROM b)
     SELECT *, 'SOURCE' AS side FROM (SELECT * FROM l EXCEPT ALL SELECT * FROM r) UNION ALL SELECT *, 'STORED' FROM (SELECT * FROM r EXCEPT ALL SELECT * FROM l)""",
 )
