@@ -91,7 +91,8 @@ def assign_windows(
     # A fractional rate may round two windows onto one shared sample.
     shared = F.filter(F.array(k0 - 1, k0, k0 + 1), holds)
     ks = F.when(fs == F.floor(fs), whole).otherwise(shared)
-    placed = joined.withColumn("window_id", F.explode(ks))
+    # The filter drops nothing; stating it here keeps every later branch on one and the same shuffle.
+    placed = joined.withColumn("window_id", F.explode(ks)).filter(F.col("window_id").isNotNull())
     return placed.select(
         "entity_id", "window_id", (idx - start(F.col("window_id"))).alias("pos"), "value", "fs", size.alias("requested_samples")
     )
