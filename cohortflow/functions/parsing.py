@@ -38,7 +38,7 @@ def text_to_double(c: Column) -> Column:
 def _unquote(c: Column, marks: list[str]) -> Column:
     t = F.trim(c)
     for mark in marks:
-        t = F.regexp_replace(t, f"^{mark}+|{mark}+$", "")
+        t = F.btrim(t, F.lit(mark))
     return t
 
 
