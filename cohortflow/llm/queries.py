@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortflow.llm import line_dedup, simhash
+from cohortflow.llm import line_dedup, mixing, packing, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,13 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def tokenizer_path() -> str:
+    """The vocabulary file of the packing query; operators take it as a parameter."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -54,3 +61,55 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint of every document and the smallest doc_id that links of at most four bits reach."""
     groups = simhash.near_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query("op3_packing")
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents and their places in sequences of 4096 ids."""
+    return packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
+
+
+@query("op9_source_mixing", r"""
+WITH RECURSIVE sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT AS draw, row_number() OVER (ORDER BY doc_id) AS row_id
+  FROM documents
+), sources AS (
+  SELECT source, sum(size)::BIGINT AS source_size, greatest(1, round(sqrt(count(*))))::BIGINT AS buckets,
+         [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS w FROM sized GROUP BY source
+), fill AS (
+  SELECT 0 AS step, source, w, 2 * source_size AS cap, false AS clamped FROM sources
+  UNION ALL
+  SELECT step + 1, source, w, cap, clamped OR over FROM (
+    SELECT *, bool_or(over) OVER () AS go FROM (
+      SELECT *, NOT clamped AND w * level > cap AS over FROM (
+        SELECT *, (1.5::DOUBLE * (SELECT sum(source_size) FROM sources) - sum(CASE WHEN clamped THEN cap ELSE 0 END) OVER ()) / sum(CASE WHEN clamped THEN 0 ELSE w END) OVER () AS level FROM fill))) WHERE go
+), last AS (
+  SELECT * FROM fill WHERE step = (SELECT max(step) FROM fill)
+), targets AS (
+  SELECT source, CASE WHEN clamped THEN cap::DOUBLE ELSE w * ((1.5::DOUBLE * (SELECT sum(source_size) FROM sources) - (SELECT coalesce(sum(cap) FILTER (WHERE clamped), 0) FROM last)) / (SELECT sum(w) FILTER (WHERE NOT clamped) FROM last)) END AS target FROM last
+), plan AS (
+  SELECT s.*, t.target, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM sources s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
+), ranged AS (
+  SELECT z.*, p.source_size, p.target, p.whole, p.target - p.whole * p.source_size AS rest, floor(z.draw / 281474976710656.0::DOUBLE * p.buckets)::BIGINT AS bucket
+  FROM sized z JOIN plan p ON z.source IS NOT DISTINCT FROM p.source
+), running AS (
+  SELECT source, bucket, rest, words, sum(words) OVER (PARTITION BY source ORDER BY bucket) AS upto FROM (SELECT source, bucket, rest, sum(size) AS words FROM ranged GROUP BY source, bucket, rest)
+), edges AS (
+  SELECT source, bucket AS edge, rest - (upto - words) AS open FROM running WHERE upto > rest AND upto - words <= rest
+), placed AS (
+  SELECT r.*, e.edge, e.open, row_number() OVER (PARTITION BY r.source, r.bucket ORDER BY r.draw, r.size) AS turn FROM ranged r LEFT JOIN edges e ON r.source IS NOT DISTINCT FROM e.source
+), walk AS (
+  SELECT source, 1::BIGINT AS turn, row_id, size <= open AS took, open - CASE WHEN size <= open THEN size ELSE 0 END AS left_over FROM placed WHERE bucket = edge AND turn = 1
+  UNION ALL
+  SELECT p.source, p.turn, p.row_id, p.size <= w.left_over, w.left_over - CASE WHEN p.size <= w.left_over THEN p.size ELSE 0 END
+  FROM walk w JOIN placed p ON p.source IS NOT DISTINCT FROM w.source AND p.turn = w.turn + 1 AND p.bucket = p.edge
+)
+SELECT p.doc_id, p.size, p.source_size, p.target,
+       (p.size * (p.whole + CASE WHEN edge IS NULL OR bucket < edge THEN 1 WHEN bucket > edge THEN 0 ELSE coalesce(w.took, false)::INT END))::BIGINT AS taken
+FROM placed p LEFT JOIN walk w ON p.row_id = w.row_id
+""")
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of each document, with its source's size and target."""
+    mixed = mixing.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
