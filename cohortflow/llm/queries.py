@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortflow.llm import line_dedup, mixing, packing, simhash
+from cohortflow.llm import line_crf, line_dedup, mixing, packing, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -113,3 +113,11 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of each document, with its source's size and target."""
     mixed = mixing.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op5_quality_rules")
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base statistics of every text, the base verdict, and the verdict of the labelled lines."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = line_crf.judge_documents(docs, table(spark, sf_dir, "labels"))
+    return judged.select("document.doc_id", *line_crf.STATS, "base_failed", "kept", "content_share", F.size("boilerplate_lines").cast("long").alias("n_boilerplate_lines"))
