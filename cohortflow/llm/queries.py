@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortflow.llm import line_crf, line_dedup, mixing, packing, simhash
+from cohortflow.llm import line_crf, line_dedup, mixing, packing, secret_scan, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -121,3 +121,12 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     judged = line_crf.judge_documents(docs, table(spark, sf_dir, "labels"))
     return judged.select("document.doc_id", *line_crf.STATS, "base_failed", "kept", "content_share", F.size("boilerplate_lines").cast("long").alias("n_boilerplate_lines"))
+
+
+@query("op1_secret_scan")
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base secrets of every whole text, counted and digested, and all spans with those that the randomness tests add."""
+    scanned = secret_scan.scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = secret_scan.joined_spans(F.col("spans"), lambda s: s["kind"] != secret_scan.RANDOM)
+    return scanned.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(base, 256).alias("base_sha256"), secret_scan.joined_spans(F.col("spans")).alias("spans"), count("random"))
