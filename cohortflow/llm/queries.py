@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortflow.llm import line_crf, line_dedup, mixing, packing, secret_scan, simhash
+from cohortflow.llm import line_crf, line_dedup, metric_search, mixing, packing, secret_scan, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -130,3 +130,20 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = secret_scan.joined_spans(F.col("spans"), lambda s: s["kind"] != secret_scan.RANDOM)
     return scanned.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(base, 256).alias("base_sha256"), secret_scan.joined_spans(F.col("spans")).alias("spans"), count("random"))
+
+
+@query("op2_exact_top_k", r"""
+WITH vectors AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score FROM vectors q JOIN vectors c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+""")
+def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five largest integer inner products of every vector whose id is divisible by 50."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", metric_search.integer_vector(F.col("embedding")).alias("v"))
+    return metric_search.exact_top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
