@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortflow.llm import line_crf, line_dedup, metric_search, mixing, packing, secret_scan, simhash
+from cohortflow.llm import language_id, line_crf, line_dedup, metric_search, mixing, packing, secret_scan, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -147,3 +147,13 @@ def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five largest integer inner products of every vector whose id is divisible by 50."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", metric_search.integer_vector(F.col("embedding")).alias("v"))
     return metric_search.exact_top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
+
+
+@query("op7_language_id")
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text by a model that never sees the documents held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    model = language_id.train_language_model(docs.filter(~held_out))
+    found = language_id.identify_languages(docs.select("doc_id", "text", held_out.alias("held_out")), model)
+    return found.select("document.doc_id", "document.held_out", "lang_pred", "score", "accepted")
