@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortflow.llm import language_id, line_crf, line_dedup, metric_search, mixing, packing, secret_scan, simhash
+from cohortflow.llm import co_training, language_id, line_crf, line_dedup, metric_search, mixing, packing, secret_scan, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -157,3 +157,9 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language_id.train_language_model(docs.filter(~held_out))
     found = language_id.identify_languages(docs.select("doc_id", "text", held_out.alias("held_out")), model)
     return found.select("document.doc_id", "document.held_out", "lang_pred", "score", "accepted")
+
+
+@query("op8_quality_classifier")
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by the co-trained views of its text and its page."""
+    return co_training.score_quality(*[table(spark, sf_dir, name) for name in ("documents", "labels", "pages")])
