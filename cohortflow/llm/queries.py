@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortflow.llm import co_training, language_id, line_crf, line_dedup, metric_search, mixing, packing, secret_scan, simhash
+from cohortflow.llm import co_training, language_id, line_crf, line_dedup, metric_search, mixing, packing, secret_scan, simhash, tool_calls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -163,3 +163,40 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document by the co-trained views of its text and its page."""
     return co_training.score_quality(*[table(spark, sf_dir, name) for name in ("documents", "labels", "pages")])
+
+
+@query("op4_tool_call_linking", r"""
+WITH RECURSIVE turns AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+), asking AS (
+  SELECT *, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words FROM turns WHERE role IN ('system', 'user')
+), edges AS (
+  SELECT a.conv_id, a.turn, b.turn AS dep FROM asking a JOIN asking b ON a.conv_id = b.conv_id AND b.turn IN (a.turn - 1, a.turn - 2) WHERE a.role = 'user'
+), paths AS (
+  SELECT conv_id, turn, 0 AS depth FROM asking
+  UNION
+  SELECT e.conv_id, e.turn, p.depth + 1 FROM paths p JOIN edges e ON p.conv_id = e.conv_id AND p.turn = e.dep
+), levels AS (
+  SELECT conv_id, turn, max(depth)::INTEGER AS level FROM paths GROUP BY conv_id, turn
+), refs AS (
+  SELECT conv_id, turn, string_agg('"$c' || dep || '"', ',' ORDER BY '$c' || dep) AS listed FROM edges GROUP BY conv_id, turn
+), answers AS (
+  SELECT conv_id, turn, text FROM turns WHERE role = 'assistant'
+), linked AS (
+  SELECT coalesce(a.conv_id, r.conv_id) AS conv_id, 'c' || coalesce(a.turn, r.turn - 1) AS call_id, CASE a.role WHEN 'system' THEN 'configure' WHEN 'user' THEN 'lookup' END AS name,
+         coalesce(a.turn, r.turn) AS turn, l.level, (r.conv_id IS NOT NULL)::BIGINT AS n_results,
+         CASE WHEN a.role = 'user' THEN concat_ws(',', CASE WHEN length(a.text) > 400 THEN 'length:query' END, CASE WHEN a.words > 60 THEN 'maximum:words' END, CASE WHEN a.words < 1 THEN 'minimum:words' END) ELSE '' END AS errors,
+         CASE a.role WHEN 'user' THEN '"arguments":{"after":[' || coalesce(f.listed, '') || '],"query":' || to_json(a.text) || ',"words":' || a.words || '},'
+                     WHEN 'system' THEN '"arguments":{"prompt":' || to_json(a.text) || '},' ELSE '' END AS arguments, r.text AS result, a.conv_id IS NULL AS orphan
+  FROM asking a FULL JOIN answers r ON a.conv_id = r.conv_id AND a.turn + 1 = r.turn LEFT JOIN levels l ON a.conv_id = l.conv_id AND a.turn = l.turn LEFT JOIN refs f ON a.conv_id = f.conv_id AND a.turn = f.turn
+)
+SELECT conv_id, call_id, name, turn, level, n_results, errors,
+       CASE WHEN orphan THEN 'orphan' WHEN n_results = 0 THEN 'no_result' WHEN errors <> '' THEN 'invalid' ELSE 'ok' END AS status,
+       sha256('{' || arguments || '"id":"' || call_id || '"' || CASE WHEN name IS NULL THEN '' ELSE ',"name":"' || name || '"' END || CASE WHEN result IS NULL THEN '' ELSE ',"result":' || to_json(result) END || '}') AS canonical_sha256
+FROM linked
+""")
+def op4_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls of the transcripts derived from all conversations: order, status, schema errors and digest of the canonical JSON."""
+    messages = tool_calls.tool_transcript(table(spark, sf_dir, "conversations"))
+    linked = tool_calls.link_tool_calls(messages, tool_calls.SCHEMAS)
+    return linked.select("conv_id", "call_id", "name", "turn", "level", "n_results", F.array_join("errors", ",").alias("errors"), "status", F.sha2("canonical", 256).alias("canonical_sha256"))
