@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.constants import BURDEN_THRESHOLD, SUCCESS
 from ..functions.derive import first_reason
 from ..functions.parsing import nan_to_null
-from .ordered import HOT_ROWS, exact_quantiles, hot_groups, rows_allowed
+from .ordered import HOT_ROWS, exact_quantiles, hot_groups, join_by_keys, rows_allowed
 
 STAT_QUANTILES = {"p10": 0.1, "p50": 0.5, "p90": 0.9}
 COUNTERS = ["raw_rpeak_count", "raw_rr_count", "valid_rr_count", "removed_rr_count"]
@@ -64,7 +64,7 @@ def five_stats(
         quantiles = [F.col(f"_q_{f}")[i].alias(f"{f}_{n}") for f in features for i, n in enumerate(STAT_QUANTILES)]
         return one.select(*[c for c in one.columns if not c.startswith("_q_")], *quantiles)
     basic = values.groupBy(*keys).agg(*moments)
-    return basic.join(exact_quantiles(values, keys, features, STAT_QUANTILES, hot_rows=hot_rows), keys, "left")
+    return join_by_keys(basic, exact_quantiles(values, keys, features, STAT_QUANTILES, hot_rows=hot_rows), keys, "left")
 
 
 def count_columns(df: DataFrame) -> list[Column]:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import sys
 
 import numpy as np
@@ -74,9 +73,6 @@ def entropies(series: DataFrame, *, m: int = 2, ratio: float = 0.2) -> DataFrame
     return entropies_of(arrays, F.col("_s.value"), m=m, ratio=ratio)
 
 
-LADDER_TABLE_END = 512
-
-
 def scale_list(max_scale: int) -> list[int]:
     """Distinct whole log-spaced scales from 4 to `max_scale`, at most ten."""
     points = np.logspace(np.log10(4), np.log10(max_scale), num=10)
@@ -84,33 +80,29 @@ def scale_list(max_scale: int) -> list[int]:
 
 
 def scale_ladder(max_scale: Column) -> Column:
-    """Scale list as an array column.
+    """`scale_list` as an array column, one rule for all sizes; meant for one row per window.
 
-    Up to `LADDER_TABLE_END` the lists come from a constant built by `scale_list`, because the
-    last digit of a power may round either way; beyond it the same rule runs as an expression.
+    The last digit of a power decides some scales, so the list comes from the rule itself and not from another spelling of it.
     """
-    table = json.dumps([scale_list(k) for k in range(4, LADDER_TABLE_END + 1)])
-    known = F.get(F.from_json(F.lit(table), "array<array<bigint>>"), (max_scale - 4).cast("int"))
-    low, high = F.log10(F.lit(4.0)), F.log10(max_scale.cast("double"))
-    points = [F.floor(F.pow(F.lit(10.0), low + F.lit(i / 9.0) * (high - low))) for i in range(10)]
-    return F.when(max_scale <= LADDER_TABLE_END, known).otherwise(F.array_distinct(F.array(*points)))
+
+    @F.pandas_udf("array<bigint>")
+    def ladders(sizes: pd.Series) -> pd.Series:
+        lists = {k: scale_list(int(k)) for k in sizes.unique()}
+        return sizes.map(lists)
+
+    return ladders(max_scale)
 
 
 def dfa_alpha(series: DataFrame) -> DataFrame:
     """Slope of log fluctuation over log scale after linear detrending; null below sixteen values."""
-    whole = Window.partitionBy(*KEYS)
-    order = whole.orderBy("pos")
-    base = series.withColumns(
-        {
-            "_n": F.count("value").over(whole),
-            "_m": F.avg("value").over(whole),
-            "_i": F.row_number().over(order) - 1,
-        }
-    ).filter("_n >= 16")
+    order = Window.partitionBy(*KEYS).orderBy("pos")
+    sizes = series.groupBy(*KEYS).agg(F.count("value").alias("_n"), F.avg("value").alias("_m")).filter("_n >= 16")
+    sizes = sizes.withColumn("_scales", scale_ladder(F.floor(F.col("_n") / 4)))
+    base = series.withColumn("_i", F.row_number().over(order) - 1).join(sizes, KEYS)
     profile = base.withColumn(
         "_y", F.sum(F.col("value") - F.col("_m")).over(order.rowsBetween(Window.unboundedPreceding, 0))
     )
-    scaled = profile.withColumn("_s", F.explode(scale_ladder(F.floor(F.col("_n") / 4))))
+    scaled = profile.withColumn("_s", F.explode("_scales"))
     whole_segments = F.floor(F.col("_n") / F.col("_s"))
     inside = scaled.withColumn("_g", F.floor(F.col("_i") / F.col("_s"))).filter(
         (F.col("_s") >= 4) & (whole_segments >= 2) & (F.col("_g") < whole_segments)

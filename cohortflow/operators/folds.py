@@ -5,18 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import hash_rank
+from .ordered import HASH_DIGITS, hash_rank
 
 
-def stratified_folds(df: DataFrame, k: int, seeds: list[int], *, id_col: str = "entity_id", label: str = "label", digits: int = 3) -> DataFrame:
+def _labelled(df: DataFrame, id_col: str, label: str) -> DataFrame:
+    """Ids and labels; the job stops at a null label."""
+    stop = F.raise_error(F.lit(f"{label} must not be null")).cast(df.schema[label].dataType)
+    return df.select(id_col, F.coalesce(F.col(label), stop).alias(label))
+
+
+def stratified_folds(df: DataFrame, k: int, seeds: list[int], *, id_col: str = "entity_id", label: str = "label", digits: int = HASH_DIGITS) -> DataFrame:
     """Rows per seed with a fold 1..k, class balance kept in every fold.
 
     Each class is dealt out in hash order.  Ranks come from hash buckets, so a class
-    of any size is ranked in parallel, and all seeds share one job.
+    of any size is ranked in parallel, and all seeds share one job.  A null label is an error.
     """
     if k < 2:
         raise ValueError("k must be at least two")
-    rows = df.select(id_col, label).withColumn("seed", F.explode(F.array(*[F.lit(int(s)) for s in seeds])))
+    rows = _labelled(df, id_col, label).withColumn("seed", F.explode(F.array(*[F.lit(int(s)) for s in seeds])))
     ranked = hash_rank(rows, ["seed", label], id_col, F.col("seed"), digits=digits)
     return ranked.select(id_col, label, "seed", (F.col("rank") % k + 1).cast("int").alias("fold"))
 
@@ -48,7 +54,7 @@ def validate_folds(folds: DataFrame, *, id_col: str = "entity_id", label: str =
 
 def stratified_holdout(df: DataFrame, fraction: float, seed: int, *, id_col: str = "entity_id", label: str = "label") -> DataFrame:
     """Mark the first `fraction` of every class, in hash order, as test rows."""
-    ranked = hash_rank(df.select(id_col, label), [label], id_col, seed)
+    ranked = hash_rank(_labelled(df, id_col, label), [label], id_col, seed)
     return ranked.select(
         id_col, label, F.when(F.col("rank") < F.ceil(F.col("rank_n") * F.lit(float(fraction))), "test").otherwise("train").alias("part")
     )

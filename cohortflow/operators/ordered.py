@@ -8,30 +8,53 @@ and equal values are summed before any ordering.
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+from operator import and_
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import seeded_hash
 
-DEFAULT_BUCKETS = 512
 HOT_ROWS = 1_000_000
+BUCKET_ROWS = 200_000
+MAX_BUCKETS = 16_384
+
+
+def bucket_count(rows: int) -> int:
+    """Value buckets for so many rows: about `BUCKET_ROWS` rows each."""
+    return max(2, min(MAX_BUCKETS, -(-rows // BUCKET_ROWS)))
 
 
-def value_splits(df: DataFrame, cols: list[str], buckets: int = DEFAULT_BUCKETS) -> dict[str, list[float]]:
-    """Bucket bounds per column, at most `buckets` of them, from one pass over the columns."""
+def value_splits(df: DataFrame, cols: list[str], buckets: int) -> dict[str, list[float]]:
+    """Bucket bounds per column, at most `buckets` of them, from one pass over the columns.
+
+    Bounds are finite; infinite values fall into the outer buckets.
+    """
     probs = [i / buckets for i in range(1, buckets)]
     found = df.select(*cols).approxQuantile(cols, probs, 1.0 / (4 * buckets))
-    return {c: [float("-inf"), *sorted(set(q)), float("inf")] for c, q in zip(cols, found)}
+    return {c: [float("-inf"), *sorted({v for v in q if math.isfinite(v)}), float("inf")] for c, q in zip(cols, found)}
+
+
+def join_by_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join in which null keys meet null keys, as they do in a grouping; the keys of the left side stay."""
+    if not keys:
+        return left.join(right, how=how) if how.startswith("left_") else left.crossJoin(right)
+    names = {k: f"_right_{i}" for i, k in enumerate(keys)}
+    same = [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()]
+    return left.join(right.withColumnsRenamed(names), reduce(and_, same), how).drop(*names.values())
 
 
 # Bounds of a single bucket, for groups known to be small.
 ONE_BUCKET = [float("-inf"), float("inf")]
 
 
-def choose_splits(df: DataFrame, col: str, *, hot_rows: int = HOT_ROWS, buckets: int = DEFAULT_BUCKETS) -> list[float]:
-    """One bucket for a table of at most `hot_rows` rows, else bounds from its quantiles."""
-    return ONE_BUCKET if df.count() <= hot_rows else value_splits(df, [col], buckets)[col]
+def choose_splits(df: DataFrame, col: str, *, hot_rows: int = HOT_ROWS, buckets: int | None = None) -> list[float]:
+    """One bucket for a table of at most `hot_rows` rows, else bounds from its quantiles; buckets follow the row count."""
+    rows = df.count()
+    return ONE_BUCKET if rows <= hot_rows else value_splits(df, [col], buckets or bucket_count(rows))[col]
 
 
 def add_bucket(df: DataFrame, col: str, splits: list[float], out: str = "_bucket") -> DataFrame:
@@ -56,7 +79,7 @@ def offsets_by_bucket(rows: DataFrame, keys: list[str], bucket: str, order: list
         *[F.sum(f"_t_{s}").over(across).alias(f"{s}_total") for s in sums],
     )
     inside = Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    joined = rows.join(base, [*keys, bucket])
+    joined = join_by_keys(rows, base, [*keys, bucket])
     before = {f"{s}_before": F.col(f"_b_{s}") + F.coalesce(F.sum(s).over(inside), F.lit(0)) for s in sums}
     return joined.withColumns(before).drop(*[f"_b_{s}" for s in sums])
 
@@ -99,8 +122,8 @@ def rows_allowed(hot_rows: int, cols: list[str]) -> int:
 
 
 def hot_groups(df: DataFrame, keys: list[str], limit: int) -> DataFrame:
-    """Keys of the groups above the limit."""
-    return df.groupBy(*keys).count().filter(F.col("count") > limit).select(*keys)
+    """Groups above the limit with their rows `_rows`."""
+    return df.groupBy(*keys).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > limit)
 
 
 def _native_quantiles(df: DataFrame, keys: list[str], cols: list[str], probs: dict[str, float]) -> DataFrame:
@@ -133,12 +156,14 @@ def _bucketed_quantiles(df: DataFrame, keys: list[str], cols: list[str], probs:
     for name, p in probs.items():
         position = (F.col("_n") - 1) * F.lit(float(p))
         low, high = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
-        values.append((low + (high - low) * (position - F.floor(position))).alias(name))
+        between = (F.ceil(position) - position) * low + (position - F.floor(position)) * high
+        values.append(F.when(low == high, low).otherwise(between).alias(name))
     flat = ends.select(*keys, "_f", *values)
     back = flat.groupBy(*keys).agg(
         *[F.max(F.when(F.col("_f") == c, F.col(name))).alias(f"{c}_{name}") for c in cols for name in probs]
     )
-    return back
+    # a group without any value keeps its row, as in the plain aggregate
+    return join_by_keys(df.select(*keys).distinct(), back, keys, "left") if keys else back
 
 
 def exact_quantiles(
@@ -148,31 +173,39 @@ def exact_quantiles(
     probs: dict[str, float],
     *,
     hot_rows: int | None = HOT_ROWS,
-    buckets: int = DEFAULT_BUCKETS,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Linearly interpolated quantiles of double columns per group, named `<col>_<prob name>`.
 
     Groups that hold at most `hot_rows` values over all columns use the built-in aggregate,
-    which keeps one group in memory.  Larger groups are split into value buckets; the answer
-    is exact on both ways.  `hot_rows=None` states that the caller has checked the sizes.
+    which keeps one group in memory.  Larger groups are split into value buckets, as many as
+    their rows ask for; both ways give the same values, null keys and infinities included.
+    `hot_rows=None` states that the caller has checked the sizes.
     """
     narrow = df.select(*keys, *cols)
     if hot_rows is None:
         return _native_quantiles(narrow, keys, cols, probs)
     limit = rows_allowed(hot_rows, cols)
     if not keys:
-        if narrow.count() > limit:
-            return _bucketed_quantiles(narrow, keys, cols, probs, buckets)
+        rows = narrow.count()
+        if rows > limit:
+            return _bucketed_quantiles(narrow, keys, cols, probs, buckets or bucket_count(rows))
         return _native_quantiles(narrow, keys, cols, probs)
     hot = hot_groups(narrow, keys, limit)
-    if hot.isEmpty():
+    most = hot.agg(F.max("_rows")).first()[0]
+    if most is None:
         return _native_quantiles(narrow, keys, cols, probs)
-    usual = _native_quantiles(narrow.join(hot, keys, "left_anti"), keys, cols, probs)
-    large = _bucketed_quantiles(narrow.join(hot, keys, "left_semi"), keys, cols, probs, buckets)
+    names = hot.select(*keys)
+    usual = _native_quantiles(join_by_keys(narrow, names, keys, "left_anti"), keys, cols, probs)
+    large = _bucketed_quantiles(join_by_keys(narrow, names, keys, "left_semi"), keys, cols, probs, buckets or bucket_count(most))
     return usual.unionByName(large)
 
 
-def hash_rank(df: DataFrame, keys: list[str], id_col: str, seed: int | Column, *, digits: int = 3, out: str = "rank") -> DataFrame:
+#: Leading hash digits that name a bucket: 65 536 parts, a bounded table of totals, millions of rows each at 1e12 rows.
+HASH_DIGITS = 4
+
+
+def hash_rank(df: DataFrame, keys: list[str], id_col: str, seed: int | Column, *, digits: int = HASH_DIGITS, out: str = "rank") -> DataFrame:
     """0-based rank of each id inside its group, ordered by the seeded hash and then the id.
 
     The leading hash digits are the buckets, so even a group that holds all rows is
@@ -186,6 +219,6 @@ def hash_rank(df: DataFrame, keys: list[str], id_col: str, seed: int | Column, *
     )
 
 
-def dense_index(df: DataFrame, id_col: str, *, seed: int = 0, digits: int = 3, out: str = "row_index") -> DataFrame:
+def dense_index(df: DataFrame, id_col: str, *, seed: int = 0, digits: int = HASH_DIGITS, out: str = "row_index") -> DataFrame:
     """Gap-free 0-based index over all rows and the row count, in seeded hash order."""
     return hash_rank(df, [], id_col, seed, digits=digits, out=out)

@@ -46,7 +46,8 @@ def signal_moments(samples: DataFrame) -> DataFrame:
         (F.max(v) - F.min(v)).alias("sig_p2p"),
         F.when((n >= 3) & (sd > 0), skew).alias("sig_skew"),
         F.when((n > 3) & (sd > 0), kurt).alias("sig_kurt"),
-        F.count(v).alias("n_samples"),
+        F.count("*").alias("n_samples"),
+        F.count(v).alias("n_finite"),
         F.first("fs").alias("fs"),
     )
 
@@ -241,9 +242,11 @@ def window_feature_table(samples: DataFrame, theoretical: DataFrame, *, clean: b
     from .spectrum import spectral_bands
     from .windows import status_from_counts
 
-    sized = samples.withColumn("_n", F.count("value").over(Window.partitionBy(*KEYS)))
+    whole = Window.partitionBy(*KEYS)
+    finite = nan_to_null(F.col("value").cast("double"))
+    sized = samples.withColumns({"value": finite, "_n": F.count("*").over(whole), "_f": F.count(finite).over(whole)})
     scaled = center_scale(sized)
-    complete = scaled.filter(F.col("_n") == F.col("requested_samples"))
+    complete = scaled.filter((F.col("_n") == F.col("requested_samples")) & (F.col("_f") == F.col("_n")))
     # The moments need neither column; naming both keeps the shuffled rows the same for every branch, so Spark reuses them.
     every = scaled.filter((F.col("pos") >= 0) & (F.col("requested_samples") >= 0))
     core = signal_moments(every).join(interval_table(detect_peaks(complete), clean=clean), KEYS, "left")

@@ -6,10 +6,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.constants import (
-    EMPTY_SIGNAL, FULL_SCHEDULE, HOURLY_SCHEDULE, OUTSIDE_RECORD, READ_ERROR, SHORT_READ, SUCCESS,
+    EMPTY_SIGNAL, FEATURE_ERROR, HOURLY_SCHEDULE, OUTSIDE_RECORD, READ_ERROR, SHORT_READ, SUCCESS,
 )
 from ..functions.derive import first_reason
-from .relational import broadcast_if_small
+from ..functions.parsing import nan_to_null
+from .relational import BROADCAST_ROWS
+
+
+INVALID_RATE = "INVALID_RATE"
+#: Samples of one record that meet its row in one piece where records are too many to broadcast.
+BLOCK_SAMPLES = 1 << 20
+#: How bounds in seconds become sample numbers: nearest (even on ties), or cut.
+ROUNDINGS = {"nearest": F.bround, "cut": F.floor}
+
+
+def usable_rate(fs: Column) -> Column:
+    """The sampling rate where it is finite and positive, else null."""
+    return F.when(nan_to_null(fs.cast("double")) > 0, fs)
+
+
+def schedule_status(records: DataFrame) -> DataFrame:
+    """Records with `schedule_status`: SUCCESS, or INVALID_RATE for a record that can have no window."""
+    return records.withColumn("schedule_status", F.when(usable_rate(F.col("fs")).isNotNull(), SUCCESS).otherwise(INVALID_RATE))
 
 
 def window_count(duration: Column, first: int = 60, stride: int = 300, length: int = 300) -> Column:
@@ -48,8 +66,8 @@ def _bounds(df: DataFrame, length: int, rounding) -> DataFrame:
 
 
 def complete_windows(records: DataFrame, *, first: int = 60, stride: int = 300, length: int = 300) -> DataFrame:
-    """Every complete window of each record (`entity_id, fs, sample_count`)."""
-    duration = F.col("sample_count") / F.col("fs")
+    """Every complete window of each record (`entity_id, fs, sample_count`); a record without a usable rate has none."""
+    duration = F.try_divide("sample_count", usable_rate(F.col("fs")))
     counted = records.withColumn("_n", window_count(duration, first, stride, length)).filter("_n > 0")
     rows = counted.withColumn("window_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1))).drop("_n")
     return _bounds(rows.withColumn("start_sec", F.lit(first) + F.col("window_id") * stride), length, F.bround)
@@ -65,23 +83,35 @@ def hourly_windows(
 
 
 def assign_windows(
-    samples: DataFrame, records: DataFrame, *, first: int = 60, stride: int = 300, length: int = 300
+    samples: DataFrame, records: DataFrame, *, first: int = 60, stride: int = 300, length: int = 300,
+    rounding: str = "nearest", count: int | None = None, broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Samples (`entity_id, sample_idx, value`) with their window and position in it.
 
     The window number is arithmetic on the sample number, so no range join is needed;
-    samples outside every complete window are dropped.
+    samples outside every window are dropped.  Without `count` the windows are the complete
+    ones of the record, with it a fixed number of starts, complete or not; `rounding="cut"`
+    and a count feed the fixed hourly schedule.  Records without a usable rate have no window.
+
+    Records up to `broadcast_rows` travel to the samples; more of them meet the samples by
+    entity and block of samples, so a long recording is never one task.
     """
-    n = window_count(F.col("sample_count") / F.col("fs"), first, stride, length)
-    # Three numbers per record: within the row bound the samples need no shuffle for this join.
-    side = broadcast_if_small(records.select("entity_id", "fs", n.alias("_n")))
-    joined = samples.join(side, "entity_id")
+    rounded = ROUNDINGS[rounding]
+    usable = records.withColumn("fs", usable_rate(F.col("fs"))).filter("fs is not null")
+    n = window_count(F.try_divide("sample_count", "fs"), first, stride, length) if count is None else F.lit(count).cast("long")
+    side = usable.select("entity_id", "fs", n.alias("_n"), F.col("sample_count").alias("_samples"))
+    if side.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        joined = samples.join(F.broadcast(side), "entity_id")
+    else:
+        blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.coalesce(F.greatest("_samples", F.lit(0)), F.lit(0)) / BLOCK_SAMPLES))).alias("_block")
+        numbered = samples.withColumn("_block", F.floor(F.col("sample_idx") / BLOCK_SAMPLES))
+        joined = numbered.join(side.select("entity_id", "fs", "_n", blocks), ["entity_id", "_block"])
     fs, idx = F.col("fs"), F.col("sample_idx")
 
     def start(k: Column) -> Column:
-        return F.bround((F.lit(first) + k * stride) * fs).cast("long")
+        return rounded((F.lit(first) + k * stride) * fs).cast("long")
 
-    size = F.bround(F.lit(length) * fs).cast("long")
+    size = rounded(F.lit(length) * fs).cast("long")
 
     def holds(k: Column) -> Column:
         return (k >= 0) & (k < F.col("_n")) & (start(k) <= idx) & (idx < start(k) + size)
@@ -100,12 +130,17 @@ def assign_windows(
 
 def window_status(theoretical: DataFrame, assigned: DataFrame) -> DataFrame:
     """Status of every theoretical window from its samples; failing windows stay as rows."""
-    counts = assigned.groupBy("entity_id", "window_id").agg(F.count("value").alias("n_samples"))
+    counts = assigned.groupBy("entity_id", "window_id").agg(
+        F.count("*").alias("n_samples"), F.count(nan_to_null(F.col("value").cast("double"))).alias("n_finite")
+    )
     return status_from_counts(theoretical, counts).drop("n_samples")
 
 
 def status_from_counts(theoretical: DataFrame, counts: DataFrame) -> DataFrame:
-    """Status from a table that holds `n_samples` per window; its other columns come along."""
+    """Status from a table that holds `n_samples` per window, null or not, and `n_finite` of them; its other columns come along.
+
+    A complete window that holds a null or non-finite sample is read, but has no features: FEATURE_ERROR.
+    """
     joined = theoretical.join(counts, ["entity_id", "window_id"], "left")
     actual = F.coalesce(F.col("n_samples"), F.lit(0))
     inside = (F.col("start_sample") >= 0) & (F.col("end_sample") <= F.col("sample_count"))
@@ -116,6 +151,7 @@ def status_from_counts(theoretical: DataFrame, counts: DataFrame) -> DataFrame:
             (unread, READ_ERROR),
             (actual == 0, EMPTY_SIGNAL),
             (actual != F.col("requested_samples"), SHORT_READ),
+            (F.coalesce(F.col("n_finite"), F.lit(0)) != actual, FEATURE_ERROR),
         ],
         SUCCESS,
     )
@@ -123,12 +159,8 @@ def status_from_counts(theoretical: DataFrame, counts: DataFrame) -> DataFrame:
         {
             "actual_samples": F.when(inside, actual).otherwise(F.lit(0)),
             "window_status": status,
-            "read_success": status == SUCCESS,
+            "read_success": status.isin(SUCCESS, FEATURE_ERROR),
             "extraction_success": status == SUCCESS,
             "failure_reason": F.when(status == SUCCESS, "").otherwise(status),
         }
-    )
-
-
-def full_schedule() -> dict[str, int]:
-    return dict(FULL_SCHEDULE)
+    ).drop("n_finite")

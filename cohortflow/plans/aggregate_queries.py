@@ -37,10 +37,14 @@ def _(spark, sf):
     return _rounded(aggregate.five_stats(_usable(spark, sf), KEY, t.FEATURES), STAT_COLS)
 
 
-@query("five_stat_aggregate_split_groups", f"WITH {STATS_SQL} SELECT entity_id, {STAT_ROUND}, {COUNT_COLS} FROM stats")
+NULL_KEY_STATS_SQL = STATS_SQL.replace("FROM usable GROUP BY entity_id", "FROM (SELECT * REPLACE (nullif(entity_id, 1) AS entity_id) FROM usable) GROUP BY entity_id")
+
+
+@query("five_stat_aggregate_split_groups", f"WITH {NULL_KEY_STATS_SQL} SELECT entity_id, {STAT_ROUND}, {COUNT_COLS} FROM stats")
 def _(spark, sf):
-    # The way large groups take, here for every group of more than one row.
-    return _rounded(aggregate.five_stats(_usable(spark, sf), KEY, t.FEATURES, hot_rows=5), STAT_COLS)
+    # The way large groups take, here for every group of more than one row; one entity has no key.
+    values = _usable(spark, sf).withColumn("entity_id", F.nullif("entity_id", F.lit(1)))
+    return _rounded(aggregate.five_stats(values, KEY, t.FEATURES, hot_rows=5), STAT_COLS)
 
 
 COUNTS_SQL = t.SUBJECTS_SQL + "," + STATS_SQL + """, counts AS (SELECT entity_id, count(*) AS n, count(*) FILTER (extraction_success) AS ok, count(*) FILTER (qc_valid) AS qc,
@@ -313,8 +317,10 @@ def _(spark, sf):
 
 @query(
     "tie_group_cumsum",
-    f"WITH {t.PREDICTIONS_SQL},{t.curve_sql('preds', 'model')} SELECT model, score, pos::DOUBLE AS pos, neg::DOUBLE AS neg, pos_before::DOUBLE AS pos_before, neg_before::DOUBLE AS neg_before FROM curve WHERE model = 'rounded'",
+    f"""WITH {t.PREDICTIONS_SQL}, keyed AS (SELECT entity_id, label, score, nullif(model, 'rounded') AS model FROM preds),{t.curve_sql('keyed', 'model')}
+    SELECT model, score, pos::DOUBLE AS pos, neg::DOUBLE AS neg, pos_before::DOUBLE AS pos_before, neg_before::DOUBLE AS neg_before, pos_total::DOUBLE AS pos_total FROM curve""",
 )
 def _(spark, sf):
-    p = t.predictions(spark, sf).filter("model = 'rounded'")
-    return score_curve(p, ["model"], splits=value_splits(p, ["score"], 16)["score"]).select("model", "score", "pos", "neg", "pos_before", "neg_before")
+    # Both models, one of them under a null run key, by value buckets.
+    p = t.predictions(spark, sf).withColumn("model", F.nullif("model", F.lit("rounded")))
+    return score_curve(p, ["model"], splits=value_splits(p, ["score"], 16)["score"]).select("model", "score", "pos", "neg", "pos_before", "neg_before", "pos_total")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.constants import WINDOW_FEATURES
 from ..operators import complexity, signal, spectrum, windows
 from . import tables as t
 from .registry import query
@@ -66,17 +67,21 @@ def _(spark, sf):
 
 @query(
     "window_status",
-    f"""WITH {t.SAMPLES_SQL}, kept AS (SELECT * FROM inwin WHERE NOT (window_id = 1 AND value > 0) AND window_id <> 2),
-    c AS (SELECT entity_id, window_id, count(value) AS n FROM kept GROUP BY 1, 2)
-    SELECT entity_id, window_id, coalesce(n, 0) AS actual_samples, CASE WHEN n IS NULL THEN 'EMPTY_SIGNAL' WHEN n <> 320 THEN 'SHORT_READ' ELSE 'SUCCESS' END AS window_status
-    FROM theory LEFT JOIN c USING (entity_id, window_id)""",
+    f"""WITH {t.SAMPLES_SQL}, fixed AS (SELECT entity_id, sample_count, unnest(range(5)) AS window_id FROM records),
+    kept AS (SELECT entity_id, window_id, CASE WHEN NOT (entity_id % 3 = 0 AND window_id = 0 AND pos = 5) THEN value END AS value FROM inwin WHERE NOT (window_id = 1 AND value > 0) AND window_id <> 2),
+    c AS (SELECT entity_id, window_id, count(*) AS n, count(value) AS f FROM kept GROUP BY 1, 2)
+    SELECT entity_id, window_id, CASE WHEN (24 + window_id * 20) * {int(t.RATE)} > sample_count THEN 0 ELSE coalesce(n, 0) END AS actual_samples,
+      CASE WHEN (24 + window_id * 20) * {int(t.RATE)} > sample_count THEN 'OUTSIDE_RECORD' WHEN entity_id % 4 = 1 AND window_id = 0 THEN 'READ_ERROR' WHEN n IS NULL THEN 'EMPTY_SIGNAL' WHEN n <> 320 THEN 'SHORT_READ'
+      WHEN f <> n THEN 'FEATURE_ERROR' ELSE 'SUCCESS' END AS window_status
+    FROM fixed LEFT JOIN c USING (entity_id, window_id)""",
 )
 def _(spark, sf):
     r = t.records(spark, sf)
     w = windows.assign_windows(t.samples(spark, sf), r, **t.SHORT_SCHEDULE)
-    kept = w.filter("not (window_id = 1 and value > 0) and window_id <> 2")
-    state = windows.window_status(windows.complete_windows(r, **t.SHORT_SCHEDULE), kept)
-    return state.select(*K, "actual_samples", "window_status")
+    lost = (F.col("entity_id") % 3 == 0) & (F.col("window_id") == 0) & (F.col("pos") == 5)
+    kept = w.filter("not (window_id = 1 and value > 0) and window_id <> 2").withColumn("value", F.when(~lost, F.col("value")))
+    fixed = windows.hourly_windows(r, **t.SHORT_SCHEDULE, count=5).withColumn("read_ok", ~((F.col("entity_id") % 4 == 1) & (F.col("window_id") == 0)))
+    return windows.window_status(fixed, kept).select(*K, "actual_samples", "window_status")
 
 
 SCALED_SQL = t.VECTORS_SQL + """,
@@ -96,7 +101,7 @@ def _(spark, sf):
       round((n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * ku + 6), 6) AS sig_kurt FROM m""",
 )
 def _(spark, sf):
-    df = signal.signal_moments(signal.center_scale(t.vector_windows(spark, sf))).drop("n_samples", "fs")
+    df = signal.signal_moments(signal.center_scale(t.vector_windows(spark, sf))).drop("n_samples", "n_finite", "fs")
     return _rounded(df, ["sig_mean", "sig_std", "sig_p2p", "sig_skew", "sig_kurt"])
 
 
@@ -194,13 +199,19 @@ def _(spark, sf):
     return complexity.entropies(t.vector_windows(spark, sf)).select(*K, F.round("rr_apen", 6).alias("rr_apen"))
 
 
+LADDER_SQL = """lad AS (SELECT entity_id, window_id, unnest(list_distinct(list_transform(range(10), lambda i: floor(pow(10.0::DOUBLE, CASE WHEN i = 9 THEN log10((n // 4)::DOUBLE)
+      ELSE i * ((log10((n // 4)::DOUBLE) - log10(4.0::DOUBLE)) / 9.0::DOUBLE) + log10(4.0::DOUBLE) END))::BIGINT))) AS s FROM mu WHERE n >= 16)"""
+DFA_SQL = """seg AS (SELECT *, pos // s AS g, (pos % s)::DOUBLE AS tt FROM sc WHERE pos // s < n // s AND n // s >= 2),
+    res AS (SELECT entity_id, window_id, s, g, greatest(var_pop(y) - covar_pop(tt, y) ** 2 / var_pop(tt), 0) AS r FROM seg GROUP BY ALL),
+    fl AS (SELECT entity_id, window_id, s, sqrt(avg(r)) AS f FROM res GROUP BY ALL)"""
+
+
 @query(
     "dfa_alpha",
     f"""WITH {t.VECTORS_SQL}, mu AS (SELECT entity_id, window_id, avg(value) AS m, count(*) AS n FROM vec GROUP BY 1, 2),
     prof AS (SELECT entity_id, window_id, pos, n, sum(value - m) OVER (PARTITION BY entity_id, window_id ORDER BY pos) AS y FROM vec JOIN mu USING (entity_id, window_id)),
-    sc AS (SELECT *, unnest({complexity.scale_list(16)}) AS s FROM prof), seg AS (SELECT *, pos // s AS g, (pos % s)::DOUBLE AS tt FROM sc WHERE pos // s < n // s AND n // s >= 2),
-    res AS (SELECT entity_id, window_id, s, g, greatest(var_pop(y) - covar_pop(tt, y) ** 2 / var_pop(tt), 0) AS r FROM seg GROUP BY ALL),
-    fl AS (SELECT entity_id, window_id, s, sqrt(avg(r)) AS f FROM res GROUP BY ALL)
+    {LADDER_SQL},
+    sc AS (SELECT prof.*, s FROM prof JOIN lad USING (entity_id, window_id)), {DFA_SQL}
     SELECT entity_id, window_id, round(regr_slope(ln(f), ln(s)), 5) AS rr_dfa_alpha FROM fl WHERE f > 0 GROUP BY 1, 2""",
 )
 def _(spark, sf):
@@ -231,17 +242,62 @@ def _table(spark, sf):
     return signal.window_feature_table(w, windows.complete_windows(r, **t.SHORT_SCHEDULE))
 
 
+def _feature_sql(clean: bool, theory: str) -> str:
+    """Every column of the window feature table; `theory` (entity_id, window_id, status) states the windows and what became of them."""
+    long = LONG_SQL if clean else LONG_SQL.replace("rr BETWEEN 0.3 AND 2.0 AND m > 0 AND abs(rr - m) / m <= 0.2 + 1e-12 AS valid", "TRUE AS valid")
+    ok = {f: f"CASE WHEN status = 'SUCCESS' THEN {f} END" for f in ("sig_mean", "sig_std", "sig_p2p", "sig_skew", "sig_kurt", "beats", "beats_per_min")}
+    features = {f: ok.get(f, f) for f in WINDOW_FEATURES}
+    return f"""WITH {long}, {TIME_SQL}, {_power_sql('scaled', 320)}, {theory},
+    mo AS (SELECT entity_id, window_id, avg(value) AS sig_mean, stddev_pop(value) AS sig_std, max(value) - min(value) AS sig_p2p, skewness(value) AS sig_skew,
+      (count(*) - 1)::DOUBLE / ((count(*) - 2) * (count(*) - 3)) * ((count(*) + 1) * kurtosis_pop(value) + 6) AS sig_kurt FROM scaled GROUP BY 1, 2),
+    pk AS (SELECT entity_id, window_id, count(*) AS b FROM peaks GROUP BY 1, 2),
+    ct AS (SELECT entity_id, window_id, count(*) AS raw, count(*) FILTER (valid) AS good FROM checked GROUP BY 1, 2),
+    ser AS (SELECT entity_id, window_id, rr AS value, row_number() OVER (PARTITION BY entity_id, window_id ORDER BY beat_no) - 1 AS pos, count(*) OVER (PARTITION BY entity_id, window_id) AS n FROM checked WHERE valid),
+    vec2 AS (SELECT *, 0.2 * stddev_pop(value) OVER (PARTITION BY entity_id, window_id) AS r FROM ser WHERE n >= 10),
+    tpl AS (SELECT *, value AS a, lead(value, 1) OVER w AS b, lead(value, 2) OVER w AS c FROM vec2 WINDOW w AS (PARTITION BY entity_id, window_id ORDER BY pos)),
+    pr AS (SELECT x.entity_id, x.window_id, x.pos AS i, y.pos AS j, x.n, abs(x.a - y.a) <= x.r AND abs(x.b - y.b) <= x.r AND x.pos < x.n - 2 AND y.pos < x.n - 2 AS m2,
+      abs(x.a - y.a) <= x.r AND abs(x.b - y.b) <= x.r AND abs(x.c - y.c) <= x.r AND x.pos < x.n - 3 AND y.pos < x.n - 3 AS m3 FROM tpl x JOIN tpl y USING (entity_id, window_id)),
+    sampen AS (SELECT entity_id, window_id, CASE WHEN count(*) FILTER (i < j AND m2) > 0 AND count(*) FILTER (i < j AND m3) > 0
+      THEN -ln(count(*) FILTER (i < j AND m3)::DOUBLE / count(*) FILTER (i < j AND m2)) END AS rr_sampen FROM pr GROUP BY 1, 2),
+    ci AS (SELECT entity_id, window_id, i, max(n) AS n, count(*) FILTER (m2) AS c2, count(*) FILTER (m3) AS c3 FROM pr GROUP BY 1, 2, 3),
+    apen AS (SELECT entity_id, window_id, avg(ln(c2::DOUBLE / (n - 2) + 1e-8)) FILTER (i < n - 2) - avg(ln(c3::DOUBLE / (n - 3) + 1e-8)) FILTER (i < n - 3) AS rr_apen FROM ci GROUP BY 1, 2),
+    mu AS (SELECT entity_id, window_id, avg(value) AS m, max(n) AS n FROM ser WHERE n >= 16 GROUP BY 1, 2),
+    prof AS (SELECT entity_id, window_id, pos, mu.n, sum(value - m) OVER (PARTITION BY entity_id, window_id ORDER BY pos) AS y FROM ser JOIN mu USING (entity_id, window_id)),
+    {LADDER_SQL},
+    sc AS (SELECT prof.*, s FROM prof JOIN lad USING (entity_id, window_id)), {DFA_SQL},
+    alpha AS (SELECT entity_id, window_id, CASE WHEN count(*) >= 2 THEN regr_slope(ln(f), ln(s)) END AS rr_dfa_alpha FROM fl WHERE f > 0 GROUP BY 1, 2),
+    wide AS (SELECT entity_id, window_id, status, coalesce(b, 0) AS raw_rpeak_count, coalesce(raw, 0) AS raw_rr_count, coalesce(good, 0) AS valid_rr_count, coalesce(raw - good, 0) AS removed_rr_count,
+      coalesce((raw - good)::DOUBLE / nullif(raw, 0), 0) AS removed_rr_ratio, sig_mean, sig_std, sig_p2p, sig_skew, sig_kurt, coalesce(b, 0)::DOUBLE AS beats, coalesce(b, 0) * 60.0 / (320 / {t.RATE} + 1e-8) AS beats_per_min,
+      {', '.join(TD)}, rr_sampen, rr_apen, rr_dfa_alpha, lf / tot AS pow_lf, mf / tot AS pow_mf, hf / tot AS pow_hf, (hf / tot) / (lf / tot + mf / tot + 1e-12) AS pow_hf_ratio
+      FROM th {' '.join(f'LEFT JOIN {x} USING (entity_id, window_id)' for x in ('mo', 'pk', 'ct', 'tdom', 'sampen', 'apen', 'alpha', 'bands'))}),
+    q AS (SELECT *, CASE WHEN status <> 'SUCCESS' THEN status ELSE concat_ws(';', CASE WHEN valid_rr_count < 10 THEN 'INSUFFICIENT_VALID_NN' END, CASE WHEN removed_rr_ratio > 0.2 THEN 'INVALID_RR_RATIO' END) END AS qc_reason FROM wide)
+    SELECT entity_id, window_id, status AS window_status, raw_rpeak_count, raw_rr_count, valid_rr_count, removed_rr_count, round(removed_rr_ratio, 6) AS removed_rr_ratio,
+      {', '.join(f'round({e}, 5) AS {f}, {e} IS NOT NULL AS {f}_valid' for f, e in features.items())}, qc_reason, qc_reason = '' AS qc_valid FROM q"""
+
+
+FEATURE_COLUMNS = ["window_status", "raw_rpeak_count", "raw_rr_count", "valid_rr_count", "removed_rr_count", "removed_rr_ratio", *WINDOW_FEATURES, *[f"{f}_valid" for f in WINDOW_FEATURES], "qc_reason", "qc_valid"]
+
+
+def _feature_rows(table):
+    return _rounded(_rounded(table.select(*K, *FEATURE_COLUMNS), ["removed_rr_ratio"]), WINDOW_FEATURES, 5)
+
+
+@query("window_feature_row", _feature_sql(True, "th AS (SELECT entity_id, window_id, 'SUCCESS' AS status FROM theory)"))
+def _(spark, sf):
+    return _feature_rows(_table(spark, sf))
+
+
 @query(
-    "window_feature_row",
-    f"""WITH {LONG_SQL}, {TIME_SQL}, {_power_sql('scaled', 320)}, pk AS (SELECT entity_id, window_id, count(*) AS b FROM peaks GROUP BY 1, 2),
-    ct AS (SELECT entity_id, window_id, count(*) AS raw, count(*) FILTER (valid) AS good FROM checked GROUP BY 1, 2)
-    SELECT entity_id, window_id, 'SUCCESS' AS window_status, coalesce(b, 0) AS raw_rpeak_count, coalesce(raw, 0) AS raw_rr_count, coalesce(good, 0) AS valid_rr_count,
-      coalesce(b, 0)::DOUBLE AS beats, {', '.join(f'round({c}, 6) AS {c}' for c in TD)}, mean_rr IS NOT NULL AS mean_rr_valid, round(lf / tot, 6) AS pow_lf, round(mf / tot, 6) AS pow_mf
-    FROM theory LEFT JOIN pk USING (entity_id, window_id) LEFT JOIN ct USING (entity_id, window_id) LEFT JOIN tdom USING (entity_id, window_id) LEFT JOIN bands USING (entity_id, window_id)""",
+    "legacy_window_feature_row",
+    _feature_sql(False, f"""th AS (SELECT entity_id, window_id, CASE WHEN (24 + window_id * 20) * {int(t.RATE)} > sample_count THEN 'OUTSIDE_RECORD' ELSE 'SUCCESS' END AS status
+      FROM (SELECT entity_id, sample_count, unnest(range(6)) AS window_id FROM records))"""),
 )
 def _(spark, sf):
-    cols = [*K, "window_status", "raw_rpeak_count", "raw_rr_count", "valid_rr_count", "beats", *TD, "mean_rr_valid", "pow_lf", "pow_mf"]
-    return _rounded(_table(spark, sf).select(*cols), [*TD, "pow_lf", "pow_mf"])
+    # The fixed schedule end to end: cut bounds, a fixed number of starts, every interval kept.
+    r = t.records(spark, sf)
+    w = windows.assign_windows(t.samples(spark, sf), r, **t.SHORT_SCHEDULE, rounding="cut", count=6)
+    inside = windows.hourly_windows(r, **t.SHORT_SCHEDULE, count=6)
+    return _feature_rows(signal.window_feature_table(w, inside, clean=False))
 
 
 @query(

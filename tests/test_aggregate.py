@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortflow.operators import aggregate, distributions, ordered, relational
+from cohortflow.operators import aggregate, distributions, folds, ordered, relational
 
 
 def test_hourly_aggregate_fixture(spark):
@@ -53,6 +53,41 @@ def test_quantiles_of_a_hot_group_match_numpy(spark):
                 assert got[k][f"x_{n}"] == pytest.approx(np.quantile(xs, p)) and got[k][f"y_{n}"] == pytest.approx(2 * np.quantile(xs, p))
 
 
+def test_null_keys_and_infinities_are_the_same_on_both_ways(spark):
+    inf = float("inf")
+    rng = np.random.default_rng(7)
+    rows = [(k, float(v)) for k in ("a", None) for v in np.round(rng.normal(size=400), 2)]
+    rows += [("a", inf), ("a", -inf), ("a", -inf), (None, inf), ("b", inf), ("b", inf), ("b", 1.0), ("c", None), (None, None), ("d", -inf), ("d", inf)]
+    df = spark.createDataFrame(rows, "k string, x double").repartition(4)
+    text = lambda d: sorted(map(repr, d.collect()))
+    probs = {"a": 0.025, "b": 0.5, "c": 0.9}
+    plain = ordered.exact_quantiles(df, ["k"], ["x"], probs, hot_rows=10_000)
+    assert text(plain) == text(ordered.exact_quantiles(df, ["k"], ["x"], probs, hot_rows=0, buckets=16)) == text(ordered.exact_quantiles(df, ["k"], ["x"], probs, hot_rows=100))
+    assert text(ordered.exact_quantiles(df, [], ["x"], probs, hot_rows=10_000)) == text(ordered.exact_quantiles(df, [], ["x"], probs, hot_rows=0, buckets=16))
+    finite = df.filter("x is null or abs(x) < 1000")
+    assert text(aggregate.five_stats(finite, ["k"], ["x"])) == text(aggregate.five_stats(finite, ["k"], ["x"], hot_rows=3))
+    hours = df.withColumnRenamed("k", "entity_id")
+    whole, cut = (aggregate.hourly_entity_table(hours, ["x"], min_successful=1, hot_rows=n).drop("x_mean", "x_std") for n in (10_000, 3))
+    assert text(whole) == text(cut) and whole.count() == 5
+    cols = ["k", "x", "n", "n_before", "n_total"]
+    one = ordered.prefix_sums(df, ["k"], "x", {"n": F.count("*")}, splits=ordered.ONE_BUCKET).select(*cols)
+    assert text(one) == text(ordered.prefix_sums(df, ["k"], "x", {"n": F.count("*")}, splits=ordered.value_splits(df, ["x"], 20)["x"]).select(*cols))
+    assert text(one) == text(ordered.prefix_sums(df, ["k"], "x", {"n": F.count("*")}, splits=ordered.choose_splits(df, "x", hot_rows=5, buckets=7)).select(*cols))
+
+
+def test_bucket_counts_follow_the_rows():
+    assert [ordered.bucket_count(n) for n in (0, 10**6, 10**8, 10**13)] == [2, 5, 500, ordered.MAX_BUCKETS]
+
+
+def test_folds_refuse_a_null_label(spark):
+    df = spark.createDataFrame([(i, None if i == 3 else i % 2) for i in range(20)], "entity_id int, label int")
+    with pytest.raises(Exception, match="label must not be null"):
+        folds.stratified_folds(df, 2, [1]).collect()
+    with pytest.raises(Exception, match="label must not be null"):
+        folds.stratified_holdout(df, 0.5, 1).collect()
+    assert folds.stratified_folds(df.filter("label is not null"), 2, [1, 2]).count() == 38
+
+
 def test_prefix_sums_by_bucket_equal_plain_window(spark):
     rng = np.random.default_rng(4)
     df = spark.createDataFrame([(int(i % 3), float(np.round(v, 2))) for i, v in enumerate(rng.exponential(size=2000))], "k int, v double")

@@ -44,6 +44,40 @@ def test_fractional_rate_assignment(spark):
     assert got == sorted(want)
 
 
+def test_null_samples_are_read_but_have_no_features(spark):
+    r = spark.createDataFrame([("a", 10.0, 400), ("z", 0.0, 400), ("n", None, 400), ("i", float("inf"), 400), ("m", -1.0, 400)], "entity_id string, fs double, sample_count long")
+    s = r.select("entity_id", F.explode(F.sequence(F.lit(0), F.lit(399))).alias("sample_idx")).withColumn("value", F.when(F.col("sample_idx") == 150, None).when(F.col("sample_idx") == 250, float("nan")).otherwise(F.sin("sample_idx")))
+    sched = {"first": 0, "stride": 10, "length": 10}
+    table = signal.window_feature_table(windows.assign_windows(s, r, **sched), windows.complete_windows(r, **sched))
+    got = {x.window_id: x for x in table.collect()}
+    assert {k: x.window_status for k, x in got.items()} == {0: "SUCCESS", 1: "FEATURE_ERROR", 2: "FEATURE_ERROR", 3: "SUCCESS"}
+    assert got[1].read_success and not got[1].extraction_success and got[1].actual_samples == 100 and got[1].sig_mean is None and got[1].failure_reason == "FEATURE_ERROR"
+    assert got[0].sig_mean is not None and not got[1].qc_valid
+    assert {x.entity_id: x.schedule_status for x in windows.schedule_status(r).collect()} == {"a": "SUCCESS", "z": "INVALID_RATE", "n": "INVALID_RATE", "i": "INVALID_RATE", "m": "INVALID_RATE"}
+
+
+def test_many_records_meet_samples_by_block(spark, monkeypatch):
+    monkeypatch.setattr(windows, "BLOCK_SAMPLES", 64)
+    r = spark.createDataFrame([("a", 2.3, 1000), ("b", 2.0, 70), ("c", 2.0, 0), ("d", 2.0, None)], "entity_id string, fs double, sample_count long")
+    s = r.select("entity_id", F.explode(F.sequence(F.lit(0), F.coalesce("sample_count", F.lit(0)).cast("int"))).alias("sample_idx")).withColumn("value", F.col("sample_idx").cast("double"))
+    sched = {"first": 3, "stride": 7, "length": 7}
+    for options in ({}, {"rounding": "cut", "count": 6}):
+        whole = windows.assign_windows(s, r, **sched, **options)
+        cut = windows.assign_windows(s, r, **sched, **options, broadcast_rows=0)
+        assert sorted(whole.collect()) == sorted(cut.collect()) and whole.count() > 50
+    plan = cut._jdf.queryExecution().optimizedPlan().toString()
+    assert "_block" in plan
+
+
+def test_hourly_assignment_cuts_bounds(spark):
+    r = spark.createDataFrame([("a", 1.5, 500)], "entity_id string, fs double, sample_count long")
+    s = spark.range(500).select(F.lit("a").alias("entity_id"), F.col("id").alias("sample_idx"), F.col("id").cast("double").alias("value"))
+    sched = {"first": 5, "stride": 33, "length": 11, "count": 12}
+    got = sorted((x.window_id, x.pos, x.value) for x in windows.assign_windows(s, r, **sched, rounding="cut").collect())
+    want = [(w.window_id, i - w.start_sample, float(i)) for w in windows.hourly_windows(r, **sched).collect() for i in range(w.start_sample, min(500, w.end_sample))]
+    assert got == sorted(want) and max(w for w, _, _ in got) == 9
+
+
 def test_status_ladder(spark):
     t = spark.createDataFrame(
         [("a", 0, 0, 4, 4, 100), ("a", 1, 4, 4, 8, 100), ("a", 2, 8, 4, 12, 100), ("a", 3, 98, 4, 102, 100)],
@@ -141,8 +175,10 @@ def test_dfa_matches_polyfit(spark):
 
 
 def test_scale_ladder_equals_its_rule(spark):
-    rows = spark.range(4, 513).select("id", complexity.scale_ladder(F.col("id")).alias("l")).collect()
-    assert all(sorted(r.l) == complexity.scale_list(r.id) for r in rows)
+    rows = spark.range(4, 20_001).select("id", complexity.scale_ladder(F.col("id")).alias("l")).collect()
+    assert len(rows) == 19_997
+    for r in rows:
+        assert r.l == np.unique(np.floor(np.logspace(np.log10(4), np.log10(r.id), num=10)).astype(int)).tolist()
 
 
 def test_spectrum_shares(spark):
