@@ -19,11 +19,13 @@ def _(spark, sf):
     return readers.scan_csv(spark, path, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double")
 
 
-@query("scan_delimited_encoded", "SELECT doc_id::VARCHAR AS doc_id, lang, replace(substr(text, 1, 40), chr(10), ' ') AS head, n_chars::VARCHAR AS n_chars FROM documents")
+@query("scan_delimited_encoded", """SELECT doc_id::VARCHAR AS doc_id, lang, text || CASE WHEN doc_id % 3 = 0 THEN ';"x"' ELSE '' END AS text, n_chars::VARCHAR AS n_chars FROM documents""")
 def _(spark, sf):
+    # Whole texts: line breaks, separators and quotes inside quoted values.
     path = scratch_path(spark, "delimited")
-    d = t.read(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "lang", F.replace(F.substring("text", 1, 40), F.lit("\n"), F.lit(" ")).alias("head"), F.col("n_chars").cast("string").alias("n_chars"))
-    d.write.csv(path, sep=";", header=True, encoding="UTF-8", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    text = F.concat("text", F.when(F.col("doc_id") % 3 == 0, ';"x"').otherwise(""))
+    d = t.read(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "lang", text.alias("text"), F.col("n_chars").cast("string").alias("n_chars"))
+    d.write.csv(path, sep=";", header=True, encoding="UTF-8", escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     return readers.scan_delimited(spark, path)
 
 
@@ -77,12 +79,31 @@ def _(spark, sf):
     )
 
 
+@query(
+    "read_headers",
+    """SELECT 'S' || s_suppkey AS record_id, 1 + s_suppkey % 2 AS channel_count, 100.0::DOUBLE AS fs, 500 + s_suppkey AS sample_count, 2 * (1 + s_suppkey % 2) * (500 + s_suppkey) AS expected_bytes,
+      CASE WHEN s_suppkey % 5 = 0 THEN 'UNPARSEABLE_PATIENT_ID;RECORD_NAME_MISMATCH' ELSE 'UNPARSEABLE_PATIENT_ID' END AS anomalies FROM supplier""",
+)
+def _(spark, sf):
+    # One header file per supplier, written and read back.
+    path = scratch_path(spark, "headers")
+    s = t.read(spark, sf, "supplier").select(F.concat(F.lit("S"), "s_suppkey").alias("h"), "s_suppkey")
+    ch = 1 + F.col("s_suppkey") % 2
+    name = F.when(F.col("s_suppkey") % 5 == 0, "other").otherwise(F.col("h"))
+    line = F.concat(F.col("h"), F.lit(".dat 16 "))
+    text = F.concat_ws("\n", F.concat_ws(" ", name, ch.cast("string"), F.lit("100"), (500 + F.col("s_suppkey")).cast("string")), F.concat(line, F.lit("X")), F.when(ch == 2, F.concat(line, F.lit("Y"))))
+    s.select("h", text.alias("value")).repartition("h").write.partitionBy("h").text(path)
+    headers = files.read_headers(spark, path, "*.txt").withColumn("path", F.concat(F.regexp_extract("path", "h=(\\w+)/", 1), F.lit(".hea")))
+    return files.header_inventory(headers).select("record_id", F.col("channel_count").cast("long").alias("channel_count"), "fs", "sample_count", "expected_bytes", F.concat_ws(";", "anomalies").alias("anomalies"))
+
+
 @query("scan_json_report", "SELECT o_orderstatus AS status, count(*) AS orders, round(avg(o_totalprice), 4) AS mean FROM orders GROUP BY 1")
 def _(spark, sf):
+    # One report file per status.
     path = scratch_path(spark, "json")
     o = t.read(spark, sf, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("orders"), F.avg("o_totalprice").alias("mean"))
-    rows = F.collect_list(F.struct("status", F.struct("orders", F.round("mean", 4).alias("mean")).alias("facts")))
-    o.agg(F.to_json(rows).alias("value")).write.text(path)
+    report = F.to_json(F.struct("status", F.struct("orders", F.round("mean", 4).alias("mean")).alias("facts")))
+    o.select(F.col("status").alias("s"), report.alias("value")).repartition("s").write.partitionBy("s").text(path)
     read = readers.scan_json_report(spark, path, "status string, facts struct<orders: bigint, mean: double>")
     absent = readers.scan_json_report(spark, path + "-absent", "status string, facts struct<orders: bigint, mean: double>")
     return read.unionByName(absent).select("status", "facts.orders", "facts.mean")
@@ -90,13 +111,14 @@ def _(spark, sf):
 
 @query(
     "scan_sharded_dataset",
-    """SELECT CASE WHEN s = 'P' THEN 'UNLISTED' ELSE 'DECLARED' END AS kind, sum(n)::BIGINT AS observed_rows, count(*) AS shards FROM (SELECT o_orderstatus AS s, count(*) AS n FROM orders GROUP BY 1) GROUP BY 1 UNION ALL SELECT 'MISSING', 0, 1""",
+    """SELECT CASE WHEN s = 'P' THEN 'UNLISTED' ELSE 'DECLARED' END AS kind, sum(n)::BIGINT AS observed_rows, count(*) AS shards
+      FROM (SELECT o_orderstatus AS s, o_orderkey % 5 AS part, count(*) AS n FROM orders GROUP BY 1, 2) GROUP BY 1 UNION ALL SELECT 'MISSING', 0, 1""",
 )
 def _(spark, sf):
+    # Files of one write carry the same name in different folders; each is a shard of its own.
     path = scratch_path(spark, "shards")
-    o = t.read(spark, sf, "orders")
-    for status in ("F", "O", "P"):
-        o.filter(F.col("o_orderstatus") == status).select("o_orderkey", "o_orderstatus").coalesce(1).write.parquet(f"{path}/{status}")
+    o = t.read(spark, sf, "orders").select("o_orderkey", "o_orderstatus", F.col("o_orderstatus").alias("status"), (F.col("o_orderkey") % 5).alias("part"))
+    o.repartition("status", "part").write.partitionBy("status", "part").parquet(path)
     shards = readers.scan_sharded(spark, path)
     listed = shards.groupBy("shard").agg(F.count("*").alias("rows"), F.min("o_orderstatus").alias("s")).filter("s <> 'P'").select("shard", "rows")
     ghost = o.agg(F.lit("lost.parquet").alias("shard"), F.count("*").alias("rows"))
@@ -106,21 +128,24 @@ def _(spark, sf):
 
 
 def _text_tree(spark, sf):
-    """Every page as the lines of one text file per partition value."""
+    """Pages as lines of text files, one file for every remainder of page_id by 16."""
     path = scratch_path(spark, "tree")
-    p = t.read(spark, sf, "pages").select("page_id", F.sha2("html", 256).alias("value"))
-    p.orderBy("page_id").coalesce(1).select(F.concat("page_id", F.lit(" "), "value").alias("value")).write.text(path)
+    p = t.read(spark, sf, "pages").select("page_id", (F.col("page_id") % 16).alias("g"), F.concat_ws(" ", F.col("page_id").cast("string"), F.sha2("html", 256)).alias("value"))
+    p.repartition("g").sortWithinPartitions("g", "page_id").select("g", "value").write.partitionBy("g").text(path)
     return path
 
 
-@query("file_hash_table", "SELECT sha256(string_agg(page_id || ' ' || sha256(html) || chr(10), '' ORDER BY page_id)) AS digest, sum(length(page_id::VARCHAR) + 66)::BIGINT AS length FROM pages")
+@query("file_hash_table", "SELECT (page_id % 16)::VARCHAR AS folder, sha256(string_agg(page_id || ' ' || sha256(html) || chr(10), '' ORDER BY page_id)) AS digest, sum(length(page_id::VARCHAR) + 66)::BIGINT AS length FROM pages GROUP BY 1")
 def _(spark, sf):
-    return files.file_hash_table(spark, _text_tree(spark, sf), "*.txt").select("digest", "length")
+    # Small files as values, the larger ones as streams.
+    path = _text_tree(spark, sf)
+    half = t.read(spark, sf, "pages").count() * 70 // 16
+    return files.file_hash_table(spark, path, "*.txt", stream_bytes=half).select(F.regexp_extract("path", "g=([0-9]+)/", 1).alias("folder"), "digest", "length")
 
 
 @query(
     "file_inventory",
-    "SELECT 'OTHER' AS category, 1::BIGINT AS files, sum(length(page_id::VARCHAR) + 66)::BIGINT AS bytes, sum(length(page_id::VARCHAR) + 66)::BIGINT AS largest FROM pages",
+    """SELECT 'OTHER' AS category, count(*) AS files, sum(n)::BIGINT AS bytes, max(n)::BIGINT AS largest FROM (SELECT page_id % 16 AS g, sum(length(page_id::VARCHAR) + 66) AS n FROM pages GROUP BY 1)""",
 )
 def _(spark, sf):
     return files.inventory_totals(files.file_inventory(spark, _text_tree(spark, sf), excluded=r"(^|/)[._]"))
@@ -135,7 +160,7 @@ def _(spark, sf):
 
 @query(
     "write_range_shards",
-    "SELECT count(*) AS rows, count(DISTINCT o_custkey) AS entities, 0::BIGINT AS split_entities, 0::BIGINT AS overlapping, 0::BIGINT AS out_of_order FROM orders",
+    "SELECT count(*) AS rows, count(DISTINCT o_custkey) AS entities, 0::BIGINT AS split_entities, 0::BIGINT AS overlapping, 0::BIGINT AS out_of_order, TRUE AS all_caught FROM orders",
 )
 def _(spark, sf):
     path = scratch_path(spark, "range")
@@ -143,39 +168,45 @@ def _(spark, sf):
     manifest = sinks.write_range_shards(o, path, shard_rows=max(1, o.count() // 6))
     back = readers.scan_sharded(spark, path)
     per = back.groupBy("entity_id").agg(F.countDistinct("shard").alias("s"))
-    m2 = manifest.alias("a").join(manifest.alias("b"), (F.col("a.shard") < F.col("b.shard")) & (F.col("a.first_entity") <= F.col("b.last_entity")) & (F.col("b.first_entity") <= F.col("a.last_entity")))
+    shifted = manifest.withColumn("first_entity", F.col("first_entity") - 1).withColumn("shard", F.concat("shard", F.lit("-copy")))
+    m2 = sinks.overlapping_shards(manifest)
+    copies = sinks.overlapping_shards(manifest.unionByName(shifted)).select(F.replace("shard", F.lit("-copy"), F.lit("")).alias("s")).distinct()
     rows = spark.read.parquet(path).select("entity_id", "window_id", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row_index"))
     order = quality.sort_order_check(rows, ["entity_id", "window_id"]).agg(F.sum("out_of_order").alias("out_of_order"))
     one = [
         manifest.agg(F.sum("rows").alias("rows")), per.agg(F.count("*").alias("entities"), F.count_if(F.col("s") > 1).alias("split_entities")),
-        m2.agg(F.count("*").alias("overlapping")), order,
+        m2.agg(F.count("*").alias("overlapping")), order, copies.agg(F.count("*").alias("caught")), manifest.agg(F.count("*").alias("shards")),
     ]
     out = one[0].withColumn("_k", F.lit(1))
     for part in one[1:]:
         out = out.join(part.withColumn("_k", F.lit(1)), "_k")
-    return out.drop("_k")
+    return out.withColumn("all_caught", F.col("caught") == F.col("shards")).drop("_k", "caught", "shards")
 
 
-@query("sort_order_check", "SELECT 0::BIGINT AS files_with_disorder, count(*) AS rows FROM orders")
+@query("sort_order_check", "SELECT 2::BIGINT AS files_with_disorder, count(*) AS rows, count(*) FILTER (o_custkey % 5 > 2) - 2 AS out_of_order FROM orders")
 def _(spark, sf):
     path = scratch_path(spark, "sorted")
     o = t.read(spark, sf, "orders").select(F.col("o_custkey").alias("entity_id"), F.col("o_orderkey").alias("window_id"))
-    o.repartitionByRange(4, "entity_id").sortWithinPartitions("entity_id", "window_id").write.parquet(path)
+    # Five files; the rows of two of them run backwards.
+    g = F.col("entity_id") % 5
+    turned = F.when(g > 2, -F.col("window_id")).otherwise(F.col("window_id"))
+    o.withColumns({"g": g, "a": F.when(g > 2, -F.col("entity_id")).otherwise(F.col("entity_id")), "b": turned}).repartition("g").sortWithinPartitions("g", "a", "b").drop("a", "b").write.partitionBy("g").parquet(path)
     rows = spark.read.parquet(path).select("entity_id", "window_id", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row_index"))
-    found = quality.sort_order_check(rows, ["entity_id", "window_id"]).agg(F.count_if(F.col("out_of_order") > 0).alias("files_with_disorder")).withColumn("_k", F.lit(1))
+    found = quality.sort_order_check(rows, ["entity_id", "window_id"]).agg(F.count_if(F.col("out_of_order") > 0).alias("files_with_disorder"), F.sum("out_of_order").alias("out_of_order")).withColumn("_k", F.lit(1))
     return found.join(rows.agg(F.count("*").alias("rows")).withColumn("_k", F.lit(1)), "_k").drop("_k")
 
 
 @query("shard_manifest_check", "SELECT 'OK' AS verdict, count(DISTINCT o_orderstatus) - 1 AS shards FROM orders UNION ALL SELECT 'MISMATCH', 1 UNION ALL SELECT 'MISSING', 1")
 def _(spark, sf):
+    # The manifest of a partitioned write, whose files share one name, against facts per folder with one error.
     path = scratch_path(spark, "manifest")
     o = t.read(spark, sf, "orders").select(F.col("o_custkey").alias("entity_id"), F.col("o_orderkey").alias("window_id"), F.col("o_orderstatus").alias("s"))
     o.repartition("s").write.partitionBy("s").parquet(path)
-    m = sinks.shard_manifest(spark.read.parquet(path))
-    facts = spark.read.parquet(path).groupBy("s").agg(F.count("*").alias("rows"), F.min("entity_id").alias("first_entity"), F.max("entity_id").alias("last_entity")).withColumnRenamed("s", "shard")
+    m = sinks.shard_manifest(spark.read.parquet(path), path).withColumn("shard", F.regexp_extract("shard", "^s=(.)/", 1))
+    facts = o.groupBy(F.col("s").alias("shard")).agg(F.count("*").alias("rows"), F.min("entity_id").alias("first_entity"), F.max("entity_id").alias("last_entity"))
     wrong = facts.withColumn("rows", F.when(F.col("shard") == "P", F.col("rows") + 1).otherwise(F.col("rows")))
-    lost = m.agg(F.lit("lost").alias("shard"), F.sum("rows").alias("rows"), F.min("first_entity").alias("first_entity"), F.max("last_entity").alias("last_entity"))
-    checked = quality.manifest_check(facts, wrong.unionByName(lost), "shard", ["rows", "first_entity", "last_entity"])
+    lost = o.agg(F.lit("lost").alias("shard"), F.count("*").alias("rows"), F.min("entity_id").alias("first_entity"), F.max("entity_id").alias("last_entity"))
+    checked = quality.manifest_check(m.drop("bytes"), wrong.unionByName(lost), "shard", ["rows", "first_entity", "last_entity"])
     return checked.groupBy("verdict").agg(F.count("*").alias("shards"))
 
 

@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.parsing import entity_id_from_name
 
 
-def _relative(path: Column, base: str) -> Column:
-    """Path text below the base folder."""
-    root = base.rstrip("/") + "/"
-    plain = F.regexp_replace(path, "^file:/+", "/")
+#: Files above this many bytes are hashed as a stream.
+STREAM_BYTES = 1 << 30
+_CHUNK = 1 << 24
+
+
+def relative_path(path: Column, base: str) -> Column:
+    """Path text below the base folder; scheme and host do not matter."""
+    root = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?/*", "/", base).rstrip("/") + "/"
+    plain = F.regexp_replace(path, r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?/*", "/")
     return F.when(plain.startswith(root), F.substring(plain, len(root) + 1, 1_000_000)).otherwise(plain)
 
 
@@ -21,16 +28,40 @@ def binary_files(spark: SparkSession, base: str, pattern: str = "*") -> DataFram
     )
 
 
-def file_hash_table(spark: SparkSession, base: str, pattern: str = "*") -> DataFrame:
-    """SHA-256 and length of every file below a folder (files of up to 2 GiB)."""
-    return binary_files(spark, base, pattern).select(
-        _relative(F.col("path"), base).alias("path"), F.sha2("content", 256).alias("digest"), "length"
-    )
+def file_hash_table(spark: SparkSession, base: str, pattern: str = "*", *, stream_bytes: int = STREAM_BYTES) -> DataFrame:
+    """SHA-256 and length of every file below a folder.
+
+    Files of up to `stream_bytes` are read by Spark as one value; larger ones are opened by the task that owns the path and
+    hashed in chunks, so no file is held whole.
+    """
+    found = binary_files(spark, base, pattern)
+    small = found.filter(F.col("length") <= stream_bytes).select("path", F.sha2("content", 256).alias("digest"), "length")
+    large = found.filter(F.col("length") > stream_bytes).select("path", "length").repartition("path").mapInArrow(_stream_digests, "path string, digest string, length long")
+    return small.unionByName(large).select(relative_path(F.col("path"), base).alias("path"), "digest", "length")
+
+
+def _stream_digests(batches):
+    import hashlib
+    from urllib.parse import quote
+
+    import pyarrow as pa
+    from pyarrow import fs
+
+    for batch in batches:
+        digests = []
+        for path in batch.column(0).to_pylist():
+            store, place = fs.FileSystem.from_uri(quote(path, safe=":/"))
+            state = hashlib.sha256()
+            with store.open_input_stream(place) as stream:
+                while chunk := stream.read(_CHUNK):
+                    state.update(chunk)
+            digests.append(state.hexdigest())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.string()), batch.column(1)], ["path", "digest", "length"])
 
 
 def file_inventory(spark: SparkSession, base: str, excluded: str | None = None) -> DataFrame:
     """Path, length and category of every file; contents are not read."""
-    files = binary_files(spark, base).select(_relative(F.col("path"), base).alias("path"), "length")
+    files = binary_files(spark, base).select(relative_path(F.col("path"), base).alias("path"), "length")
     ext = F.lower(F.regexp_extract("path", r"[.]([A-Za-z0-9]+)$", 1))
     category = (
         F.when(ext == "parquet", "TABLE").when(ext.isin("csv", "json", "yaml", "md"), "REPORT")
@@ -49,7 +80,7 @@ def inventory_totals(inventory: DataFrame) -> DataFrame:
 def read_headers(spark: SparkSession, base: str, pattern: str = "*.hea") -> DataFrame:
     """Header texts with their path, one row per file."""
     df = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(base, wholetext=True)
-    return df.select(_relative(F.col("_metadata.file_path"), base).alias("path"), F.col("value").alias("text"))
+    return df.select(relative_path(F.col("_metadata.file_path"), base).alias("path"), F.col("value").alias("text"))
 
 
 def header_inventory(headers: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.parsing import nan_to_null
+from .files import relative_path
 
 # Encodings in the order they are tried.
 ENCODINGS = ["UTF-8", "windows-1252", "ISO-8859-1"]
@@ -56,11 +57,15 @@ def _from_cp1252(df: DataFrame) -> DataFrame:
     return df.select(*[F.translate(F.col(f"`{c}`"), source, target).alias(n) for c, n in names.items()])
 
 
-def scan_delimited(spark: SparkSession, path: str, *, sep: str = ";", encoding: str | None = None) -> DataFrame:
-    """Separated text as strings only; the encoding is found where none is given, a byte-order mark is dropped."""
+def scan_delimited(spark: SparkSession, path: str, *, sep: str = ";", encoding: str | None = None, quoted_breaks: bool = True) -> DataFrame:
+    """Separated text as strings only; the encoding is found where none is given, a byte-order mark is dropped.
+
+    Quoted values may hold separators, doubled quotes and line breaks.  A file is then one task; `quoted_breaks=False` lets
+    Spark split large files that are known to have one record per line.
+    """
     found = encoding or choose_encoding(spark, path)
     plain = "ISO-8859-1" if found == "windows-1252" else found
-    df = spark.read.csv(path, sep=sep, header=True, encoding=plain, inferSchema=False)
+    df = spark.read.csv(path, sep=sep, header=True, encoding=plain, inferSchema=False, multiLine=quoted_breaks, escape='"')
     if found == "windows-1252":
         df = _from_cp1252(df)
     return df.withColumnsRenamed({c: c.lstrip("\ufeff") for c in df.columns if c.startswith("\ufeff")})
@@ -109,9 +114,9 @@ def _struct_fields(schema: str) -> str:
 
 
 def scan_sharded(spark: SparkSession, base: str, pattern: str = "*.parquet") -> DataFrame:
-    """All shards below a folder, each row with the name of its file."""
+    """All shards below a folder, each row with the path of its file below that folder."""
     df = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).parquet(base)
-    return df.select("*", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("shard"))
+    return df.select("*", relative_path(F.col("_metadata.file_path"), base).alias("shard"))
 
 
 def shard_report(shards: DataFrame, manifest: DataFrame) -> DataFrame:

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .files import file_hash_table
+from ..session import cut_lineage
+from .files import file_hash_table, relative_path
 from .readers import finite_doubles
 
 SHARD_ROWS = 40_000
+#: Range partitions of one write; beyond them shards grow instead.
+MAX_SHARDS = 20_000
 
 
 def write_parquet_zstd(df: DataFrame, path: str) -> None:
@@ -21,24 +23,39 @@ def write_parquet_zstd(df: DataFrame, path: str) -> None:
 def write_range_shards(df: DataFrame, path: str, *, shard_rows: int = SHARD_ROWS, keys: tuple[str, str] = ("entity_id", "window_id")) -> DataFrame:
     """Entity-sorted shards over contiguous entity ranges; returns the shard manifest.
 
-    Ranges are cut on the entity alone, so an entity never spans two shards.
+    Ranges are cut on the entity alone, so an entity never spans two shards, and one that
+    holds many rows makes one large shard by contract.
     """
     entity, window = keys
-    shards = max(1, math.ceil(df.count() / shard_rows))
+    shards = min(MAX_SHARDS, max(1, math.ceil(df.count() / shard_rows)))
     ordered = df.repartitionByRange(shards, entity).sortWithinPartitions(entity, window)
     ordered.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return shard_manifest(df.sparkSession.read.parquet(path), entity)
+    return shard_manifest(df.sparkSession.read.parquet(path), path, entity)
 
 
-def shard_manifest(shards: DataFrame, entity: str = "entity_id") -> DataFrame:
-    """Rows, bytes and first and last entity of every shard file."""
+def shard_manifest(shards: DataFrame, base: str, entity: str = "entity_id") -> DataFrame:
+    """Rows, bytes and first and last entity of every shard file, named by its path below the folder."""
     m = F.col("_metadata")
-    return shards.groupBy(F.element_at(F.split(m["file_path"], "/"), -1).alias("shard")).agg(
+    return shards.groupBy(relative_path(m["file_path"], base).alias("shard")).agg(
         F.count("*").alias("rows"), F.max(m["file_size"]).alias("bytes"),
         F.min(entity).alias("first_entity"), F.max(entity).alias("last_entity"),
     )
 
 
+def overlapping_shards(manifest: DataFrame, ranges: int = 64) -> DataFrame:
+    """Shards whose first entity does not lie after all entities of the shards before it.
+
+    Shards are ordered by their first entity in ranges; a range carries the largest last entity of the ranges before it,
+    so neither pairs of shards nor one task for all of them are needed.
+    """
+    placed = cut_lineage(manifest.repartitionByRange(ranges, "first_entity", "shard").withColumn("_range", F.spark_partition_id()))
+    ends = placed.groupBy("_range").agg(F.max("last_entity").alias("_last"))
+    before = ends.select("_range", F.max("_last").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"))
+    inside = Window.partitionBy("_range").orderBy("first_entity", "shard").rowsBetween(Window.unboundedPreceding, -1)
+    reached = F.greatest(F.max("last_entity").over(inside), F.col("_carried"))
+    return placed.join(F.broadcast(before), "_range").withColumn("_reached", reached).filter(F.col("first_entity") <= F.col("_reached")).select(*manifest.columns)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """Result table as CSV with a header; NaN and infinities leave empty cells."""
     finite_doubles(df).write.mode("overwrite").csv(path, header=True)
@@ -73,8 +90,3 @@ def schema_dictionary(df: DataFrame, source_columns: list[str]) -> DataFrame:
         for i, f in enumerate(df.schema)
     ]
     return nulls.select(F.inline(F.array(*rows)))
-
-
-def declared_schema(spec: dict[str, str]) -> T.StructType:
-    """Struct type from column names and type names."""
-    return T.StructType.fromDDL(", ".join(f"`{n}` {t}" for n, t in spec.items()))

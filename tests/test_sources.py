@@ -77,3 +77,37 @@ def test_entry_contract(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).count() == 4
+
+
+def test_quoted_line_breaks_stay_in_their_record(spark, tmp_path):
+    p = tmp_path / "t.csv"
+    p.write_bytes('id;v\n1;"a\nb;""c"""\n2;plain\n'.encode("cp1252") + "3;\"ä\n–\"\n".encode("cp1252"))
+    got = {r.id: r.v for r in readers.scan_delimited(spark, str(p)).collect()}
+    assert got == {"1": 'a\nb;"c"', "2": "plain", "3": "ä\n–"}
+    lines = tmp_path / "l.csv"
+    lines.write_text("id;v\n1;a\n2;b\n")
+    assert readers.scan_delimited(spark, str(lines), quoted_breaks=False).count() == 2
+
+
+def test_shards_are_named_by_their_path(spark, tmp_path):
+    base = str(tmp_path / "d")
+    spark.range(30).selectExpr("id as entity_id", "id % 3 as part").coalesce(1).write.partitionBy("part").parquet(base)
+    names = {r.shard for r in readers.scan_sharded(spark, f"file://{base}").select("shard").distinct().collect()}
+    manifest = {r.shard: r["rows"] for r in sinks.shard_manifest(spark.read.parquet(base), base).collect()}
+    assert names == set(manifest) and len(names) == 3 and all(n.startswith("part=") for n in names) and set(manifest.values()) == {10}
+
+
+def test_large_files_are_hashed_as_streams(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "big file.bin").write_bytes(b"x" * 5000)
+    (tmp_path / "small.bin").write_bytes(b"y" * 10)
+    got = {r.path: (r.digest, r.length) for r in files.file_hash_table(spark, str(tmp_path), stream_bytes=100).collect()}
+    assert got == {n: (hashlib.sha256(c).hexdigest(), len(c)) for n, c in (("big file.bin", b"x" * 5000), ("small.bin", b"y" * 10))}
+
+
+def test_overlapping_shards(spark):
+    rows = [("a", 0, 9), ("b", 10, 19), ("c", 19, 25), ("d", 30, 90), ("e", 40, 41), ("f", 95, 99)]
+    m = spark.createDataFrame(rows, "shard string, first_entity int, last_entity int")
+    for ranges in (1, 3, 8):
+        assert sorted(r.shard for r in sinks.overlapping_shards(m, ranges).collect()) == ["c", "e"]
