@@ -14,7 +14,8 @@ from ..functions.constants import BALANCED_C_GRID, ELASTIC_C_GRID, ELASTIC_L1_GR
 from .preprocess import Preparation, fit_preparation
 
 MAX_ITER = 5000
-TOLERANCE = 1e-4
+#: Relative change at which a fit stops; small enough that scores do not depend on the order of summation.
+TOLERANCE = 1e-13
 
 
 @dataclass
@@ -96,7 +97,7 @@ def fit_logistic(
     weights = total if total is not None else data.agg(F.sum("weight")).first()[0]
     model = LogisticRegression(
         featuresCol="_features", labelCol="label", weightCol="weight", regParam=1.0 / (C * weights), elasticNetParam=l1_ratio,
-        standardization=False, maxIter=max_iter, tol=TOLERANCE * 1e-2,
+        standardization=False, maxIter=max_iter, tol=TOLERANCE,
     ).fit(data)
     used = int(model.summary.totalIterations)
     return LogisticFit(

