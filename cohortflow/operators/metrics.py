@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.parsing import nan_to_null
-from .ordered import HOT_ROWS, exact_quantiles, prefix_sums
+from .ordered import HOT_ROWS, exact_quantiles, join_by_keys, prefix_sums
 
 
 def clip01(c: Column) -> Column:
@@ -114,7 +114,7 @@ def compute_metrics(preds: DataFrame, keys: list[str], *, threshold: float = 0.5
     rates = {n: e for n, e in rate_columns(pred, w).items() if n not in ("TP", "FP", "TN", "FN")}
     squared = F.sum(w * F.pow(F.col("score") - F.col("label"), 2)) / F.sum(w)
     simple = clipped.groupBy(*keys).agg(squared.alias("Brier"), *[e.alias(n) for n, e in rates.items()])
-    return ranking_metrics(clipped, keys, weight=weight, splits=splits).join(simple, keys)
+    return join_by_keys(ranking_metrics(clipped, keys, weight=weight, splits=splits), simple, keys)
 
 
 # Readable names of the metrics.

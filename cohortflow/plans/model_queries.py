@@ -291,9 +291,26 @@ def _(spark, sf):
     return frozen.score_frozen(f.select("entity_id", *INPUTS), table, ["entity_id"]).withColumn("probability", F.round("probability", 4))
 
 
-@query("odds_ratio_bootstrap")
+OR_REPS = 200
+ODDS_SQL = f"""WITH RECURSIVE {LABELLED_SQL}, {fit_sql.single(INPUTS, [], 1.0, 0.0, weight=fit_sql.BALANCED)},
+    idx AS (SELECT entity_id, row_number() OVER (ORDER BY md5('7|' || entity_id), entity_id) - 1 AS k, count(*) OVER () AS n FROM frame),
+    dr AS (SELECT rep, ('0x' || substr(md5('7|' || rep || '|' || i.k), 1, 15))::BIGINT % n AS k FROM idx i, (SELECT unnest(range({OR_REPS})) AS rep)),
+    drawn AS (SELECT rep, entity_id, count(*) AS weight FROM dr JOIN idx USING (k) GROUP BY 1, 2),
+    classes AS (SELECT rep, sum(weight)::DOUBLE AS total, sum(weight * y)::DOUBLE AS pos FROM drawn JOIN fit_z USING (entity_id) GROUP BY 1),
+    boot_z AS (SELECT rep AS key, y, weight * CASE WHEN y = 1 THEN total / (2 * pos) ELSE total / (2 * (total - pos)) END AS wt, {", ".join(f"z{i}" for i in range(len(INPUTS)))}
+      FROM drawn JOIN fit_z f USING (entity_id) JOIN classes USING (rep)),
+    boot_set AS (SELECT DISTINCT key, 'one' AS cand, 1.0::DOUBLE AS c, 0.0::DOUBLE AS l1, {", ".join(f"1 AS u{i}" for i in range(len(INPUTS)))} FROM boot_z),
+    {fit_sql.descent("boot_z", "boot_set", len(INPUTS), "boot", 1200)},
+    long AS ({" UNION ALL ".join(f"SELECT '{n}' AS feature, w{i} AS w FROM boot" for i, n in enumerate(INPUTS))}),
+    ci AS (SELECT feature, quantile_cont(w, 0.025) AS lo, quantile_cont(w, 0.975) AS hi FROM long GROUP BY 1),
+    point AS ({" UNION ALL ".join(f"SELECT '{n}' AS feature, w{i} AS w FROM fit" for i, n in enumerate(INPUTS))})
+    SELECT feature, round(w, 3) AS coef, round(exp(w), 3) AS odds_ratio, round(lo, 3) AS coef_ci_low, round(hi, 3) AS coef_ci_high, round(exp(lo), 3) AS or_ci_low, round(exp(hi), 3) AS or_ci_high, round(abs(w), 3) AS abs_coef
+    FROM point JOIN ci USING (feature)"""
+
+
+@query("odds_ratio_bootstrap", ODDS_SQL)
 def _(spark, sf):
-    df = frozen.odds_ratio_bootstrap(_frame(spark, sf), INPUTS, replicates=4, seed=7)
+    df = frozen.odds_ratio_bootstrap(_frame(spark, sf), INPUTS, replicates=OR_REPS, seed=7)
     return _rounded(df, [c for c in df.columns if c != "feature"], 3)
 
 

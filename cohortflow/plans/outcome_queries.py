@@ -296,7 +296,7 @@ def _(spark, sf):
 
 
 # Draws over all orders; the replicate number is the parameter that sets the work.
-REPS, SEED = 4, 42
+REPS, SEED = 100, 42
 DRAW_SQL = t.PREDICTIONS_SQL + f""",
 idx AS (SELECT entity_id, row_number() OVER (ORDER BY md5('{SEED}|' || entity_id), entity_id) - 1 AS k, count(*) OVER () AS n FROM base),
 cells AS (SELECT r.rep, i.k AS i, i.n FROM idx i, (SELECT unnest(range({REPS})) AS rep) r),
@@ -304,13 +304,12 @@ dr AS (SELECT rep, ('0x' || substr(md5('{SEED}|' || rep || '|' || i), 1, 15))::B
 weights AS (SELECT rep, entity_id, count(*) AS weight FROM dr JOIN idx USING (k) GROUP BY 1, 2)"""
 
 
-def _weights(spark, sf):
-    return bootstrap.bootstrap_draws(_entities(spark, sf), REPS, SEED)
+DRAWN = {"replicates": REPS, "seed": SEED}
 
 
 @query("bootstrap_draws", f"WITH {DRAW_SQL} SELECT rep, entity_id, weight FROM weights")
 def _(spark, sf):
-    return _weights(spark, sf)
+    return bootstrap.bootstrap_draws(_entities(spark, sf), REPS, SEED)
 
 
 WCURVE = """
@@ -320,14 +319,28 @@ curve AS (SELECT *, coalesce(sum(pos) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING A
 reps AS (SELECT model, rep, sum(pos * (nb + 0.5 * neg)) / (max(pt) * max(nt)) AS auc, sum(pos * (pt - pb) / (pt - pb + nt - nb)) / max(pt) AS ap FROM curve GROUP BY 1, 2)"""
 
 
+RATES_SQL = """tp / nullif(tp + fn, 0) AS "Sens", tn / nullif(tn + fp, 0) AS "Spec", tp / nullif(tp + fp, 0) AS "PPV", tn / nullif(tn + fn, 0) AS "NPV",
+      coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) AS "F1" """
+
+
 @query(
     "bootstrap_ci",
-    f"""WITH {DRAW_SQL},{WCURVE}, long AS (SELECT model, 'AUC' AS metric, auc AS v FROM reps UNION ALL SELECT model, 'AP', ap FROM reps)
-    SELECT model, metric, round(quantile_cont(v, 0.025), 8) AS lower, round(quantile_cont(v, 0.975), 8) AS upper, count(v) AS n_valid FROM long GROUP BY 1, 2""",
+    f"""WITH {DRAW_SQL},{WCURVE}, every AS (SELECT p.*, rep, weight FROM preds p JOIN weights USING (entity_id) UNION ALL SELECT *, -1, 1 FROM preds),
+    facts AS (SELECT model, rep, sum(weight * pow(score - label, 2)) / sum(weight) AS "Brier", sum(weight) FILTER (label = 1 AND score >= 0.5) AS tp, sum(weight) FILTER (label = 0 AND score >= 0.5) AS fp,
+      sum(weight) FILTER (label = 1 AND score < 0.5) AS fn, sum(weight) FILTER (label = 0 AND score < 0.5) AS tn FROM every GROUP BY 1, 2),
+    c AS (SELECT model, rep, "Brier", coalesce(tp, 0)::DOUBLE AS tp, coalesce(fp, 0)::DOUBLE AS fp, coalesce(fn, 0)::DOUBLE AS fn, coalesce(tn, 0)::DOUBLE AS tn FROM facts),
+    tied0 AS (SELECT model, score, sum(label)::DOUBLE AS pos, sum(1 - label)::DOUBLE AS neg FROM preds GROUP BY 1, 2),
+    curve0 AS (SELECT *, coalesce(sum(pos) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pb, coalesce(sum(neg) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nb,
+      sum(pos) OVER (PARTITION BY model) AS pt, sum(neg) OVER (PARTITION BY model) AS nt FROM tied0 WINDOW w AS (PARTITION BY model ORDER BY score)),
+    ranks AS (SELECT * FROM reps UNION ALL SELECT model, -1, sum(pos * (nb + 0.5 * neg)) / (max(pt) * max(nt)), sum(pos * (pt - pb) / (pt - pb + nt - nb)) / max(pt) FROM curve0 GROUP BY model),
+    wide AS (SELECT model, rep, auc AS "AUC", ap AS "AP", "Brier", {RATES_SQL} FROM c JOIN ranks USING (model, rep)),
+    long AS (UNPIVOT wide ON "AUC", "AP", "Brier", "Sens", "Spec", "PPV", "NPV", "F1" INTO NAME metric VALUE v)
+    SELECT model, metric, round(max(v) FILTER (rep = -1), 8) AS point, round(quantile_cont(v, 0.025) FILTER (rep >= 0), 8) AS lower, round(quantile_cont(v, 0.975) FILTER (rep >= 0), 8) AS upper, count(v) FILTER (rep >= 0) AS n_valid
+    FROM long GROUP BY 1, 2""",
 )
 def _(spark, sf):
-    r = bootstrap.replicate_metrics(t.predictions(spark, sf), _weights(spark, sf), ["model"])
-    return _rounded(bootstrap.percentile_interval(r, ["model"], ["AUC", "AP"]), ["lower", "upper"], 8)
+    r = bootstrap.bootstrap_ci(t.predictions(spark, sf), ["model"], **DRAWN)
+    return _rounded(r.select("model", "metric", "point", "lower", "upper", "n_valid"), ["point", "lower", "upper"], 8)
 
 
 @query(
@@ -335,7 +348,7 @@ def _(spark, sf):
     f"""WITH {DRAW_SQL},{WCURVE} SELECT a.model, a.rep, round(a.auc, 8) AS "AUC", round(a.auc - b.auc, 8) AS delta FROM reps a JOIN reps b ON a.rep = b.rep AND b.model = 'price'""",
 )
 def _(spark, sf):
-    df = bootstrap.paired_bootstrap(t.predictions(spark, sf), _weights(spark, sf), "price")
+    df = bootstrap.paired_bootstrap(t.predictions(spark, sf), "price", **DRAWN)
     return _rounded(df, ["AUC", "delta"], 8)
 
 
@@ -346,7 +359,7 @@ def _(spark, sf):
     SELECT rep, round(median_auc, 8) AS median_auc, positive_draws, negative_draws FROM m JOIN d USING (rep)""",
 )
 def _(spark, sf):
-    df = bootstrap.shared_draw_median(t.predictions(spark, sf), _weights(spark, sf), "model")
+    df = bootstrap.shared_draw_median(t.predictions(spark, sf), run="model", **DRAWN)
     return _rounded(df, ["median_auc"], 8)
 
 
@@ -359,5 +372,5 @@ def _(spark, sf):
 )
 def _(spark, sf):
     p = t.predictions(spark, sf)
-    df = bootstrap.shared_draw_summary(bootstrap.shared_draw_median(p, _weights(spark, sf), "model"), p, "model")
+    df = bootstrap.shared_draw_summary(bootstrap.shared_draw_median(p, run="model", **DRAWN), p, "model")
     return _rounded(df, [c for c in df.columns if c != "replicates"], 8)
