@@ -53,28 +53,36 @@ def argument_errors(name: Column, arguments: Column, schemas: Schemas) -> Column
     return F.when(arguments.isNull(), F.array(F.lit("json"))).when(~F.schema_of_variant(arguments).startswith("OBJECT"), F.array(F.lit("object"))).otherwise(whole)
 
 
-def _levels(calls: DataFrame, edges: DataFrame) -> DataFrame:
-    """conv, call_id, level: 0 without dependencies, else one more than the largest level among them; cycles and what needs them are absent.
+_ENDLESS = 1 << 60
 
-    Rounds over all conversations at once: calls that wait for nothing are placed, and the edges to them go. Calls without
-    edges never enter the rounds, whose number is the length of the longest chain of dependencies.
+
+def _levels(edges: DataFrame) -> DataFrame:
+    """conv, call_id, level of every call with dependencies: one more than the largest level among them, null for cycles and what needs them.
+
+    `edges` has conv, call_id, dep and the turn and pos of dep; a dep without edges of its own has level 0. Every call points
+    to one dependency, and pointers are doubled until they reach a call without any, which takes rounds in the logarithm of
+    the longest chain. Then each call looks whether another dependency lies deeper than the one it points to; if so it points
+    there and the pointers run again. Pointers that never arrive stand on a cycle, deeper than anything else.
     """
-    waiting = written(edges, "edges")
-    pending = written(waiting.select("conv", "call_id").distinct(), "pending")
-    done = [written(calls.select("conv", "call_id").join(pending, ["conv", "call_id"], "left_anti").withColumn("level", F.lit(0)), "level")]
-    while not pending.isEmpty():
-        ready = done[-1].select("conv", F.col("call_id").alias("dep"))
-        waiting = written(waiting.join(ready, ["conv", "dep"], "left_anti"), "edges")
-        blocked = waiting.select("conv", "call_id").distinct()
-        placed = written(pending.join(blocked, ["conv", "call_id"], "left_anti").withColumn("level", F.lit(len(done))), "level")
-        if placed.isEmpty():
-            break
-        done.append(placed)
-        pending = written(pending.join(placed, ["conv", "call_id"], "left_anti"), "pending")
-    out = done[0]
-    for level in done[1:]:
-        out = out.unionByName(level)
-    return out
+    edges = written(edges, "edges")
+    policy = edges.groupBy("conv", "call_id").agg(F.max(F.struct("turn", "pos", "dep"))["dep"].alias("ptr"))
+    policy = written(policy, "policy")
+    widest = policy.groupBy("conv").count().agg(F.max("count")).first()[0] or 0
+    while True:
+        state = policy.select("conv", "call_id", "ptr", F.lit(1).cast("long").alias("dist"), F.lit(False).alias("done"))
+        for _ in range(widest.bit_length() + 1):
+            further = state.select("conv", F.col("call_id").alias("ptr"), F.col("ptr").alias("next"), F.col("dist").alias("more"))
+            doubled = state.join(further, ["conv", "ptr"], "left").select("conv", "call_id", F.coalesce("next", "ptr").alias("ptr"), (F.col("dist") + F.coalesce("more", F.lit(0))).alias("dist"), F.col("next").isNull().alias("done"))
+            state = written(doubled, "state")
+            if state.filter(~F.col("done")).isEmpty():
+                break
+        depth = state.select("conv", "call_id", F.when(F.col("done"), F.col("dist")).alias("level"))
+        of_dep = depth.select("conv", F.col("call_id").alias("dep"), F.coalesce("level", F.lit(_ENDLESS)).alias("below"))
+        deepest = edges.join(of_dep, ["conv", "dep"], "left").groupBy("conv", "call_id").agg(F.max(F.struct(F.coalesce("below", F.lit(0)).alias("below"), "turn", "pos", "dep")).alias("best"))
+        looked = written(deepest.join(depth, ["conv", "call_id"]).select("conv", "call_id", "level", F.col("best.dep").alias("ptr"), (F.col("best.below") >= F.coalesce("level", F.lit(2 * _ENDLESS))).alias("deeper")), "looked")
+        if looked.filter("deeper").isEmpty():
+            return looked.select("conv", "call_id", F.col("level").cast("int").alias("level"), F.lit(True).alias("waits"))
+        policy = looked.select("conv", "call_id", "ptr")
 
 
 def link_tool_calls(messages: DataFrame, schemas: Schemas) -> DataFrame:
@@ -103,12 +111,12 @@ def link_tool_calls(messages: DataFrame, schemas: Schemas) -> DataFrame:
 
     parsed = F.try_parse_json("arguments")
     refs = calls.filter(F.col("call_id").isNotNull()).select("conv", "call_id", F.explode(F.array_distinct(F.regexp_extract_all(F.to_json(parsed), F.lit(_REFERENCE), F.lit(1)))).alias("dep"))
-    known = calls.filter(F.col("call_id").isNotNull()).select("conv", F.col("call_id").alias("dep"), F.lit(True).alias("known"))
+    known = calls.filter(F.col("call_id").isNotNull()).select("conv", F.col("call_id").alias("dep"), "turn", "pos", F.lit(True).alias("known"))
     refs = written(refs.join(known, ["conv", "dep"], "left"), "refs")
-    levels = _levels(calls.filter(F.col("call_id").isNotNull()), refs.filter("known").select("conv", "call_id", "dep"))
+    levels = _levels(refs.filter("known").select("conv", "call_id", "dep", "turn", "pos"))
     unknown = refs.filter("known is null").groupBy("conv", "call_id").agg(F.sort_array(F.collect_set(F.concat(F.lit("ref:"), "dep"))).alias("unknown"))
 
-    placed = calls.join(levels, ["conv", "call_id"], "left").join(unknown, ["conv", "call_id"], "left")
+    placed = calls.join(levels, ["conv", "call_id"], "left").withColumn("level", F.when(F.col("waits").isNull() & F.col("call_id").isNotNull(), 0).otherwise(F.col("level"))).join(unknown, ["conv", "call_id"], "left")
     linked = placed.join(results.hint("shuffle_hash"), (placed["conv"] == results["r_conv"]) & (placed["call_id"] == results["r_id"]), "full_outer")
     is_call = F.col("n_calls").isNotNull()
     errors = F.when(is_call, F.concat(argument_errors(F.col("name"), parsed, schemas), F.coalesce("unknown", F.array().cast("array<string>")))).otherwise(F.array().cast("array<string>"))

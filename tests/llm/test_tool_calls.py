@@ -1,4 +1,5 @@
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -52,14 +53,34 @@ def test_arguments_against_schemas(spark):
 
 
 def test_long_chain_hot_conversation_and_empty(spark):
-    chain = [(7, i, "assistant", call((f"k{i}", "add", {"a": i, "list": [f"$k{i - 1}"] if i else []}))) for i in range(12)]
+    chain = [(7, i, "assistant", call((f"k{i}", "add", {"a": i, "list": [f"$k{i - 1}"] if i else []}))) for i in range(150)]
     crowd = [(7, 100 + i, "assistant", call((f"m{i}", "add", {"a": i, "list": ["$k3"]}))) for i in range(300)]
     got = rows_of(spark, chain + crowd + [(7, 500, "assistant", call(("big", "add", {"a": 1, "how": "x" * 300_000})))])
-    assert all(got[7, f"k{i}"].level == i for i in range(12)) and all(got[7, f"m{i}"].level == 4 for i in range(300))
+    assert all(got[7, f"k{i}"].level == i for i in range(150)) and all(got[7, f"m{i}"].level == 4 for i in range(300))
     assert len(got[7, "big"].canonical) > 300_000
     assert rows_of(spark, []) == {}
 
 
+def test_levels_of_random_graphs(spark):
+    rng = random.Random(6)
+    messages, deps = [], {}
+    for conv in range(12):
+        for i in range(25):
+            span = range(i) if conv % 3 else range(25)  # every third conversation may refer forward, and so in circles
+            deps[conv, i] = sorted({rng.choice(span) for _ in range(rng.choice([0, 1, 1, 2, 3]))}) if len(span) else []
+            messages.append((conv, i, "assistant", call((f"k{i}", "add", {"a": 1, "list": [f"$k{d}" for d in deps[conv, i]]}))))
+
+    def level(node, path=()):
+        if node in path:
+            return None
+        below = [level((node[0], d), (*path, node)) for d in deps[node]]
+        return None if None in below else max(below, default=-1) + 1
+
+    got = rows_of(spark, messages)
+    assert {k: r.level for k, r in got.items()} == {(c, f"k{i}"): level((c, i)) for c, i in deps}
+    assert any(r.status == "cycle" for r in got.values())
+
+
 def test_transcript(spark):
     turns = [(1, 0, "system", "be kind"), (1, 1, "user", "one two"), (1, 2, "assistant", "answer"), (1, 3, "user", "three"), (2, 0, "user", None), (2, 1, "assistant", None), (3, 0, "assistant", "alone")]
     got = rows_of(spark, [tuple(r) for r in tool_transcript(spark.createDataFrame(turns, "conv_id long, turn int, role string, text string")).collect()], TRANSCRIPT_SCHEMAS)
