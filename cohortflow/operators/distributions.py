@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -188,7 +186,3 @@ def best_by_score(df: DataFrame, keys: list[str], score: str, name: str) -> Data
 
 def top_features(df: DataFrame, score: str, name: str, n: int) -> DataFrame:
     return df.orderBy(F.desc(score), F.asc(name)).limit(n)
-
-
-def all_true(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 from dataclasses import dataclass
 
@@ -115,6 +116,9 @@ def fit_forest(train: DataFrame, columns: list[str], params: dict, *, seed: int
     Spark ML has no randomised thresholds and no minimum split size: a split is the best of
     the binned thresholds, and only the minimum leaf size limits it.
     """
+    depth = params.get("max_depth", 8)
+    if depth is None or not 1 <= depth <= MAX_DEPTH:
+        raise ValueError(f"max_depth must lie between 1 and {MAX_DEPTH}, the bound of Spark ML")
     prep = fit_preparation(train, columns, scale=False)
     share = params.get("class_weight", "balanced")
     if share == "balanced":
@@ -128,7 +132,7 @@ def fit_forest(train: DataFrame, columns: list[str], params: dict, *, seed: int
     subset = params.get("max_features", "sqrt")
     model = RandomForestClassifier(
         featuresCol="_features", labelCol="label", weightCol="weight", bootstrap=False, seed=seed,
-        numTrees=params.get("n_estimators", 800), maxDepth=params.get("max_depth") or 30,
+        numTrees=params.get("n_estimators", 800), maxDepth=depth,
         minInstancesPerNode=params.get("min_samples_leaf", 2),
         featureSubsetStrategy=str(subset),
     ).fit(rows)
@@ -147,9 +151,22 @@ def balanced_grid() -> list[dict]:
     return [{"C": c, "l1_ratio": r} for r in (1.0, 0.0) for c in BALANCED_C_GRID]
 
 
-def tree_draws(n_iter: int, seed: int, grid: dict = TREE_GRID) -> list[dict]:
-    """Seeded random settings from the tree grid."""
-    rng = random.Random(seed)
-    return [{k: rng.choice(v) for k, v in grid.items()} for _ in range(n_iter)]
+#: Deepest tree that Spark ML grows.
+MAX_DEPTH = 30
+
 
+def tree_draws(n_iter: int, seed: int, grid: dict = TREE_GRID) -> list[dict]:
+    """Seeded random settings from the tree grid, none twice.
 
+    Only what Spark ML can tell apart is drawn: unlimited depth is not offered, and the minimum split size has no effect.
+    """
+    axes = {k: [x for x in v if x is not None] for k, v in grid.items() if k != "min_samples_split"}
+    size = math.prod(len(v) for v in axes.values())
+    out = []
+    for number in random.Random(seed).sample(range(size), min(n_iter, size)):
+        setting = {}
+        for k, values in axes.items():
+            number, at = divmod(number, len(values))
+            setting[k] = values[at]
+        out.append(setting)
+    return out

@@ -255,6 +255,46 @@ def recipe_selector_cv(
     return CVResult(oof, folds, [f for d in done for f in d[2]])
 
 
+@dataclass
+class Selection:
+    """What a search over all rows chose, and the model refitted on them."""
+
+    recipe: str
+    params: dict
+    screening: float
+    inner_score: float
+    fit: object
+    fits: list[dict]
+
+
+def search_and_refit(
+    frame: DataFrame, recipes: dict[str, list[str]], *, seed: int = 42, inner: int = 3, grid: list[dict] | None = None, indicators: bool = True,
+    balanced: bool = False, metric: str = "AP",
+) -> Selection:
+    """Screen the recipes at fixed settings, tune the best one, and refit it, all on the whole frame: the step before freezing a model.
+
+    One recipe is not screened; its screening value is then its tuned one.
+    """
+    from .estimators import elastic_grid
+
+    every = sorted({c for cols in recipes.values() for c in cols})
+    base = frame.select("entity_id", F.col("label").cast("int").alias("label"), *every).withColumn("fold", F.lit(0))
+    named = {json.dumps(p, sort_keys=True): p for p in (grid or elastic_grid())}
+    sets = _TrainingSets(base, -1, Setup("logistic", inner, seed, indicators, balanced, metric), every)
+    records: list[dict] = []
+    recipe, screening = next(iter(recipes)), None
+    if len(recipes) > 1:
+        screen = {"C": SCREEN_C, "l1_ratio": SCREEN_L1_RATIO}
+        recipe, screening, screened, _ = sets.search([(n, recipes[n], screen) for n in sorted(recipes)])
+        records += [_fit_record(seed, 0, j, "recipe_screening", n, f) for (n, j), f in screened.items()]
+    best, tuned, searched, _ = sets.search([(n, recipes[recipe], p) for n, p in named.items()])
+    final = sets.fit(0, recipes[recipe], named[best])
+    sets.release()
+    records += [_fit_record(seed, 0, j, "hyperparameter_search", recipe, f) for (_, j), f in searched.items()]
+    records.append(_fit_record(seed, 0, 0, "final_refit", recipe, final))
+    return Selection(recipe, named[best], tuned if screening is None else screening, tuned, final, records)
+
+
 def fixed_recipe_cv(frame: DataFrame, recipe: str, cols: list[str], **kw) -> CVResult:
     return recipe_selector_cv(frame, {recipe: cols}, run=f"FIXED_{recipe}", **kw)
 

@@ -70,7 +70,7 @@ def nested(
 ) -> str:
     """CTEs of a nested validation: `<name>_inner` (k, cand, recipe, ap), `<name>_held` (inner scores), `<name>_oof` (scores of every candidate's refit on its outer fold).
 
-    Candidates are (name, recipe, inputs, C, l1).  Folds deal every class out in the order of a seeded hash.
+    Candidates are (name, recipe, inputs, C, l1).  Without outer folds (0) everything runs on all rows, as k = 1.  Folds deal every class out in the order of a seeded hash.
     """
     features = [*cols, *[f"missing_{c}" for c in flags]]
     uses = lambda inputs: ", ".join(f"{int(f in inputs or f.removeprefix('missing_') in inputs)} AS u{i}" for i, f in enumerate(features))
@@ -80,8 +80,9 @@ def nested(
     z = ", ".join(f"(coalesce(f.{c}, m.{c}) - m_{c}) / s_{c} AS z{i}" for i, c in enumerate(cols))
     z += "".join(f", ((f.{c} IS NULL)::INT - m_missing_{c}) / s_missing_{c} AS z{len(cols) + i}" for i, c in enumerate(flags))
     line = " + ".join(["b", *[f"w{i} * z{i}" for i in range(n)]])
-    return f"""{name}_folds AS (SELECT *, CAST((row_number() OVER (PARTITION BY label ORDER BY {order}) - 1) % {outer} + 1 AS INTEGER) AS fold FROM frame),
-{name}_train AS (SELECT k, f.*, (row_number() OVER (PARTITION BY k, label ORDER BY {order}) - 1) % {inner} + 1 AS inner_fold FROM {name}_folds f, (SELECT unnest(range(1, {outer + 1})) AS k) WHERE fold <> k),
+    fold = f"CAST((row_number() OVER (PARTITION BY label ORDER BY {order}) - 1) % {outer} + 1 AS INTEGER)" if outer else "0"
+    return f"""{name}_folds AS (SELECT *, {fold} AS fold FROM frame),
+{name}_train AS (SELECT k, f.*, (row_number() OVER (PARTITION BY k, label ORDER BY {order}) - 1) % {inner} + 1 AS inner_fold FROM {name}_folds f, (SELECT unnest(range(1, {max(outer, 1) + 1})) AS k) WHERE fold <> k),
 {name}_rows AS (SELECT k || ':' || j AS key, entity_id, label AS y, 1.0::DOUBLE AS wt, {", ".join(cols)} FROM {name}_train, (SELECT unnest(range({inner + 1})) AS j) WHERE j = 0 OR inner_fold <> j),
 {prepared(f"{name}_rows", cols, list(flags), name)},
 {name}_cands AS ({listed}),
@@ -105,3 +106,28 @@ curve AS (SELECT *, sum(p) OVER (w ORDER BY score DESC) AS pu, sum(q) OVER (w OR
 ranks AS (SELECT {keys}, sum(q * (pu - p / 2.0::DOUBLE)) / (sum(p) * sum(q))::DOUBLE AS auc, sum(p * pu / (pu + qu)::DOUBLE) / sum(p) AS ap FROM curve GROUP BY {keys}),
 loss AS (SELECT {keys}, avg(pow(score - label, 2)) AS brier, avg(label) AS prevalence FROM {oof} GROUP BY {keys}),
 facts AS (SELECT *, 1 - brier / (prevalence * (1 - prevalence)) AS bss FROM ranks JOIN loss USING ({keys}))"""
+
+
+def hazard(rows: str, features: int, name: str = "hz", *, penalty: float = 0.1, steps: int = 500) -> str:
+    """CTEs to `<name>` (key, n, events, w0..): maximum of the partial likelihood with evenly spread ties, less n * penalty / 2 * |w|^2.
+
+    `rows` has key, days, d (event) and standardised z0... Gradient steps; risk sets are running sums from the last day back.
+    """
+    k = range(features)
+    line = " + ".join(f"w{i} * z{i}" for i in k)
+    kept = ", ".join(f"w{i}" for i in k)
+    held = ", ".join(f"any_value(w{i}) AS w{i}" for i in k)
+    by_day = ", ".join([*[f"sum(r * z{i}) AS a{i}, sum(d * r * z{i}) AS e{i}, sum(d * z{i}) AS x{i}" for i in k]])
+    running = ", ".join(f"sum(a{i}) OVER w AS s{i}" for i in k)
+    carried = ", ".join(f"e{i}, x{i}" for i in k)
+    gradient = ", ".join(f"sum(x{i} / d - (s{i} - l / d * e{i}) / (s - l / d * e)) AS g{i}" for i in k)
+    moved = ", ".join(f"w{i} + (g{i} - n * {penalty} * w{i}) / (n * 1.5) AS w{i}" for i in k)
+    return f"""{name}_gd AS (SELECT key, 0 AS step, count(*)::DOUBLE AS n, sum(d) AS events, {", ".join(f"0.0::DOUBLE AS w{i}" for i in k)} FROM {rows} GROUP BY key
+  UNION ALL SELECT key, step + 1, n, events, {moved} FROM (
+    SELECT key, step, any_value(n) AS n, any_value(events) AS events, {held}, {gradient} FROM (
+      SELECT key, step, n, events, {kept}, d::DOUBLE AS d, s, e, {", ".join(f"s{i}" for i in k)}, {carried}, unnest(range(d::BIGINT))::DOUBLE AS l FROM (
+        SELECT key, step, n, events, {kept}, d, e, {carried}, sum(a) OVER w AS s, {running} FROM (
+          SELECT key, step, days, any_value(n) AS n, any_value(events) AS events, {held}, sum(d) AS d, sum(r) AS a, sum(d * r) AS e, {by_day} FROM (
+            SELECT g.*, days, d, {", ".join(f"z{i}" for i in k)}, exp({line}) AS r FROM {name}_gd g JOIN {rows} USING (key)) GROUP BY key, step, days)
+        WINDOW w AS (PARTITION BY key, step ORDER BY days DESC)) WHERE d > 0) GROUP BY key, step) WHERE step < {steps}),
+{name} AS (SELECT * FROM {name}_gd WHERE step = {steps})"""

@@ -70,6 +70,20 @@ def _(spark, sf):
     return sums.unpivot([], levels, "level", "n")
 
 
+@query(
+    "detect_categorical",
+    """SELECT 'c_name' AS name, 'categorical' AS kind, count(DISTINCT c_name) AS levels, count(*) FILTER (c_name IS NULL) AS missing FROM customer UNION ALL SELECT 'c_mktsegment', 'categorical', count(DISTINCT c_mktsegment), count(*) FILTER (c_mktsegment IS NULL) FROM customer
+    UNION ALL SELECT 'c_custkey', 'other', NULL, count(*) FILTER (c_custkey IS NULL) FROM customer UNION ALL SELECT 'c_nationkey', 'other', NULL, count(*) FILTER (c_nationkey IS NULL) FROM customer
+    UNION ALL SELECT 'c_acctbal', 'other', NULL, count(*) FILTER (c_acctbal IS NULL) FROM customer""",
+)
+def _(spark, sf):
+    # Levels of the columns found categorical, gaps of all columns, in one pass.
+    c = t.read(spark, sf, "customer")
+    cat, rest = preprocess.detect_categorical(c)
+    facts = c.agg(*[F.struct(F.lit(n).alias("name"), F.lit("categorical" if n in cat else "other").alias("kind"), (F.countDistinct(n) if n in cat else F.lit(None).cast("long")).alias("levels"), F.count_if(F.col(n).isNull()).alias("missing")).alias(n) for n in [*cat, *rest]])
+    return facts.select(F.inline(F.array(*[F.col(n) for n in [*cat, *rest]])))
+
+
 def _coefficients(spark, fit):
     rows = [("intercept", round(fit.intercept, 3))] + [(n, round(c, 3)) for n, c in zip(fit.prep.outputs, fit.coef)]
     return spark.createDataFrame(rows, "input string, coefficient double")
@@ -235,6 +249,33 @@ def _(spark, sf):
     return r.folds.select("fold", "selected_recipe", "input_count", F.round("screening_AP", 4).alias("screening_AP"), F.round("AP", 4).alias("AP"))
 
 
+def _selection_sql():
+    import json
+
+    screen = [(f"screen {n}", n, c, 0.1, 0.5) for n, c in RECIPES.items()]
+    tuned = [(f"{json.dumps(g, sort_keys=True)} {n}", n, c, g["C"], g["l1_ratio"]) for n, c in RECIPES.items() for g in GRID]
+    names = [*INPUTS, "missing_x3"]
+    rows = " UNION ALL ".join(
+        ["SELECT 'intercept' AS input, b AS w, 1 AS used FROM n_fit JOIN best USING (cand) WHERE key = '1:0'"]
+        + [f"SELECT '{f}', w{i}, u{i} FROM n_fit JOIN best USING (cand) JOIN n_cands USING (cand) WHERE key = '1:0'" for i, f in enumerate(names)])
+    return f"""WITH RECURSIVE {LABELLED_SQL}, {fit_sql.nested([*screen, *tuned], INPUTS, seed=42, outer=0, inner=3, flags=["x3"])},
+    chosen AS (SELECT k, min_by(recipe, (-ap, recipe)) AS recipe, max(ap) AS screening FROM n_inner WHERE starts_with(cand, 'screen') GROUP BY k),
+    best AS (SELECT k, recipe, screening, min_by(cand, (-ap, cand)) AS cand, max(ap) AS tuned FROM n_inner JOIN chosen USING (k, recipe) WHERE NOT starts_with(cand, 'screen') GROUP BY ALL), coefs AS ({rows})
+    SELECT recipe, replace(cand, ' ' || recipe, '') AS params, round(screening, 4) AS "screening_AP", round(tuned, 4) AS "inner_AP", input, round(w, 3) AS coefficient FROM coefs, best WHERE used = 1"""
+
+
+@query("search_and_refit", _selection_sql())
+def _(spark, sf):
+    # Selection on all rows, the refitted model as parameter rows, and those rows read back into a model.
+    import json
+
+    f = _frame(spark, sf)
+    chosen = validation.search_and_refit(f, RECIPES, grid=GRID)
+    loaded = frozen.load_parameters(frozen.parameter_table(f, chosen.fit))
+    facts = [F.lit(chosen.recipe).alias("recipe"), F.lit(json.dumps(chosen.params, sort_keys=True)).alias("params"), F.lit(round(chosen.screening, 4)).alias("screening_AP"), F.lit(round(chosen.inner_score, 4)).alias("inner_AP")]
+    return _coefficients(spark, loaded).select(*facts, "input", "coefficient")
+
+
 SWEEP = {"BASE": ["x0"], "PLUS_X2": ["x0", "x2"]}
 
 
@@ -320,7 +361,18 @@ def _hazard_frame(spark, sf):
     return preprocess.standard_scale(timed, ["x0", "x1", "x2"])
 
 
-@query("cause_specific_hazard")
+HAZARD_SQL = f"""WITH RECURSIVE {t.ENDPOINTS_SQL}, {LABELLED_SQL},
+    timed AS (SELECT least(time_to_event, 365) AS days, (state = 'POSITIVE')::INT AS event_primary, (state = 'COMPETING_EVENT')::INT AS event_competing, x0, x1, x2
+      FROM labelled JOIN frame USING (entity_id) WHERE horizon_days = 365 AND source_valid AND time_to_event IS NOT NULL),
+    moments AS (SELECT {", ".join(f"avg(x{i}) AS m{i}, stddev_pop(x{i}) AS s{i}" for i in range(3))} FROM timed),
+    cases AS (SELECT key, days, CASE key WHEN 'primary' THEN event_primary ELSE event_competing END AS d, {", ".join(f"(x{i} - m{i}) / s{i} AS z{i}" for i in range(3))}
+      FROM timed, moments, (SELECT unnest(['primary', 'competing']) AS key)),
+    {fit_sql.hazard("cases", 3)}
+    SELECT key AS cause, predictor, round(w, 6) AS coefficient, CASE WHEN w > 0 THEN 'positive' WHEN w < 0 THEN 'negative' ELSE 'zero' END AS direction, 0.1::DOUBLE AS penalty, events::BIGINT AS events, n::BIGINT AS n
+    FROM ({" UNION ALL ".join(f"SELECT key, 'x{i}' AS predictor, w{i} AS w, events, n FROM hz" for i in range(3))})"""
+
+
+@query("cause_specific_hazard", HAZARD_SQL)
 def _(spark, sf):
     f = _hazard_frame(spark, sf).persist()
     tables = [hazard.hazard_table(f, cause, hazard.fit_hazard(f, ["x0", "x1", "x2"], "days", f"event_{cause}")) for cause in ("primary", "competing")]

@@ -209,6 +209,15 @@ def _(spark, sf):
     return _rounded(metrics.confusion_rates(p, ["model"]), ["Sens", "Spec", "PPV", "NPV", "F1"], 8)
 
 
+@query(
+    "confusion_rates_smoothed",
+    f"""WITH {PRED_SQL} SELECT model, tp AS "TP", fp AS "FP", tn AS "TN", fn AS "FN", round(tp / (tp + fn + 1e-12), 8) AS "Sens", round(tn / (tn + fp + 1e-12), 8) AS "Spec", round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 8) AS "F1" FROM conf""",
+)
+def _(spark, sf):
+    p = t.predictions(spark, sf).withColumn("prediction", (F.col("score") >= 0.5).cast("int"))
+    return _rounded(metrics.confusion_rates_smoothed(p, ["model"]), ["Sens", "Spec", "F1"], 8)
+
+
 @query(
     "compute_metrics",
     f"""WITH {PRED_SQL},{t.curve_sql('preds', 'model')}, b AS (SELECT model, avg(pow(score - label, 2)) AS br FROM preds GROUP BY 1)
@@ -286,12 +295,12 @@ def _(spark, sf):
 
 @query(
     "calibration_bins",
-    f"""WITH {t.PREDICTIONS_SQL}, e AS (SELECT model, {", ".join(f"quantile_cont(score, {i / 10}) AS e{i}" for i in range(1, 10))} FROM preds WHERE model = 'price' GROUP BY 1),
+    f"""WITH {t.PREDICTIONS_SQL}, e AS (SELECT model, {", ".join(f"quantile_cont(score, {i / 10}) AS e{i}" for i in range(1, 10))} FROM preds WHERE TRUE GROUP BY 1),
     b AS (SELECT p.*, {" + ".join(f"(e{i} < score)::INT" for i in range(1, 10))} AS bin FROM preds p JOIN e USING (model))
     SELECT model, bin, round(avg(score), 8) AS mean_predicted, round(avg(label), 8) AS observed_rate, count(*) AS n FROM b GROUP BY 1, 2""",
 )
 def _(spark, sf):
-    df = metrics.calibration_bins(t.predictions(spark, sf).filter("model = 'price'"), ["model"], hot_rows=1000)
+    df = metrics.calibration_bins(t.predictions(spark, sf), ["model"], hot_rows=1000)
     return _rounded(df, ["mean_predicted", "observed_rate"], 8)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.derive import row_fingerprint
-from ..operators import endpoints, incremental, metrics, quality, windows
+from ..operators import endpoints, incremental, metrics, population, quality, windows
 from . import tables as t
 from .outcome_queries import FOLD_SQL, _folds
 from .registry import query
@@ -378,11 +378,12 @@ def _(spark, sf):
 @query(
     "completeness_status",
     f"""WITH {DONE_SQL}, w AS (SELECT i.entity_id, CASE WHEN d.entity_id IS NULL THEN 'NEW' WHEN status = 'FAILED' THEN 'FAILED' WHEN d.fingerprint = i.fingerprint AND row_count = stored_rows THEN 'REUSED' ELSE 'STALE' END AS work_state
-      FROM inputs i LEFT JOIN done d USING (entity_id)) SELECT work_state, count(*) AS n, CASE WHEN (SELECT count(*) FROM w WHERE work_state = 'FAILED') > 0 THEN 'DEGRADED' ELSE 'COMPLETE' END AS status FROM w GROUP BY 1""",
+      FROM inputs i LEFT JOIN done d USING (entity_id)), b AS (SELECT count(*) AS entities, count(*) FILTER (work_state = 'FAILED') AS failed FROM w),
+    p AS (SELECT CASE WHEN work_state = 'FAILED' THEN 'FAILED' WHEN work_state = 'REUSED' THEN 'COMPLETE' ELSE 'NOT_APPLICABLE' END AS processing_status, work_state FROM w)
+    SELECT work_state, processing_status, count(*) AS n, any_value(entities) AS entities, any_value(failed) AS failed, CASE WHEN any_value(failed) > 0 THEN 'DEGRADED' ELSE 'COMPLETE' END AS status FROM p, b GROUP BY 1, 2""",
 )
 def _(spark, sf):
     report = incremental.reuse_report(*_work(spark, sf))
-    counts = report.groupBy("work_state").agg(F.count("*").alias("n"))
-    failed = F.sum(F.when(F.col("work_state") == "FAILED", F.col("n")).otherwise(0))
-    state = counts.agg(F.when(failed > 0, "DEGRADED").otherwise("COMPLETE").alias("status"), F.lit(1).alias("_k"))
-    return counts.withColumn("_k", F.lit(1)).join(state, "_k").drop("_k")
+    state = population.completeness(report, F.col("work_state") == "FAILED", F.col("work_state") == "REUSED")
+    counts = state.groupBy("work_state", "processing_status").agg(F.count("*").alias("n"))
+    return counts.withColumn("_k", F.lit(1)).join(incremental.build_status(report).withColumn("_k", F.lit(1)), "_k").drop("_k")

@@ -143,6 +143,15 @@ def _(spark, sf):
     return files.file_hash_table(spark, path, "*.txt", stream_bytes=half).select(F.regexp_extract("path", "g=([0-9]+)/", 1).alias("folder"), "digest", "length")
 
 
+@query("folder_hash_manifest", "SELECT sha256(string_agg(page_id || ' ' || sha256(html) || chr(10), '' ORDER BY page_id)) AS digest, (page_id % 16)::VARCHAR AS folder FROM pages GROUP BY 2")
+def _(spark, sf):
+    # The digest list of a folder, written and read back; only the data files are of interest here.
+    path, listed = _text_tree(spark, sf), scratch_path(spark, "listed")
+    sinks.folder_hash_manifest(spark, path, listed)
+    parsed, _ = readers.scan_hash_manifest(spark, listed)
+    return parsed.filter(F.col("path").endswith(".txt")).select("digest", F.regexp_extract("path", "g=([0-9]+)/", 1).alias("folder"))
+
+
 @query(
     "file_inventory",
     """SELECT 'OTHER' AS category, count(*) AS files, sum(n)::BIGINT AS bytes, max(n)::BIGINT AS largest FROM (SELECT page_id % 16 AS g, sum(length(page_id::VARCHAR) + 66) AS n FROM pages GROUP BY 1)""",

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortflow.operators import estimators, frozen, hazard, preprocess, validation
+from cohortflow.operators import bootstrap, estimators, frozen, hazard, preprocess, validation
 
 COLS = ["a", "b", "c"]
 
@@ -81,6 +81,45 @@ def test_trees_and_odds_ratios(frame):
     assert t["a"].odds_ratio == pytest.approx(np.exp(t["a"].coef)) and t["a"].or_ci_low <= t["a"].or_ci_high and t["a"].coef > 0
 
 
+@pytest.mark.parametrize("l1_ratio,balanced", [(0.0, True), (0.5, False)])
+def test_refits_equal_one_fit_per_replicate(frame, l1_ratio, balanced):
+    from cohortflow.operators.bootstrap import drawn_lists
+
+    prep = preprocess.fit_preparation(frame, COLS)
+    ready = frame.select("entity_id", F.array(*prep.scaled().values()).alias("x"), F.col("label").cast("long").alias("y"))
+    fits = frozen.weighted_refits(drawn_lists(ready, frame, 3, 11), len(COLS), C=0.5, l1_ratio=l1_ratio, balanced=balanced)
+    assert sorted(fits) == [0, 1, 2]
+    weights = bootstrap.bootstrap_draws(frame, 3, 11)
+    for rep, coef in fits.items():
+        drawn = frame.join(weights.filter(F.col("rep") == rep), "entity_id")
+        r = drawn.agg(F.sum("weight").alias("n"), F.sum(F.col("weight") * F.col("label")).alias("p")).first()
+        share = estimators.class_weight(r["n"], r["p"]) if balanced else F.lit(1.0)
+        one = estimators.fit_logistic(drawn, COLS, C=0.5, l1_ratio=l1_ratio, prep=prep, weight=F.col("weight") * share)
+        assert coef == pytest.approx([one.intercept, *one.coef], abs=2e-5)
+
+
+def test_search_and_refit_on_all_rows(frame):
+    chosen = validation.search_and_refit(frame, {"GOOD": ["a", "c"], "POOR": ["c"]}, seed=1, inner=2, grid=[{"C": 1.0, "l1_ratio": 0.0}, {"C": 0.1, "l1_ratio": 0.0}])
+    assert chosen.recipe == "GOOD" and chosen.params["C"] in (0.1, 1.0) and len(chosen.fits) == 4 + 4 + 1
+    whole = estimators.fit_logistic(frame, ["a", "c"], indicators=True, **chosen.params)
+    assert chosen.fit.coef == pytest.approx(whole.coef, abs=1e-6)
+    alone = validation.search_and_refit(frame, {"ONE": ["a"]}, inner=2, grid=[{"C": 1.0, "l1_ratio": 0.0}])
+    assert alone.screening == alone.inner_score
+
+
+def test_tree_draws_do_not_repeat():
+    for seed in (2, 42):
+        draws = estimators.tree_draws(200, seed)
+        assert len({tuple(sorted(d.items(), key=str)) for d in draws}) == 200 and all(d["max_depth"] <= estimators.MAX_DEPTH and "min_samples_split" not in d for d in draws)
+    assert estimators.tree_draws(9, 1, {"a": [1, 2], "b": [None, 3]}) in ([{"a": 1, "b": 3}, {"a": 2, "b": 3}], [{"a": 2, "b": 3}, {"a": 1, "b": 3}])
+
+
+def test_unbounded_depth_is_refused(frame):
+    for depth in (None, 31):
+        with pytest.raises((ValueError, TypeError)):
+            estimators.fit_forest(frame, COLS, {"max_depth": depth})
+
+
 def _efron(x, t, e, penalty):
     """Newton steps over explicit risk sets."""
     b = np.zeros(x.shape[1])
