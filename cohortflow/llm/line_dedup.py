@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortflow.llm.common import WHITE, carried, let, lower_ascii, opened, text_of
+from cohortflow.llm.common import WHITE, carried, let, lower_ascii, opened, text_of, written
 
 
 def line_key(line: Column) -> Column:
@@ -34,6 +34,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Data
     lines = line_hashes(docs.select("doc_id", "text"), min_chars)
     holders = lines.select("h1", "h2", "doc_id").distinct()
     frequent = holders.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("keeper")).filter(F.col("n_docs") >= min_docs)
+    frequent = written(frequent.select("h1", "h2", "keeper"), "frequent")  # read from a table, so Spark can split a hash that a third of all lines have
     lost = lines.join(frequent, ["h1", "h2"]).filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     lost = lost.groupBy(F.col("doc_id").alias("lost_id"), F.col("row_hash").alias("lost_hash")).agg(F.collect_set("pos").alias("lost_pos"))
 
