@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortflow.llm import co_training, language_id, line_crf, line_dedup, metric_search, mixing, packing, secret_scan, simhash, tool_calls
+from cohortflow.llm.secret_sql import SECRETS_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -123,7 +124,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("document.doc_id", *line_crf.STATS, "base_failed", "kept", "content_share", F.size("boilerplate_lines").cast("long").alias("n_boilerplate_lines"))
 
 
-@query("op1_secret_scan")
+@query("op1_secret_scan", SECRETS_SQL)
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base secrets of every whole text, counted and digested, and all spans with those that the randomness tests add."""
     scanned = secret_scan.scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -118,3 +118,20 @@ def test_step_up_rule():
     assert false_discovery_levels([("a", 30, 2), ("a", 0, 8), ("b", 5, 3)], 0.01) == {"a": 30}
     assert false_discovery_levels([("a", 20, 1), ("a", 21, 1)], 0.01) == {"a": 20}
     assert false_discovery_levels([], 0.01) == {}
+
+
+def test_sql_twin_says_the_same(spark, docs_of, tmp_path):
+    import duckdb
+
+    from cohortflow.llm.queries import QUERIES
+    from cohortflow.llm.secret_sql import SECRETS_SQL
+
+    rows = [r for r in {r[0]: r for r in sample_rows()}.values() if r[0] is not None and "ſ" not in (r[1] or "")]
+    docs_of(rows, 1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    cur = con.execute(SECRETS_SQL)
+    names = [d[0] for d in cur.description]
+    want = {r[names.index("doc_id")]: dict(zip(names, r)) for r in cur.fetchall()}
+    got = {r.doc_id: r.asDict() for r in QUERIES["op1_secret_scan"](spark, str(tmp_path)).collect()}
+    assert got == want and sum(r["n_random"] for r in got.values()) > 5
