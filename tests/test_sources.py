@@ -111,3 +111,14 @@ def test_overlapping_shards(spark):
     m = spark.createDataFrame(rows, "shard string, first_entity int, last_entity int")
     for ranges in (1, 3, 8):
         assert sorted(r.shard for r in sinks.overlapping_shards(m, ranges).collect()) == ["c", "e"]
+
+
+def test_scratch_is_cleared_on_request(spark):
+    import os
+
+    from cohortflow import session
+
+    path = session.scratch_path(spark, "once")
+    spark.range(3).write.parquet(path)
+    assert os.path.exists(path.removeprefix("file:"))
+    assert session.clear_scratch(spark) >= 1 and not os.path.exists(path.removeprefix("file:")) and session.clear_scratch(spark) == 0
