@@ -37,12 +37,13 @@ def descent(z: str, settings: str, features: int, name: str, steps: int = STEPS)
     weights = ", ".join(f"w{i}" for i in k)
     sums = ", ".join([f"sum(wt * {error}) / sum(wt) AS gb", *[f"sum(wt * z{i} * {error}) / sum(wt) AS g{i}" for i in k]])
     kept = ", ".join(f"any_value({c}) AS {c}" for c in ["c", "l1", "b", *[f"w{i}" for i in k], *[f"u{i}" for i in k]])
-    moved = ", ".join(f"u{i} * sign(v{i}) * greatest(abs(v{i}) - l1 / (c * sw), 0) AS w{i}" for i in k)
-    stepped = ", ".join(f"w{i} - g{i} - (1 - l1) / (c * sw) * w{i} AS v{i}" for i in k)
+    moved = ", ".join(f"u{i} * sign(v{i}) * greatest(abs(v{i}) - rate * l1 / (c * sw), 0) AS w{i}" for i in k)
+    # The step allows for the curvature of the penalty.
+    stepped = ", ".join(f"w{i} - rate * (g{i} + (1 - l1) / (c * sw) * w{i}) AS v{i}" for i in k)
     return f"""{name}_gd AS (SELECT key, cand, c, l1, 0 AS step, 0.0::DOUBLE AS b, {", ".join(f"0.0::DOUBLE AS w{i}" for i in k)}, {", ".join(f"u{i}" for i in k)} FROM {settings}
   UNION ALL SELECT key, cand, c, l1, step + 1, b, {moved}, {", ".join(f"u{i}" for i in k)} FROM (
-    SELECT key, cand, c, l1, step, sw, b - gb AS b, {stepped}, {", ".join(f"u{i}" for i in k)} FROM (
-      SELECT s.key, cand, step, sum(wt) AS sw, {kept}, {sums} FROM {name}_gd s JOIN {z} d ON s.key = d.key GROUP BY s.key, cand, step)) WHERE step < {steps}),
+    SELECT key, cand, c, l1, step, sw, rate, b - rate * gb AS b, {stepped}, {", ".join(f"u{i}" for i in k)} FROM (
+      SELECT *, 1 / (1 + (1 - l1) / (c * sw)) AS rate FROM (SELECT s.key, cand, step, sum(wt) AS sw, {kept}, {sums} FROM {name}_gd s JOIN {z} d ON s.key = d.key GROUP BY s.key, cand, step))) WHERE step < {steps}),
 {name} AS (SELECT key, cand, b, {weights} FROM {name}_gd WHERE step = {steps})"""
 
 
