@@ -171,7 +171,7 @@ def false_discovery_levels(counts: list[tuple[str, int, int]], rate: float) -> d
 def scan_secrets(docs: DataFrame, min_token: int = 20, alpha: float = 0.001, rate: float = 0.01) -> DataFrame:
     """doc_id, spans: array of (start, kind_no, end, kind), sorted by place, of every row of `docs`.
 
-    Base kinds are patterns. Kind `random` adds runs of at least `min_token` letters of encoded data that no base span holds:
+    Base kinds are patterns. Kind `random` adds runs of at least `min_token` letters of encoded data, also right after an equals sign, that no base span holds:
     the battery must not reject randomness at `alpha`, and ordinary text must be rejected under false-discovery control at
     `rate`. The control runs over all tokens of the corpus, apart for each encoding and doubling of the length. Only counts per
     stratum and level of p reach the driver: at most a few thousand rows, whatever the input. Texts are read once; their
@@ -182,7 +182,7 @@ def scan_secrets(docs: DataFrame, min_token: int = 20, alpha: float = 0.001, rat
     Other columns are not read.
     """
     text = text_of()
-    tokens = F.transform(found(text, "(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{%d,}={0,2}" % min_token), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), battery(m["token"]).alias("b")))
+    tokens = F.transform(found(text, "(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}={0,2}" % min_token), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), battery(m["token"]).alias("b")))
 
     def levelled(m: Column) -> Column:
         b = m["b"]

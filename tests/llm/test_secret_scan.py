@@ -135,3 +135,14 @@ def test_sql_twin_says_the_same(spark, docs_of, tmp_path):
     want = {r[names.index("doc_id")]: dict(zip(names, r)) for r in cur.fetchall()}
     got = {r.doc_id: r.asDict() for r in QUERIES["op1_secret_scan"](spark, str(tmp_path)).collect()}
     assert got == want and sum(r["n_random"] for r in got.values()) > 5
+
+
+def test_tokens_after_an_equals_sign(docs_of):
+    rng = random.Random(9)
+    pick = lambda: "".join(rng.choice(ENCODINGS[3][1]) for _ in range(60))
+    names = ["PRIVATE_KEY=", "AccountKey=", "?sig=", "aws_secret_access_key=", "padded=="]
+    rows = [(i, f"some words {names[i % 5]}{pick()}== and more") for i in range(50)]
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in scan_secrets(docs_of(rows)).collect()}
+    for i, text in rows:
+        start = text.index("=") + (2 if i % 5 == 4 else 1)
+        assert (start, 3, start + 62, "random") in got[i]
