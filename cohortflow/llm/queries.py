@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortflow.llm import co_training, language_id, line_crf, line_dedup, metric_search, mixing, packing, secret_scan, simhash, tool_calls
+from cohortflow.llm import co_training, infilling, language_id, line_crf, line_dedup, metric_search, mixing, packing, personal_data, secret_scan, simhash, tool_calls, vector_codes
 from cohortflow.llm.secret_sql import SECRETS_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -201,3 +201,73 @@ def op4_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     messages = tool_calls.tool_transcript(table(spark, sf_dir, "conversations"))
     linked = tool_calls.link_tool_calls(messages, tool_calls.SCHEMAS)
     return linked.select("conv_id", "call_id", "name", "turn", "level", "n_results", F.array_join("errors", ",").alias("errors"), "status", F.sha2("canonical", 256).alias("canonical_sha256"))
+
+
+@query("op11_personal_data")
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every whole text: base spans counted and digested, and all spans with those that the model adds."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = personal_data.find_personal_data(docs, personal_data.train_span_model(docs))
+    base = F.filter("spans", lambda s: s["base"])
+    counts = [F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}") for kind in personal_data.KINDS]
+    return found.select("doc_id", *counts, F.sha2(personal_data.joined_spans(base), 256).alias("base_sha256"), personal_data.joined_spans(F.col("spans")).alias("spans"))
+
+
+@query("op12_fill_in_middle", r"""
+WITH hashed AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents
+), drawn AS (
+  SELECT doc_id, text, length(text) AS n, ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2, ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4 FROM hashed
+), cuts AS (
+  SELECT doc_id, text, n, least(h1 % (n + 1), h2 % (n + 1)) AS i, greatest(h1 % (n + 1), h2 % (n + 1)) AS j,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM drawn
+), pieces AS (
+  SELECT *, substr(text, 1, i) AS prefix, substr(text, i + 1, j - i) AS middle, substr(text, j + 1) AS suffix FROM cuts
+)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN i END AS prefix_chars, CASE WHEN form <> 'plain' THEN j - i END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM pieces
+""")
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cuts and form of every document, with digests of the output and of the text rebuilt from it."""
+    made = infilling.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    back = infilling.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+def _nearest_sql(books: str, out: str) -> str:
+    """The nearest entry of every part: its number and squared distance."""
+    return f"""{out} AS (
+  SELECT row_id, part, arg_min(entry, distance * 64 + entry) AS entry, min(distance) AS distance FROM (
+    SELECT c.row_id, c.part, b.entry, sum((c.x - b.x) * (c.x - b.x))::BIGINT AS distance FROM cells c JOIN {books} b ON c.part = b.part AND c.i = b.i GROUP BY c.row_id, c.part, b.entry) GROUP BY row_id, part)"""
+
+
+def _average_sql(near: str, books: str, out: str) -> str:
+    """Every used entry replaced by the floor of the mean of its parts."""
+    return f"""{out} AS (
+  SELECT b.part, b.entry, b.i, coalesce(m.x, b.x) AS x FROM {books} b LEFT JOIN (
+    SELECT c.part, n.entry, c.i, floor(sum(c.x)::DOUBLE / count(*))::BIGINT AS x FROM cells c JOIN {near} n ON c.row_id = n.row_id AND c.part = n.part GROUP BY c.part, n.entry, c.i) m
+  ON b.part = m.part AND b.entry = m.entry AND b.i = m.i)"""
+
+
+@query("op13_vector_codes", f"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v, row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS row_id FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), cells AS (
+  SELECT row_id, (k - 1) // (len(v) // 16) AS part, (k - 1) % (len(v) // 16) AS i, v[k] AS x FROM (SELECT row_id, v, unnest(range(1, len(v) + 1)) AS k FROM kept)
+), books0 AS (
+  SELECT part, row_id - 1 AS entry, i, x FROM cells WHERE row_id <= 64
+), {_nearest_sql("books0", "near0")}, {_average_sql("near0", "books0", "books1")}, {_nearest_sql("books1", "near1")}, {_average_sql("near1", "books1", "books2")}, {_nearest_sql("books2", "near2")},
+coded AS (
+  SELECT k.vec_id, k.label, string_agg(printf('%02x', n.entry), '' ORDER BY n.part) AS code, sum(n.distance)::BIGINT AS error FROM near2 n JOIN kept k USING (row_id) GROUP BY k.row_id, k.vec_id, k.label
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+       sha256((SELECT string_agg(x::VARCHAR, ',' ORDER BY part, entry, i) FROM books2)) AS codebooks_sha256
+FROM coded
+""")
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code of every whole vector, its error, its label's error and the digest of the codebooks."""
+    codes, codebooks = vector_codes.compress_vectors(table(spark, sf_dir, "embeddings"))
+    return codes.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.codebook_digest(codebooks)).alias("codebooks_sha256"))
