@@ -400,6 +400,8 @@ def teaching_examples(found: list[tuple[str, list[Span]]], seed: int = 7, joined
     for card in cores[CARD]:
         last = (int(card[-1]) + rng.randint(1, 9)) % 10
         wrong.append((card[:-1] + str(last), []))
+        ends = ["".join(rng.choices("0123456789abcdef", k=rng.randint(0, 6))) for _ in range(2)]
+        wrong.append(rng.choice([(f"{ends[0]}{rng.choice('abcdef')}{card}", []), (f"{card}{rng.choice('abcdef')}{ends[1]}", [])]))  # a part of a key
     for address in cores[IP]:
         parts = address.split(".")
         parts[rng.randrange(4)] = str(rng.randint(256, 999))
