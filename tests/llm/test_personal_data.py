@@ -93,8 +93,8 @@ def test_training_tells_neighbours_apart_and_leaves_lookalikes(spark, sf):
         missed += sum(not covered(w) and not clash(w) for w in want)
         assert set(base) <= set(found)
     assert missed <= 4
-    for text in ("on 2024-01-02 at 03:04", "1 2 3 4 5 6 7 8 9 10", "key 45bb0d53635bf1b89d4571475004921503", "foo@bar", "300.301.302.303", "4539578763621487", "no digits at all"):
-        assert model.spans(text) == []
+    for text in ("on 2024-01-02 at 03:04", "1 2 3 4 5 6 7 8 9 10", "key 45bb0d53635bf1b89d4571475004921503", "key a4539578763621486 7b", "foo@bar", "300.301.302.303", "4539578763621487", "no digits at all"):
+        assert model.spans(text) == base_spans(text)
 
 
 def test_islands_hold_all_candidates():
