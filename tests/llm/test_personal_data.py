@@ -99,7 +99,7 @@ def test_training_tells_neighbours_apart_and_leaves_lookalikes(spark, sf):
 
 def test_islands_hold_all_candidates():
     text = "x é1@b.c  +1 (234) 555-6789 4539578763621486\nend 12 a.b.c.d1"
-    assert [t for _, t in islands(text)] == ["é1@b.c", "+1 (234) 555-6789 4539578763621486", "a.b.c.d1"][: len(islands(text))]
+    assert [t for _, t in islands(text)] == ["é1@b.c", "+1 (234) 555-6789 4539578763621486", "12 a.b.c.d1"]
     assert all(text[s:s + len(t)] == t for s, t in islands(text))
     assert teaching_examples([]) == []
 
