@@ -125,22 +125,23 @@ def fit_language_model(texts: list[str], gold: list[str], buckets: int = 1 << 14
     return model
 
 
-def train_language_model(docs: DataFrame, per_language: int = 600, sample_chars: int = 2000, **options) -> LanguageModel | None:
+def train_language_model(docs: DataFrame, per_language: int = 600, sample_chars: int = 2000, max_texts: int = 40_000, **options) -> LanguageModel | None:
     """A model fitted on a bounded sample of rows with a language and letters: at most `per_language` of each.
 
     Rows are chosen by a hash of doc_id and text, whose bar per language follows from the language's row count; of a long text
-    a run of `sample_chars` at a hashed place is taken. Languages beyond the thousand most frequent are left out, so the
-    sample on the driver has a bound. None without any such row.
+    a run of `sample_chars` at a hashed place is taken. Every language is learned: where there are many, each gives an equal
+    share of `max_texts` rows, one at least. None without any such row.
     """
     labelled = docs.select("doc_id", text_of().alias("text"), F.col("lang").cast("string").alias("lang")).filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    found = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(1000).collect()
+    found = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
     if not found:
         return None
+    per_language = min(per_language, max(1, max_texts // len(found)))
     mixed = F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(1 << 30))
-    bars = docs.sparkSession.createDataFrame([(r.lang, int((1 << 30) * min(1.0, 1.2 * per_language / r.n))) for r in found], "known string, bar long")
+    bars = docs.sparkSession.createDataFrame([(r.lang, int((1 << 30) * min(1.0, (1.2 * per_language + 20) / r.n))) for r in found], "known string, bar long")
     start = F.pmod(F.xxhash64(F.lit(2), "doc_id"), F.greatest(F.lit(1), F.length("text") - sample_chars + 1)).cast("int") + 1
     drawn = labelled.withColumn("draw", mixed).join(F.broadcast(bars), F.col("lang") == F.col("known")).filter(F.col("draw") < F.col("bar"))
-    rows = drawn.select("lang", "draw", F.substring("text", start, F.lit(sample_chars)).alias("text")).orderBy("draw", "lang", "text").limit(2 * per_language * len(found)).collect()
+    rows = drawn.select("lang", "draw", F.substring("text", start, F.lit(sample_chars)).alias("text")).orderBy("draw", "lang", "text").limit((2 * per_language + 40) * len(found)).collect()
     taken: dict[str, list[str]] = {}
     for r in rows:
         if len(taken.setdefault(r.lang, [])) < per_language:

@@ -159,7 +159,8 @@ def train_line_chain(docs: DataFrame, labels: DataFrame, per_class: int = 1000,
 
     Lines have no labels of their own. A first chain of single lines learns the label of their document; then the lines of
     poor documents keep the label boilerplate only where that model agrees, and the real chain is fitted on those. A sampled
-    document of more than `max_lines` lines gives one run of that many, at a hashed place. None where a class is absent.
+    document of more than `max_lines` lines gives one run of that many, at a hashed place. Of repeated rows of one doc_id the text
+    of the smallest hash is taken, so a sampled id is one row. None where a class is absent.
     """
     ranked = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "quality").distinct()
     chosen = [ranked.filter(F.col("quality") == q).orderBy(F.xxhash64(F.lit(5), "doc_id"), "doc_id").limit(per_class) for q in (0, 1)]
@@ -171,8 +172,9 @@ def train_line_chain(docs: DataFrame, labels: DataFrame, per_class: int = 1000,
 
     rows = features(text_of())
     start = F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.size("rows") - max_lines + 1)).cast("int") + 1
-    found = docs.select("doc_id", "text").join(sample, "doc_id").select("doc_id", "quality", rows.alias("rows")).select("doc_id", "quality", F.slice("rows", start, max_lines).alias("rows"))
-    taken = sorted(found.limit(4 * per_class).collect(), key=lambda r: (r.doc_id, r.quality, len(r.rows)))
+    once = docs.select("doc_id", "text").join(sample, "doc_id").groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    found = once.select("doc_id", "quality", rows.alias("rows")).select("doc_id", "quality", F.slice("rows", start, max_lines).alias("rows"))
+    taken = sorted(found.collect(), key=lambda r: (r.doc_id, r.quality))
     if len({r.quality for r in taken}) < 2:
         return None
     x = [np.array(r.rows) for r in taken]

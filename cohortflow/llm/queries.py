@@ -73,10 +73,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_source_mixing", r"""
 WITH RECURSIVE sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT AS draw, row_number() OVER (ORDER BY doc_id) AS row_id
+         ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 12))::BIGINT AS draw, row_number() OVER (ORDER BY doc_id) AS row_id
   FROM documents
 ), sources AS (
-  SELECT source, sum(size)::BIGINT AS source_size, greatest(1, round(sqrt(count(*))))::BIGINT AS buckets,
+  SELECT source, sum(size)::BIGINT AS source_size,
          [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS w FROM sized GROUP BY source
 ), fill AS (
   SELECT 0 AS step, source, w, 2 * source_size AS cap, false AS clamped FROM sources
@@ -91,24 +91,17 @@ WITH RECURSIVE sized AS (
   SELECT source, CASE WHEN clamped THEN cap::DOUBLE ELSE w * ((1.5::DOUBLE * (SELECT sum(source_size) FROM sources) - (SELECT coalesce(sum(cap) FILTER (WHERE clamped), 0) FROM last)) / (SELECT sum(w) FILTER (WHERE NOT clamped) FROM last)) END AS target FROM last
 ), plan AS (
   SELECT s.*, t.target, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM sources s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
-), ranged AS (
-  SELECT z.*, p.source_size, p.target, p.whole, p.target - p.whole * p.source_size AS rest, floor(z.draw / 281474976710656.0::DOUBLE * p.buckets)::BIGINT AS bucket
+), ranked AS (
+  SELECT z.*, p.source_size, p.target, p.whole, CASE WHEN p.whole < 2 THEN p.target - p.whole * p.source_size ELSE 0 END AS rest,
+         row_number() OVER (PARTITION BY z.source ORDER BY z.size = 0, z.draw, z.size) AS turn
   FROM sized z JOIN plan p ON z.source IS NOT DISTINCT FROM p.source
-), running AS (
-  SELECT source, bucket, rest, words, sum(words) OVER (PARTITION BY source ORDER BY bucket) AS upto FROM (SELECT source, bucket, rest, sum(size) AS words FROM ranged GROUP BY source, bucket, rest)
-), edges AS (
-  SELECT source, bucket AS edge, rest - (upto - words) AS open FROM running WHERE upto > rest AND upto - words <= rest
-), placed AS (
-  SELECT r.*, e.edge, e.open, row_number() OVER (PARTITION BY r.source, r.bucket ORDER BY r.draw, r.size) AS turn FROM ranged r LEFT JOIN edges e ON r.source IS NOT DISTINCT FROM e.source
 ), walk AS (
-  SELECT source, 1::BIGINT AS turn, row_id, size <= open AS took, open - CASE WHEN size <= open THEN size ELSE 0 END AS left_over FROM placed WHERE bucket = edge AND turn = 1
+  SELECT source, turn, row_id, size <= rest AND size > 0 AS took, rest - CASE WHEN size <= rest THEN size ELSE 0 END AS left_over FROM ranked WHERE turn = 1
   UNION ALL
-  SELECT p.source, p.turn, p.row_id, p.size <= w.left_over, w.left_over - CASE WHEN p.size <= w.left_over THEN p.size ELSE 0 END
-  FROM walk w JOIN placed p ON p.source IS NOT DISTINCT FROM w.source AND p.turn = w.turn + 1 AND p.bucket = p.edge
+  SELECT r.source, r.turn, r.row_id, r.size <= w.left_over AND r.size > 0, w.left_over - CASE WHEN r.size <= w.left_over THEN r.size ELSE 0 END
+  FROM walk w JOIN ranked r ON r.source IS NOT DISTINCT FROM w.source AND r.turn = w.turn + 1
 )
-SELECT p.doc_id, p.size, p.source_size, p.target,
-       (p.size * (p.whole + CASE WHEN edge IS NULL OR bucket < edge THEN 1 WHEN bucket > edge THEN 0 ELSE coalesce(w.took, false)::INT END))::BIGINT AS taken
-FROM placed p LEFT JOIN walk w ON p.row_id = w.row_id
+SELECT r.doc_id, r.size, r.source_size, r.target, (r.size * (r.whole + w.took::INT))::BIGINT AS taken FROM ranked r JOIN walk w USING (row_id)
 """)
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of each document, with its source's size and target."""

@@ -21,7 +21,7 @@ _UPPER_TAIL = "exp(-z * z / 2) / (2.5066282746310002::DOUBLE * (0.661::DOUBLE *
 SECRETS_SQL = f"""
 WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 kinds AS (SELECT * FROM (VALUES (0, 'assign', 6), (1, 'access', 20), (2, 'hex', 24), (9, 'run', 20)) v(kind_no, kind, least_length)),
-lists AS ({_list(0, ASSIGN, 2)} UNION ALL {_list(1, 'AKIA[A-Z0-9]+')} UNION ALL {_list(2, '[0-9a-f]+')} UNION ALL {_list(9, '[A-Za-z0-9+/_=-]+')}),
+lists AS ({_list(0, ASSIGN, 2)} UNION ALL {_list(1, 'AKIA[A-Z0-9]+')} UNION ALL {_list(2, '[0-9a-f]+')} UNION ALL {_list(9, '[A-Za-z0-9+/_-]+={0,2}')}),
 parts AS (
   SELECT doc_id, kind_no, unnest(tokens) AS token, unnest(measured) AS measured, unnest(gaps[1:len(tokens)]) AS gap, generate_subscripts(tokens, 1) AS i FROM lists WHERE len(tokens) > 0
 ), summed AS (
@@ -31,8 +31,7 @@ parts AS (
 ), base AS (
   SELECT doc_id, kind_no, kind, start, start + length(token) AS stop FROM placed WHERE kind_no < 9
 ), tokens AS (
-  SELECT doc_id, start, start + length(token) AS stop, rtrim(token, '=') AS bare
-  FROM (SELECT doc_id, start, regexp_extract(token, '^[A-Za-z0-9+/_-]{{20,}}={{0,2}}') AS token FROM placed WHERE kind_no = 9) WHERE token <> ''
+  SELECT doc_id, start, start + length(token) AS stop, rtrim(token, '=') AS bare FROM placed WHERE kind_no = 9 AND length(rtrim(token, '=')) >= 20
 ), encoded AS (
   SELECT *, CASE WHEN regexp_full_match(bare, '[0-9a-f]+') THEN 'hex' WHEN regexp_full_match(bare, '[0-9A-F]+') THEN 'HEX' WHEN regexp_full_match(bare, '[A-Z2-7]+') THEN 'base32'
     WHEN regexp_full_match(bare, '[A-Za-z0-9+/]+') THEN 'base64' WHEN regexp_full_match(bare, '[A-Za-z0-9_-]+') THEN 'base64url' END AS encoding FROM tokens

@@ -62,3 +62,9 @@ def test_held_out_accuracy_on_the_given_table(spark, sf):
     assert len(out) == len(docs) and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in out)
     held = [r for r in out if r.held_out and docs[r.doc_id].lang]
     assert np.mean([r.lang_pred == docs[r.doc_id].lang for r in held]) > 0.95
+
+
+def test_every_language_is_learned(spark):
+    rows = [(i, f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)} text of it", f"lang{i:04d}") for i in range(1001)]
+    model = train_language_model(spark.createDataFrame(rows * 2, "doc_id long, text string, lang string"), max_texts=2002, epochs=1, buckets=256, width=4)
+    assert len(model.languages) == 1001

@@ -96,3 +96,11 @@ def test_without_labels_the_base_rules_decide(spark, docs_of):
     docs = docs_of(rows)
     assert train_line_chain(docs, labels) is None
     assert all(r.kept and r.content_share == 1.0 for r in judge_documents(docs, labels).collect())
+
+
+def test_repeated_rows_of_a_sampled_document_do_not_crowd_out_a_class(spark):
+    rows = [(1, "One good line of words here.\nAnd another good line.")] * 300 + [(i, "Some words here.\nMore words there.") for i in range(2, 12)] + [(i, "$$$ ### |||\n!!! ***") for i in range(20, 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    labels = spark.createDataFrame([(i, int(i < 20)) for i, _ in set(rows)], "doc_id long, quality int")
+    first, again = train_line_chain(docs, labels, per_class=15), train_line_chain(docs.repartition(3), labels, per_class=15)
+    assert first is not None and (first.emission == again.emission).all()

@@ -2,9 +2,10 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
+from test_jaccard import slow_similar
 from test_line_dedup import expected as dedup_expected
 from test_mixing import expected as mix_expected
-from test_simhash import slow_groups
 
 import corpus_pipeline
 from cohortflow.llm.line_crf import judge_documents
@@ -31,7 +32,7 @@ def test_stages(spark, sf):
     assert sorted((r.doc_id, r.text) for r in clean) == sorted((i, t) for i, t, _, _ in dedup_expected([(r.doc_id, r.text) for r in good]))
 
     single = stages["near dedup"](spark, spark.createDataFrame(clean, docs.schema), sf).collect()
-    assert sorted(r.doc_id for r in single) == sorted({low for _, _, low in slow_groups([(r.doc_id, r.text) for r in clean])})
+    assert sorted(r.doc_id for r in single) == sorted({low for _, low in slow_similar([(r.doc_id, r.text) for r in clean])})
     assert {tuple(r) for r in single} <= {tuple(r) for r in clean}
 
     mixed = stages["source mixing"](spark, spark.createDataFrame(single, docs.schema), sf).collect()
@@ -52,3 +53,21 @@ def test_stages(spark, sf):
     assert max(ends.values()) <= 4096 and np.mean(list(ends.values())) > 3500
 
     assert sorted(map(tuple, corpus_pipeline.run(spark, sf).collect())) == sorted(map(tuple, packed))
+
+
+def test_stages_on_odd_rows(spark, docs_of, tmp_path):
+    """Null, empty and very long texts, repeated rows, null columns and clashing names go through every stage."""
+    text = "These are some words of an ordinary text that says this and that about many things of no account, number {}."
+    rows = [(i, text.format(i) + " and more words that only this text holds %d %d %d" % (i, i * 7, i * 31), "en", "a") for i in range(30)]
+    rows += [(None, text.format("none"), None, None), (50, None), (51, ""), (52, " \n "), (53, "long words here " * 20_000, "en", "b"), rows[3], rows[3], (54, text.format("x"), None, None)]
+    docs = docs_of(rows).withColumn("size", F.lit("clash")).withColumn("kept", F.lit(1)).withColumn("row_hash", F.lit("x")).withColumn("_row", F.lit(2)).withColumn("fp", F.lit(3))
+    spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    for part in (docs, docs.limit(0)):
+        now = part
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, now, str(tmp_path))
+            if name != "packing":
+                assert out.columns == docs.columns
+            rows_out = out.collect()
+            now = spark.createDataFrame(rows_out, out.schema)
+        assert bool(rows_out) == bool(part.count())

@@ -127,6 +127,9 @@ def test_sql_twin_says_the_same(spark, docs_of, tmp_path):
     from cohortflow.llm.secret_sql import SECRETS_SQL
 
     rows = [r for r in {r[0]: r for r in sample_rows()}.values() if r[0] is not None and "ſ" not in (r[1] or "")]
+    rng = random.Random(12)
+    planted = {i: f"words {name}{''.join(rng.choice(ENCODINGS[3][1]) for _ in range(64))}== end" for i, name in enumerate(["PRIVATE_KEY=", "AccountKey==", "?sig=", "x=y="] * 5, 5000)}
+    rows += list(planted.items())
     docs_of(rows, 1).write.parquet(str(tmp_path / "documents.parquet"))
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
@@ -135,6 +138,7 @@ def test_sql_twin_says_the_same(spark, docs_of, tmp_path):
     want = {r[names.index("doc_id")]: dict(zip(names, r)) for r in cur.fetchall()}
     got = {r.doc_id: r.asDict() for r in QUERIES["op1_secret_scan"](spark, str(tmp_path)).collect()}
     assert got == want and sum(r["n_random"] for r in got.values()) > 5
+    assert all(got[i]["n_random"] == 1 for i in planted)
 
 
 def test_tokens_after_an_equals_sign(docs_of):
