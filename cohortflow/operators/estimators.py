@@ -1,4 +1,4 @@
-"""Fits on Spark ML with the study's own preparation and penalty scale."""
+"""Single fits with the study's own preparation and penalty scale: logistic models on Spark ML, trees of `trees`."""
 
 from __future__ import annotations
 
@@ -6,12 +6,12 @@ import math
 import random
 from dataclasses import dataclass
 
-from pyspark.ml.classification import LogisticRegression, RandomForestClassificationModel, RandomForestClassifier
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.constants import BALANCED_C_GRID, ELASTIC_C_GRID, ELASTIC_L1_GRID, L2_GRID, TREE_GRID
+from . import trees
 from .preprocess import Preparation, fit_preparation
 
 MAX_ITER = 5000
@@ -48,16 +48,15 @@ class PriorFit:
 
 @dataclass
 class ForestFit:
+    """Trees as a table of nodes, see `trees.grow_forests`."""
+
     prep: Preparation
-    model: RandomForestClassificationModel
+    nodes: DataFrame
     params: dict
 
     def scored(self, df: DataFrame, out: str = "score") -> DataFrame:
-        filled = df.withColumn("_x", F.array(*self.prep.filled().values()))
-        vectors = _as_vector(filled)
-        return self.model.transform(vectors).withColumn(out, vector_to_array("probability")[1]).drop(
-            "_x", "_features", "rawPrediction", "probability", "prediction"
-        )
+        rows = df.select(F.struct("*").alias("_row"), F.array(*self.prep.filled().values()).alias("x"), F.array(F.lit(0)).alias("forests"))
+        return trees.score_forests(rows, self.nodes, keep=["_row"]).select("_row.*", F.col("score").alias(out))
 
 
 def _as_vector(df: DataFrame) -> DataFrame:
@@ -110,33 +109,12 @@ def fit_prior(train: DataFrame, label: str = "label") -> PriorFit:
     return PriorFit(float(train.agg(F.avg(F.col(label).cast("double"))).first()[0]), {})
 
 
-def fit_forest(train: DataFrame, columns: list[str], params: dict, *, seed: int = 42, label: str = "label") -> ForestFit:
-    """Trees without row resampling and with random feature subsets.
-
-    Spark ML has no randomised thresholds and no minimum split size: a split is the best of
-    the binned thresholds, and only the minimum leaf size limits it.
-    """
-    depth = params.get("max_depth", 8)
-    if depth is None or not 1 <= depth <= MAX_DEPTH:
-        raise ValueError(f"max_depth must lie between 1 and {MAX_DEPTH}, the bound of Spark ML")
-    prep = fit_preparation(train, columns, scale=False)
-    share = params.get("class_weight", "balanced")
-    if share == "balanced":
-        weight = balanced_weight(train, label)
-    else:
-        zero, one = (float(v) for v in share.split(":"))
-        weight = F.when(F.col(label) == 1, F.lit(one)).otherwise(F.lit(zero))
-    rows = _as_vector(
-        train.select(F.array(*prep.filled().values()).alias("_x"), F.col(label).cast("double").alias("label"), weight.alias("weight"))
-    ).drop("_x")
-    subset = params.get("max_features", "sqrt")
-    model = RandomForestClassifier(
-        featuresCol="_features", labelCol="label", weightCol="weight", bootstrap=False, seed=seed,
-        numTrees=params.get("n_estimators", 800), maxDepth=depth,
-        minInstancesPerNode=params.get("min_samples_leaf", 2),
-        featureSubsetStrategy=str(subset),
-    ).fit(rows)
-    return ForestFit(prep, model, dict(params))
+def fit_forest(train: DataFrame, columns: list[str], params: dict, *, seed: int = 42, label: str = "label", local_rows: int = trees.LOCAL_ROWS) -> ForestFit:
+    """Extremely randomised trees: no row resampling, random inputs and thresholds per node, unlimited depth by default."""
+    prep = fit_preparation(train, columns, scale=False, label=label)
+    rows = train.select(F.lit(0).alias("members"), F.array(*prep.filled().values()).alias("x"), F.col(label).cast("int").alias("y"))
+    spec = trees.forest_spec(0, 0, params, len(columns), prep.rows, prep.positives)
+    return ForestFit(prep, trees.grow_forests(rows, [spec], seed=seed, local_rows=local_rows), dict(params))
 
 
 def l2_grid() -> list[dict]:
@@ -151,21 +129,13 @@ def balanced_grid() -> list[dict]:
     return [{"C": c, "l1_ratio": r} for r in (1.0, 0.0) for c in BALANCED_C_GRID]
 
 
-#: Deepest tree that Spark ML grows.
-MAX_DEPTH = 30
-
-
 def tree_draws(n_iter: int, seed: int, grid: dict = TREE_GRID) -> list[dict]:
-    """Seeded random settings from the tree grid, none twice.
-
-    Only what Spark ML can tell apart is drawn: unlimited depth is not offered, and the minimum split size has no effect.
-    """
-    axes = {k: [x for x in v if x is not None] for k, v in grid.items() if k != "min_samples_split"}
-    size = math.prod(len(v) for v in axes.values())
+    """Seeded random settings from the tree grid, none twice."""
+    size = math.prod(len(v) for v in grid.values())
     out = []
     for number in random.Random(seed).sample(range(size), min(n_iter, size)):
         setting = {}
-        for k, values in axes.items():
+        for k, values in grid.items():
             number, at = divmod(number, len(values))
             setting[k] = values[at]
         out.append(setting)

@@ -1,42 +1,34 @@
-"""Nested, repeated and recipe-selecting cross-validation on Spark ML.
+"""Nested, repeated and recipe-selecting cross-validation, all fits of a stage in one batch.
 
-Folds are columns; the driver only loops over fits.  Every fit is a distributed Spark
-job, fits of one stage run side by side from a small thread pool, and the candidates of
-a stage are scored and compared in one grouped job.
+Folds are columns, training sets are numbers: a row lists the sets that train on it and the sets that predict it. All
+settings of all inner folds, outer folds and seeds are fitted together (`batched` for logistic models, `trees` for forests),
+scored in one pass and compared in one grouped job, so the number of jobs does not depend on folds, seeds or settings.
 """
 
 from __future__ import annotations
 
 import json
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.constants import SCREEN_C, SCREEN_L1_RATIO
+from ..functions.parsing import nan_to_null
 from ..session import cut_lineage
-from .distributions import best_by_score, repeated_summary, repeated_summary_wide
-from .estimators import (
-    ForestFit, LogisticFit, PriorFit, class_weight, fit_forest, fit_logistic, fit_prior, l2_grid, training_rows, tree_draws,
-)
-from .folds import stratified_folds
+from . import trees
+from .batched import Features, ModelSpec, Solution, fit_models, score_models
+from .distributions import repeated_summary, repeated_summary_wide
+from .estimators import LogisticFit, elastic_grid, l2_grid, tree_draws
 from .metrics import apply_cut, compute_metrics, ranking_metrics, run_metrics, threshold_target_specificity
-from .ordered import HOT_ROWS, ONE_BUCKET
-from .preprocess import fit_preparations
+from .ordered import HASH_DIGITS, HOT_ROWS, ONE_BUCKET, hash_rank
+from .preprocess import Preparation, fit_preparations
 from .relational import assert_unique, stack_frames
 
-PARALLEL_FOLDS = 3
-PARALLEL_FITS = 8
-
-
-def _parallel(spark: SparkSession, tasks: list, width: int = PARALLEL_FITS) -> list:
-    if not tasks:
-        return []
-    carry = inheritable_thread_target(spark)
-    with ThreadPoolExecutor(min(width, len(tasks))) as pool:
-        return list(pool.map(carry(lambda t: t()), tasks))
+#: Rows over all training sets up to which hashed ranks take few buckets.
+FEW_ROWS = 20_000_000
+#: Every row belongs to at most this many training sets at a time; more seeds are run group by group.
+MAX_SETS = 4000
 
 
 @dataclass
@@ -49,210 +41,258 @@ class CVResult:
 
 
 @dataclass
-class Setup:
-    """What all fits of one run share."""
+class Unit:
+    """One tuning problem: the training rows of an outer fold under a seed, with the settings to compare there."""
 
-    kind: str
-    inner: int
+    run: str
     seed: int
-    indicators: bool
-    balanced: bool
-    metric: str
+    fold: int
+    candidates: list[tuple[str, list[str], dict]]
 
 
-@dataclass
-class Fold:
-    """What one outer fold leaves behind."""
-
-    best: str
-    final: object
-    fits: dict
-    cut: float
-    inclusive: bool
-    inner_ap: float | None
-    splits: list[float] | None
-
-
-def _with_folds(frame: DataFrame, k: int, seed: int, out: str) -> DataFrame:
-    folds = stratified_folds(frame, k, [seed]).select("entity_id", F.col("fold").alias(out))
-    return frame.join(folds, "entity_id")
-
-
-def _score(df: DataFrame, fit: LogisticFit | PriorFit | ForestFit) -> DataFrame:
-    return fit.scored(df) if isinstance(fit, ForestFit) else df.withColumn("score", fit.score())
-
-
-class _TrainingSets:
-    """Rows outside one outer fold: set 0 is all of them, set j leaves out inner fold j."""
-
-    def __init__(self, base: DataFrame, k: int, setup: Setup, cols: list[str]):
-        self.setup = setup
-        self.train = _with_folds(base.filter(F.col("fold") != k), setup.inner, setup.seed, "inner_fold").persist()
-        self.preps = {}
-        if setup.kind == "logistic":
-            member = F.explode(F.filter(F.sequence(F.lit(0), F.lit(setup.inner)), lambda j: j != F.col("inner_fold")))
-            self.preps = fit_preparations(
-                self.train.withColumn("_member", member), cols, "_member", indicators=setup.indicators, label="label"
-            )
-        self.cached: dict[tuple, tuple] = {}
-
-    def part(self, j: int) -> DataFrame:
-        return self.train if j == 0 else self.train.filter(F.col("inner_fold") != j)
-
-    def prepare(self, pairs: set[tuple[int, tuple]]) -> None:
-        """Cache the scaled rows of every (set, inputs) pair that several settings will fit."""
-        for j, cols in pairs:
-            if self.setup.kind == "logistic" and (j, cols) not in self.cached:
-                prep = self.preps[j].subset(list(cols))
-                weight = class_weight(prep.rows, prep.positives) if self.setup.balanced else None
-                self.cached[(j, cols)] = (prep, training_rows(self.part(j), prep, weight=weight).persist())
-
-    def fit(self, j: int, cols: list[str], params: dict):
-        if self.setup.kind == "prior":
-            return fit_prior(self.part(j))
-        if self.setup.kind == "trees":
-            return fit_forest(self.part(j), cols, params, seed=self.setup.seed)
-        self.prepare({(j, tuple(cols))})
-        prep, rows = self.cached[(j, tuple(cols))]
-        return fit_logistic(self.train, cols, prep=prep, rows=rows, total=float(prep.rows), **params)
-
-    def splits(self) -> list[float] | None:
-        """One value bucket where every scored group is known to be small."""
-        return ONE_BUCKET if self.preps and self.preps[0].rows <= HOT_ROWS else None
-
-    def search(self, candidates: list[tuple[str, list[str], dict]]):
-        """Fit every candidate on every inner fold; best candidate, its mean metric, all fits and held-out scores."""
-        inner = range(1, self.setup.inner + 1)
-        self.prepare({(j, tuple(c)) for j in inner for _, c, _ in candidates})
-        keys = [(n, j) for j in inner for n, _, _ in candidates]
-        tasks = [(lambda c=c, p=p, j=j: self.fit(j, c, p)) for j in inner for _, c, p in candidates]
-        fits = dict(zip(keys, _parallel(self.train.sparkSession, tasks)))
-        held = {j: self.train.filter(F.col("inner_fold") == j) for j in inner}
-        if self.setup.kind == "trees":
-            parts = [
-                _score(held[j], f).select(F.lit(n).alias("candidate"), "inner_fold", "entity_id", "label", "score") for (n, j), f in fits.items()
-            ]
-            scores = stack_frames(parts)
+class TrainingSets:
+    """All training sets of some seeds: set j > 0 of an outer fold leaves out its inner fold j, set 0 is all of its training rows.
+
+    Without outer folds (0) fold 1 trains on every row and predicts none.
+    """
+
+    def __init__(self, frame: DataFrame, cols: list[str], seeds: list[int], outer: int, inner: int, *, indicators: bool):
+        self.cols, self.seeds, self.outer, self.inner, self.indicators = list(cols), list(seeds), outer, inner, indicators
+        base = frame.select("entity_id", F.col("label").cast("int").alias("label"), *cols).persist()
+        n = base.count()
+        digits = 1 if n * len(seeds) * max(1, outer) <= FEW_ROWS else HASH_DIGITS
+        self.splits = ONE_BUCKET if n <= HOT_ROWS else None
+        number = F.create_map(*[F.lit(v) for i, s in enumerate(self.seeds) for v in (int(s), i)])
+        labelled = base.select("entity_id", "label", F.explode(F.array(*[F.lit(int(s)) for s in self.seeds])).alias("seed"))
+        if outer:
+            dealt = hash_rank(labelled, ["seed", "label"], "entity_id", F.col("seed"), digits=digits)
+            dealt = dealt.select("entity_id", "label", "seed", (F.col("rank") % outer + 1).cast("int").alias("fold"))
+            trained = dealt.select("*", F.explode(F.filter(F.sequence(F.lit(1), F.lit(outer)), lambda k: k != F.col("fold"))).alias("k"))
         else:
-            entries = F.lit(None).cast("array<struct<candidate:string,score:double>>")
-            for j in inner:
-                here = F.array(*[F.struct(F.lit(n).alias("candidate"), fits[(n, j)].score().alias("score")) for n, _, _ in candidates])
-                entries = F.when(F.col("inner_fold") == j, here).otherwise(entries)
-            rows = self.train.select("entity_id", "label", "inner_fold", F.explode(entries).alias("_e"))
-            scores = rows.select(F.col("_e.candidate").alias("candidate"), "inner_fold", "entity_id", "label", F.col("_e.score").alias("score"))
-        means = ranking_metrics(scores, ["candidate", "inner_fold"], splits=self.splits()).groupBy("candidate").agg(F.avg(self.setup.metric).alias("score"))
-        best = best_by_score(means.withColumn("_k", F.lit(1)), ["_k"], "score", "candidate").first()
-        return best["candidate"], float(best["score"]), fits, scores
-
-    def release(self) -> None:
-        for _, rows in self.cached.values():
-            rows.unpersist()
-        self.train.unpersist()
-
-
-def nested_cv(
-    frame: DataFrame, cols: list[str], *, model: str = "logistic", seed: int = 42, outer: int = 5, inner: int = 3, grid: list[dict] | None = None,
-    n_iter: int = 24, target_specificity: float = 0.70, indicators: bool = False, balanced: bool = False, metric: str = "AP",
-    profile: str = "all20", run: str | None = None, check: bool = True,
-) -> CVResult:
-    """Outer folds scored by models tuned inside their training rows only; one prediction per entity.
+            trained = labelled.select("*", F.lit(0).alias("fold"), F.lit(1).alias("k"))
+        placed = hash_rank(trained, ["seed", "k", "label"], "entity_id", F.col("seed"), digits=digits)
+        placed = placed.withColumn("j", (F.col("rank") % inner + 1).cast("int"))
+        first = (number[F.col("seed")] * max(1, outer) + F.col("k") - 1) * (inner + 1)
+        others = F.filter(F.sequence(F.lit(0), F.lit(inner)), lambda j: j != F.col("j"))
+        lists = placed.groupBy("entity_id").agg(
+            F.flatten(F.collect_list(F.transform(others, lambda j: (first + j).cast("int")))).alias("train"), F.collect_list((first + F.col("j")).cast("int")).alias("held"))
+        if outer:
+            own = (number[F.col("seed")] * outer + F.col("fold") - 1) * (inner + 1)
+            lists = lists.join(dealt.groupBy("entity_id").agg(F.collect_list(own.cast("int")).alias("test")), "entity_id")
+        else:
+            lists = lists.withColumn("test", F.array().cast("array<int>"))
+        x = F.array(*[nan_to_null(F.col(c).cast("double")) for c in cols])
+        self.rows = cut_lineage(base.select("entity_id", "label", x.alias("x")).join(lists, "entity_id"))
+        base.unpersist()
+        spread = self.rows.select("label", F.explode("train").alias("_members"), *[F.get("x", F.lit(i)).alias(c) for i, c in enumerate(cols)])
+        self.preps: dict[int, Preparation] = fit_preparations(spread, self.cols, "_members", indicators=indicators, label="label")
+        self.features = Features(self.cols, self.preps, indicators)
+
+    def number(self, unit: Unit, j: int) -> int:
+        return (self.seeds.index(unit.seed) * max(1, self.outer) + unit.fold - 1) * (self.inner + 1) + j
+
+
+@dataclass
+class Setup:
+    """What all fits of one run share."""
+
+    kind: str = "logistic"
+    balanced: bool = False
+    metric: str = "AP"
+    max_iter: int = 100
 
-    The threshold of a fold comes from the inner out-of-fold scores of the chosen setting.
+
+def _scored(sets: TrainingSets, setup: Setup, asked: list[tuple[int, int, int, list[str], dict]], column: str) -> tuple[DataFrame, dict]:
+    """Fit every (unit, candidate, set, inputs, parameters) and score the rows that list the set in `column`.
+
+    Returns entity_id, label, members, unit, candidate, score, and the solutions of logistic fits by (unit, candidate, set).
     """
-    if check:
-        assert_unique(frame, ["entity_id"], "model frame")
-    base = _with_folds(frame.select("entity_id", F.col("label").cast("int").alias("label"), *cols), outer, seed, "fold").persist()
-    settings = [{}] if model == "prior" else grid or (tree_draws(n_iter, seed) if model == "trees" else l2_grid())
-    named = {json.dumps(p, sort_keys=True): p for p in settings}
-    setup = Setup(model, inner, seed, indicators, balanced, metric)
-
-    def one_fold(k: int):
-        sets = _TrainingSets(base, k, setup, cols)
-        best, _, fits, scores = sets.search([(n, cols, p) for n, p in named.items()])
-        final = sets.fit(0, cols, named[best])
-        kept = scores.filter(F.col("candidate") == best).withColumn("fold", F.lit(k))
-        # Both facts of the fold are taken while its rows are cached: two numbers leave the cluster.
-        cut = threshold_target_specificity(kept, ["fold"], target=target_specificity, splits=sets.splits()).first()
-        ap = ranking_metrics(kept, ["fold"], splits=sets.splits()).first()["AP"]
-        sets.release()
-        return Fold(best, final, fits, float(cut["cut"]), bool(cut["inclusive"]), ap, sets.splits())
-
-    done = dict(zip(range(1, outer + 1), _parallel(frame.sparkSession, [lambda k=k: one_fold(k) for k in range(1, outer + 1)], PARALLEL_FOLDS)))
-    fits = []
-    for k, d in done.items():
-        fits += [_fit_record(seed, k, j, "hyperparameter_search", profile, f) for (_, j), f in d.fits.items() if isinstance(f, LogisticFit)]
-        if isinstance(d.final, LogisticFit):
-            fits.append(_fit_record(seed, k, 0, "outer_final_refit", profile, d.final))
-    if model == "trees":
-        parts = [_score(base.filter(F.col("fold") == k), d.final).select("entity_id", "label", "fold", "score") for k, d in done.items()]
-        scored = stack_frames(parts)
-    else:
-        score = F.lit(None).cast("double")
-        for k, d in done.items():
-            score = F.when(F.col("fold") == k, d.final.score()).otherwise(score)
-        scored = base.select("entity_id", "label", "fold", score.alias("score"))
-    rows = [(k, d.cut, d.inclusive, d.inner_ap, d.best) for k, d in done.items()]
-    facts = frame.sparkSession.createDataFrame(rows, "fold int, cut double, inclusive boolean, inner_oof_AP double, best_params string")
-    tagged = apply_cut(scored, facts.select("fold", "cut", "inclusive"), ["fold"]).withColumns(
-        {"model": F.lit(run or model), "profile": F.lit(profile), "seed": F.lit(seed)}
-    )
-    oof = cut_lineage(tagged)
-    base.unpersist()
-    folds = compute_metrics(oof, ["model", "profile", "seed", "fold"], splits=done[1].splits).join(
-        facts.select("fold", F.col("cut").alias("threshold"), "inner_oof_AP", "best_params"), "fold"
-    )
-    return CVResult(oof, folds, fits)
+    keep = ["entity_id", "label"]
+    if setup.kind == "prior":
+        facts = [(s, u, c, sets.preps[s].positives / sets.preps[s].rows) for u, c, s, _, _ in asked if s in sets.preps]
+        table = F.broadcast(sets.rows.sparkSession.createDataFrame(facts, "members int, unit int, candidate int, score double"))
+        return cut_lineage(sets.rows.select(*keep, F.explode(column).alias("members")).join(table, "members")), {}
+    if setup.kind == "trees":
+        return _forest_scores(sets, asked, column, keep), {}
+    specs = [ModelSpec(s, tuple(cols), float(p["C"]), float(p["l1_ratio"])) for _, _, s, cols, p in asked]
+    solved = fit_models(sets.rows, sets.features, specs, balanced=setup.balanced, max_iter=setup.max_iter)
+    models: dict[int, list] = {}
+    for (u, c, s, _, _), solution in zip(asked, solved):
+        models.setdefault(s, []).append((u, c, solution.beta))
+    return cut_lineage(score_models(sets.rows, sets.features, models, column, keep)), {(u, c, s): f for (u, c, s, _, _), f in zip(asked, solved)}
+
+
+def _forest_scores(sets: TrainingSets, asked: list[tuple[int, int, int, list[str], dict]], column: str, keep: list[str]) -> DataFrame:
+    """Forests of all sets and settings grown together; inputs are filled with the medians of the set."""
+    spark = sets.rows.sparkSession
+    wanted = sorted({s for _, _, s, _, _ in asked})
+    if any(cols != sets.cols for _, _, _, cols, _ in asked):
+        raise ValueError("forests use all inputs of the frame")
+    medians = F.broadcast(spark.createDataFrame([(s, [sets.preps[s].medians[c] for c in sets.cols]) for s in wanted], "members int, median array<double>"))
+    seeds = {s: sets.seeds[s // ((sets.inner + 1) * max(1, sets.outer))] for s in wanted}
+
+    def filled(lists: str) -> DataFrame:
+        rows = sets.rows.select(*keep, "x", F.explode(lists).alias("members")).join(medians, "members")
+        return rows.select(*keep, "members", F.zip_with("x", "median", lambda v, m: F.coalesce(v, m)).alias("x"))
+
+    training, parts = filled("train"), []
+    for seed in sorted(set(seeds.values())):  # the draws of a forest follow its seed
+        specs, tags, forests = [], [], {}
+        for u, c, s, _, p in asked:
+            if seeds[s] == seed:
+                specs.append(trees.forest_spec(len(specs), s, p, len(sets.cols), sets.preps[s].rows, sets.preps[s].positives))
+                tags.append((specs[-1].forest, u, c))
+                forests.setdefault(s, []).append(specs[-1].forest)
+        listed = F.broadcast(spark.createDataFrame(sorted(forests.items()), "members int, forests array<int>"))
+        nodes = trees.grow_forests(training.withColumn("y", F.col("label")), specs, seed=seed)
+        scored = trees.score_forests(filled(column).join(listed, "members"), nodes, keep=[*keep, "members"])
+        named = F.broadcast(spark.createDataFrame(tags, "forest int, unit int, candidate int"))
+        parts.append(cut_lineage(scored.join(named, "forest").select(*keep, "members", "unit", "candidate", "score")))
+    return stack_frames(parts)
+
 
+@dataclass
+class Choice:
+    """What the search of one unit chose."""
 
-def _fit_record(seed: int, outer: int, inner: int, stage: str, recipe: str, fit: LogisticFit) -> dict:
-    return {
-        "seed": seed, "outer_fold": outer, "inner_fold": inner, "stage": stage, "recipe": recipe, "C": float(fit.params["C"]),
-        "l1_ratio": float(fit.params["l1_ratio"]), "iterations": fit.iterations, "converged": fit.converged,
-    }
+    candidate: int
+    score: float | None
 
 
-def elastic_net_cv(frame: DataFrame, cols: list[str], *, run: str, seed: int, outer: int = 5, inner: int = 3, grid: list[dict] | None = None) -> CVResult:
+def _search(sets: TrainingSets, units: list[Unit], setup: Setup) -> tuple[list[Choice], DataFrame, dict]:
+    """The best candidate of every unit by the mean metric over its inner folds (equal: the first name), all held-out scores, all solutions."""
+    asked = [(u, c, sets.number(unit, j), cols, params) for u, unit in enumerate(units) for c, (_, cols, params) in enumerate(unit.candidates) for j in range(1, sets.inner + 1)]
+    scores, solved = _scored(sets, setup, asked, "held")
+    by_fold = ranking_metrics(scores, ["unit", "candidate", "members"], splits=sets.splits)
+    means = {(r["unit"], r["candidate"]): r["mean"] for r in by_fold.groupBy("unit", "candidate").agg(F.avg(setup.metric).alias("mean")).collect()}
+    picks = []
+    for u, unit in enumerate(units):
+        ranked = [(-means[(u, c)] if means.get((u, c)) is not None else float("inf"), name, c) for c, (name, _, _) in enumerate(unit.candidates)]
+        worst, _, best = min(ranked)
+        picks.append(Choice(best, None if worst == float("inf") else -worst))
+    return picks, scores, solved
+
+
+def _refit(sets: TrainingSets, units: list[Unit], picks: list[Choice], setup: Setup) -> tuple[DataFrame, dict]:
+    """Every unit's chosen setting fitted on all its training rows, and the scores of its test rows."""
+    asked = [(u, p.candidate, sets.number(unit, 0), *unit.candidates[p.candidate][1:]) for u, (unit, p) in enumerate(zip(units, picks))]
+    return _scored(sets, setup, asked, "test")
+
+
+def _tags(frame: DataFrame, units: list[Unit]) -> DataFrame:
+    """Run, seed and fold of every unit."""
+    return F.broadcast(frame.sparkSession.createDataFrame([(u, x.run, x.seed, x.fold) for u, x in enumerate(units)], "unit int, model string, seed int, fold int"))
+
+
+def _fit_records(sets: TrainingSets, units: list[Unit], solved: dict, stage: str, recipe=lambda unit, name: unit.run) -> list[dict]:
+    out = []
+    for (u, c, s), fit in solved.items():
+        name, _, params = units[u].candidates[c]
+        out.append({
+            "seed": units[u].seed, "outer_fold": units[u].fold, "inner_fold": s % (sets.inner + 1), "stage": stage, "recipe": recipe(units[u], name),
+            "C": float(params["C"]), "l1_ratio": float(params["l1_ratio"]), "iterations": fit.iterations, "converged": fit.converged})
+    return out
+
+
+def logistic_fit(sets: TrainingSets, members: int, cols: list[str], params: dict, solution: Solution) -> LogisticFit:
+    """A solution as a model over its own inputs."""
+    prep = sets.preps[members].subset(list(cols))
+    weight = dict(zip(sets.features.names, solution.beta[1:].tolist()))
+    return LogisticFit(prep, [weight[n] for n in prep.outputs], float(solution.beta[0]), solution.iterations, solution.converged, dict(params))
+
+
+def _groups(seeds: list[int], outer: int, inner: int) -> list[list[int]]:
+    size = max(1, MAX_SETS // (max(1, outer) * (inner + 1)))
+    return [seeds[i:i + size] for i in range(0, len(seeds), size)]
+
+
+def nested_runs(
+    frame: DataFrame, runs: dict[str, list[str]], *, seeds: list[int], model: str = "logistic", outer: int = 5, inner: int = 3, grid: list[dict] | None = None,
+    n_iter: int = 24, target_specificity: float = 0.70, indicators: bool = False, balanced: bool = False, metric: str = "AP", profile: str | None = None,
+    check: bool = True, max_iter: int = 100,
+) -> CVResult:
+    """Nested validation of several input lists under several seeds: every run of `runs` (name, inputs) with every seed.
+
+    Outer folds are scored by models tuned inside their training rows only; one prediction per entity and run. The threshold
+    of a fold comes from the inner held-out scores of the chosen setting.
+    """
+    if check:
+        assert_unique(frame, ["entity_id"], "model frame")
+    every = list(dict.fromkeys(c for cols in runs.values() for c in cols))
+    setup = Setup(model, balanced, metric, max_iter)
+    oofs, tables, fits = [], [], []
+    for part in _groups(list(seeds), outer, inner):
+        sets = TrainingSets(frame, every, part, outer, inner, indicators=indicators)
+        units = []
+        for run, cols in runs.items():
+            for seed in part:
+                settings = [{}] if model == "prior" else grid or (tree_draws(n_iter, seed) if model == "trees" else l2_grid())
+                units += [Unit(run, seed, k, [(json.dumps(p, sort_keys=True), cols, p) for p in settings]) for k in range(1, outer + 1)]
+        picks, scores, searched = _search(sets, units, setup)
+        tested, final = _refit(sets, units, picks, setup)
+        chosen = F.broadcast(frame.sparkSession.createDataFrame([(u, p.candidate) for u, p in enumerate(picks)], "unit int, candidate int"))
+        kept = cut_lineage(scores.join(chosen, ["unit", "candidate"]))
+        cuts = threshold_target_specificity(kept, ["unit"], target=target_specificity, splits=sets.splits)
+        pooled = ranking_metrics(kept, ["unit"], splits=sets.splits).select("unit", F.col("AP").alias("inner_oof_AP"))
+        best = frame.sparkSession.createDataFrame([(u, units[u].candidates[p.candidate][0]) for u, p in enumerate(picks)], "unit int, best_params string")
+        facts = cut_lineage(cuts.join(pooled, "unit").join(F.broadcast(best), "unit"))
+        tagged = apply_cut(tested.drop("members", "candidate"), F.broadcast(facts.select("unit", "cut", "inclusive")), ["unit"]).join(_tags(frame, units), "unit")
+        oof = cut_lineage(tagged.select("fold", "entity_id", "label", "score", "cut", "prediction", "model", (F.lit(profile) if profile else F.col("model")).alias("profile"), "seed"))
+        of_fold = facts.join(_tags(frame, units), "unit").select("model", "seed", "fold", F.col("cut").alias("threshold"), "inner_oof_AP", "best_params")
+        oofs.append(oof)
+        tables.append(compute_metrics(oof, ["model", "profile", "seed", "fold"], splits=sets.splits).join(of_fold, ["model", "seed", "fold"]))
+        named = lambda unit, name: profile or unit.run
+        fits += _fit_records(sets, units, searched, "hyperparameter_search", named) + _fit_records(sets, units, final, "outer_final_refit", named)
+    return CVResult(stack_frames(oofs), stack_frames(tables), fits)
+
+
+def nested_cv(frame: DataFrame, cols: list[str], *, model: str = "logistic", seed: int = 42, profile: str = "all20", run: str | None = None, **kw) -> CVResult:
+    """`nested_runs` of one input list under one seed."""
+    return nested_runs(frame, {run or model: cols}, seeds=[seed], model=model, profile=profile, **kw)
+
+
+def elastic_net_cv(frame: DataFrame, cols: list[str], *, run: str, seed: int, outer: int = 5, inner: int = 3, grid: list[dict] | None = None, **kw) -> CVResult:
     """Nested validation of one input list with elastic net, median fill and missing indicators."""
-    from .estimators import elastic_grid
+    return nested_cv(frame, cols, seed=seed, outer=outer, inner=inner, grid=grid or elastic_grid(), indicators=True, run=run, profile=run, **kw)
+
 
-    return nested_cv(frame, cols, seed=seed, outer=outer, inner=inner, grid=grid or elastic_grid(), indicators=True, run=run, profile=run)
+def _screened(sets: TrainingSets, units: list[Unit], recipes: dict[str, list[str]], grid: list[dict], setup: Setup) -> tuple[list[str], list[float | None], list[Unit], list[Choice], list[dict]]:
+    """Recipes picked at fixed settings, then tuned: recipe and screening score of every unit, tuning units, choices and records."""
+    screen = {"C": SCREEN_C, "l1_ratio": SCREEN_L1_RATIO}
+    trial = [Unit(u.run, u.seed, u.fold, [(n, recipes[n], screen) for n in sorted(recipes)]) for u in units]
+    first, _, screened = _search(sets, trial, setup)
+    chosen = [trial[u].candidates[p.candidate][0] for u, p in enumerate(first)]
+    tuning = [Unit(u.run, u.seed, u.fold, [(json.dumps(p, sort_keys=True), recipes[r], p) for p in grid]) for u, r in zip(units, chosen)]
+    picks, _, searched = _search(sets, tuning, setup)
+    recipe_of = {id(u): r for u, r in zip(tuning, chosen)}
+    records = _fit_records(sets, trial, screened, "recipe_screening", lambda unit, name: name)
+    records += _fit_records(sets, tuning, searched, "hyperparameter_search", lambda unit, name: recipe_of[id(unit)])
+    return chosen, [p.score for p in first], tuning, picks, records
 
 
 def recipe_selector_cv(
-    frame: DataFrame, recipes: dict[str, list[str]], *, seed: int, outer: int = 5, inner: int = 3, grid: list[dict] | None = None,
-    run: str = "RECIPE_SELECTOR",
+    frame: DataFrame, recipes: dict[str, list[str]], *, seed: int | None = None, seeds: list[int] | None = None, outer: int = 5, inner: int = 3, grid: list[dict] | None = None,
+    run: str = "RECIPE_SELECTOR", max_iter: int = 100,
 ) -> CVResult:
-    """Inside each outer fold pick the recipe by inner average precision at fixed settings, tune it, predict the fold."""
-    from .estimators import elastic_grid
-
+    """Inside each outer fold pick the recipe by inner average precision at fixed settings, tune it, predict the fold; under one or many seeds."""
     every = sorted({c for cols in recipes.values() for c in cols})
-    base = _with_folds(frame.select("entity_id", F.col("label").cast("int").alias("label"), *every), outer, seed, "fold").persist()
-    named = {json.dumps(p, sort_keys=True): p for p in (grid or elastic_grid())}
-    screen = {"C": SCREEN_C, "l1_ratio": SCREEN_L1_RATIO}
-    setup = Setup("logistic", inner, seed, True, False, "AP")
-
-    def one_fold(k: int):
-        sets = _TrainingSets(base, k, setup, every)
-        recipe, screening, screened, _ = sets.search([(n, recipes[n], screen) for n in sorted(recipes)])
-        best, tuned, searched, _ = sets.search([(n, recipes[recipe], p) for n, p in named.items()])
-        final = sets.fit(0, recipes[recipe], named[best])
-        sets.release()
-        row = (k, recipe, len(recipes[recipe]), screening, float(named[best]["C"]), float(named[best]["l1_ratio"]), tuned)
-        records = [_fit_record(seed, k, j, "recipe_screening", n, f) for (n, j), f in screened.items()]
-        records += [_fit_record(seed, k, j, "hyperparameter_search", recipe, f) for (_, j), f in searched.items()]
-        return final, row, [*records, _fit_record(seed, k, 0, "outer_final_refit", recipe, final)], sets.splits()
-
-    done = _parallel(frame.sparkSession, [lambda k=k: one_fold(k) for k in range(1, outer + 1)], PARALLEL_FOLDS)
-    score = F.lit(None).cast("double")
-    for k, d in enumerate(done, start=1):
-        score = F.when(F.col("fold") == k, d[0].score()).otherwise(score)
-    oof = cut_lineage(base.select("entity_id", "label", "fold", score.alias("score")).withColumns({"model": F.lit(run), "seed": F.lit(seed)}))
-    base.unpersist()
-    picks = frame.sparkSession.createDataFrame(
-        [d[1] for d in done], "fold int, selected_recipe string, input_count int, screening_AP double, best_C double, best_l1_ratio double, inner_best_AP double"
-    )
-    folds = run_metrics(oof, ["model", "seed", "fold"], splits=done[0][3]).join(picks, "fold")
-    return CVResult(oof, folds, [f for d in done for f in d[2]])
+    setup = Setup(max_iter=max_iter)
+    kind = "unit int, selected_recipe string, input_count int, screening_AP double, best_C double, best_l1_ratio double, inner_best_AP double"
+    oofs, tables, fits = [], [], []
+    for part in _groups([seed] if seeds is None else list(seeds), outer, inner):
+        sets = TrainingSets(frame, every, part, outer, inner, indicators=True)
+        units = [Unit(run, s, k, []) for s in part for k in range(1, outer + 1)]
+        chosen, screening, tuning, picks, records = _screened(sets, units, recipes, grid or elastic_grid(), setup)
+        tested, final = _refit(sets, tuning, picks, setup)
+        oof = cut_lineage(tested.join(_tags(frame, units), "unit").select("entity_id", "label", "fold", "score", "model", "seed"))
+        best = [tuning[u].candidates[p.candidate][2] for u, p in enumerate(picks)]
+        rows = [(u, r, len(recipes[r]), screening[u], float(best[u]["C"]), float(best[u]["l1_ratio"]), picks[u].score) for u, r in enumerate(chosen)]
+        facts = frame.sparkSession.createDataFrame(rows, kind).join(_tags(frame, units), "unit").drop("unit")
+        oofs.append(oof)
+        tables.append(run_metrics(oof, ["model", "seed", "fold"], splits=sets.splits).join(F.broadcast(facts), ["model", "seed", "fold"]))
+        recipe_of = {id(u): r for u, r in zip(tuning, chosen)}
+        fits += records + _fit_records(sets, tuning, final, "outer_final_refit", lambda unit, name, of=recipe_of: of[id(unit)])
+    return CVResult(stack_frames(oofs), stack_frames(tables), fits)
 
 
 @dataclass
@@ -263,7 +303,7 @@ class Selection:
     params: dict
     screening: float
     inner_score: float
-    fit: object
+    fit: LogisticFit
     fits: list[dict]
 
 
@@ -275,24 +315,25 @@ def search_and_refit(
 
     One recipe is not screened; its screening value is then its tuned one.
     """
-    from .estimators import elastic_grid
-
     every = sorted({c for cols in recipes.values() for c in cols})
-    base = frame.select("entity_id", F.col("label").cast("int").alias("label"), *every).withColumn("fold", F.lit(0))
-    named = {json.dumps(p, sort_keys=True): p for p in (grid or elastic_grid())}
-    sets = _TrainingSets(base, -1, Setup("logistic", inner, seed, indicators, balanced, metric), every)
-    records: list[dict] = []
-    recipe, screening = next(iter(recipes)), None
+    setup = Setup(balanced=balanced, metric=metric)
+    sets = TrainingSets(frame, every, [seed], 0, inner, indicators=indicators)
+    units = [Unit("SELECTION", seed, 1, [])]
+    settings = grid or elastic_grid()
     if len(recipes) > 1:
-        screen = {"C": SCREEN_C, "l1_ratio": SCREEN_L1_RATIO}
-        recipe, screening, screened, _ = sets.search([(n, recipes[n], screen) for n in sorted(recipes)])
-        records += [_fit_record(seed, 0, j, "recipe_screening", n, f) for (n, j), f in screened.items()]
-    best, tuned, searched, _ = sets.search([(n, recipes[recipe], p) for n, p in named.items()])
-    final = sets.fit(0, recipes[recipe], named[best])
-    sets.release()
-    records += [_fit_record(seed, 0, j, "hyperparameter_search", recipe, f) for (_, j), f in searched.items()]
-    records.append(_fit_record(seed, 0, 0, "final_refit", recipe, final))
-    return Selection(recipe, named[best], tuned if screening is None else screening, tuned, final, records)
+        (recipe,), (screening,), tuning, (pick,), records = _screened(sets, units, recipes, settings, setup)
+    else:
+        recipe, screening, records = next(iter(recipes)), None, []
+        tuning = [Unit("SELECTION", seed, 1, [(json.dumps(p, sort_keys=True), recipes[recipe], p) for p in settings])]
+        (pick,), _, searched = _search(sets, tuning, setup)
+        records += _fit_records(sets, tuning, searched, "hyperparameter_search", lambda unit, name: recipe)
+    members = sets.number(tuning[0], 0)
+    _, cols, params = tuning[0].candidates[pick.candidate]
+    (solution,) = fit_models(sets.rows, sets.features, [ModelSpec(members, tuple(cols), float(params["C"]), float(params["l1_ratio"]))], balanced=balanced)
+    records += _fit_records(sets, tuning, {(0, pick.candidate, members): solution}, "final_refit", lambda unit, name: recipe)
+    for r in records:
+        r["outer_fold"] = 0
+    return Selection(recipe, params, pick.score if screening is None else screening, pick.score, logistic_fit(sets, members, cols, params, solution), records)
 
 
 def fixed_recipe_cv(frame: DataFrame, recipe: str, cols: list[str], **kw) -> CVResult:
@@ -300,10 +341,9 @@ def fixed_recipe_cv(frame: DataFrame, recipe: str, cols: list[str], **kw) -> CVR
 
 
 def candidate_sweep(frame: DataFrame, candidates: dict[str, list[str]], *, seeds: list[int], outer: int = 5, inner: int = 3, grid: list[dict] | None = None) -> DataFrame:
-    """Out-of-fold predictions of every candidate list and seed."""
-    return stack_frames(
-        [elastic_net_cv(frame, cols, run=name, seed=s, outer=outer, inner=inner, grid=grid).oof for name, cols in candidates.items() for s in seeds]
-    )
+    """Out-of-fold predictions of every candidate list and seed, fitted together."""
+    oof = nested_runs(frame, candidates, seeds=seeds, outer=outer, inner=inner, grid=grid or elastic_grid(), indicators=True).oof
+    return oof.select("entity_id", "label", "fold", "score", "prediction", "model", "profile", "seed")
 
 
 def repeated_cv(
@@ -311,7 +351,7 @@ def repeated_cv(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Several models over several seeds on shared outer folds: predictions, per-seed metrics and their summary."""
     kept = frame.persist()
-    oof = stack_frames([nested_cv(kept, cols, model=m, seed=s, outer=outer, inner=inner, check=i + j == 0, **kw).oof for i, s in enumerate(seeds) for j, m in enumerate(models)])
+    oof = stack_frames([nested_runs(kept, {m: cols}, seeds=seeds, model=m, outer=outer, inner=inner, check=not i, profile="all20", **kw).oof for i, m in enumerate(models)])
     kept.unpersist()
     per_seed = cut_lineage(compute_metrics(oof, ["model", "seed"]))
     return oof, per_seed, repeated_summary(per_seed)
