@@ -1,6 +1,6 @@
-"""SQL twins of the fits: preparation, penalised logistic regression by proximal gradient steps, nested validation.
+"""SQL twins of the fits: preparation, penalised logistic regression by proximal gradient steps, randomised trees, nested validation.
 
-Nothing here is shared with the operators; the gradient steps run as a recursive query.
+Nothing here is shared with the operators; the gradient steps and the levels of trees run as recursive queries.
 """
 
 from __future__ import annotations
@@ -10,7 +10,8 @@ LABELLED_SQL = """ord AS (SELECT o_custkey AS entity_id, count(*) / 10.0::DOUBLE
 raw_frame AS (SELECT c_custkey AS entity_id, x0, x1, x2, CASE WHEN c_acctbal > 0 THEN c_acctbal / 1000.0::DOUBLE END AS x3 FROM customer JOIN ord ON entity_id = c_custkey),
 frame AS (SELECT *, (x2 + 0.3::DOUBLE * coalesce(x3, 0) / 10 + ('0x' || substr(md5('5|' || entity_id), 1, 4))::BIGINT / 65536.0::DOUBLE > 1.1)::INT AS label FROM raw_frame)"""
 
-STEPS = 4000
+#: Twice what standardised inputs need for fifteen digits.
+STEPS = 600
 
 
 def prepared(rows: str, cols: list[str], flags: list[str], name: str) -> str:
@@ -100,6 +101,83 @@ def nested(
 {name}_inner AS (SELECT k, cand, recipe, avg(ap) AS ap FROM {name}_ap JOIN {name}_cands USING (cand) GROUP BY ALL)"""
 
 
+def forest(rows: str, specs: str, inputs: int, seed: int, name: str) -> str:
+    """CTEs to `<name>_score` (key, cand, entity_id, y, train, score) and `<name>_walk` (every row at every node it passes).
+
+    `rows` has key, entity_id, y, train and x0.. without gaps; `specs` has key, cand, trees, tried, max_depth, min_split, min_leaf,
+    zero and one (class weights). A level is one step of the recursion; draws are digests of seed, tree, path and input.
+    """
+    k = range(inputs)
+    node = "PARTITION BY key, cand, tree, path"
+    spec = "trees, tried, max_depth, min_split, min_leaf, zero, one"
+    xs = ", ".join(f"x{i}" for i in k)
+    digests = ", ".join(f"md5('{seed}|' || tree || '|' || path || '|{i}') AS d{i}" for i in k)
+    ends = ", ".join(f"min(x{i}) FILTER (train) OVER (w) AS lo{i}, max(x{i}) FILTER (train) OVER (w) AS hi{i}" for i in k)
+    order = "list_sort([" + ", ".join(f"{{'h': substr(d{i}, 1, 8), 'i': {i}}}" for i in k) + "])"
+    ranks = ", ".join(f"list_position(drawn, {{'h': substr(d{i}, 1, 8), 'i': {i}}}) AS r{i}, lo{i} + ('0x' || substr(d{i}, 9, 12))::BIGINT / 281474976710656.0::DOUBLE * (hi{i} - lo{i}) AS u{i}" for i in k)
+    first = "least(" + ", ".join(f"CASE WHEN lo{i} < hi{i} THEN r{i} ELSE {inputs + 1} END" for i in k) + f", {inputs + 1}) AS first_spread"
+    cut = ", ".join(f"CASE WHEN u{i} >= hi{i} THEN lo{i} ELSE u{i} END AS t{i}, lo{i} < hi{i} AND (r{i} <= tried OR (first_spread > tried AND r{i} = first_spread)) AS ok{i}" for i in k)
+    sides = ", ".join(f"count(*) FILTER (train AND x{i} <= t{i}) OVER (w) AS a{i}, coalesce(sum(y) FILTER (train AND x{i} <= t{i}) OVER (w), 0) AS p{i}" for i in k)
+
+    def purity(n: str, p: str) -> str:
+        return f"((({n} - {p}) * zero) * (({n} - {p}) * zero) + ({p} * one) * ({p} * one)) / (({n} - {p}) * zero + {p} * one)"
+
+    trials = ", ".join(
+        f"CASE WHEN ok{i} AND least(a{i}, n - a{i}) >= min_leaf THEN {{'g': -({purity(f'a{i}', f'p{i}')} + {purity(f'(n - a{i})', f'(positives - p{i})')}), 'r': r{i}, 'i': {i}, 't': t{i}}} END" for i in k)
+    may = "positives > 0 AND positives < n AND n >= min_split AND n >= 2 * min_leaf AND (max_depth IS NULL OR length(path) < max_depth)"
+    w = lambda text: text.replace("OVER (w)", f"OVER ({node})")
+    return f"""{name}_walk AS (
+  SELECT r.key, cand, tree, '' AS path, entity_id, y, train, {xs}, {spec} FROM {rows} r JOIN (SELECT *, unnest(range(trees)) AS tree FROM {specs}) s ON r.key = s.key
+  UNION ALL
+  SELECT key, cand, tree, path || CASE WHEN [{xs}][best.i + 1] <= best.t THEN '0' ELSE '1' END, entity_id, y, train, {xs}, {spec} FROM (
+    SELECT *, list_sort(list_filter([{trials}], lambda s: s IS NOT NULL))[1] AS best FROM (
+      SELECT *, {w(sides)} FROM (
+        SELECT *, {cut} FROM (
+          SELECT *, {first} FROM (
+            SELECT *, {ranks} FROM (
+              SELECT *, {order} AS drawn FROM (
+                SELECT *, {digests}, {w(ends)}, count(*) FILTER (train) OVER ({node}) AS n, coalesce(sum(y) FILTER (train) OVER ({node}), 0) AS positives FROM {name}_walk)) WHERE {may}))))) WHERE best IS NOT NULL
+),
+{name}_ends AS (SELECT key, cand, tree, entity_id, any_value(y) AS y, any_value(train) AS train, max_by(path, length(path)) AS path, any_value(zero) AS zero, any_value(one) AS one FROM {name}_walk GROUP BY key, cand, tree, entity_id),
+{name}_leaves AS (SELECT *, count(*) FILTER (train) OVER ({node}) AS n, coalesce(sum(y) FILTER (train) OVER ({node}), 0) AS positives FROM {name}_ends),
+{name}_score AS (SELECT key, cand, entity_id, any_value(y) AS y, any_value(train) AS train, avg(positives * one / ((n - positives) * zero + positives * one)) AS score FROM {name}_leaves GROUP BY key, cand, entity_id)"""
+
+
+def tree_specs(settings: list[tuple[str, dict]], sizes: str, inputs: int) -> str:
+    """Rows of specs for every setting (name, parameters) and training set of `sizes` (key, n, positives)."""
+    parts = []
+    for name, p in settings:
+        tried = {"sqrt": f"floor(sqrt({inputs}))", "log2": f"floor(log2({inputs}))"}.get(p.get("max_features", "sqrt"), f"floor({p.get('max_features')} * {inputs})")
+        weight = p.get("class_weight", "balanced")
+        zero, one = ("n / (2.0::DOUBLE * (n - positives))", "n / (2.0::DOUBLE * positives)") if weight == "balanced" else (f"{float(v)}::DOUBLE" for v in weight.split(":"))
+        depth = p.get("max_depth")
+        parts.append(f"SELECT key, '{name}' AS cand, {p.get('n_estimators', 800)} AS trees, greatest(1, {tried})::INT AS tried, {'NULL::INT' if depth is None else depth} AS max_depth, {p.get('min_samples_split', 6)} AS min_split, {p.get('min_samples_leaf', 2)} AS min_leaf, {zero} AS zero, {one} AS one FROM {sizes}")
+    return " UNION ALL ".join(parts)
+
+
+def nested_forests(settings: list[tuple[str, dict]], cols: list[str], *, seed: int, outer: int, inner: int, name: str = "n") -> str:
+    """CTEs of a nested validation of trees: `<name>_held` (k, j, cand, entity_id, label, score), `<name>_oof` (fold, cand, ...), `<name>_inner` (k, cand, ap)."""
+    order = f"md5('{seed}|' || entity_id), entity_id"
+    med = ", ".join(f"coalesce(quantile_cont({c}, 0.5) FILTER (train), 0) AS {c}" for c in cols)
+    xs = ", ".join(f"coalesce(r.{c}, m.{c}) AS x{i}" for i, c in enumerate(cols))
+    return f"""{name}_folds AS (SELECT *, CAST((row_number() OVER (PARTITION BY label ORDER BY {order}) - 1) % {outer} + 1 AS INTEGER) AS fold FROM frame),
+{name}_train AS (SELECT k, f.*, (row_number() OVER (PARTITION BY k, label ORDER BY {order}) - 1) % {inner} + 1 AS inner_fold FROM {name}_folds f, (SELECT unnest(range(1, {outer} + 1)) AS k) WHERE fold <> k),
+{name}_raw AS (SELECT k || ':' || j AS key, entity_id, label AS y, inner_fold <> j AS train, {", ".join(cols)} FROM {name}_train, (SELECT unnest(range(1, {inner} + 1)) AS j)
+  UNION ALL SELECT k || ':0', entity_id, label, fold <> k, {", ".join(cols)} FROM {name}_folds, (SELECT unnest(range(1, {outer} + 1)) AS k)),
+{name}_med AS (SELECT key, {med} FROM {name}_raw GROUP BY key),
+{name}_rows AS (SELECT r.key, entity_id, y, train, {xs} FROM {name}_raw r JOIN {name}_med m ON r.key = m.key),
+{name}_sizes AS (SELECT key, count(*) AS n, sum(y) AS positives FROM {name}_rows WHERE train GROUP BY key),
+{name}_specs AS ({tree_specs(settings, f"{name}_sizes", len(cols))}),
+{forest(f"{name}_rows", f"{name}_specs", len(cols), seed, name)},
+{name}_all AS (SELECT split_part(key, ':', 1)::INT AS k, split_part(key, ':', 2)::INT AS j, cand, entity_id, y AS label, score FROM {name}_score WHERE NOT train),
+{name}_held AS (SELECT * FROM {name}_all WHERE j > 0),
+{name}_oof AS (SELECT k AS fold, cand, entity_id, label, score FROM {name}_all WHERE j = 0),
+{name}_tied AS (SELECT k, cand, j, score, sum(label) AS p, count(*) AS n FROM {name}_held GROUP BY ALL),
+{name}_run AS (SELECT *, sum(p) OVER w AS pu, sum(n) OVER w AS nu FROM {name}_tied WINDOW w AS (PARTITION BY k, cand, j ORDER BY score DESC)),
+{name}_ap AS (SELECT k, cand, j, sum(p * pu / nu::DOUBLE) / sum(p)::DOUBLE AS ap FROM {name}_run GROUP BY ALL),
+{name}_inner AS (SELECT k, cand, avg(ap) AS ap FROM {name}_ap GROUP BY ALL)"""
+
+
 def metrics(oof: str, keys: str) -> str:
     """AUC, AP, Brier and Brier skill per run of scored rows."""
     return f"""tied AS (SELECT {keys}, score, sum(label) AS p, count(*) - sum(label) AS q FROM {oof} GROUP BY {keys}, score),

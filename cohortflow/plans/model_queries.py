@@ -1,7 +1,7 @@
 """Queries over fitted preparation, models and validation loops.
 
 Inputs are the order windows of every customer; labels come from the outcomes of the subjects.
-Grids are short here; the library's defaults are the full ones.
+Logistic grids are the full ones in `nested_cv` and `elastic_net_cv`; forests are small, so that SQL can grow them too.
 """
 
 from __future__ import annotations
@@ -107,24 +107,31 @@ def _(spark, sf):
 def _(spark, sf):
     f = _frame(spark, sf).persist()
     w = estimators.balanced_weight(f)
-    a, b = (estimators.fit_logistic(f, INPUTS, C=0.1, l1_ratio=r, weight=w) for r in (1.0, 0.0))
+    a, b = [estimators.fit_logistic(f, INPUTS, C=0.1, l1_ratio=r, weight=w) for r in (1.0, 0.0)]
+    f.unpersist()
     return _coefficients(spark, a).withColumn("penalty", F.lit("l1")).unionByName(_coefficients(spark, b).withColumn("penalty", F.lit("l2")))
 
 
-@query("extra_trees", f"WITH {LABELLED_SQL} SELECT count(*) AS entities, TRUE AS in_range, TRUE AS beats_prior, TRUE AS ranks FROM frame")
+TREE_PARAMS = {"n_estimators": 12}
+HALVES_SQL = f"""raw AS (SELECT h::VARCHAR AS key, entity_id, label AS y, (entity_id % 4 < 2) = (h = 0) AS train, {", ".join(INPUTS)} FROM frame, (SELECT unnest([0, 1]) AS h)),
+med AS (SELECT key, {", ".join(f"quantile_cont({c}, 0.5) FILTER (train) AS {c}" for c in INPUTS)} FROM raw GROUP BY key),
+half AS (SELECT r.key, entity_id, y, train, {", ".join(f"coalesce(r.{c}, m.{c}) AS x{i}" for i, c in enumerate(INPUTS))} FROM raw r JOIN med m ON r.key = m.key),
+sizes AS (SELECT key, count(*) AS n, sum(y) AS positives FROM half WHERE train GROUP BY key), specs AS ({fit_sql.tree_specs([("one", TREE_PARAMS)], "sizes", len(INPUTS))}),
+{fit_sql.forest("half", "specs", len(INPUTS), 42, "f")},
+nodes AS (SELECT key, count(DISTINCT tree || ':' || path) AS nodes, max(length(path)) AS depth FROM f_walk GROUP BY key)"""
+
+
+@query("extra_trees", f"WITH RECURSIVE {LABELLED_SQL}, {HALVES_SQL} SELECT entity_id, y AS label, round(score, 6) AS score, nodes, depth FROM f_score JOIN nodes USING (key) WHERE NOT train")
 def _(spark, sf):
-    # Two halves by entity; trees of one score the other. The scores have no SQL, their contract has.
+    # Two halves by entity; the trees of one, with the study's settings and no bound on depth, score the other.
     f = _frame(spark, sf)
-    params = {"n_estimators": 60, "max_depth": 4, "min_samples_leaf": 10, "class_weight": "1:1"}
     half = F.col("entity_id") % 4 < 2
     parts = []
     for train, test in ((f.filter(half), f.filter(~half)), (f.filter(~half), f.filter(half))):
-        prior = estimators.fit_prior(train).prevalence
-        parts.append(estimators.fit_forest(train, INPUTS, params).scored(test).select("entity_id", "label", "score", F.lit(prior).alias("prior")))
-    scored = parts[0].unionByName(parts[1])
-    loss = lambda c: F.avg(F.pow(F.col(c) - F.col("label"), 2))
-    high = F.avg(F.when(F.col("label") == 1, F.col("score"))) > F.avg(F.when(F.col("label") == 0, F.col("score")))
-    return scored.agg(F.count("*").alias("entities"), F.bool_and(F.col("score").between(0, 1)).alias("in_range"), (loss("score") < loss("prior")).alias("beats_prior"), high.alias("ranks"))
+        fit = estimators.fit_forest(train, INPUTS, TREE_PARAMS)
+        size = fit.nodes.agg(F.count("*").alias("nodes"), F.max(F.length("path")).cast("long").alias("depth"))
+        parts.append(fit.scored(test).select("entity_id", "label", F.round("score", 6).alias("score")).crossJoin(F.broadcast(size)))
+    return parts[0].unionByName(parts[1])
 
 
 @query("prior_model", f"WITH {t.PREDICTIONS_SQL} SELECT entity_id, round((SELECT avg(label) FROM base), 8) AS score FROM base")
@@ -147,64 +154,70 @@ ptied AS (SELECT k, score, sum(label) AS p, count(*) AS n FROM pool GROUP BY ALL
 prun AS (SELECT *, sum(p) OVER w AS pu, sum(n) OVER w AS nu FROM ptied WINDOW w AS (PARTITION BY k ORDER BY score DESC)),
 pap AS (SELECT k, sum(p * pu / nu::DOUBLE) / sum(p)::DOUBLE AS pooled_ap FROM prun GROUP BY k),
 cuts AS (SELECT k, score AS cut FROM (SELECT k, score, row_number() OVER (PARTITION BY k ORDER BY score) - 1 AS r, count(*) OVER (PARTITION BY k) AS n FROM pool WHERE label = 0) WHERE r = least(floor(0.7::DOUBLE * n), n - 1))"""
-SEARCH_GRID = [{"C": 0.01, "l1_ratio": 0.0}, {"C": 1.0, "l1_ratio": 0.0}]
-NESTED_GRID = [{"C": 0.1, "l1_ratio": 0.0}, {"C": 1.0, "l1_ratio": 0.0}]
+#: Axes of the random search over trees, small enough for the SQL twin.
+SEARCH_AXES = {"n_estimators": [4, 6], "max_depth": [None, 4], "min_samples_split": [2, 6], "min_samples_leaf": [1, 3], "max_features": ["sqrt", 0.7], "class_weight": ["balanced", "1:2"]}
+SEARCH_DRAWS = estimators.tree_draws(4, 42, SEARCH_AXES)
+
+
+def _settings(grid):
+    import json
+
+    return [(json.dumps(g, sort_keys=True), g) for g in grid]
 
 
 @query(
     "param_search",
-    f"""WITH RECURSIVE {LABELLED_SQL}, {fit_sql.nested(_named(SEARCH_GRID), INPUTS, seed=42, outer=2, inner=2)}, {BEST_SQL}, {POOLED_SQL}
+    f"""WITH RECURSIVE {LABELLED_SQL}, {fit_sql.nested_forests(_settings(SEARCH_DRAWS), INPUTS, seed=42, outer=2, inner=2)}, {BEST_SQL}, {POOLED_SQL}
     SELECT k::INTEGER AS fold, cand AS best_params, round(pooled_ap, 4) AS "inner_oof_AP" FROM best JOIN pap USING (k)""",
 )
 def _(spark, sf):
-    r = validation.nested_cv(_frame(spark, sf), INPUTS, outer=2, inner=2, grid=SEARCH_GRID)
+    # Random search: seeded settings of forests, compared inside every outer fold.
+    r = validation.nested_cv(_frame(spark, sf), INPUTS, model="trees", outer=2, inner=2, grid=SEARCH_DRAWS)
     return r.folds.select("fold", "best_params", F.round("inner_oof_AP", 4).alias("inner_oof_AP"))
 
 
 @query(
     "nested_cv",
-    f"""WITH RECURSIVE {LABELLED_SQL}, {fit_sql.nested(_named(NESTED_GRID), INPUTS, seed=42, outer=5, inner=3)}, {BEST_SQL}, {PICKED_SQL}, {POOLED_SQL}
+    f"""WITH RECURSIVE {LABELLED_SQL}, {fit_sql.nested(_named(estimators.l2_grid()), INPUTS, seed=42, outer=5, inner=3)}, {BEST_SQL}, {PICKED_SQL}, {POOLED_SQL}
     SELECT entity_id, label, fold, round(score, 4) AS score, (score > cut)::INTEGER AS prediction, 'logistic' AS model, 42 AS seed FROM picked JOIN cuts ON k = fold""",
 )
 def _(spark, sf):
-    r = validation.nested_cv(_frame(spark, sf), INPUTS, outer=5, inner=3, grid=NESTED_GRID)
+    r = validation.nested_cv(_frame(spark, sf), INPUTS)
     return r.oof.select("entity_id", "label", "fold", F.round("score", 4).alias("score"), "prediction", "model", "seed")
 
 
-PRIOR_FOLDS = """folds AS (SELECT *, CAST((row_number() OVER (PARTITION BY label ORDER BY md5('{seed}|' || entity_id), entity_id) - 1) % {outer} + 1 AS INTEGER) AS fold FROM frame),
-ptrain AS (SELECT k, f.*, (row_number() OVER (PARTITION BY k, label ORDER BY md5('{seed}|' || entity_id), entity_id) - 1) % {inner} + 1 AS j FROM folds f, (SELECT unnest(range(1, {outer} + 1)) AS k) WHERE fold <> k)"""
+HOURLY_GRID = [{"n_estimators": 5}, {"n_estimators": 5, "max_depth": 4, "min_samples_leaf": 4}]
 
 
 @query(
     "legacy_nested_cv",
-    f"""WITH {LABELLED_SQL}, {PRIOR_FOLDS.format(seed=42, outer=2, inner=3)},
-    held AS (SELECT h.k, h.label, avg(t.label) AS score FROM ptrain h JOIN ptrain t ON h.k = t.k AND h.j <> t.j GROUP BY h.k, h.entity_id, h.label),
-    cuts AS (SELECT k, score AS cut FROM (SELECT k, score, row_number() OVER (PARTITION BY k ORDER BY score) - 1 AS r, count(*) OVER (PARTITION BY k) AS n FROM held WHERE label = 0) WHERE r = least(floor(0.7::DOUBLE * n), n - 1)),
-    own AS (SELECT k, avg(label) AS score FROM ptrain GROUP BY k)
-    SELECT entity_id, label, fold, round(score, 6) AS score, (score > cut)::INTEGER AS prediction FROM folds JOIN own ON own.k = fold JOIN cuts ON cuts.k = fold""",
+    f"""WITH RECURSIVE {LABELLED_SQL}, {fit_sql.nested_forests(_settings(HOURLY_GRID), INPUTS, seed=42, outer=5, inner=3)}, {BEST_SQL}, {PICKED_SQL}, {POOLED_SQL}
+    SELECT entity_id, label, fold, round(score, 6) AS score, (score > cut)::INTEGER AS prediction FROM picked JOIN cuts ON k = fold""",
 )
 def _(spark, sf):
-    r = validation.hourly_nested_cv(_frame(spark, sf), INPUTS, outer=2, inner=3, model="prior")
+    r = validation.hourly_nested_cv(_frame(spark, sf), INPUTS, model="trees", grid=HOURLY_GRID)
     return r.oof.select("entity_id", "label", "fold", F.round("score", 6).alias("score"), "prediction")
 
 
-ONE = [{"C": 1.0, "l1_ratio": 0.0}]
+REPEATED_GRID = [{"C": 0.1, "l1_ratio": 0.0}, {"C": 1.0, "l1_ratio": 0.0}]
 REPEATED_SEEDS = [1, 2, 3]
 
 
 def _repeated_sql():
-    runs = ", ".join(fit_sql.nested(_named(ONE), INPUTS, seed=s, outer=2, inner=2, name=f"s{s}") for s in REPEATED_SEEDS)
-    priors = ", ".join(f"f{s} AS (SELECT *, CAST((row_number() OVER (PARTITION BY label ORDER BY md5('{s}|' || entity_id), entity_id) - 1) % 2 + 1 AS INTEGER) AS fold FROM frame)" for s in REPEATED_SEEDS)
+    runs = ", ".join(fit_sql.nested(_named(REPEATED_GRID), INPUTS, seed=s, outer=5, inner=3, name=f"s{s}") for s in REPEATED_SEEDS)
+    best = ", ".join(f"b{s} AS (SELECT k, min_by(cand, (-ap, cand)) AS cand FROM s{s}_inner GROUP BY k)" for s in REPEATED_SEEDS)
+    priors = ", ".join(f"f{s} AS (SELECT *, CAST((row_number() OVER (PARTITION BY label ORDER BY md5('{s}|' || entity_id), entity_id) - 1) % 5 + 1 AS INTEGER) AS fold FROM frame)" for s in REPEATED_SEEDS)
     rows = " UNION ALL ".join(
-        f"SELECT 'logistic' AS model, {s} AS seed, label, score FROM s{s}_oof UNION ALL SELECT 'prior', {s}, label, (SELECT avg(o.label) FROM f{s} o WHERE o.fold <> f{s}.fold) FROM f{s}" for s in REPEATED_SEEDS)
-    return f"""WITH RECURSIVE {LABELLED_SQL}, {runs}, {priors}, scored AS ({rows}), {fit_sql.metrics("scored", "model, seed")}
+        f"SELECT 'logistic' AS model, {s} AS seed, label, score FROM s{s}_oof o JOIN b{s} b ON k = fold AND o.cand = b.cand UNION ALL SELECT 'prior', {s}, label, (SELECT avg(o.label) FROM f{s} o WHERE o.fold <> f{s}.fold) FROM f{s}" for s in REPEATED_SEEDS)
+    return f"""WITH RECURSIVE {LABELLED_SQL}, {runs}, {best}, {priors}, scored AS ({rows}), {fit_sql.metrics("scored", "model, seed")}
     SELECT model, count(*) AS seed_count, round(avg(auc), 4) AS "AUC_mean", round(quantile_cont(brier, 0.5), 4) AS "Brier_median" FROM facts GROUP BY model"""
 
 
 @query("repeated_cv", _repeated_sql())
 def _(spark, sf):
-    _, per_seed, summary = validation.repeated_cv(_frame(spark, sf), INPUTS, models=["logistic", "prior"], seeds=REPEATED_SEEDS, outer=2, inner=2, grid=ONE)
-    return validation.repeated_wide(summary).select("model", "seed_count", F.round("AUC_mean", 4).alias("AUC_mean"), F.round("Brier_median", 4).alias("Brier_median"))
+    _, per_seed, summary = validation.repeated_cv(_frame(spark, sf), INPUTS, models=["logistic"], seeds=REPEATED_SEEDS, grid=REPEATED_GRID)
+    _, _, prior = validation.repeated_cv(_frame(spark, sf), INPUTS, models=["prior"], seeds=REPEATED_SEEDS)
+    return validation.repeated_wide(summary.unionByName(prior)).select("model", "seed_count", F.round("AUC_mean", 4).alias("AUC_mean"), F.round("Brier_median", 4).alias("Brier_median"))
 
 
 FACTS = 'round(auc, 4) AS "AUC", round(ap, 4) AS "AP", round(brier, 4) AS "Brier", round(bss, 4) AS "BSS"'
@@ -212,14 +225,15 @@ FACTS = 'round(auc, 4) AS "AUC", round(ap, 4) AS "AP", round(brier, 4) AS "Brier
 
 @query(
     "elastic_net_cv",
-    f"""WITH RECURSIVE {LABELLED_SQL}, {fit_sql.nested(_named(GRID), INPUTS, seed=3, outer=3, inner=2, flags=["x3"])}, {BEST_SQL}, {PICKED_SQL}, run AS (SELECT 'BASE' AS model, 3 AS seed, * FROM picked), {fit_sql.metrics("run", "model, seed")}
+    f"""WITH RECURSIVE {LABELLED_SQL}, {fit_sql.nested(_named(estimators.elastic_grid()), INPUTS, seed=3, outer=5, inner=3, flags=["x3"])}, {BEST_SQL}, {PICKED_SQL}, run AS (SELECT 'BASE' AS model, 3 AS seed, * FROM picked), {fit_sql.metrics("run", "model, seed")}
     SELECT model, seed, {FACTS} FROM facts""",
 )
 def _(spark, sf):
-    r = validation.elastic_net_cv(_frame(spark, sf), INPUTS, run="BASE", seed=3, outer=3, inner=2, grid=GRID)
+    r = validation.elastic_net_cv(_frame(spark, sf), INPUTS, run="BASE", seed=3)
     return _rounded(run_metrics(r.oof, ["model", "seed"]), ["AUC", "AP", "Brier", "BSS"], 4)
 
 
+RECIPE_GRID = estimators.elastic_grid([0.01, 0.1, 1.0], [0.0, 0.5])
 RECIPES = {"ALL": INPUTS, "SHORT": ["x0", "x2"], "PAIR": ["x1", "x3"]}
 
 
@@ -237,15 +251,15 @@ def _recipe_sql(recipes, grid, seed, outer, inner, columns):
     SELECT fold, recipe AS selected_recipe, {sizes} AS input_count, round(screening, 4) AS "screening_AP", {columns} FROM best JOIN facts ON k = fold"""
 
 
-@query("recipe_selector_cv", _recipe_sql(RECIPES, GRID, 1, 3, 2, 'round(auc, 4) AS "AUC"'))
+@query("recipe_selector_cv", _recipe_sql(RECIPES, RECIPE_GRID, 1, 5, 3, 'round(auc, 4) AS "AUC"'))
 def _(spark, sf):
-    r = validation.recipe_selector_cv(_frame(spark, sf), RECIPES, seed=1, outer=3, inner=2, grid=GRID)
+    r = validation.recipe_selector_cv(_frame(spark, sf), RECIPES, seed=1, grid=RECIPE_GRID)
     return r.folds.select("fold", "selected_recipe", "input_count", F.round("screening_AP", 4).alias("screening_AP"), F.round("AUC", 4).alias("AUC"))
 
 
-@query("fixed_recipe_cv", _recipe_sql({"SHORT": ["x0", "x2"]}, GRID, 1, 3, 2, 'round(ap, 4) AS "AP"'))
+@query("fixed_recipe_cv", _recipe_sql({"SHORT": ["x0", "x2"]}, RECIPE_GRID, 1, 5, 3, 'round(ap, 4) AS "AP"'))
 def _(spark, sf):
-    r = validation.fixed_recipe_cv(_frame(spark, sf), "SHORT", ["x0", "x2"], seed=1, outer=3, inner=2, grid=GRID)
+    r = validation.fixed_recipe_cv(_frame(spark, sf), "SHORT", ["x0", "x2"], seed=1, grid=RECIPE_GRID)
     return r.folds.select("fold", "selected_recipe", "input_count", F.round("screening_AP", 4).alias("screening_AP"), F.round("AP", 4).alias("AP"))
 
 
@@ -280,29 +294,39 @@ SWEEP = {"BASE": ["x0"], "PLUS_X2": ["x0", "x2"]}
 
 
 def _sweep_sql():
-    import json
-
-    named = {n: [(json.dumps(g, sort_keys=True), n, c, g["C"], g["l1_ratio"]) for g in GRID[:1]] for n, c in SWEEP.items()}
-    runs = ", ".join(fit_sql.nested(named[n], c, seed=1, outer=2, inner=2, name=n.lower()) for n, c in SWEEP.items())
-    rows = " UNION ALL ".join(f"SELECT '{n}' AS model, 1 AS seed, label, score FROM {n.lower()}_oof" for n in SWEEP)
-    return f"WITH RECURSIVE {LABELLED_SQL}, {runs}, scored AS ({rows}), {fit_sql.metrics('scored', 'model, seed')} SELECT model, seed, {FACTS} FROM facts"
+    seeds = [1, 2]
+    runs, rows = [], []
+    for n, cols in SWEEP.items():
+        for seed in seeds:
+            name = f"{n.lower()}{seed}"
+            runs.append(fit_sql.nested(_named(GRID), cols, seed=seed, outer=3, inner=2, name=name))
+            runs.append(f"b_{name} AS (SELECT k, min_by(cand, (-ap, cand)) AS cand FROM {name}_inner GROUP BY k)")
+            rows.append(f"SELECT '{n}' AS model, {seed} AS seed, label, score FROM {name}_oof o JOIN b_{name} b ON k = fold AND o.cand = b.cand")
+    return f"WITH RECURSIVE {LABELLED_SQL}, {', '.join(runs)}, scored AS ({' UNION ALL '.join(rows)}), {fit_sql.metrics('scored', 'model, seed')} SELECT model, seed, {FACTS} FROM facts"
 
 
 @query("candidate_sweep", _sweep_sql())
 def _(spark, sf):
-    oof = validation.candidate_sweep(_frame(spark, sf), SWEEP, seeds=[1], outer=2, inner=2, grid=GRID[:1])
+    oof = validation.candidate_sweep(_frame(spark, sf), SWEEP, seeds=[1, 2], outer=3, inner=2, grid=GRID)
     return _rounded(run_metrics(oof, ["model", "seed"]), ["AUC", "AP", "Brier", "BSS"], 4)
 
 
 @query(
     "fit_diagnostics",
-    f"""WITH plan AS (SELECT * FROM (VALUES ('recipe_screening', {len(RECIPES)} * 2), ('hyperparameter_search', 1 * 2), ('outer_final_refit', 1)) v(stage, per_fold)), folds AS (SELECT unnest(range(2)) AS k FROM (SELECT 1 FROM orders LIMIT 1))
-    SELECT stage, sum(per_fold)::BIGINT AS fits, 0::BIGINT AS not_converged FROM plan, folds GROUP BY stage""",
+    f"""WITH plan AS (SELECT * FROM (VALUES ('recipe_screening', {len(RECIPES)} * 3), ('hyperparameter_search', 2 * 3), ('outer_final_refit', 1)) v(stage, per_fold)), folds AS (SELECT unnest(range(5)) AS k FROM (SELECT 1 FROM orders LIMIT 1))
+    SELECT run, stage, sum(per_fold)::BIGINT AS fits, CASE run WHEN 'cut short' THEN sum(per_fold) ELSE 0 END::BIGINT AS not_converged, CASE run WHEN 'cut short' THEN 2 END AS max_iterations
+    FROM plan, folds, (SELECT unnest(['whole', 'cut short']) AS run) GROUP BY run, stage""",
 )
 def _(spark, sf):
-    f = _frame(spark, sf)
-    r = validation.recipe_selector_cv(f, RECIPES, seed=2, outer=2, inner=2, grid=GRID[:1])
-    return validation.diagnostics_by_stage(validation.fit_diagnostics(f, r.fits)).select("stage", "fits", "not_converged")
+    # One run to the end and one stopped after two steps.
+    f = _frame(spark, sf).persist()
+    parts = []
+    for run, steps in (("whole", 100), ("cut short", 2)):
+        r = validation.recipe_selector_cv(f, RECIPES, seed=2, grid=GRID, max_iter=steps)
+        table = validation.diagnostics_by_stage(validation.fit_diagnostics(f, r.fits))
+        parts.append(table.select(F.lit(run).alias("run"), "stage", "fits", "not_converged", F.when(F.lit(run == "cut short"), F.col("max_iterations")).alias("max_iterations")))
+    f.unpersist()
+    return parts[0].unionByName(parts[1])
 
 
 FREEZE = [*INPUTS, "missing_x3"]
@@ -376,6 +400,7 @@ HAZARD_SQL = f"""WITH RECURSIVE {t.ENDPOINTS_SQL}, {LABELLED_SQL},
 def _(spark, sf):
     f = _hazard_frame(spark, sf).persist()
     tables = [hazard.hazard_table(f, cause, hazard.fit_hazard(f, ["x0", "x1", "x2"], "days", f"event_{cause}")) for cause in ("primary", "competing")]
+    f.unpersist()
     return _rounded(tables[0].unionByName(tables[1]), ["coefficient"], 6)
 
 

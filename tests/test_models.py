@@ -145,3 +145,139 @@ def test_hazard_matches_explicit_risk_sets(spark):
     r = np.exp(x @ np.array(fit.coef))
     want = sum(((t == s) & (e == 1)).sum() / r[t >= s].sum() for s in set(t))
     assert last.cumulative_hazard == pytest.approx(want)
+
+
+# ---- randomised trees ----
+
+def _slow_forest(x, y, spec, seed):
+    """Nodes of one forest by plain recursion: {(tree, path): (n, positives, input, threshold)}."""
+    import hashlib
+
+    out = {}
+
+    def weigh(labels):
+        a, b = (len(labels) - sum(labels)) * spec.zero, sum(labels) * spec.one
+        return (a * a + b * b) / (a + b)
+
+    def grow(tree, path, rows):
+        labels = [y[r] for r in rows]
+        best = None
+        if 0 < sum(labels) < len(rows) and len(rows) >= max(spec.min_split, 2 * spec.min_leaf) and (spec.max_depth is None or len(path) < spec.max_depth):
+            digest = [hashlib.md5(f"{seed}|{tree}|{path}|{i}".encode()).hexdigest() for i in range(len(x[0]))]
+            order = sorted(range(len(x[0])), key=lambda i: (digest[i][:8], i))
+            spread = [i for i in order if len({x[r][i] for r in rows}) > 1]
+            for i in [i for i in order[:spec.inputs] if i in spread] or spread[:1]:
+                low, high = min(x[r][i] for r in rows), max(x[r][i] for r in rows)
+                at = low + int(digest[i][8:20], 16) / 2.0**48 * (high - low)
+                left, right = [r for r in rows if x[r][i] <= at], [r for r in rows if x[r][i] > at]
+                if min(len(left), len(right)) >= spec.min_leaf:
+                    gain = weigh([y[r] for r in left]) + weigh([y[r] for r in right])
+                    if best is None or gain > best[0]:
+                        best = (gain, i, at, left, right)
+        out[(tree, path)] = (len(rows), sum(labels), *(best[1:3] if best else (None, None)))
+        if best:
+            grow(tree, path + "0", best[3])
+            grow(tree, path + "1", best[4])
+
+    for tree in range(spec.trees):
+        grow(tree, "", list(range(len(y))))
+    return out
+
+
+@pytest.mark.parametrize("params,in_parts", [({}, 70), ({"max_depth": 2, "min_samples_split": 2, "min_samples_leaf": 1, "max_features": 0.7, "class_weight": "1:3"}, 0)])
+def test_trees_equal_plain_recursion_whole_and_in_parts(spark, params, in_parts):
+    from cohortflow.operators import trees
+
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(size=(150, 4)), 2)
+    x[:, 3] = 1.0
+    y = (x[:, 0] - x[:, 1] + rng.normal(size=150) > 0.4).astype(int)
+    spec = trees.forest_spec(0, 0, {"n_estimators": 2, **params}, 4, 150, int(y.sum()))
+    rows = spark.createDataFrame([(0, [float(v) for v in r], int(t)) for r, t in zip(x, y)], "members int, x array<double>, y int").repartition(3)
+    want = _slow_forest(x.tolist(), y.tolist(), spec, 9)
+    for local_rows in (20_000, in_parts):  # in one task; with the lower levels in tasks, or level by level to the end
+        nodes = trees.grow_forests(rows, [spec], seed=9, local_rows=local_rows)
+        assert {(r.tree, r.path): (r.n, r.positives, r.input, r.threshold) for r in nodes.collect()} == want
+    if not params:
+        assert max(len(p) for _, p in want) > 5 and all(n >= 2 for n, *_ in want.values())
+    asked = rows.limit(20).selectExpr("x", "array(0) AS forests")
+    a, b = ({tuple(r.x): r.score for r in trees.score_forests(asked, nodes, keep=["x"], model_nodes=m).collect()} for m in (10**6, 0))
+    assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k]) for k in a)
+    for point, score in a.items():
+        leaves = []
+        for tree in range(2):
+            path = ""
+            while want[(tree, path)][2] is not None:
+                _, _, i, at = want[(tree, path)]
+                path += "0" if point[i] <= at else "1"
+            n, p = want[(tree, path)][:2]
+            leaves.append(p * spec.one / ((n - p) * spec.zero + p * spec.one))
+        assert score == pytest.approx(sum(leaves) / 2)
+
+
+def test_forests_of_several_sets_grow_together(spark):
+    from cohortflow.operators import trees
+
+    rng = np.random.default_rng(2)
+    x, y = rng.normal(size=(60, 2)), rng.integers(0, 2, 60)
+    rows = spark.createDataFrame([(i % 3, [float(v) for v in r], int(t)) for i, (r, t) in enumerate(zip(x, y))], "members int, x array<double>, y int")
+    specs = [trees.forest_spec(f, f % 3, {"n_estimators": 2 + f}, 2, 20, int(y[f % 3::3].sum())) for f in range(4)]
+    together = trees.grow_forests(rows, specs, seed=1)
+    for s in specs:
+        alone = trees.grow_forests(rows, [s], seed=1)
+        assert sorted(map(str, together.filter(f"forest = {s.forest}").collect())) == sorted(map(str, alone.collect()))
+    assert trees.inputs_tried("sqrt", 100) == 10 and trees.inputs_tried("log2", 100) == 6 and trees.inputs_tried(0.5, 9) == 4 and trees.inputs_tried("sqrt", 1) == 1
+    assert trees.class_weights("balanced", 10, 4) == (10 / 12, 10 / 8) and trees.class_weights("1:2", 10, 4) == (1.0, 2.0)
+
+
+def test_trees_are_tuned_inside_the_folds(frame):
+    grid = [{"n_estimators": 5, "max_depth": None}, {"n_estimators": 5, "max_depth": 2, "min_samples_split": 2, "min_samples_leaf": 4}]
+    r = validation.nested_cv(frame, COLS, model="trees", outer=3, inner=2, grid=grid, seed=4)
+    rows = r.oof.collect()
+    assert len({x.entity_id for x in rows}) == 60 and all(0 <= x.score <= 1 for x in rows) and r.folds.count() == 3 and r.fits == []
+    folds = {x.entity_id: x.fold for x in rows}
+    best = {x.fold: x.best_params for x in r.folds.collect()}
+    import json
+
+    for k in (1, 2):  # each fold equals one forest grown on the other folds
+        inside = [e for e, f in folds.items() if f != k]
+        fit = estimators.fit_forest(frame.filter(F.col("entity_id").isin(inside)), COLS, json.loads(best[k]), seed=4)
+        want = {x.entity_id: x.score for x in fit.scored(frame.filter(~F.col("entity_id").isin(inside))).collect()}
+        assert want == pytest.approx({x.entity_id: x.score for x in rows if x.fold == k})
+
+
+# ---- the batched solver ----
+
+@pytest.mark.parametrize("balanced,C,l1_ratio", [(False, 1.0, 0.0), (True, 0.5, 0.3), (False, 0.05, 1.0), (True, 1e6, 0.0)])
+def test_batched_fits_equal_single_fits(frame, monkeypatch, balanced, C, l1_ratio):
+    from cohortflow.operators import batched
+
+    sets = validation.TrainingSets(frame, COLS, [3, 8], 3, 2, indicators=True)
+    specs = [batched.ModelSpec(s, cols, C, l1_ratio) for s in sorted(sets.preps) for cols in (("a", "b", "c"), ("b",))]
+    together = batched.fit_models(sets.rows, sets.features, specs, balanced=balanced)
+    monkeypatch.setattr(batched, "PASS_BYTES", 8 * 60 * 7)
+    assert all(np.allclose(a.beta, b.beta, atol=1e-7) for a, b in zip(together, batched.fit_models(sets.rows, sets.features, specs, balanced=balanced)))
+    assert len(specs) == 2 * 3 * 3 * 2 and all(s.converged for s in together)
+    for spec, found in list(zip(specs, together))[::7]:
+        train = frame.join(sets.rows.filter(F.array_contains("train", spec.members)).select("entity_id"), "entity_id")
+        weight = estimators.balanced_weight(train) if balanced else None
+        one = estimators.fit_logistic(train, list(spec.inputs), C=C, l1_ratio=l1_ratio, indicators=True, weight=weight)
+        same = validation.logistic_fit(sets, spec.members, list(spec.inputs), {"C": C, "l1_ratio": l1_ratio}, found)
+        assert [same.intercept, *same.coef] == pytest.approx([one.intercept, *one.coef], abs=2e-4) and same.prep.outputs == one.prep.outputs
+
+
+def test_a_fit_that_is_cut_short_says_so(frame):
+    r = validation.nested_cv(frame, COLS, outer=2, inner=2, grid=[{"C": 1.0, "l1_ratio": 0.0}], max_iter=2)
+    assert r.fits and not any(f["converged"] for f in r.fits) and {f["iterations"] for f in r.fits} == {2}
+
+
+def test_jobs_do_not_grow_with_settings(spark, frame):
+    def jobs(grid, seeds):
+        spark.sparkContext.setJobGroup("count", "count")
+        validation.nested_runs(frame, {"x": COLS}, seeds=seeds, outer=2, inner=2, grid=grid).oof.count()
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup("count"))
+
+    few = jobs([{"C": 1.0, "l1_ratio": 0.0}], [1])
+    total = jobs([{"C": c, "l1_ratio": 0.0} for c in (0.1, 0.2, 0.5, 0.8, 1.0)], [1, 2])
+    assert total - few <= few + 10
