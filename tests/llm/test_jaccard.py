@@ -89,3 +89,17 @@ def test_stage_on_the_tables(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     assert sorted(r.doc_id for r in dict(corpus_pipeline.STAGES)["near dedup"](spark, docs, sf).collect()) == sorted({low for _, low in slow_similar(rows)})
+
+
+def test_texts_around_one_passage_do_not_meet(spark, docs_of, monkeypatch):
+    """A passage of 120 words with own tails, similarity 0.76: the pairs that are formed do not grow with the square of the texts."""
+    rng = random.Random(3)
+    passage = " ".join(f"p{rng.randrange(10_000)}" for _ in range(120))
+    rows = [(i, passage + " " + " ".join(f"t{rng.randrange(100_000)}" for _ in range(18))) for i in range(600)]
+    rows += [(1000 + i, rows[i][1] + " end") for i in range(20)]
+    sizes = {}
+    keep = jaccard.written
+    monkeypatch.setattr(jaccard, "written", lambda df, name: sizes.setdefault(name, keep(df, name)))
+    got = {r.doc_id: r.component_id for r in similar_groups(docs_of(rows)).collect()}
+    assert got == {i: (i - 1000 if i >= 1000 else i) for i, _ in rows}
+    assert 20 <= sizes["pairs"].count() < 1000
