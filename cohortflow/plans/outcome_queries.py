@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.constants import METRICS
+from ..functions.hashing import hash_to_long, seeded_hash
 from ..operators import aggregate, bootstrap, endpoints, folds, metrics, population
 from ..operators.ordered import value_splits
 from . import tables as t
@@ -304,8 +305,8 @@ def _(spark, sf):
     return _rounded(df, ["mean_predicted", "observed_rate"], 8)
 
 
-# Draws over all orders; the replicate number is the parameter that sets the work.
-REPS, SEED = 100, 42
+# Draws over all orders, with the study's number of replicates.
+REPS, SEED = 2000, 42
 DRAW_SQL = t.PREDICTIONS_SQL + f""",
 idx AS (SELECT entity_id, row_number() OVER (ORDER BY md5('{SEED}|' || entity_id), entity_id) - 1 AS k, count(*) OVER () AS n FROM base),
 cells AS (SELECT r.rep, i.k AS i, i.n FROM idx i, (SELECT unnest(range({REPS})) AS rep) r),
@@ -316,9 +317,11 @@ weights AS (SELECT rep, entity_id, count(*) AS weight FROM dr JOIN idx USING (k)
 DRAWN = {"replicates": REPS, "seed": SEED}
 
 
-@query("bootstrap_draws", f"WITH {DRAW_SQL} SELECT rep, entity_id, weight FROM weights")
+@query("bootstrap_draws", f"WITH {DRAW_SQL} SELECT entity_id, sum(weight)::BIGINT AS draws, count(*) AS replicates, sum(weight * rep)::BIGINT AS places FROM weights GROUP BY 1")
 def _(spark, sf):
-    return bootstrap.bootstrap_draws(_entities(spark, sf), REPS, SEED)
+    # All weights of all replicates, in three sums per entity.
+    weights = bootstrap.bootstrap_draws(_entities(spark, sf), REPS, SEED)
+    return weights.groupBy("entity_id").agg(F.sum("weight").alias("draws"), F.count("*").alias("replicates"), F.sum(F.col("weight") * F.col("rep")).alias("places"))
 
 
 WCURVE = """
@@ -361,25 +364,39 @@ def _(spark, sf):
     return _rounded(df, ["AUC", "delta"], 8)
 
 
+# One hundred prediction sets over all suppliers: blurred labels.
+SETS = 100
+SETS_SQL = f"""base AS (SELECT s_suppkey AS entity_id, (s_acctbal > 4000)::INT AS label FROM supplier),
+preds AS (SELECT entity_id, label, s AS model, 0.1::DOUBLE * label + 0.9::DOUBLE * (('0x' || substr(md5(s || '|' || entity_id), 1, 4))::BIGINT / 65536.0::DOUBLE) AS score FROM base, (SELECT unnest(range({SETS})) AS s))"""
+SETS_DRAW_SQL = DRAW_SQL.replace(t.PREDICTIONS_SQL, SETS_SQL)
+
+
+def _prediction_sets(spark, sf):
+    base = t.read(spark, sf, "supplier").select(F.col("s_suppkey").alias("entity_id"), (F.col("s_acctbal") > 4000).cast("int").alias("label"))
+    sets = base.withColumn("model", F.explode(F.sequence(F.lit(0), F.lit(SETS - 1))))
+    blur = hash_to_long(seeded_hash(F.col("model"), F.col("entity_id")), 4) / 65536.0
+    return sets.withColumn("score", 0.1 * F.col("label") + 0.9 * blur)
+
+
 @query(
     "shared_draw_median_bootstrap",
-    f"""WITH {DRAW_SQL},{WCURVE}, m AS (SELECT rep, quantile_cont(auc, 0.5) AS median_auc FROM reps GROUP BY 1),
+    f"""WITH {SETS_DRAW_SQL},{WCURVE}, m AS (SELECT rep, quantile_cont(auc, 0.5) AS median_auc FROM reps GROUP BY 1),
     d AS (SELECT rep, sum(weight) FILTER (label = 1)::BIGINT AS positive_draws, sum(weight) FILTER (label = 0)::BIGINT AS negative_draws FROM weights JOIN base USING (entity_id) GROUP BY 1)
     SELECT rep, round(median_auc, 8) AS median_auc, positive_draws, negative_draws FROM m JOIN d USING (rep)""",
 )
 def _(spark, sf):
-    df = bootstrap.shared_draw_median(t.predictions(spark, sf), run="model", **DRAWN)
+    df = bootstrap.shared_draw_median(_prediction_sets(spark, sf), run="model", **DRAWN)
     return _rounded(df, ["median_auc"], 8)
 
 
 @query(
     "shared_draw_median_summary",
-    f"""WITH {DRAW_SQL},{WCURVE}, m AS (SELECT rep, quantile_cont(auc, 0.5) AS v FROM reps GROUP BY 1), {t.curve_sql('preds', 'model').replace('tied', 'tied1').replace('curve', 'curve1')},
+    f"""WITH {SETS_DRAW_SQL},{WCURVE}, m AS (SELECT rep, quantile_cont(auc, 0.5) AS v FROM reps GROUP BY 1), {t.curve_sql('preds', 'model').replace('tied', 'tied1').replace('curve', 'curve1')},
     o AS (SELECT quantile_cont("AUC", 0.5) AS obs FROM ranked), s AS (SELECT avg(v) AS mean, quantile_cont(v, 0.5) AS mid, quantile_cont(v, 0.025) AS lo, quantile_cont(v, 0.975) AS hi, count(*) AS n FROM m)
     SELECT round(obs, 8) AS observed, round(mean, 8) AS bootstrap_mean, round(mid, 8) AS bootstrap_median, round(mean - obs, 8) AS bias, round(lo, 8) AS lower, round(hi, 8) AS upper,
       round(2 * obs - hi, 8) AS basic_lower, round(2 * obs - lo, 8) AS basic_upper, n AS replicates FROM o, s""",
 )
 def _(spark, sf):
-    p = t.predictions(spark, sf)
+    p = _prediction_sets(spark, sf)
     df = bootstrap.shared_draw_summary(bootstrap.shared_draw_median(p, run="model", **DRAWN), p, "model")
     return _rounded(df, [c for c in df.columns if c != "replicates"], 8)

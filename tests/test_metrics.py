@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from cohortflow.functions.constants import METRICS
 from cohortflow.operators import bootstrap, folds, metrics, quality
 from cohortflow.operators.ordered import ONE_BUCKET, value_splits
 
@@ -106,3 +107,17 @@ def test_drift_guard_and_gate(spark):
     assert tuple(gate.select("failed_checks", "passed").first()) == ("b", False)
     with pytest.raises(Exception, match="failed checks"):
         quality.require_gate(gate).collect()
+
+
+def test_whole_replicates_equal_weighted_rows(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, k, int(rng.random() < 0.4), None if i % 11 == 0 else float(round(rng.normal(0.5, 0.5), 1))) for i in range(60) for k in ("a", None)]
+    df = spark.createDataFrame(rows, "entity_id int, run string, label int, score double")
+    a, b = ([tuple(r) for r in bootstrap.replicate_metrics(df, ["run"], replicates=12, seed=5, local_rows=n).select("run", "rep", *METRICS).collect()] for n in (10**6, 0))
+    key = lambda r: (r[0] or "", r[1])
+    assert len(a) == len(b) == 24
+    for x, y in zip(sorted(a, key=key), sorted(b, key=key)):
+        assert x[:2] == y[:2] and x[2:] == pytest.approx(y[2:], nan_ok=True)
+    sets = df.filter("run is not null").drop("run").withColumn("seed", F.explode(F.array(*[F.lit(i) for i in range(5)]))).withColumn("score", F.col("score") * F.col("seed") % 0.7)
+    a, b = (sorted(tuple(r) for r in bootstrap.shared_draw_median(sets, replicates=6, seed=2, local_rows=n).select("rep", "median_auc", "positive_draws", "negative_draws").collect()) for n in (10**6, 0))
+    assert all(x == pytest.approx(y) for x, y in zip(a, b)) and len(a) == len(b) == 6
