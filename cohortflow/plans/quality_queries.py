@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.derive import row_fingerprint
 from ..operators import endpoints, incremental, metrics, population, quality, windows
+from ..session import scratch_path
 from . import tables as t
 from .outcome_queries import FOLD_SQL, _folds
 from .registry import query
@@ -387,3 +388,36 @@ def _(spark, sf):
     state = population.completeness(report, F.col("work_state") == "FAILED", F.col("work_state") == "REUSED")
     counts = state.groupBy("work_state", "processing_status").agg(F.count("*").alias("n"))
     return counts.withColumn("_k", F.lit(1)).join(incremental.build_status(report).withColumn("_k", F.lit(1)), "_k").drop("_k")
+
+
+@query(
+    "incremental_build",
+    """WITH n AS (SELECT o_custkey AS entity_id, count(*) AS rows FROM orders GROUP BY 1), c AS (SELECT c_custkey AS entity_id, c_nationkey, coalesce(rows, 0) AS rows FROM customer LEFT JOIN n ON entity_id = c_custkey)
+    SELECT entity_id, CASE WHEN c_nationkey = 7 THEN 'FAILED' ELSE 'COMPLETE' END AS status, CASE WHEN c_nationkey = 7 THEN 'ValueError' END AS error_type, CASE WHEN c_nationkey = 7 THEN 0 ELSE rows END AS row_count,
+      CASE WHEN c_nationkey = 7 THEN 3 WHEN c_nationkey < 3 THEN 2 ELSE 1 END AS built_by, CASE WHEN c_nationkey = 7 THEN 'FAILED' WHEN c_nationkey < 3 THEN 'STALE' ELSE 'REUSED' END AS second_run,
+      CASE WHEN c_nationkey = 7 THEN 'FAILED' ELSE 'REUSED' END AS third_run, CASE WHEN c_nationkey = 7 THEN 0 ELSE rows END AS stored FROM c""",
+)
+def _(spark, sf):
+    # Three builds of the orders of every customer: all, then the changed ones, then nothing but what failed.
+    c = t.read(spark, sf, "customer")
+    o = t.read(spark, sf, "orders").select(F.col("o_custkey").alias("entity_id"), "o_orderkey", "o_totalprice")
+    failing = c.filter("c_nationkey = 7").select(F.col("c_custkey").alias("entity_id"))
+    store = scratch_path(spark, "store")
+
+    def inputs(version):
+        mark = F.when(F.col("c_nationkey") < 3, F.lit(version)).otherwise(F.lit(1))
+        return c.select(F.col("c_custkey").alias("entity_id"), F.sha2(F.concat_ws("|", F.col("c_custkey").cast("string"), mark.cast("string")), 256).alias("fingerprint"))
+
+    def build(pending):
+        nothing = F.lit(None).cast("string")
+        good = o.join(pending, "entity_id", "left_semi").withColumns({"error_type": nothing, "message": nothing})
+        bad = failing.join(pending, "entity_id", "left_semi").select("entity_id", F.lit("ValueError").alias("error_type"), F.lit("no signal").alias("message"))
+        return good.unionByName(bad, allowMissingColumns=True)
+
+    reports = [incremental.incremental_build(inputs(version), build, store, run=run, parts=8) for run, version in ((1, 1), (2, 2), (3, 2))]
+    status = spark.read.parquet(f"{store}/status").select("entity_id", "status", "error_type", F.col("row_count").cast("long").alias("row_count"), F.col("finished_at").alias("built_by"))
+    stored = spark.read.parquet(f"{store}/rows").groupBy("entity_id").agg(F.count("*").alias("stored"))
+    out = status.join(stored, "entity_id", "left").withColumn("stored", F.coalesce("stored", F.lit(0).cast("long")))
+    for name, report in (("second_run", reports[1]), ("third_run", reports[2])):
+        out = out.join(report.select("entity_id", F.col("work_state").alias(name)), "entity_id")
+    return out

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import quality
 from ..session import scratch_path
-from ..sources import files, readers, sinks
+from ..sources import files, readers, shards, sinks
 from . import tables as t
 from .registry import query
 
@@ -192,6 +192,31 @@ def _(spark, sf):
     return out.withColumn("all_caught", F.col("caught") == F.col("shards")).drop("_k", "caught", "shards")
 
 
+SHARD_LIMIT = "(SELECT count(*) // 7 FROM orders)"
+
+
+@query(
+    "paired_range_shards",
+    f"""WITH RECURSIVE per AS (SELECT o_custkey AS e, count(*) AS n, row_number() OVER (ORDER BY o_custkey) AS i FROM orders GROUP BY 1),
+    walk AS (SELECT e, n, i, 0 AS shard, n AS held FROM per WHERE i = 1
+      UNION ALL SELECT p.e, p.n, p.i, shard + CASE WHEN held + p.n > {SHARD_LIMIT} THEN 1 ELSE 0 END, CASE WHEN held + p.n > {SHARD_LIMIT} THEN p.n ELSE held + p.n END FROM walk w JOIN per p ON p.i = w.i + 1)
+    SELECT shard::BIGINT AS shard, sum(n)::BIGINT AS rows, min(e) AS first_entity, max(e) AS last_entity, sum(n)::BIGINT AS feature_rows, TRUE AS paired, TRUE AS refused FROM walk GROUP BY shard""",
+)
+def _(spark, sf):
+    # Windows and features of all orders; the byte limit is tried on a second write.
+    o = t.read(spark, sf, "orders")
+    windows = o.select(F.col("o_custkey").alias("entity_id"), F.col("o_orderkey").alias("window_id"), F.col("o_orderstatus").alias("status"))
+    features = o.select(F.col("o_custkey").alias("entity_id"), F.col("o_orderkey").alias("window_id"), F.col("o_totalprice").cast("double").alias("f1"))
+    limit = o.count() // 7
+    made = shards.write_paired_shards(windows, features, scratch_path(spark, "paired"), shard_rows=limit)
+    try:
+        shards.write_paired_shards(windows, features, scratch_path(spark, "refused"), shard_rows=limit, max_bytes=64)
+        refused = False
+    except RuntimeError:
+        refused = True
+    return made.select("shard", "rows", "first_entity", "last_entity", "feature_rows", "paired", F.lit(refused).alias("refused"))
+
+
 @query("sort_order_check", "SELECT 2::BIGINT AS files_with_disorder, count(*) AS rows, count(*) FILTER (o_custkey % 5 > 2) - 2 AS out_of_order FROM orders")
 def _(spark, sf):
     path = scratch_path(spark, "sorted")

@@ -2,18 +2,13 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .files import file_hash_table, relative_path
 from .readers import finite_doubles
-
-SHARD_ROWS = 40_000
-#: Range partitions of one write; beyond them shards grow instead.
-MAX_SHARDS = 20_000
+from .shards import SHARD_ROWS, shard_plan
 
 
 def write_parquet_zstd(df: DataFrame, path: str) -> None:
@@ -23,13 +18,14 @@ def write_parquet_zstd(df: DataFrame, path: str) -> None:
 def write_range_shards(df: DataFrame, path: str, *, shard_rows: int = SHARD_ROWS, keys: tuple[str, str] = ("entity_id", "window_id")) -> DataFrame:
     """Entity-sorted shards over contiguous entity ranges; returns the shard manifest.
 
-    Ranges are cut on the entity alone, so an entity never spans two shards, and one that
-    holds many rows makes one large shard by contract.
+    Boundaries are those of a sequential writer that begins a new shard where the next entity would bring it over
+    `shard_rows` (`shards.shard_plan`): an entity never spans two shards, and one that holds more rows has a shard to itself.
     """
     entity, window = keys
-    shards = min(MAX_SHARDS, max(1, math.ceil(df.count() / shard_rows)))
-    ordered = df.repartitionByRange(shards, entity).sortWithinPartitions(entity, window)
-    ordered.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    plan = shard_plan(df, entity=entity, shard_rows=shard_rows).select(F.col(entity).alias("_entity"), F.col("shard").alias("shard_no"))
+    placed = df.join(plan, F.col(entity) == F.col("_entity")).drop("_entity")
+    ordered = placed.repartition("shard_no").sortWithinPartitions("shard_no", entity, window)
+    ordered.write.mode("overwrite").option("compression", "zstd").partitionBy("shard_no").parquet(path)
     return shard_manifest(df.sparkSession.read.parquet(path), path, entity)
 
 
