@@ -2,8 +2,9 @@
 
 A group is cut into value buckets; each bucket is summed on its own, the small
 table of bucket totals carries the offsets, and rows are ordered inside buckets.
-Bucket bounds come from quantiles of the data, so no bucket outgrows its share,
-and equal values are summed before any ordering.
+Every large group has bucket bounds of its own, from a mergeable quantile sketch of
+its values, so no bucket outgrows its share wherever the values of a group lie, and
+equal values are summed before any ordering.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import seeded_hash
+from ..session import cut_lineage
 
 HOT_ROWS = 1_000_000
 BUCKET_ROWS = 200_000
@@ -98,6 +100,56 @@ def running_offsets(rows: DataFrame, keys: list[str], order: str, sums: list[str
     )
 
 
+#: Size of the quantile sketches: rank errors of about 2 / SKETCH, well below the share of a bucket up to some hundred buckets.
+SKETCH = 4096
+#: Groups with bounds up to which the table of bounds is broadcast.
+BOUNDED_GROUPS = 20_000
+
+
+def group_bounds(df: DataFrame, keys: list[str], cols: list[str], *, rows: int = BUCKET_ROWS, buckets: int | None = None) -> DataFrame:
+    """Bucket bounds of every group of more than `rows` rows: the keys and per column an array `_bounds_<col>` of finite, distinct, rising values.
+
+    A group gets as many buckets as its rows ask for, or `buckets`. Sketches are merged across tasks and asked for the ranks
+    of the largest group, of which smaller ones take every so-manieth; the table is written once, so that all uses see the
+    same bounds.
+    """
+    finite = lambda c: F.when(~F.isnan(c) & (F.abs(F.col(c)) < float("inf")), F.col(c))
+    sketches = df.groupBy(*keys).agg(F.count("*").alias("_rows"), *[F.kll_sketch_agg_double(finite(c), F.lit(SKETCH)).alias(f"_s_{c}") for c in cols], *[F.count(finite(c)).alias(f"_n_{c}") for c in cols])
+    sketches = cut_lineage(sketches if buckets else sketches.filter(F.col("_rows") > rows))
+    most = buckets or max(2, min(MAX_BUCKETS, -(-(sketches.agg(F.max("_rows")).first()[0] or 0) // rows)))
+    ranks = F.array(*[F.lit(i / most) for i in range(1, most)])
+    own = F.lit(most) if buckets else F.least(F.lit(most), F.greatest(F.lit(2), F.ceil(F.col("_rows") / rows)))
+    none = F.array().cast("array<double>")
+
+    def bounds(c: str) -> tuple[Column, Column]:
+        found = F.kll_sketch_get_quantile_double(f"_s_{c}", ranks)
+        taken = F.transform(F.sequence(F.lit(1), own.cast("int") - 1), lambda i: F.get(F.col(f"_q_{c}"), (F.round(i * most / own) - 1).cast("int")))
+        return F.when(F.col(f"_n_{c}") > 0, found), F.when(F.col(f"_n_{c}") > 0, F.array_sort(F.array_distinct(taken))).otherwise(none)
+
+    asked = sketches.withColumns({f"_q_{c}": bounds(c)[0] for c in cols})
+    return cut_lineage(asked.select(*keys, *[bounds(c)[1].alias(f"_bounds_{c}") for c in cols]))
+
+
+def bucket_within(bounds: Column, value: Column) -> Column:
+    """How many of the rising bounds lie at or below a value, by halving; 0 without bounds."""
+    start = F.struct(F.lit(0).alias("low"), F.coalesce(F.size(bounds), F.lit(0)).alias("high"))
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = F.floor((s["low"] + s["high"]) / 2).cast("int")
+        up = F.get(bounds, mid) <= value
+        return F.when(s["low"] >= s["high"], s).when(up, F.struct((mid + 1).alias("low"), s["high"].alias("high"))).otherwise(F.struct(s["low"].alias("low"), mid.alias("high")))
+
+    steps = F.sequence(F.lit(1), F.ceil(F.log2(F.size(bounds) + 1.0)).cast("int") + 1)
+    return F.when(F.coalesce(F.size(bounds), F.lit(0)) == 0, 0).otherwise(F.aggregate(steps, start, halve, lambda s: s["low"]))
+
+
+def with_bounds(df: DataFrame, bounds: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with the bounds of their group, null where it has none."""
+    if bounds.count() <= BOUNDED_GROUPS:
+        bounds = F.broadcast(bounds)
+    return join_by_keys(df, bounds, keys, "left")
+
+
 def prefix_sums(
     df: DataFrame,
     keys: list[str],
@@ -105,15 +157,22 @@ def prefix_sums(
     sums: dict[str, Column],
     *,
     splits: list[float] | None = None,
+    hot_rows: int = HOT_ROWS,
+    bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
     """One row per group and distinct value with its sums, the sums before it and the group totals.
 
-    Without given `splits` the row count decides whether values are cut into buckets.
+    Without given `splits` a table of at most `hot_rows` rows is summed by plain windows; in a larger one every group is cut
+    into buckets by its own bounds, about `bucket_rows` distinct values each.
     """
     present = df.filter(F.col(value).isNotNull())
-    bounds = splits or choose_splits(present, value)
     grouped = present.groupBy(*keys, value).agg(*[e.alias(n) for n, e in sums.items()])
-    return running_offsets(grouped, keys, value, list(sums), bounds)
+    if splits or present.count() <= hot_rows:
+        return running_offsets(grouped, keys, value, list(sums), splits or ONE_BUCKET)
+    grouped = cut_lineage(grouped)
+    bounds = group_bounds(grouped.select(*keys, F.col(value).cast("double").alias("_v")), keys, ["_v"], rows=bucket_rows)
+    placed = with_bounds(grouped, bounds, keys).withColumn("_bucket", bucket_within(F.col("_bounds__v"), F.col(value).cast("double"))).drop("_bounds__v")
+    return offsets_by_bucket(placed, keys, "_bucket", [F.col(value)], list(sums)).drop("_bucket")
 
 
 def rows_allowed(hot_rows: int, cols: list[str]) -> int:
@@ -134,13 +193,10 @@ def _native_quantiles(df: DataFrame, keys: list[str], cols: list[str], probs: di
     )
 
 
-def _bucketed_quantiles(df: DataFrame, keys: list[str], cols: list[str], probs: dict[str, float], buckets: int) -> DataFrame:
-    bounds = value_splits(df, cols, buckets)
-    wide = df.select(*keys, *cols)
-    for c in cols:
-        wide = add_bucket(wide, c, bounds[c], f"_b_{c}")
-    entries = [F.struct(F.lit(c).alias("f"), F.col(c).alias("v"), F.col(f"_b_{c}").alias("b")) for c in cols]
-    long = wide.select(*keys, F.explode(F.array(*entries)).alias("e")).select(
+def _bucketed_quantiles(df: DataFrame, keys: list[str], cols: list[str], probs: dict[str, float], buckets: int | None) -> DataFrame:
+    bounded = with_bounds(df.select(*keys, *cols), group_bounds(df, keys, cols, buckets=buckets), keys)
+    entries = [F.struct(F.lit(c).alias("f"), F.col(c).alias("v"), bucket_within(F.col(f"_bounds_{c}"), F.col(c)).alias("b")) for c in cols]
+    long = bounded.select(*keys, F.explode(F.array(*entries)).alias("e")).select(
         *keys, F.col("e.f").alias("_f"), F.col("e.v").alias("_v"), F.col("e.b").alias("_bucket")
     ).filter(F.col("_v").isNotNull())
     counted = long.groupBy(*keys, "_f", "_bucket", "_v").agg(F.count("*").alias("n"))
@@ -178,8 +234,8 @@ def exact_quantiles(
     """Linearly interpolated quantiles of double columns per group, named `<col>_<prob name>`.
 
     Groups that hold at most `hot_rows` values over all columns use the built-in aggregate,
-    which keeps one group in memory.  Larger groups are split into value buckets, as many as
-    their rows ask for; both ways give the same values, null keys and infinities included.
+    which keeps one group in memory.  Larger groups are split into value buckets by bounds of their
+    own, as many as their rows ask for; both ways give the same values, null keys and infinities included.
     `hot_rows=None` states that the caller has checked the sizes.
     """
     narrow = df.select(*keys, *cols)
@@ -189,7 +245,7 @@ def exact_quantiles(
     if not keys:
         rows = narrow.count()
         if rows > limit:
-            return _bucketed_quantiles(narrow, keys, cols, probs, buckets or bucket_count(rows))
+            return _bucketed_quantiles(narrow, keys, cols, probs, buckets)
         return _native_quantiles(narrow, keys, cols, probs)
     hot = hot_groups(narrow, keys, limit)
     most = hot.agg(F.max("_rows")).first()[0]
@@ -197,7 +253,7 @@ def exact_quantiles(
         return _native_quantiles(narrow, keys, cols, probs)
     names = hot.select(*keys)
     usual = _native_quantiles(join_by_keys(narrow, names, keys, "left_anti"), keys, cols, probs)
-    large = _bucketed_quantiles(join_by_keys(narrow, names, keys, "left_semi"), keys, cols, probs, buckets or bucket_count(most))
+    large = _bucketed_quantiles(join_by_keys(narrow, names, keys, "left_semi"), keys, cols, probs, buckets)
     return usual.unionByName(large)
 
 

@@ -120,3 +120,26 @@ def test_join_checks(spark):
 def test_five_numbers_of_few_values(spark):
     one = spark.createDataFrame([(3.0,), (float("nan"),)], "x double")
     assert tuple(distributions.five_number_summary(one, "x").select("n", "min", "p25", "median", "p75", "max").first()) == (1, 3.0, 3.0, 3.0, 3.0, 3.0)
+
+
+def test_large_groups_have_bounds_of_their_own(spark):
+    """50 groups of separate value ranges, and null keys, infinities and one constant group among them."""
+    rng = np.random.default_rng(4)
+    rows = [(g, float(g * 1000 + v)) for g in range(50) for v in np.round(rng.normal(0, 30, 400), 2)]
+    rows += [(None, float(v)) for v in range(300)] + [(77, 5.0)] * 300 + [(78, float("inf")), (78, float("-inf")), (78, 1.0)] * 100
+    df = spark.createDataFrame(rows, "k int, x double").repartition(6)
+    bounds = ordered.group_bounds(df, ["k"], ["x"], rows=40)
+    placed = ordered.with_bounds(df, bounds, ["k"]).withColumn("b", ordered.bucket_within(F.col("_bounds_x"), F.col("x")))
+    sizes = placed.filter("k < 77 or k is null").groupBy("k", "b").count().collect()
+    assert len(sizes) >= 50 * 9 and max(r["count"] for r in sizes) <= 2 * 40
+    ordered_pairs = [(r.k, r.b, r.x) for r in placed.filter("k = 3").collect()]
+    assert all(a[1] <= b[1] for a, b in zip(sorted(ordered_pairs, key=lambda r: r[2]), sorted(ordered_pairs, key=lambda r: r[2])[1:]))
+
+    text = lambda d: sorted(map(str, d.collect()))
+    sums = {"n": F.count("*")}
+    plain = ordered.prefix_sums(df, ["k"], "x", sums)
+    cut = ordered.prefix_sums(df, ["k"], "x", sums, hot_rows=10, bucket_rows=40)
+    assert text(cut.select(*plain.columns)) == text(plain)
+    probs = {"a": 0.1, "m": 0.5, "z": 0.975}
+    usual, split = (ordered.exact_quantiles(df, ["k"], ["x"], probs, hot_rows=n).orderBy("k").collect() for n in (10**6, 100))
+    assert [tuple(r) for r in usual] == [tuple(r) for r in split]
