@@ -99,7 +99,18 @@ def test_texts_around_one_passage_do_not_meet(spark, docs_of, monkeypatch):
     rows += [(1000 + i, rows[i][1] + " end") for i in range(20)]
     sizes = {}
     keep = jaccard.written
-    monkeypatch.setattr(jaccard, "written", lambda df, name: sizes.setdefault(name, keep(df, name)))
+    monkeypatch.setattr(jaccard, "written", lambda df, name: sizes.setdefault(name, []).append(keep(df, name)) or sizes[name][-1])
     got = {r.doc_id: r.component_id for r in similar_groups(docs_of(rows)).collect()}
     assert got == {i: (i - 1000 if i >= 1000 else i) for i, _ in rows}
-    assert 20 <= sizes["pairs"].count() < 1000
+    assert 20 <= sum(p.count() for p in sizes["pairs"]) < 1000
+
+
+def test_a_group_of_near_copies_is_not_expanded_into_pairs(docs_of, monkeypatch):
+    rng = random.Random(8)
+    words = [f"c{rng.randrange(10_000)}" for _ in range(150)]
+    rows = [(i, " ".join(words[:j] + [f"x{i}"] + words[j + 1:])) for i, j in enumerate(rng.randrange(150) for _ in range(300))]
+    sizes = {}
+    keep = jaccard.written
+    monkeypatch.setattr(jaccard, "written", lambda df, name: sizes.setdefault(name, []).append(keep(df, name)) or sizes[name][-1])
+    assert {r.component_id for r in similar_groups(docs_of(rows)).collect()} == {0}
+    assert sum(p.count() for p in sizes["pairs"]) < 3000  # of 44 850
