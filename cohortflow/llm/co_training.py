@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortflow.llm.common import text_of
+from cohortflow.llm.common import text_of, written
 
 WORD_BUCKETS = 256
 SOURCE_BUCKETS, LANG_BUCKETS, HOST_BUCKETS = 32, 8, 16
@@ -135,12 +135,34 @@ class CoTrained:
         return self.combined[0] + self.combined[1] * text + self.combined[2] * page
 
 
-def co_train(text: np.ndarray, page: np.ndarray, labels: np.ndarray, prior: tuple[float, float] = (1.0, 1.0), rounds: int = 4, per_round: int = 100, sure: float = 0.95, seed: int = 3) -> CoTrained:
+#: Of a view (`text` or `page`) and the ids already given to the other view: new ids, their labels 0 or 1, and their features in the other view.
+Draw = Callable[[str, View, set], tuple[list, np.ndarray, np.ndarray]]
+OTHER = {"text": "page", "page": "text"}
+
+
+def array_draw(text: np.ndarray, page: np.ndarray, rows: np.ndarray, per_round: int = 100, sure: float = 0.95) -> Draw:
+    """Draws from rows of arrays: at most `per_round` of each class, the most confident beyond `sure`."""
+    features = {"text": text, "page": page}
+
+    def draw(name: str, view: View, taken: set) -> tuple[list, np.ndarray, np.ndarray]:
+        own = rows[~np.isin(rows, list(taken))]
+        p = _sigmoid(view.log_odds(features[name][own])) if len(own) else np.empty(0)
+        order = np.argsort(p, kind="stable")
+        low = [own[i] for i in order[:per_round] if p[i] <= 1 - sure]
+        high = [own[i] for i in order[::-1][:per_round] if p[i] >= sure]
+        at = np.array(low + high, np.int64)
+        return at.tolist(), np.array([0] * len(low) + [1] * len(high)), features[OTHER[name]][at]
+
+    return draw
+
+
+def co_train(text: np.ndarray, page: np.ndarray, labels: np.ndarray, prior: tuple[float, float] = (1.0, 1.0), rounds: int = 4, draw: Draw | None = None, seed: int = 3, **limits) -> CoTrained:
     """Co-training on rows with both views; labels 0, 1 or -1 (none).
 
     A fifth of the labelled rows only calibrates. In every round both views are fitted and calibrated; each then labels its
-    most confident unlabelled rows, at most `per_round` of each class and only beyond `sure`, for the training set of the
-    other. Last, both calibrated views are combined by a regression on the calibrating rows. `prior` weighs the classes.
+    most confident unlabelled rows for the training set of the other. `draw` finds those rows; without it they are the rows
+    of the arrays without a label (`limits` as in `array_draw`). Last, both calibrated views are combined by a regression on
+    the calibrating rows. `prior` weighs the classes.
     """
     rng = np.random.default_rng(seed)
     known = rng.permutation(np.nonzero(labels >= 0)[0])
@@ -148,33 +170,30 @@ def co_train(text: np.ndarray, page: np.ndarray, labels: np.ndarray, prior: tupl
     base = np.setdiff1d(known, held)
     if len(set(labels[base])) < 2:
         base = known
-    pool = {v: list(np.nonzero(labels < 0)[0]) for v in ("text", "page")}
-    train = {v: (list(base), list(labels[base])) for v in ("text", "page")}
+    draw = draw or array_draw(text, page, np.nonzero(labels < 0)[0], **limits)
     features = {"text": text, "page": page}
+    train = {v: ([features[v][base]], [labels[base]]) for v in features}
+    taken: dict[str, set] = {v: set() for v in features}
     weigh = lambda y: np.where(np.asarray(y) == 1, prior[1], prior[0])
     views: dict[str, View] = {}
     given: list[tuple[int, int]] = []
 
     def refit() -> None:
         for name, x in features.items():
-            rows, y = train[name]
-            views[name] = fit_view(x[rows], np.array(y, float), weigh(y))
+            y = np.concatenate(train[name][1]).astype(float)
+            views[name] = fit_view(np.concatenate(train[name][0]), y, weigh(y))
             _calibrate(views[name], x[held], labels[held].astype(float), weigh(labels[held]))
 
     refit()
     for _ in range(rounds):
         gained = []
-        for name, other in (("text", "page"), ("page", "text")):
-            rows = np.array(pool[other], np.int64)
-            p = _sigmoid(views[name].log_odds(features[name][rows])) if len(rows) else np.empty(0)
-            order = np.argsort(p, kind="stable")
-            low = [rows[i] for i in order[:per_round] if p[i] <= 1 - sure]
-            high = [rows[i] for i in order[::-1][:per_round] if p[i] >= sure]
-            train[other][0].extend(low + high)
-            train[other][1].extend([0] * len(low) + [1] * len(high))
-            taken = set(low + high)
-            pool[other] = [i for i in pool[other] if i not in taken]
-            gained.append(len(taken))
+        for name, other in OTHER.items():
+            ids, y, x = draw(name, views[name], taken[other])
+            if len(ids):
+                train[other][0].append(x)
+                train[other][1].append(y)
+                taken[other] |= set(ids)
+            gained.append(len(ids))
         given.append((gained[0], gained[1]))
         if not any(gained):
             break
@@ -195,29 +214,69 @@ def _features_column() -> Column:
     return features(text_of())
 
 
-def train_quality_model(docs: DataFrame, labels: DataFrame, pages: DataFrame, per_class: int = 1500, unlabelled: int = 3000, **options) -> CoTrained | None:
-    """A model co-trained on a bounded sample: `per_class` labelled documents of either class and `unlabelled` others, by hashes of their ids.
+def _table_draw(texts: DataFrame, pages: DataFrame, known: DataFrame, per_round: int, sure: float) -> Draw:
+    """Draws from all unlabelled documents, scored where they lie: only the chosen rows, `per_round` of a class, reach the driver.
 
-    Only features of the sample reach the driver. None where a class has no labelled document.
+    `texts` has doc_id and x, `pages` doc_id and the metadata, `known` the doc_id of what has a label. Most confident first, equal ones by doc_id; an id counts once.
+    """
+    tables = {"text": texts, "page": pages}
+    inputs = {"text": lambda frame: np.stack(frame["x"].to_numpy()).astype(float), "page": page_features}
+
+    def draw(name: str, view: View, taken: set) -> tuple[list, np.ndarray, np.ndarray]:
+        def scored(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                if len(frame):
+                    p = _sigmoid(view.log_odds(inputs[name](frame)))
+                    clear = (p <= 1 - sure) | (p >= sure)
+                    yield pd.DataFrame({"doc_id": frame["doc_id"][clear], "p": p[clear]})
+
+        clear = tables[name].mapInPandas(scored, "doc_id long, p double")
+        clear = clear.filter(~F.col("doc_id").isin(sorted(taken))) if taken else clear
+        clear = clear.join(known, "doc_id", "left_anti")
+        found: dict[int, int] = {}
+        for label, side in ((0, clear.filter(F.col("p") <= 1 - sure).orderBy("p", "doc_id")), (1, clear.filter(F.col("p") >= sure).orderBy(F.desc("p"), "doc_id"))):
+            for r in side.limit(per_round).collect():
+                found.setdefault(r.doc_id, label)
+        other = OTHER[name]
+        chosen = tables[other].filter(F.col("doc_id").isin(sorted(found))).toPandas() if found else None
+        if chosen is None or not len(chosen):
+            return [], np.empty(0, np.int64), np.empty((0, 0))
+        chosen = chosen.assign(_tie=chosen.astype(str).agg("|".join, axis=1)).sort_values(["doc_id", "_tie"]).drop_duplicates("doc_id").reset_index(drop=True)
+        ids = [int(i) for i in chosen["doc_id"]]
+        return ids, np.array([found[i] for i in ids]), inputs[other](chosen)
+
+    return draw
+
+
+def train_quality_model(docs: DataFrame, labels: DataFrame, pages: DataFrame, per_class: int = 1500, per_round: int = 100, sure: float = 0.95, **options) -> CoTrained | None:
+    """A model co-trained on `per_class` labelled documents of either class, by a hash of their ids, and on all unlabelled documents.
+
+    Both views of the unlabelled documents are written once; every round each view scores all of them and labels the
+    `per_round` most confident of either class for the other. Only features of the training rows reach the driver; of
+    repeated rows of a labelled doc_id the text of the smallest hash is taken. None where a class has no labelled document.
     """
     labels = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     total = {r.quality: r.n for r in labels.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(total) < 2:
         return None
-    draw = F.xxhash64(F.lit(11), "doc_id")
-    chosen = [labels.filter(F.col("quality") == c).orderBy(draw, "doc_id").limit(per_class) for c in (0, 1)]
-    others = docs.select("doc_id").filter(F.col("doc_id").isNotNull()).join(labels.select("doc_id"), "doc_id", "left_anti").distinct().orderBy(draw, "doc_id").limit(unlabelled).select("doc_id", F.lit(-1).alias("quality"))
-    sample = F.broadcast(chosen[0].unionByName(chosen[1]).unionByName(others))
-    rows = docs.select("doc_id", "text", "source", "lang", "n_chars").join(sample, "doc_id").select("doc_id", "quality", "source", "lang", F.col("n_chars").cast("double").alias("n_chars"), _features_column().alias("text"))
-    own = page_table(pages).join(F.broadcast(sample.select("doc_id")), F.col("page_doc") == F.col("doc_id"), "left_semi")
-    frame = rows.join(own, rows["doc_id"] == own["page_doc"], "left").drop("page_doc").limit(2 * (2 * per_class + unlabelled)).toPandas()
-    frame = frame.sort_values(["doc_id", "n_chars", "source", "lang"], kind="stable").drop_duplicates("doc_id").reset_index(drop=True)
+    chosen = [labels.filter(F.col("quality") == c).orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id").limit(per_class) for c in (0, 1)]
+    sample = F.broadcast(chosen[0].unionByName(chosen[1]))
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col("n_chars").cast("double").alias("n_chars"))
+    meta = page_table(pages)
+    once = narrow.join(sample, "doc_id").groupBy("doc_id", "quality").agg(F.min_by(F.struct("text", "source", "lang", "n_chars"), F.struct(F.xxhash64("text"), "n_chars", "source", "lang")).alias("d")).select("doc_id", "quality", "d.*")
+    rows = once.select("doc_id", "quality", "source", "lang", "n_chars", _features_column().alias("text"))
+    frame = rows.join(meta, rows["doc_id"] == meta["page_doc"], "left").drop("page_doc").toPandas().sort_values("doc_id", kind="stable").reset_index(drop=True)
     y = frame["quality"].to_numpy(np.int64)
     if (y == 0).sum() < 2 or (y == 1).sum() < 2:
         return None
     prior = tuple(total[c] / max(1, (y == c).sum()) for c in (0, 1))
     scale = (prior[0] * (y == 0).sum() + prior[1] * (y == 1).sum()) / (y >= 0).sum()
-    return co_train(np.stack(frame["text"].to_numpy()), page_features(frame), y, (prior[0] / scale, prior[1] / scale), **options)
+
+    named = narrow.filter(F.col("doc_id").isNotNull())
+    texts = written(named.select("doc_id", _features_column().cast("array<float>").alias("x")), "content-views")
+    views = written(named.drop("text").join(meta, named["doc_id"] == meta["page_doc"], "left").drop("page_doc"), "page-views")
+    draw = _table_draw(texts, views, written(labels.select("doc_id"), "known"), per_round, sure)
+    return co_train(np.stack(frame["text"].to_numpy()), page_features(frame), y, (prior[0] / scale, prior[1] / scale), draw=draw, **options)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, pages: DataFrame, **options) -> DataFrame:

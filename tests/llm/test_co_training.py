@@ -72,7 +72,7 @@ def test_documents(spark, docs_of):
     docs = docs_of(rows + edge).withColumn("score", F.lit("clash")).withColumn("host", F.lit(1))
     labels = spark.createDataFrame([q for q in quality if q[0] < 150] + [(None, 1), (3, None)], "doc_id long, quality int")
     pages = spark.createDataFrame([(i, f"https://h{i % 5}.example/en/{i}", "<p>x</p>") for i in range(0, 240, 2)] + [(1000, None, None)], "page_id long, url string, html string")
-    out = score_quality(docs, labels, pages, per_class=60, unlabelled=80).collect()
+    out = score_quality(docs, labels, pages, per_class=60).collect()
     assert len(out) == len(rows) + len(edge)
     by_id = {r.doc_id: r for r in out}
     fresh = np.array([i for i, _ in quality if i >= 150])
@@ -80,8 +80,31 @@ def test_documents(spark, docs_of):
     score = np.array([by_id[i].score for i in fresh])
     assert area(score, y) > 0.97 and ((score >= 0.5) == (y == 1)).mean() > 0.95
     assert all(0 <= r.score <= 1 and r.kept == (r.score >= 0.5) for r in out) and by_id[None].kept
-    again = score_quality(docs.repartition(5), labels, pages, per_class=60, unlabelled=80).collect()
+    again = score_quality(docs.repartition(5), labels, pages, per_class=60).collect()
     assert sorted((r.doc_id or -1, round(r.score, 9)) for r in again) == sorted((r.doc_id or -1, round(r.score, 9)) for r in out)
     assert score_quality(docs.limit(0), labels, pages).collect() == []
     assert train_quality_model(docs, labels.filter("quality = 1"), pages) is None
     assert all(r.kept and r.score is None for r in score_quality(docs, labels.limit(0), pages).collect())
+
+
+def test_any_unlabelled_document_can_be_given_a_label(spark):
+    """Draws from tables equal draws from arrays over all rows, taken ids left out."""
+    from cohortflow.llm.co_training import PAGE_NUMBERS, _table_draw, array_draw, fit_view
+
+    rng = np.random.default_rng(2)
+    n = 5000
+    text = np.round(rng.normal(size=(n, 3)), 3)
+    names = ["doc_id", "source", "lang", "n_chars", "host", *PAGE_NUMBERS]
+    frame = pd.DataFrame({"doc_id": np.arange(n), "source": "s", "lang": "en", "n_chars": rng.integers(1, 99, n).astype(float), "host": "h", **{c: rng.normal(size=n) for c in PAGE_NUMBERS}})[names]
+    page = page_features(frame)
+    texts = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(text)], "doc_id long, x array<float>").repartition(5)
+    known = spark.createDataFrame([(i,) for i in range(0, n, 10)], "doc_id long")
+    table = _table_draw(texts, spark.createDataFrame(frame).repartition(3), known, 30, 0.9)
+    plain = array_draw(text.astype(np.float32).astype(float), page, np.array([i for i in range(n) if i % 10]), 30, 0.9)
+    y = (text[:, 0] > 0).astype(float)
+    for name, x in (("text", text), ("page", page)):
+        view = fit_view(x[:400], y[:400] if name == "text" else (page[:400, 0] > 0).astype(float), np.ones(400))
+        a, b = table(name, view, {7, 11}), plain(name, view, {7, 11})
+        want = dict(zip(b[0], b[1]))
+        assert dict(zip(a[0], a[1])) == want and len(want) == 60 and not {7, 11} & set(want)
+        assert np.allclose(a[2], np.stack([dict(zip(b[0], b[2]))[i] for i in a[0]]), atol=1e-6)
