@@ -303,12 +303,12 @@ def score_forests(rows: DataFrame, nodes: DataFrame, *, keep: list[str], model_n
                 score = shared.value[int(forest)].scores(x[at])
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(np.full(len(at), forest, np.int32)), pa.array(score)], [*keep, "forest", "score"])
 
-    return rows.select(*keep, "x", "forests").mapInArrow(scored, kind)
+    return rows.select(*dict.fromkeys([*keep, "x", "forests"])).mapInArrow(scored, kind)
 
 
 def _score_by_joins(rows: DataFrame, nodes: DataFrame, keep: list[str]) -> DataFrame:
     """Every row walks down all trees of its forests, one join per level."""
-    marked = cut_lineage(rows.select(*keep, "x", "forests").withColumn("_row", F.monotonically_increasing_id()))
+    marked = cut_lineage(rows.select(*dict.fromkeys([*keep, "x", "forests"])).withColumn("_row", F.monotonically_increasing_id()))
     roots = nodes.filter(F.col("path") == ROOT).select("forest", "tree")
     asked = marked.select("_row", "x", F.explode("forests").alias("forest"))
     active = cut_lineage(asked.join(roots, "forest").select("_row", "x", "forest", "tree", F.lit(ROOT).alias("path")))
@@ -322,4 +322,4 @@ def _score_by_joins(rows: DataFrame, nodes: DataFrame, keep: list[str]) -> DataF
     for part in done[1:]:
         leaves = leaves.unionByName(part)
     means = leaves.groupBy("_row", "forest").agg(F.avg("score").alias("score"))
-    return marked.drop("x", "forests").join(means, "_row").select(*keep, "forest", "score")
+    return marked.select("_row", *keep).join(means, "_row").select(*keep, "forest", "score")
