@@ -4,7 +4,7 @@ import pytest
 
 import corpus_pipeline
 from cohortflow.llm import jaccard
-from cohortflow.llm.jaccard import drop_similar, least_size, similar_groups
+from cohortflow.llm.jaccard import drop_similar, least_size, parities, shingles, similar_groups
 
 
 def slow_set(text, words=5):
@@ -113,4 +113,15 @@ def test_a_group_of_near_copies_is_not_expanded_into_pairs(docs_of, monkeypatch)
     keep = jaccard.written
     monkeypatch.setattr(jaccard, "written", lambda df, name: sizes.setdefault(name, []).append(keep(df, name)) or sizes[name][-1])
     assert {r.component_id for r in similar_groups(docs_of(rows)).collect()} == {0}
-    assert sum(p.count() for p in sizes["pairs"]) < 3000  # of 44 850
+    assert sum(p.count() for p in sizes["pairs"]) < 600  # of 44 850
+
+
+def test_parity_bits_differ_in_no_more_places_than_the_sets():
+    rng = random.Random(4)
+    for n in (1, 30, 400, 3000):
+        words = [f"w{rng.randrange(50)}" for _ in range(n)]
+        other = [w if rng.random() < 0.9 else "x" for w in words]
+        a, b = (shingles(" ".join(t)) for t in (words, other))
+        differ = sum(int(x).bit_count() for x in (parities(a) ^ parities(b)).view("uint64"))
+        assert differ <= len(set(a) ^ set(b)) and (differ - len(set(a) ^ set(b))) % 2 == 0
+    assert not parities(shingles("")).any()
