@@ -16,25 +16,51 @@ KEYS = ["entity_id", "window_id"]
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-# Cells of one block of sample distances.
-BLOCK_CELLS = 2_000_000
+# Pairs of one block of candidates.
+BLOCK_PAIRS = 1_000_000
 
 
 def _template_neighbours(x: np.ndarray, radius: float, size: int) -> np.ndarray:
     """For each template of the given size, how many templates (itself included) lie within the radius.
 
-    The last possible start is left out.  Distances are taken in row blocks, so memory stays bounded.
+    The last possible start is left out.  Templates are sorted into strips of the radius by their first value and inside
+    a strip by their second; a template meets the part of three strips that its radius reaches, not the whole series.
+    Candidates are compared value by value in blocks, so memory stays bounded.
     """
     count = len(x) - size
-    out = np.zeros(count)
-    step = max(1, BLOCK_CELLS // len(x))
-    for start in range(0, count, step):
-        stop = min(start + step, count)
-        close = np.abs(x[start:stop + size - 1, None] - x[None, :]) <= radius
-        hit = close[: stop - start, :count]
-        for k in range(1, size):
-            hit = hit & close[k:k + stop - start, k:k + count]
-        out[start:stop] = hit.sum(axis=1)
+    out = np.zeros(max(count, 0))
+    if count <= 0 or np.isnan(radius):
+        return out
+    second = x[1:count + 1] if size > 1 else np.zeros(count)
+    usable = np.flatnonzero(np.isfinite(x[:count]) & np.isfinite(second))  # others are near to nothing
+    if not len(usable):
+        return out
+    lead = x[usable]
+    reach = radius + 8 * np.spacing(max(np.abs(lead).max(), np.abs(second[usable]).max()) + radius)  # a little more, so that rounding loses no candidate
+    strip = np.floor((lead - lead.min()) / reach).astype(np.int64)
+    by_cell = np.lexsort((second[usable], strip))
+    order = usable[by_cell]
+    known, first = np.unique(strip[by_cell], return_index=True)
+    ends = np.append(first[1:], len(order))
+    for own, start, stop in zip(known, first, ends, strict=True):
+        at = np.searchsorted(known, [own - 1, own + 2])
+        for lo, hi in zip(first[at[0]:at[1]], ends[at[0]:at[1]], strict=True):
+            values = second[order[lo:hi]]
+            mine = order[start:stop]
+            left = lo + np.searchsorted(values, second[mine] - reach, "left")
+            width = lo + np.searchsorted(values, second[mine] + reach, "right") - left
+            done = np.cumsum(width)
+            i = 0
+            while i < len(mine):
+                j = max(i + 1, int(np.searchsorted(done, done[i] - width[i] + BLOCK_PAIRS, "right")))
+                w = width[i:j]
+                a = np.repeat(mine[i:j], w)
+                b = order[np.arange(w.sum()) + np.repeat(left[i:j] - (np.cumsum(w) - w), w)]
+                for k in range(size):
+                    close = np.abs(x[a + k] - x[b + k]) <= radius
+                    a, b = a[close], b[close]
+                out += np.bincount(a, minlength=count)
+                i = j
     return out
 
 

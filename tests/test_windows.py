@@ -227,3 +227,22 @@ def test_streaming_equals_batch(spark, sf, tmp_path):
     # Append mode holds back only the windows the watermark has not passed.
     assert got and all(want[k] == n for k, n in got.items())
     assert len(want) - len(got) <= e.filter(F.col("ts") > e.agg(F.max("ts")).first()[0] - F.expr("interval 15 minutes")).count()
+
+
+def test_template_neighbours_match_all_pairs():
+    import numpy as np
+
+    from cohortflow.operators.complexity import _template_neighbours
+
+    def slow(x, radius, size):
+        t = np.stack([x[k:len(x) - size + k] for k in range(size)])
+        return (np.abs(t[:, :, None] - t[:, None, :]) <= radius).all(axis=0).sum(axis=1)
+
+    rng = np.random.default_rng(7)
+    for n in (4, 12, 300):
+        series = rng.normal(size=n), np.round(rng.normal(size=n), 1) + 800, np.cumsum(rng.normal(size=n)), np.append(rng.normal(size=n), 1e6), np.append(rng.normal(size=n), np.nan)
+        for x in series:
+            for radius in (0.2 * x.std(), 0.1):
+                for size in (1, 2, 3):
+                    assert (_template_neighbours(x, radius, size) == slow(x, radius, size)).all()
+    assert len(_template_neighbours(np.zeros(2), 0.1, 3)) == 0
