@@ -16,8 +16,8 @@ KEYS = ["entity_id", "window_id"]
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-# Pairs of one block of candidates.
-BLOCK_PAIRS = 1_000_000
+# Cells of one block of candidates: pairs that are compared together.
+BLOCK_CELLS = 1_000_000
 
 
 def _template_neighbours(x: np.ndarray, radius: float, size: int) -> np.ndarray:
@@ -52,7 +52,7 @@ def _template_neighbours(x: np.ndarray, radius: float, size: int) -> np.ndarray:
             done = np.cumsum(width)
             i = 0
             while i < len(mine):
-                j = max(i + 1, int(np.searchsorted(done, done[i] - width[i] + BLOCK_PAIRS, "right")))
+                j = max(i + 1, int(np.searchsorted(done, done[i] - width[i] + BLOCK_CELLS, "right")))
                 w = width[i:j]
                 a = np.repeat(mine[i:j], w)
                 b = order[np.arange(w.sum()) + np.repeat(left[i:j] - (np.cumsum(w) - w), w)]
