@@ -96,7 +96,6 @@ def assign_windows(
     Records up to `broadcast_rows` travel to the samples; more of them meet the samples by
     entity and block of samples, so a long recording is never one task.
     """
-    rounded = ROUNDINGS[rounding]
     usable = records.withColumn("fs", usable_rate(F.col("fs"))).filter("fs is not null")
     n = window_count(F.try_divide("sample_count", "fs"), first, stride, length) if count is None else F.lit(count).cast("long")
     side = usable.select("entity_id", "fs", n.alias("_n"), F.col("sample_count").alias("_samples"))
@@ -106,6 +105,18 @@ def assign_windows(
         blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.coalesce(F.greatest("_samples", F.lit(0)), F.lit(0)) / BLOCK_SAMPLES))).alias("_block")
         numbered = samples.withColumn("_block", F.floor(F.col("sample_idx") / BLOCK_SAMPLES))
         joined = numbered.join(side.select("entity_id", "fs", "_n", blocks), ["entity_id", "_block"])
+    return place_samples(joined, F.col("_n"), first=first, stride=stride, length=length, rounding=rounding)
+
+
+def place_samples(
+    samples: DataFrame, count: Column | None = None, *, first: int = 60, stride: int = 300, length: int = 300,
+    rounding: str = "nearest", keep: tuple[str, ...] = (),
+) -> DataFrame:
+    """Samples that carry their own `fs`, with the window and the position in it; further columns to `keep` come along.
+
+    Only windows 0 to `count` - 1 are used, without a count all from 0 on.  Works on batch and stream alike.
+    """
+    rounded = ROUNDINGS[rounding]
     fs, idx = F.col("fs"), F.col("sample_idx")
 
     def start(k: Column) -> Column:
@@ -114,7 +125,8 @@ def assign_windows(
     size = rounded(F.lit(length) * fs).cast("long")
 
     def holds(k: Column) -> Column:
-        return (k >= 0) & (k < F.col("_n")) & (start(k) <= idx) & (idx < start(k) + size)
+        known = k >= 0 if count is None else (k >= 0) & (k < count)
+        return known & (start(k) <= idx) & (idx < start(k) + size)
 
     k0 = F.floor(((idx + 0.5) / fs - first) / F.lit(float(stride)))
     whole = F.when(holds(k0), F.array(k0)).otherwise(F.array().cast("array<bigint>"))
@@ -122,9 +134,9 @@ def assign_windows(
     shared = F.filter(F.array(k0 - 1, k0, k0 + 1), holds)
     ks = F.when(fs == F.floor(fs), whole).otherwise(shared)
     # The filter drops nothing; stating it here keeps every later branch on one and the same shuffle.
-    placed = joined.withColumn("window_id", F.explode(ks)).filter(F.col("window_id").isNotNull())
+    placed = samples.withColumn("window_id", F.explode(ks)).filter(F.col("window_id").isNotNull())
     return placed.select(
-        "entity_id", "window_id", (idx - start(F.col("window_id"))).alias("pos"), "value", "fs", size.alias("requested_samples")
+        "entity_id", "window_id", (idx - start(F.col("window_id"))).alias("pos"), "value", "fs", size.alias("requested_samples"), *keep
     )
 
 

@@ -337,3 +337,35 @@ def _(spark, sf):
     w = window_aggregates(e)
     slot = F.floor((F.unix_timestamp("start") - 60) / 300)
     return w.select("entity_id", slot.alias("slot"), "n", *[F.round(c, 6).alias(c) for c in ("sig_mean", "sig_std", "sig_p2p")])
+
+
+#: Seconds of one sample of the stand-in stream, and its windows of three samples, the first one sample in.
+SLOT = 43200
+STREAM_SCHEDULE = {"first": 1, "stride": 3, "length": 3}
+
+
+@query(
+    "streaming_complete_windows",
+    f"""WITH s AS (SELECT user_id AS entity_id, CAST(floor(epoch(ts)) AS BIGINT) // {SLOT} AS idx, ts, value FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+    one AS (SELECT entity_id, idx, value FROM s QUALIFY row_number() OVER (PARTITION BY entity_id, idx ORDER BY ts, value NULLS FIRST) = 1)
+    SELECT entity_id, (idx - 1) // 3 AS window_id, round(max(value) FILTER ((idx - 1) % 3 = 0), 6) AS first_value, round(max(value) FILTER ((idx - 1) % 3 = 2), 6) AS last_value, round(sum(value), 6) AS total
+    FROM one GROUP BY 1, 2 HAVING count(*) = 3""",
+)
+def _(spark, sf):
+    """The events arrive in four stretches of time; the stream stops after each and goes on from its checkpoint."""
+    from ..session import scratch_path
+    from ..streaming.windows import complete_sample_windows
+
+    e = t.read(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    s = e.select(F.col("user_id").alias("entity_id"), F.floor(F.unix_timestamp("ts") / SLOT).alias("sample_idx"), "value", F.lit(1.0).alias("fs"), "ts")
+    low, high = s.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    arrived, out, progress = (scratch_path(spark, name) for name in ("arrived", "windows", "progress"))
+    part = F.least(F.floor((F.unix_micros("ts") - F.lit(low or 0)) * 4 / F.lit((high or 0) - (low or 0) + 1)), F.lit(3))
+    for k in range(4):
+        s.filter(part == k).write.mode("append").parquet(arrived)
+        live = complete_sample_windows(spark.readStream.schema(s.schema).parquet(arrived), **STREAM_SCHEDULE, span=SLOT * 3)
+        run = live.writeStream.format("parquet").outputMode("append").option("checkpointLocation", progress).trigger(availableNow=True).start(out)
+        run.awaitTermination()
+    w = spark.read.schema(live.schema).parquet(out)
+    total = F.aggregate("values", F.lit(0.0), lambda a, v: a + F.coalesce(v, F.lit(0.0)))
+    return w.select("entity_id", "window_id", F.round(F.get("values", F.lit(0)), 6).alias("first_value"), F.round(F.get("values", F.lit(2)), 6).alias("last_value"), F.round(total, 6).alias("total"))

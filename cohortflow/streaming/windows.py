@@ -1,14 +1,25 @@
-"""The complete-window schedule over a live stream.
+"""Complete windows over a live stream: time windows that the watermark has closed, and sample windows that are all there.
 
-An extension for finished schedules applied to arriving events: fixed windows with the
-same start offset, emitted once the watermark has passed them, so that only complete
-windows leave the query.
+Both are extensions of the schedule for finished records.  `window_aggregates` cuts by time stamps and lets a window go
+once the watermark has passed it.  `complete_sample_windows` cuts by sample numbers and lets a window go as soon as its
+last missing sample has come.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from ..functions.parsing import nan_to_null
+from ..operators.windows import place_samples, usable_rate
+
+KEYS = ["entity_id", "window_id"]
+STATE = "done boolean, pos binary, value binary"
 
 
 def window_aggregates(
@@ -22,3 +33,72 @@ def window_aggregates(
     return marked.groupBy(F.col(entity).alias("entity_id"), w.alias("w")).agg(
         F.count(v).alias("n"), F.avg(v).alias("sig_mean"), F.stddev_pop(v).alias("sig_std"), (F.max(v) - F.min(v)).alias("sig_p2p")
     ).select("entity_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "sig_mean", "sig_std", "sig_p2p")
+
+
+def _one_each(pos: np.ndarray, at: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One sample of each position: the earliest, of equally early ones null (NaN) before the smallest."""
+    order = np.lexsort((np.where(np.isnan(value), -np.inf, value), at, pos))
+    order = order[np.append(True, np.diff(pos[order]) != 0)] if len(order) else order
+    return pos[order], at[order], value[order]
+
+
+def complete_sample_windows(
+    samples: DataFrame, *, first: int = 60, stride: int = 300, length: int = 300, rounding: str = "nearest",
+    time: str = "ts", lateness: str = "600 seconds", span: float | None = None,
+) -> DataFrame:
+    """Windows of samples (`entity_id, sample_idx, value, fs` and a time stamp) of which every sample has come.
+
+    Returns entity_id, window_id, fs, requested_samples and `values`, the samples in order as an array of doubles.  On a
+    stream each window leaves once, in the batch that brings its last missing sample; windows with gaps never leave.
+
+    State is kept per entity and window, not per entity, so a long or hot record spreads over its windows and one state
+    is never larger than one window.  It goes once the watermark is `span` seconds (by default the window's length) behind
+    the latest sample of the window; rows later than the watermark (`lateness`) are dropped.
+
+    A sample that comes again changes nothing.  Among repeats in one batch the earliest counts, among equally early ones
+    null before the smallest value.  Null, NaN and infinite values count as samples and are null in `values`.  Rows without
+    an entity, a sample number, a time stamp or a usable rate belong to no window.
+    """
+    rate = usable_rate(F.col("fs"))
+    usable = samples.filter(F.col("entity_id").isNotNull() & F.col("sample_idx").isNotNull() & F.col(time).isNotNull() & rate.isNotNull())
+    if usable.isStreaming:
+        usable = usable.withWatermark(time, lateness)
+    usable = usable.withColumns({"fs": F.col("fs").cast("double"), "value": nan_to_null(F.col("value").cast("double"))})
+    placed = place_samples(usable, first=first, stride=stride, length=length, rounding=rounding, keep=(time,))
+    if not placed.isStreaming:
+        one = placed.groupBy(*KEYS, "fs", "requested_samples", "pos").agg(F.min(F.struct(time, "value")).alias("s"))
+        whole = one.groupBy(*KEYS, "fs", "requested_samples").agg(F.sort_array(F.collect_list(F.struct("pos", "s.value"))).alias("s"))
+        return whole.filter(F.size("s") == F.col("requested_samples")).select(*KEYS, "fs", "requested_samples", F.col("s.value").alias("values"))
+
+    kept_ms = int(1000 * (length if span is None else span))
+
+    def collect(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        done, pos, value = state.get if state.exists else (False, b"", b"")
+        pos, value = np.frombuffer(pos, np.int64), np.frombuffer(value, np.float64)
+        size, latest = int(key[3]), 0
+        came = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float64)
+        for frame in frames:  # of repeated samples only one stays, so no more than a window and a frame are held
+            latest = max(latest, int(frame["ms"].max()))
+            if not done:
+                came = _one_each(*[np.append(a, frame[c].to_numpy(a.dtype)) for a, c in zip(came, ("pos", "at", "value"))])
+        if not done:
+            new = ~np.isin(came[0], pos)
+            pos, value = np.append(pos, came[0][new]), np.append(value, came[2][new])
+            if len(pos) == size:
+                ordered = value[np.argsort(pos)]
+                yield pd.DataFrame({
+                    "entity_id": [key[0]], "window_id": [key[1]], "fs": [key[2]], "requested_samples": [size],
+                    "values": [[None if np.isnan(v) else v for v in ordered.tolist()]],
+                })
+                done, pos, value = True, pos[:0], value[:0]
+        state.update((done, pos.tobytes(), value.tobytes()))
+        state.setTimeoutTimestamp(max(latest + kept_ms, state.getCurrentWatermarkMs() + 1))
+
+    entity = placed.schema["entity_id"].dataType.simpleString()
+    rows = placed.withColumns({"at": F.unix_micros(F.col(time).cast("timestamp")), "ms": F.unix_millis(F.col(time).cast("timestamp"))})
+    return rows.groupBy(*KEYS, "fs", "requested_samples").applyInPandasWithState(
+        collect, f"entity_id {entity}, window_id long, fs double, requested_samples long, values array<double>", STATE, "append", GroupStateTimeout.EventTimeTimeout
+    )

@@ -246,3 +246,51 @@ def test_template_neighbours_match_all_pairs():
                 for size in (1, 2, 3):
                     assert (_template_neighbours(x, radius, size) == slow(x, radius, size)).all()
     assert len(_template_neighbours(np.zeros(2), 0.1, 3)) == 0
+
+
+def _live(spark, batches, schema, folder, **options):
+    """The rows of every batch as one stretch of a stream that stops and goes on from its checkpoint."""
+    from cohortflow.streaming.windows import complete_sample_windows
+
+    for rows in batches:
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(f"{folder}/in")
+        live = complete_sample_windows(spark.readStream.schema(schema).parquet(f"{folder}/in"), first=1, stride=3, length=3, **options)
+        run = live.writeStream.format("parquet").option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start(f"{folder}/out")
+        run.awaitTermination()
+    return sorted((r.entity_id, r.window_id, r["values"]) for r in spark.read.schema(live.schema).parquet(f"{folder}/out").collect())
+
+
+LIVE = "entity_id string, sample_idx long, value double, fs double, ts timestamp"
+
+
+def test_live_windows_leave_when_complete(spark, tmp_path):
+    import datetime as dt
+
+    from cohortflow.streaming.windows import complete_sample_windows
+
+    def row(entity, idx, value, fs=1.0, at=None):
+        return entity, idx, value, fs, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=idx if at is None else at)
+
+    nan = float("nan")
+    batches = [
+        [row("a", 0, 9.0), row("a", 1, 1.0), row("a", 3, 3.0), row("a", 3, 2.5), row("b", 1, 1.0), row("b", 2, nan), row("b", 3, None), row(None, 1, 1.0), row("c", 1, 1.0, 0.0)],
+        [row("a", 2, 2.0), row("a", 3, 7.0, at=2), row("a", 4, 4.0), row("a", 5, 5.0), row("b", 2, 5.0), row("d", 7, 1.0), row("d", 8, 2.0)],
+        [row("a", 1, 8.0), row("b", 4, 1.0), row("b", 5, 1.0), row("d", 9, 3.0)],
+    ]
+    got = _live(spark, batches, LIVE, str(tmp_path))
+    assert got == [("a", 0, [1.0, 2.0, 2.5]), ("b", 0, [1.0, None, None]), ("d", 2, [1.0, 2.0, 3.0])]
+    # The batch form sees all rows at once; it differs only where an earlier repeat came in a later stretch.
+    flat = spark.createDataFrame([r for b in batches for r in b], LIVE)
+    whole = complete_sample_windows(flat, first=1, stride=3, length=3).collect()
+    assert sorted((r.entity_id, r.window_id, r["values"]) for r in whole) == [("a", 0, [1.0, 2.0, 7.0]), ("b", 0, [1.0, None, None]), ("d", 2, [1.0, 2.0, 3.0])]
+
+
+def test_live_windows_drop_late_samples(spark, tmp_path):
+    import datetime as dt
+
+    def row(entity, idx):
+        return entity, idx, float(idx), 1.0, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=idx)
+
+    batches = [[row("a", 1), row("a", 2), row("b", 1000)], [row("b", 1001)], [row("a", 3), row("b", 1002), row("b", 999)]]
+    got = _live(spark, batches, LIVE, str(tmp_path), lateness="10 seconds")
+    assert got == [("b", 333, [1000.0, 1001.0, 1002.0])]
