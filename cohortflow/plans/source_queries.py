@@ -19,16 +19,30 @@ def _(spark, sf):
     return readers.scan_csv(spark, path, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double")
 
 
-@query("scan_delimited_encoded", """SELECT doc_id::VARCHAR AS doc_id, lang, text || CASE WHEN doc_id % 3 = 0 THEN ';"x"' ELSE '' END AS text, n_chars::VARCHAR AS n_chars FROM documents""")
-def _(spark, sf):
-    # Whole texts: line breaks, separators and quotes inside quoted values.
-    path = scratch_path(spark, "delimited")
+DELIMITED_SQL = """SELECT doc_id::VARCHAR AS doc_id, lang, text || CASE WHEN doc_id % 3 = 0 THEN ';"x"' ELSE '' END AS text, n_chars::VARCHAR AS n_chars FROM documents"""
+
+
+def _delimited(spark, sf, path):
+    """Whole texts: line breaks, separators and quotes inside quoted values."""
     text = F.concat("text", F.when(F.col("doc_id") % 3 == 0, ';"x"').otherwise(""))
     d = t.read(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "lang", text.alias("text"), F.col("n_chars").cast("string").alias("n_chars"))
     d.write.csv(path, sep=";", header=True, encoding="UTF-8", escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+
+
+@query("scan_delimited_encoded", DELIMITED_SQL)
+def _(spark, sf):
+    path = scratch_path(spark, "delimited")
+    _delimited(spark, sf, path)
     return readers.scan_delimited(spark, path)
 
 
+@query("scan_delimited_split", DELIMITED_SQL)
+def _(spark, sf):
+    path = scratch_path(spark, "delimited")
+    _delimited(spark, sf, path)
+    return readers.scan_delimited(spark, path, split_bytes=0)
+
+
 @query(
     "scan_line_list",
     "SELECT key, count(*) AS n FROM (SELECT 'blocks/' || l_suppkey || '/' || l_partkey AS key FROM lineitem) GROUP BY 1 HAVING count(*) > 1",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,6 +12,9 @@ from .files import relative_path
 # Encodings in the order they are tried.
 ENCODINGS = ["UTF-8", "windows-1252", "ISO-8859-1"]
 
+#: Files of quoted text up to this size are one task each.
+SPLIT_BYTES = 128 << 20
+
 # Fixed value: one line of a digest list.
 DIGEST_LINE = r"^([0-9a-fA-F]{64})\s+[*]?(.+?)\s*$"
 
@@ -57,20 +60,91 @@ def _from_cp1252(df: DataFrame) -> DataFrame:
     return df.select(*[F.translate(F.col(f"`{c}`"), source, target).alias(n) for c, n in names.items()])
 
 
-def scan_delimited(spark: SparkSession, path: str, *, sep: str = ";", encoding: str | None = None, quoted_breaks: bool = True) -> DataFrame:
+def scan_delimited(
+    spark: SparkSession, path: str, *, sep: str = ";", encoding: str | None = None, quoted_breaks: bool = True, split_bytes: int = SPLIT_BYTES,
+) -> DataFrame:
     """Separated text as strings only; the encoding is found where none is given, a byte-order mark is dropped.
 
-    Quoted values may hold separators, doubled quotes and line breaks.  A file is then one task; `quoted_breaks=False` lets
-    Spark split large files that are known to have one record per line.
+    Quoted values may hold separators, doubled quotes and line breaks.  A file is one task, unless a file is larger than
+    `split_bytes`: then records are put together from the lines of all splits (`records_across_splits`), as long as quotes
+    stand only around whole values; text with stray quotes is read file by file.  `quoted_breaks=False` lets Spark split
+    files that are known to have one record per line.
     """
     found = encoding or choose_encoding(spark, path)
     plain = "ISO-8859-1" if found == "windows-1252" else found
-    df = spark.read.csv(path, sep=sep, header=True, encoding=plain, inferSchema=False, multiLine=quoted_breaks, escape='"')
+    options = {"sep": sep, "header": True, "encoding": plain, "inferSchema": False, "multiLine": quoted_breaks, "escape": '"'}
+    df = spark.read.csv(path, **options)
+    if quoted_breaks and len(sep) == 1 and plain in ("UTF-8", "ISO-8859-1"):
+        largest = spark.read.format("binaryFile").load(path).agg(F.max("length")).first()[0] or 0
+        if largest > split_bytes:
+            records = records_across_splits(spark, path, plain)
+            if not records.filter(_stray_quote(F.col("record"), sep)).limit(1).count():
+                df = _parsed(records.filter("not header").select("record"), df.columns, sep)
     if found == "windows-1252":
         df = _from_cp1252(df)
     return df.withColumnsRenamed({c: c.lstrip("\ufeff") for c in df.columns if c.startswith("\ufeff")})
 
 
+def records_across_splits(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
+    """Records of quoted text as (`record`, `header`), read in as many tasks as the files have splits; empty lines go.
+
+    A line break is inside a value where an odd number of quotes stands before it.  A first pass keeps two numbers per
+    split: the parity of its quotes, and where a record last begins in it for either parity at its start.  Prefixes over
+    the splits of a file then tell each split its state, so every line knows its record; only records of several lines
+    are shuffled once more.  A split is at most `spark.sql.files.maxPartitionBytes`, and its lines are one sorted run.
+    """
+    raw = spark.read.text(path, lineSep="\n").select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line"), F.col("value").cast("binary").alias("value"),
+    )
+    lines = raw.withColumn("value", F.decode("value", encoding))
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    lines = lines.withColumn("odd", (quotes % 2).cast("int"))
+    in_split = Window.partitionBy("file", "block").orderBy("line")
+    before = F.coalesce(F.sum("odd").over(in_split.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) % 2
+    placed = lines.withColumn("before", before)  # quotes before the line within its split, modulo 2
+
+    # A line begins a record where `before` and the state of its split are both even or both odd.
+    splits = placed.groupBy("file", "block").agg(
+        (F.sum("odd") % 2).alias("parity"), F.max(F.when(F.col("before") == 0, F.col("line"))).alias("last_even"), F.max(F.when(F.col("before") == 1, F.col("line"))).alias("last_odd"),
+    )
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("state", F.coalesce(F.sum("parity").over(earlier), F.lit(0)) % 2)
+    begun = F.when(F.col("state") == 0, F.col("last_even")).otherwise(F.col("last_odd"))
+    states = splits.withColumn("begun", begun).select(
+        "file", "block", "state", F.last("begun", ignorenulls=True).over(earlier).alias("open"), (F.min("block").over(Window.partitionBy("file")) == F.col("block")).alias("top")
+    )
+    known = placed.join(states, ["file", "block"])
+    starts = F.col("before") == F.col("state")
+    known = known.withColumn("start", F.coalesce(F.last(F.when(starts, F.col("line")), ignorenulls=True).over(in_split), F.col("open")))
+    header = F.col("top") & (F.row_number().over(in_split) == 1)
+    known = known.select("file", "start", "line", "value", starts.alias("starts"), "odd", header.alias("header"))
+
+    alone = known.filter("starts and odd = 0").select(F.col("value").alias("record"), "header")
+    parts = known.filter("not starts or odd = 1").groupBy("file", "start").agg(
+        F.sort_array(F.collect_list(F.struct("line", "value"))).alias("parts"), F.bool_or("header").alias("header")
+    )
+    joined = parts.select(F.array_join("parts.value", "\n").alias("record"), "header")
+    # A carriage return before the break belongs to the break.
+    whole = alone.unionByName(joined).withColumn("record", F.regexp_replace("record", r"\r\z", ""))
+    return whole.filter("record <> ''")
+
+
+def _stray_quote(record: Column, sep: str) -> Column:
+    """Quotes that do not stand around a whole value: quoted stretches must touch separators, ends or each other only."""
+    mark = "\u0001"
+    s = "\\" + sep if not sep.isalnum() and sep != "\t" else sep
+    marked = F.regexp_replace(record, '"[^"]*+"', mark)
+    return marked.rlike(f'"|[^{s}{mark}]{mark}|{mark}[^{s}{mark}]')
+
+
+def _parsed(records: DataFrame, names: list[str], sep: str) -> DataFrame:
+    """Values of single records under the given names."""
+    fields = ", ".join(f"c{i} string" for i in range(len(names)))
+    value = F.from_csv("record", fields, {"sep": sep, "escape": '"', "multiLine": "true", "lineSep": "\n", "mode": "PERMISSIVE"})
+    return records.select(value.alias("v")).select(*[F.col(f"v.c{i}").alias(n) for i, n in enumerate(names)])
+
+
 def scan_line_list(spark: SparkSession, path: str) -> DataFrame:
     """Keys, one per line; blank lines dropped, backslashes turned."""
     lines = spark.read.text(path).select(F.replace(F.trim("value"), F.lit("\\"), F.lit("/")).alias("key"))

@@ -122,3 +122,57 @@ def test_scratch_is_cleared_on_request(spark):
     spark.range(3).write.parquet(path)
     assert os.path.exists(path.removeprefix("file:"))
     assert session.clear_scratch(spark) >= 1 and not os.path.exists(path.removeprefix("file:")) and session.clear_scratch(spark) == 0
+
+
+def _small_splits(spark, size):
+    """Spark cuts files into splits of at most this many bytes."""
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    for k in old:
+        spark.conf.set(k, str(size))
+    return old
+
+
+@pytest.mark.parametrize("encoding,end", [("utf-8", "\n"), ("utf-8-sig", "\n"), ("cp1252", "\n"), ("utf-8", "\r\n")])
+def test_quoted_breaks_across_splits(spark, tmp_path, encoding, end):
+    import csv
+    import random
+
+    rng = random.Random(5)
+    words = ["a", "ü–", ";", '"', "\n", "\n\n", '";"', " ", "x y", "7,5"]
+    rows = [[str(i), *["".join(rng.choices(words, k=rng.randint(0, 30))) for _ in range(2)]] for i in range(300)]
+    rows[40][1] = "line\n" * 400  # spans many splits
+    for part in (0, 1):
+        with open(tmp_path / f"p{part}.csv", "w", encoding=encoding, newline="") as f:
+            w = csv.writer(f, delimiter=";", lineterminator=end, quoting=csv.QUOTE_ALL if part else csv.QUOTE_MINIMAL)
+            w.writerow(["id", "one", "two"])
+            w.writerows(rows[part * 150:part * 150 + 150])
+    want = sorted((a, b, c) for a, b, c in rows)
+    old = _small_splits(spark, 600)
+    try:
+        records = readers.records_across_splits(spark, str(tmp_path), "UTF-8" if encoding != "cp1252" else "ISO-8859-1")
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 8 and records.filter("not header").count() == 300
+        split = readers.scan_delimited(spark, str(tmp_path), split_bytes=0)
+        got = sorted(tuple(v or "" for v in r) for r in split.collect())
+        assert split.columns == ["id", "one", "two"] and got == want
+        assert sorted(map(tuple, split.collect()), key=str) == sorted(map(tuple, readers.scan_delimited(spark, str(tmp_path)).collect()), key=str)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_stray_quotes_are_read_file_by_file(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('id;size\n1;5" pipe\n2;"x\ny"\n3;z\n')
+    old = _small_splits(spark, 8)
+    try:
+        assert readers.records_across_splits(spark, str(tmp_path)).filter(readers._stray_quote(F.col("record"), ";")).count() > 0
+        got = readers.scan_delimited(spark, str(tmp_path), split_bytes=0).collect()
+        assert sorted(map(tuple, got)) == [("1", '5" pipe'), ("2", "x\ny"), ("3", "z")]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_split_text_without_records(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id;v\n")
+    got = readers.scan_delimited(spark, str(tmp_path), split_bytes=0)
+    assert got.columns == ["id", "v"] and got.count() == 0
