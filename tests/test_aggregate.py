@@ -143,3 +143,10 @@ def test_large_groups_have_bounds_of_their_own(spark):
     probs = {"a": 0.1, "m": 0.5, "z": 0.975}
     usual, split = (ordered.exact_quantiles(df, ["k"], ["x"], probs, hot_rows=n).orderBy("k").collect() for n in (10**6, 100))
     assert [tuple(r) for r in usual] == [tuple(r) for r in split]
+
+
+def test_split_summary_of_a_table_too_small_for_bounds(spark):
+    rows = spark.range(30).withColumn("x", (F.col("id") * 7 % 30).cast("double"))
+    one, split = (distributions.five_number_summary(rows, "x", hot_rows=n).select("n", "min", "p25", "median", "p75", "max").first() for n in (10**6, 5))
+    assert tuple(one) == tuple(split) == (30, 0.0, 7.25, 14.5, 21.75, 29.0)
+    assert ordered.prefix_sums(rows, [], "x", {"k": F.count("*")}, hot_rows=5).agg(F.max("k_before")).first()[0] == 29
