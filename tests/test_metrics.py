@@ -121,3 +121,26 @@ def test_whole_replicates_equal_weighted_rows(spark):
     sets = df.filter("run is not null").drop("run").withColumn("seed", F.explode(F.array(*[F.lit(i) for i in range(5)]))).withColumn("score", F.col("score") * F.col("seed") % 0.7)
     a, b = (sorted(tuple(r) for r in bootstrap.shared_draw_median(sets, replicates=6, seed=2, local_rows=n).select("rep", "median_auc", "positive_draws", "negative_draws").collect()) for n in (10**6, 0))
     assert all(x == pytest.approx(y) for x, y in zip(a, b)) and len(a) == len(b) == 6
+
+
+def test_draws_in_blocks_equal_the_hash_of_each(spark):
+    from cohortflow.functions.digest import draw_counts, seeded_indexes
+    from cohortflow.functions.hashing import seeded_index
+
+    n = 20_013
+    want = spark.range(n).select(seeded_index(F.lit(n), 42, F.lit(1999), F.col("id")).alias("k")).toPandas()["k"].to_numpy()
+    assert (seeded_indexes(n, 42, 1999, {}) == want).all() and (draw_counts(n, 42, range(1999, 2000))[0] == np.bincount(want, minlength=n)).all()
+    assert draw_counts(1, 7, range(3)).tolist() == [[1]] * 3
+
+
+def test_predictions_pass_replicates_in_blocks_without_the_driver(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(i, k, int(rng.random() < 0.4), None if i % 13 == 0 else float(round(rng.uniform(), 1))) for i in range(120) for k in ("a", "b")]
+    df = spark.createDataFrame(rows, "entity_id int, run string, label int, score double")
+    get = lambda **o: sorted(tuple(r) for r in bootstrap.replicate_metrics(df, ["run"], replicates=9, seed=5, **o).select("run", "rep", *METRICS).collect())
+    plain = get(local_rows=0)
+    for name, value in (("BLOCK_ROWS", 7), ("PART_ROWS", 50), ("CELLS", 10), ("COUNT_BYTES", 240)):
+        monkeypatch.setattr(bootstrap, name, value)
+    monkeypatch.setattr("pyspark.sql.DataFrame.toPandas", None)
+    for x, y in zip(plain, get(), strict=True):
+        assert x[:2] == y[:2] and x[2:] == pytest.approx(y[2:], nan_ok=True)
