@@ -144,3 +144,11 @@ def test_predictions_pass_replicates_in_blocks_without_the_driver(spark, monkeyp
     monkeypatch.setattr("pyspark.sql.DataFrame.toPandas", None)
     for x, y in zip(plain, get(), strict=True):
         assert x[:2] == y[:2] and x[2:] == pytest.approx(y[2:], nan_ok=True)
+
+
+def test_predictions_are_not_broadcast_to_their_cuts(spark, sf):
+    from cohortflow.plans import tables
+
+    preds = tables.seeded_predictions(spark, sf)  # exploded from one small file
+    hit = metrics.apply_cut(preds, metrics.threshold_target_specificity(preds, ["model", "seed"]), ["model", "seed"])
+    assert "Inner, BuildRight" in hit._jdf.queryExecution().executedPlan().toString() and hit.count() == preds.count()
