@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -19,7 +20,12 @@ from ..functions.parsing import nan_to_null
 from ..operators.windows import place_samples, usable_rate
 
 KEYS = ["entity_id", "window_id"]
-STATE = "done boolean, pos binary, value binary"
+WINDOW = [*KEYS, "fs", "requested_samples"]
+STATE = "samples binary"
+#: Windows of at most so many samples share states, so many of them; longer ones have states of their own. They set the speed, not the result.
+SHORT, STATES = 10_000, 1_024
+#: Position of the row that stands for a window that has left.
+LEFT = -1
 
 
 def window_aggregates(
@@ -35,11 +41,20 @@ def window_aggregates(
     ).select("entity_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "sig_mean", "sig_std", "sig_p2p")
 
 
-def _one_each(pos: np.ndarray, at: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One sample of each position: the earliest, of equally early ones null (NaN) before the smallest."""
-    order = np.lexsort((np.where(np.isnan(value), -np.inf, value), at, pos))
-    order = order[np.append(True, np.diff(pos[order]) != 0)] if len(order) else order
-    return pos[order], at[order], value[order]
+def _first_of_each(rows: pd.DataFrame) -> pd.DataFrame:
+    """One sample of each position of a window: the earliest, of equally early ones null (NaN) before the smallest."""
+    at = rows["at"].to_numpy(np.int64)
+    value = rows["value"].to_numpy(float)
+    ordered = rows.iloc[np.lexsort((np.where(np.isnan(value), -np.inf, value), at))]
+    return ordered.drop_duplicates([*WINDOW, "pos"])
+
+
+def _packed(rows: pd.DataFrame) -> bytes:
+    table = pa.Table.from_pandas(rows, preserve_index=False)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
 
 
 def complete_sample_windows(
@@ -51,9 +66,9 @@ def complete_sample_windows(
     Returns entity_id, window_id, fs, requested_samples and `values`, the samples in order as an array of doubles.  On a
     stream each window leaves once, in the batch that brings its last missing sample; windows with gaps never leave.
 
-    State is kept per entity and window, not per entity, so a long or hot record spreads over its windows and one state
-    is never larger than one window.  It goes once the watermark is `span` seconds (by default the window's length) behind
-    the latest sample of the window; rows later than the watermark (`lateness`) are dropped.
+    A state holds the open windows of one part of all (entity, window) pairs, or one window alone where windows are long, so
+    a long or hot record spreads over its windows.  A window is forgotten once the watermark is `span` seconds (by default
+    the window's length) past its latest sample; rows later than the watermark (`lateness`) are dropped.
 
     A sample that comes again changes nothing.  Among repeats in one batch the earliest counts, among equally early ones
     null before the smallest value.  Null, NaN and infinite values count as samples and are null in `values`.  Rows without
@@ -73,32 +88,51 @@ def complete_sample_windows(
     kept_ms = int(1000 * (length if span is None else span))
 
     def collect(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = state.getCurrentWatermarkMs()
+        kept = pa.ipc.open_stream(state.get[0]).read_all().to_pandas() if state.exists else None
         if state.hasTimedOut:
+            rows = kept
+        else:
+            came = latest = None
+            for frame in frames:  # of repeated samples only one stays
+                came = _first_of_each(frame if came is None else pd.concat([came, frame]))
+                last = frame.groupby(WINDOW, sort=False)["ms"].max()
+                latest = last if latest is None else pd.concat([latest, last]).groupby(level=WINDOW, sort=False).max()
+            new = came[[*WINDOW, "pos", "value"]].assign(until=np.int64(0))
+            rows = new if kept is None else pd.concat([kept, new], ignore_index=True).drop_duplicates([*WINDOW, "pos"])
+            rows = rows.reset_index(drop=True)
+            heard = rows[WINDOW].merge(latest.rename("ms").reset_index(), on=WINDOW, how="left")["ms"].to_numpy(float)
+            again = ~np.isnan(heard)
+            until = rows["until"].to_numpy(np.int64).copy()
+            until[again] = np.maximum(heard[again].astype(np.int64) + kept_ms, now + 1)
+            rows = rows.assign(until=until)
+            code = rows.groupby(WINDOW, sort=False).ngroup().to_numpy()
+            pos, size = rows["pos"].to_numpy(np.int64), rows["requested_samples"].to_numpy(np.int64)
+            gone = np.bincount(code, pos == LEFT)[code] > 0
+            whole = ~gone & (np.bincount(code)[code] == size)
+            if whole.any():
+                done = rows[whole].assign(code=code[whole]).sort_values(["code", "pos"])
+                heads = done.drop_duplicates("code")
+                value = done["value"].to_numpy(float)
+                listed = value.astype(object)
+                listed[np.isnan(value)] = None
+                edges = np.cumsum(heads["requested_samples"].to_numpy(np.int64))[:-1]
+                yield heads[WINDOW].assign(values=[v.tolist() for v in np.split(listed, edges)])
+                rows.loc[heads.index, ["pos", "value"]] = [LEFT, np.nan]
+                pos = rows["pos"].to_numpy(np.int64)
+            stays = (pos == LEFT) | ~(gone | whole)
+            rows = rows[stays]
+        rows = rows[rows["until"] >= max(now, 0)]
+        if len(rows):
+            state.update((_packed(rows),))
+            state.setTimeoutTimestamp(int(max(rows["until"].min(), now + 1)))
+        elif state.exists:
             state.remove()
-            return
-        done, pos, value = state.get if state.exists else (False, b"", b"")
-        pos, value = np.frombuffer(pos, np.int64), np.frombuffer(value, np.float64)
-        size, latest = int(key[3]), 0
-        came = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float64)
-        for frame in frames:  # of repeated samples only one stays, so no more than a window and a frame are held
-            latest = max(latest, int(frame["ms"].max()))
-            if not done:
-                came = _one_each(*[np.append(a, frame[c].to_numpy(a.dtype)) for a, c in zip(came, ("pos", "at", "value"))])
-        if not done:
-            new = ~np.isin(came[0], pos)
-            pos, value = np.append(pos, came[0][new]), np.append(value, came[2][new])
-            if len(pos) == size:
-                ordered = value[np.argsort(pos)]
-                yield pd.DataFrame({
-                    "entity_id": [key[0]], "window_id": [key[1]], "fs": [key[2]], "requested_samples": [size],
-                    "values": [[None if np.isnan(v) else v for v in ordered.tolist()]],
-                })
-                done, pos, value = True, pos[:0], value[:0]
-        state.update((done, pos.tobytes(), value.tobytes()))
-        state.setTimeoutTimestamp(max(latest + kept_ms, state.getCurrentWatermarkMs() + 1))
 
     entity = placed.schema["entity_id"].dataType.simpleString()
     rows = placed.withColumns({"at": F.unix_micros(F.col(time).cast("timestamp")), "ms": F.unix_millis(F.col(time).cast("timestamp"))})
-    return rows.groupBy(*KEYS, "fs", "requested_samples").applyInPandasWithState(
+    place = F.xxhash64(*WINDOW)
+    shared = F.when(F.col("requested_samples") <= SHORT, F.pmod(place, F.lit(STATES))).otherwise(place)
+    return rows.select(*WINDOW, "pos", "value", "at", "ms", time).withColumn("state", shared).groupBy("state").applyInPandasWithState(
         collect, f"entity_id {entity}, window_id long, fs double, requested_samples long, values array<double>", STATE, "append", GroupStateTimeout.EventTimeTimeout
     )

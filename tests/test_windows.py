@@ -294,3 +294,21 @@ def test_live_windows_drop_late_samples(spark, tmp_path):
     batches = [[row("a", 1), row("a", 2), row("b", 1000)], [row("b", 1001)], [row("a", 3), row("b", 1002), row("b", 999)]]
     got = _live(spark, batches, LIVE, str(tmp_path), lateness="10 seconds")
     assert got == [("b", 333, [1000.0, 1001.0, 1002.0])]
+
+
+def test_short_windows_share_states(spark, tmp_path, monkeypatch):
+    import datetime as dt
+
+    from cohortflow.streaming import windows as live
+
+    def row(entity, idx):
+        return entity, idx, float(idx), 1.0, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=idx)
+
+    first = [row(f"e{i}", j) for i in range(40) for j in (1, 2, 4, 5)]
+    batches = [first, [row(f"e{i}", 3) for i in range(40)], [row(f"e{i}", 6) for i in range(0, 40, 2)]]
+    want = sorted([(f"e{i}", 0, [1.0, 2.0, 3.0]) for i in range(40)] + [(f"e{i}", 1, [4.0, 5.0, 6.0]) for i in range(0, 40, 2)])
+    for short, name, states in ((10_000, "shared", 3), (0, "own", 80)):
+        monkeypatch.setattr(live, "SHORT", short)
+        monkeypatch.setattr(live, "STATES", 3)
+        assert _live(spark, batches, LIVE, str(tmp_path / name)) == want
+        assert spark.read.format("statestore").load(str(tmp_path / name / "progress")).count() == states
