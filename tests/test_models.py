@@ -281,3 +281,10 @@ def test_jobs_do_not_grow_with_settings(spark, frame):
     few = jobs([{"C": 1.0, "l1_ratio": 0.0}], [1])
     total = jobs([{"C": c, "l1_ratio": 0.0} for c in (0.1, 0.2, 0.5, 0.8, 1.0)], [1, 2])
     assert total - few <= few + 10
+
+
+def test_customers_are_not_broadcast_to_their_orders(spark, sf):
+    from cohortflow.plans import model_queries
+
+    plan = model_queries._frame(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
