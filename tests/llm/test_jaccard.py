@@ -125,3 +125,19 @@ def test_parity_bits_differ_in_no_more_places_than_the_sets():
         differ = sum(int(x).bit_count() for x in (parities(a) ^ parities(b)).view("uint64"))
         assert differ <= len(set(a) ^ set(b)) and (differ - len(set(a) ^ set(b))) % 2 == 0
     assert not parities(shingles("")).any()
+
+
+def test_fingerprints_in_trees_propose_links_first(docs_of, monkeypatch):
+    from cohortflow.llm import simhash
+
+    rng = random.Random(9)
+    rows = [(i, " ".join(f"a{i}w{rng.randrange(10_000)}" for _ in range(400))) for i in range(12)]
+    rows += [(100 + i, rows[i][1] + " end") for i in range(12)]
+    sizes, searched = {}, []
+    keep, trees = jaccard.written, jaccard.near_links
+    monkeypatch.setattr(jaccard, "written", lambda df, name: sizes.setdefault(name, []).append(keep(df, name)) or sizes[name][-1])
+    monkeypatch.setattr(jaccard, "near_links", lambda values, n, radius: searched.append(n) or trees(values, n, radius))
+    assert {r.doc_id: r.component_id for r in similar_groups(docs_of(rows)).collect()} == {i: i % 100 for i, _ in rows}
+    close = sum((simhash.fingerprint(rows[i][1], 5) ^ simhash.fingerprint(rows[12 + i][1], 5)).bit_count() <= 4 for i in range(12))
+    assert searched == [len({jaccard.majority(shingles(t)) for _, t in rows})] and close > 6
+    assert close - 1 <= sizes["proposed"][0].count() <= 12 and sizes["links"][0].count() == 12 == sum(p.count() for p in sizes["pairs"])
