@@ -152,3 +152,17 @@ def test_predictions_are_not_broadcast_to_their_cuts(spark, sf):
     preds = tables.seeded_predictions(spark, sf)  # exploded from one small file
     hit = metrics.apply_cut(preds, metrics.threshold_target_specificity(preds, ["model", "seed"]), ["model", "seed"])
     assert "Inner, BuildRight" in hit._jdf.queryExecution().executedPlan().toString() and hit.count() == preds.count()
+
+
+def test_summary_makes_the_replicates_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(frames):
+        for frame in frames:
+            made.add(len(frame))
+            yield frame
+
+    per_rep = spark.range(20).select(F.col("id").alias("rep"), (F.col("id") / 20).alias("median_auc")).mapInPandas(count, "rep long, median_auc double")
+    preds = _preds(spark, [0, 1, 1], [0.1, 0.2, 0.3]).withColumn("seed", F.lit(1))
+    got = bootstrap.shared_draw_summary(per_rep, preds).first()
+    assert (got.replicates, got.observed, got.bootstrap_median) == (20, 1.0, pytest.approx(0.475)) and made.value == 20
