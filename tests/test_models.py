@@ -215,6 +215,25 @@ def test_trees_equal_plain_recursion_whole_and_in_parts(spark, params, in_parts)
         assert score == pytest.approx(sum(leaves) / 2)
 
 
+def test_a_level_is_one_pass_and_rows_meet_subtrees(spark):
+    from cohortflow.operators import trees
+
+    rng = np.random.default_rng(8)
+    x = np.exp(3 * rng.normal(size=(400, 2)))
+    y = rng.integers(0, 2, 400)
+    spec = trees.forest_spec(0, 0, {"n_estimators": 3}, 2, 400, int(y.sum()))
+    rows = spark.createDataFrame([(0, [float(v) for v in r], int(t)) for r, t in zip(x, y)], "members int, x array<double>, y int").repartition(3).persist()
+    rows.count()
+    spark.sparkContext.setJobGroup("grown", "")
+    nodes = trees.grow_forests(rows, [spec], seed=3, local_rows=60)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    depth = max(len(r.path) for r in nodes.filter("n > 60").collect())
+    assert depth > 3 and len(spark.sparkContext.statusTracker().getJobIdsForGroup("grown")) <= 2 * (depth + 1) + 12
+    asked = rows.selectExpr("x", "array(0) AS forests")
+    whole, met = ({tuple(r.x): r.score for r in trees.score_forests(asked, nodes, keep=["x"], model_nodes=m, local_rows=60).collect()} for m in (10**6, 0))
+    assert whole == met
+
+
 def test_forests_of_several_sets_grow_together(spark):
     from cohortflow.operators import trees
 
