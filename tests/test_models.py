@@ -285,6 +285,24 @@ def test_batched_fits_equal_single_fits(frame, monkeypatch, balanced, C, l1_rati
         assert [same.intercept, *same.coef] == pytest.approx([one.intercept, *one.coef], abs=2e-4) and same.prep.outputs == one.prep.outputs
 
 
+def test_medians_of_sets_without_repeating_rows(spark):
+    from cohortflow.operators import batched
+
+    rng = np.random.default_rng(4)
+    values = [[float(rng.integers(0, 6)), float(rng.normal()) if rng.random() > 0.4 else None, None, float("inf") if rng.random() > 0.9 else float(rng.normal())] for _ in range(300)]
+    sets = [sorted(rng.choice(7, size=3, replace=False).tolist()) for _ in values]
+    rows = spark.createDataFrame(list(zip(values, sets)), "x array<double>, train array<int>").repartition(3)
+    for buckets in (16, 1024):
+        got = batched.set_medians(rows, COLS4, 7, buckets=buckets)
+        for s in range(7):
+            for i, c in enumerate(COLS4):
+                own = [v[i] for v, t in zip(values, sets) if s in t and v[i] is not None]
+                assert got[s][c] == (pytest.approx(float(np.median(own))) if own else None)
+
+
+COLS4 = ["a", "b", "c", "d"]
+
+
 def test_a_fit_that_is_cut_short_says_so(frame):
     r = validation.nested_cv(frame, COLS, outer=2, inner=2, grid=[{"C": 1.0, "l1_ratio": 0.0}], max_iter=2)
     assert r.fits and not any(f["converged"] for f in r.fits) and {f["iterations"] for f in r.fits} == {2}
