@@ -109,6 +109,18 @@ def test_drift_guard_and_gate(spark):
         quality.require_gate(gate).collect()
 
 
+def test_many_runs_share_the_work_in_groups(spark):
+    """A block of predictions goes to the batches of its group of runs only, not to every task."""
+    sets = spark.range(40).select(F.col("id").alias("entity_id"), (F.col("id") % 3 == 0).cast("int").alias("label")).withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(39))))
+    sets = sets.withColumn("score", F.pmod(F.xxhash64("seed", "entity_id"), F.lit(7)) / 7.0)
+    numbered, _ = bootstrap._numbered(sets, ["seed"], clip=False)
+    values = bootstrap._whole_replicates(numbered, sets, 64, 3, every=False)
+    kinds = values.select("_run", "rep", F.spark_partition_id().alias("p")).groupBy("_run").agg(F.count_distinct("p").alias("tasks"), F.count("*").alias("n")).collect()
+    assert len(kinds) == 40 and all(k.n == 64 and k.tasks <= 2 * spark.sparkContext.defaultParallelism for k in kinds)
+    a, b = (sorted(tuple(r) for r in bootstrap.shared_draw_median(sets, replicates=9, seed=2, local_rows=n).select("rep", "median_auc", "positive_draws", "negative_draws").collect()) for n in (10**6, 0))
+    assert [r[::2] for r in a] == [r[::2] for r in b] and [r[1] for r in a] == pytest.approx([r[1] for r in b], abs=1e-12)
+
+
 def test_whole_replicates_equal_weighted_rows(spark):
     rng = np.random.default_rng(3)
     rows = [(i, k, int(rng.random() < 0.4), None if i % 11 == 0 else float(round(rng.normal(0.5, 0.5), 1))) for i in range(60) for k in ("a", None)]
