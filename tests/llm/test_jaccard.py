@@ -141,3 +141,23 @@ def test_fingerprints_in_trees_propose_links_first(docs_of, monkeypatch):
     close = sum((simhash.fingerprint(rows[i][1], 5) ^ simhash.fingerprint(rows[12 + i][1], 5)).bit_count() <= 4 for i in range(12))
     assert searched == [len({jaccard.majority(shingles(t)) for _, t in rows})] and close > 6
     assert close - 1 <= sizes["proposed"][0].count() <= 12 and sizes["links"][0].count() == 12 == sum(p.count() for p in sizes["pairs"])
+
+
+def test_texts_move_once(spark, docs_of, monkeypatch, tmp_path):
+    """Only texts asked for meet the pairs, shingles are shuffled once, and the last step shuffles whole rows once; the other way gives the same links."""
+    rows = sample_rows()
+    docs_of(rows).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    plans, keep = {}, jaccard.written
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(jaccard, "written", lambda df, name: plans.setdefault(name, []).append(plan(df)) or keep(df, name))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        last = plan(drop_similar(docs))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(plans["sets"]) == 3 and all("BroadcastHashJoin" in p and p.count("Exchange hashpartitioning") == 1 for p in plans["sets"])
+    assert plans["shared"][0].count("Exchange hashpartitioning") == 1
+    assert last.count("Exchange hashpartitioning(key") == 2 and "partial_first" in last and last.count("Exchange") == 4
+    monkeypatch.setattr(jaccard, "SENT", -1)
+    assert sorted([(r.doc_id, r.component_id) for r in similar_groups(docs).collect()], key=repr) == slow_similar(rows)
