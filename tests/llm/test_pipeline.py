@@ -71,3 +71,26 @@ def test_stages_on_odd_rows(spark, docs_of, tmp_path):
             rows_out = out.collect()
             now = spark.createDataFrame(rows_out, out.schema)
         assert bool(rows_out) == bool(part.count())
+
+
+def test_texts_reach_python_in_small_batches(spark, docs_of, sf):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    try:
+        for name, stage in corpus_pipeline.STAGES:
+            if name != "line dedup":  # no Python there
+                spark.conf.set(key, "10000")
+                stage(spark, docs_of([(1, "some words of a text"), (2, "other words of another text")]), sf)
+                seen = [r.n for r in spark.range(0, 3000, 1, 1).mapInArrow(sizes, "n long").collect()]
+                assert sum(seen) == 3000 and max(seen) <= 500
+        spark.conf.set(key, "100")  # a smaller bound of the user's stays
+        corpus_pipeline.bound_batches(spark)
+        assert spark.conf.get(key) == "100"
+    finally:
+        spark.conf.set(key, "10000")
