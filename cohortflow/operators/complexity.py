@@ -18,19 +18,28 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Cells of one block of candidates: pairs that are compared together.
 BLOCK_CELLS = 1_000_000
+#: Templates up to which all pairs are compared at once, without strips.
+FEW_TEMPLATES = 256
 
 
 def _template_neighbours(x: np.ndarray, radius: float, size: int) -> np.ndarray:
     """For each template of the given size, how many templates (itself included) lie within the radius.
 
-    The last possible start is left out.  Templates are sorted into strips of the radius by their first value and inside
-    a strip by their second; a template meets the part of three strips that its radius reaches, not the whole series.
+    The last possible start is left out.  A few templates are compared all with all.  More are sorted into strips of the
+    radius by their first value and inside a strip by their second; a template meets the part of three strips that its radius reaches, not the whole series.
     Candidates are compared value by value in blocks, so memory stays bounded.
     """
     count = len(x) - size
     out = np.zeros(max(count, 0))
     if count <= 0 or np.isnan(radius):
         return out
+    if count <= FEW_TEMPLATES:
+        close = np.ones((count, count), bool)
+        for k in range(size):
+            part = x[k:k + count]
+            with np.errstate(invalid="ignore"):  # infinite values are near to nothing
+                close &= np.abs(part[:, None] - part) <= radius
+        return close.sum(axis=1).astype(float)
     second = x[1:count + 1] if size > 1 else np.zeros(count)
     usable = np.flatnonzero(np.isfinite(x[:count]) & np.isfinite(second))  # others are near to nothing
     if not len(usable):

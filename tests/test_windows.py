@@ -312,3 +312,15 @@ def test_short_windows_share_states(spark, tmp_path, monkeypatch):
         monkeypatch.setattr(live, "STATES", 3)
         assert _live(spark, batches, LIVE, str(tmp_path / name)) == want
         assert spark.read.format("statestore").load(str(tmp_path / name / "progress")).count() == states
+
+
+def test_short_series_are_compared_without_strips(monkeypatch):
+    rng = np.random.default_rng(5)
+    series = [rng.normal(size=64), np.round(rng.normal(size=40), 1), np.append(rng.normal(size=20), [np.nan, 1.0]), np.ones(30)]
+    with monkeypatch.context() as m:
+        m.setattr(complexity, "FEW_TEMPLATES", 0)
+        strips = [complexity._template_neighbours(x, 0.3, size) for x in series for size in (1, 2, 3)]
+    with monkeypatch.context() as m:
+        m.setattr(complexity.np, "lexsort", None)  # sorts the strips
+        plain = [complexity._template_neighbours(x, 0.3, size) for x in series for size in (1, 2, 3)]
+    assert all((a == b).all() for a, b in zip(strips, plain, strict=True))
