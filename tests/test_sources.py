@@ -176,3 +176,16 @@ def test_split_text_without_records(spark, tmp_path):
     (tmp_path / "a.csv").write_text("id;v\n")
     got = readers.scan_delimited(spark, str(tmp_path), split_bytes=0)
     assert got.columns == ["id", "v"] and got.count() == 0
+
+
+def test_value_preservation_counts_cells_in_tasks_by_their_number(spark, monkeypatch):
+    from cohortflow.operators import quality
+
+    monkeypatch.setattr(quality, "TASK_CELLS", 100)
+    a = spark.createDataFrame([(i, "x", "y") for i in range(600)] + [(1, "x", "y"), (1, "x", " "), (None, "z", None)], "k long, s string, u string")
+    b = spark.createDataFrame([(i, " x ", "y") for i in range(600) if i != 7] + [(None, "z", ""), (9, "x", "w"), (9, "x", "w")], "k long, s string, u string")
+    out = quality.value_preservation(a, b, "k", ["s", "u"])
+    want = [(1, "s", "x", "SOURCE")] * 2 + [(1, "u", None, "SOURCE"), (1, "u", "y", "SOURCE"), (7, "s", "x", "SOURCE"), (7, "u", "y", "SOURCE")]
+    want += [(9, "s", "x", "STORED")] * 2 + [(9, "u", "w", "STORED")] * 2
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
+    assert out.rdd.getNumPartitions() >= 24  # 2 406 cells
