@@ -11,6 +11,10 @@ from . import tables as t
 from .registry import query
 
 
+#: Header files that one task writes, on average.
+HEADERS_PER_TASK = 250
+
+
 @query("scan_csv", "SELECT o_orderkey, o_custkey, o_orderstatus, CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END AS o_totalprice FROM orders")
 def _(spark, sf):
     path = scratch_path(spark, "csv")
@@ -99,14 +103,16 @@ def _(spark, sf):
       CASE WHEN s_suppkey % 5 = 0 THEN 'UNPARSEABLE_PATIENT_ID;RECORD_NAME_MISMATCH' ELSE 'UNPARSEABLE_PATIENT_ID' END AS anomalies FROM supplier""",
 )
 def _(spark, sf):
-    # One header file per supplier, written and read back.
+    # One header file per supplier, written and read back.  So many small files need tasks by their number, not by their bytes,
+    # and each task moves its own files to their place.
     path = scratch_path(spark, "headers")
     s = t.read(spark, sf, "supplier").select(F.concat(F.lit("S"), "s_suppkey").alias("h"), "s_suppkey")
     ch = 1 + F.col("s_suppkey") % 2
     name = F.when(F.col("s_suppkey") % 5 == 0, "other").otherwise(F.col("h"))
     line = F.concat(F.col("h"), F.lit(".dat 16 "))
     text = F.concat_ws("\n", F.concat_ws(" ", name, ch.cast("string"), F.lit("100"), (500 + F.col("s_suppkey")).cast("string")), F.concat(line, F.lit("X")), F.when(ch == 2, F.concat(line, F.lit("Y"))))
-    s.select("h", text.alias("value")).repartition("h").write.partitionBy("h").text(path)
+    tasks = max(spark.sparkContext.defaultParallelism, -(-s.count() // HEADERS_PER_TASK))
+    s.select("h", text.alias("value")).repartition(tasks, "h").write.partitionBy("h").option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(path)
     headers = files.read_headers(spark, path, "*.txt").withColumn("path", F.concat(F.regexp_extract("path", "h=(\\w+)/", 1), F.lit(".hea")))
     return files.header_inventory(headers).select("record_id", F.col("channel_count").cast("long").alias("channel_count"), "fs", "sample_count", "expected_bytes", F.concat_ws(";", "anomalies").alias("anomalies"))
 

@@ -189,3 +189,17 @@ def test_value_preservation_counts_cells_in_tasks_by_their_number(spark, monkeyp
     want += [(9, "s", "x", "STORED")] * 2 + [(9, "u", "w", "STORED")] * 2
     assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
     assert out.rdd.getNumPartitions() >= 24  # 2 406 cells
+
+
+def test_header_files_are_written_by_tasks_of_their_number(spark, sf, tmp_path, monkeypatch):
+    from cohortflow import plans
+    from cohortflow.plans import source_queries
+    from cohortflow.plans.registry import QUERIES
+
+    plans.load()
+    monkeypatch.setattr(source_queries, "scratch_path", lambda spark, name: f"{tmp_path}/{name}")
+    monkeypatch.setattr(source_queries, "HEADERS_PER_TASK", 1)
+    n = spark.read.parquet(f"{sf}/supplier.parquet").count()
+    assert QUERIES["read_headers"](spark, sf).count() == n
+    written = [f.name for f in tmp_path.rglob("part-*.txt")]
+    assert len(written) == n and len({f.split("-")[1] for f in written}) > 2  # the number of the task that wrote it
