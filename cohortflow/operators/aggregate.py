@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.constants import BURDEN_THRESHOLD, SUCCESS
 from ..functions.derive import first_reason
 from ..functions.parsing import nan_to_null
+from ..session import cut_lineage
 from .ordered import HOT_ROWS, exact_quantiles, hot_groups, join_by_keys, rows_allowed
 
 STAT_QUANTILES = {"p10": 0.1, "p50": 0.5, "p90": 0.9}
@@ -63,6 +64,7 @@ def five_stats(
         one = values.groupBy(*keys).agg(*moments, *[F.percentile(F.col(f), ps).alias(f"_q_{f}") for f in features])
         quantiles = [F.col(f"_q_{f}")[i].alias(f"{f}_{n}") for f in features for i, n in enumerate(STAT_QUANTILES)]
         return one.select(*[c for c in one.columns if not c.startswith("_q_")], *quantiles)
+    values = cut_lineage(values)  # moments, bounds and buckets read them again
     basic = values.groupBy(*keys).agg(*moments)
     return join_by_keys(basic, exact_quantiles(values, keys, features, STAT_QUANTILES, hot_rows=hot_rows), keys, "left")
 

@@ -150,3 +150,11 @@ def test_split_summary_of_a_table_too_small_for_bounds(spark):
     one, split = (distributions.five_number_summary(rows, "x", hot_rows=n).select("n", "min", "p25", "median", "p75", "max").first() for n in (10**6, 5))
     assert tuple(one) == tuple(split) == (30, 0.0, 7.25, 14.5, 21.75, 29.0)
     assert ordered.prefix_sums(rows, [], "x", {"k": F.count("*")}, hot_rows=5).agg(F.max("k_before")).first()[0] == 29
+
+
+def test_split_statistics_compute_their_values_once(spark):
+    values = spark.range(40).selectExpr("id % 3 AS entity_id", "cast(id AS double) AS a")
+    out = aggregate.five_stats(values, ["entity_id"], ["a"], hot_rows=5)
+    assert "Range" not in out._jdf.queryExecution().analyzed().toString()  # nothing of it computes the values again
+    plain = aggregate.five_stats(values, ["entity_id"], ["a"])
+    assert [r.asDict() for r in out.select(plain.columns).orderBy("entity_id").collect()] == [r.asDict() for r in plain.orderBy("entity_id").collect()]
