@@ -234,6 +234,19 @@ def test_a_level_is_one_pass_and_rows_meet_subtrees(spark):
     assert whole == met
 
 
+def test_a_fitted_forest_of_many_nodes_scores_the_rows_it_gets(spark, monkeypatch):
+    from cohortflow.operators import estimators, trees
+
+    # `_row` and `_kept` are names that scoring uses itself
+    df = spark.range(60).selectExpr("id AS entity_id", "cast(id % 7 AS double) AS a", "cast(id % 5 AS double) AS b", "cast(id % 3 = 0 AS int) AS label", "id AS _row", "id + 1 AS _kept")
+    fit = estimators.fit_forest(df, ["a", "b"], {"n_estimators": 2})
+    whole = sorted(fit.scored(df).collect())
+    inner = trees._score_by_subtrees
+    monkeypatch.setattr(trees, "score_forests", lambda rows, nodes, *, keep: inner(rows, nodes, keep, trees.LOCAL_ROWS))
+    met = fit.scored(df)
+    assert met.columns == [*df.columns, "score"] and sorted(met.collect()) == whole and len(whole) == 60
+
+
 def test_forests_of_several_sets_grow_together(spark):
     from cohortflow.operators import trees
 
