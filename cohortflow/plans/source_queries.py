@@ -27,10 +27,10 @@ DELIMITED_SQL = """SELECT doc_id::VARCHAR AS doc_id, lang, text || CASE WHEN doc
 
 
 def _delimited(spark, sf, path):
-    """Whole texts: line breaks, separators and quotes inside quoted values."""
+    """Whole texts: line breaks, separators and quotes inside quoted values; empty texts quoted, nulls not."""
     text = F.concat("text", F.when(F.col("doc_id") % 3 == 0, ';"x"').otherwise(""))
     d = t.read(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "lang", text.alias("text"), F.col("n_chars").cast("string").alias("n_chars"))
-    d.write.csv(path, sep=";", header=True, encoding="UTF-8", escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    d.write.csv(path, sep=";", header=True, encoding="UTF-8", escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 @query("scan_delimited_encoded", DELIMITED_SQL)

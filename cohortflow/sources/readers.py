@@ -12,6 +12,10 @@ from .files import relative_path
 # Encodings in the order they are tried.
 ENCODINGS = ["UTF-8", "windows-1252", "ISO-8859-1"]
 
+# What stands for a value that is not there (two characters that Unicode keeps out of texts), so that quoted
+# empty text stays text; and a way to write the quote's escape, without which Spark takes NUL for it and drops NULs beside quotes.
+QUOTED = {"escape": '"', "nullValue": "\ufdd0\ufdd1", "charToEscapeQuoteEscaping": '"'}
+
 #: Files of quoted text up to this size are one task each.
 SPLIT_BYTES = 128 << 20
 
@@ -38,15 +42,14 @@ def scan_csv(spark: SparkSession, path: str, schema: str | T.StructType) -> Data
 def choose_encoding(spark: SparkSession, path: str) -> str:
     """First encoding of the list that decodes every line.
 
-    The lines are read byte for byte as Latin-1 and checked in place; only one flag comes back.
+    The bytes of the lines are checked in place; only one flag comes back.
     """
-    lines = spark.read.csv(path, sep="\u0001", quote="", schema="value string", encoding="ISO-8859-1")
-    raw = F.encode(F.coalesce(F.col("value"), F.lit("")), "ISO-8859-1")
+    lines = spark.read.text(path, lineSep="\n")
     # Byte values that the windows-1252 code page leaves undefined.
     gaps = r"[\x{81}\x{8D}\x{8F}\x{90}\x{9D}]"
     flags = lines.agg(
-        F.coalesce(F.bool_and(F.is_valid_utf8(raw.cast("string"))), F.lit(True)).alias("utf8"),
-        F.coalesce(F.bool_and(~F.col("value").rlike(gaps)), F.lit(True)).alias("cp1252"),
+        F.coalesce(F.bool_and(F.is_valid_utf8("value")), F.lit(True)).alias("utf8"),
+        F.coalesce(F.bool_and(~F.decode(F.col("value").cast("binary"), "ISO-8859-1").rlike(gaps)), F.lit(True)).alias("cp1252"),
     ).first()
     return ENCODINGS[0] if flags["utf8"] else ENCODINGS[1] if flags["cp1252"] else ENCODINGS[2]
 
@@ -65,14 +68,15 @@ def scan_delimited(
 ) -> DataFrame:
     """Separated text as strings only; the encoding is found where none is given, a byte-order mark is dropped.
 
-    Quoted values may hold separators, doubled quotes and line breaks.  A file is one task, unless a file is larger than
+    Quoted values may hold separators, doubled quotes and line breaks.  A value of two quotes is empty text, one without
+    quotes and without characters is null.  A file is one task, unless a file is larger than
     `split_bytes`: then records are put together from the lines of all splits (`records_across_splits`), as long as quotes
     stand only around whole values; text with stray quotes is read file by file.  `quoted_breaks=False` lets Spark split
     files that are known to have one record per line.
     """
     found = encoding or choose_encoding(spark, path)
     plain = "ISO-8859-1" if found == "windows-1252" else found
-    options = {"sep": sep, "header": True, "encoding": plain, "inferSchema": False, "multiLine": quoted_breaks, "escape": '"'}
+    options = {"sep": sep, "header": True, "encoding": plain, "inferSchema": False, "multiLine": quoted_breaks, **QUOTED}
     df = spark.read.csv(path, **options)
     if quoted_breaks and len(sep) == 1 and plain in ("UTF-8", "ISO-8859-1"):
         largest = spark.read.format("binaryFile").load(path).agg(F.max("length")).first()[0] or 0

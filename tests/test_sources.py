@@ -172,6 +172,29 @@ def test_stray_quotes_are_read_file_by_file(spark, tmp_path):
             spark.conf.set(k, v)
 
 
+@pytest.mark.parametrize("name", ["scan_delimited_encoded"])
+def test_scans_keep_nulls_empty_texts_and_rare_characters(spark, tmp_path, name):
+    import duckdb
+
+    from cohortflow import plans
+    from cohortflow.plans.registry import ORACLES, QUERIES
+
+    plans.load()
+    texts = [None, "", " ", "a\x00b", 'q\x00"\x00"', "\x00\n\x00", "\x01", '"', '""', "a\r\nb", "\r", "\n", ";", "\\", " lead", "trail ", "\ufeffx", "\x85", "é" * 9]
+    rows = [(i if i != 6 else None, t, [None, "", "en"][i % 3], len(t or "") if i % 4 else None) for i, t in enumerate(texts * 2)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    got = [tuple(r) for r in QUERIES[name](spark, str(tmp_path)).collect()]
+    assert sorted(got, key=repr) == sorted(con.execute(ORACLES[name]).fetchall(), key=repr)
+
+
+@pytest.mark.parametrize("mark", [b"\x00", b"\x01", b""])
+def test_encoding_is_checked_in_whole_lines(spark, tmp_path, mark):
+    (tmp_path / "t.csv").write_bytes(b"id;v\n1;a" + mark + b"\xe4\n")
+    assert readers.choose_encoding(spark, str(tmp_path)) == "windows-1252"
+
+
 def test_split_text_without_records(spark, tmp_path):
     (tmp_path / "a.csv").write_text("id;v\n")
     got = readers.scan_delimited(spark, str(tmp_path), split_bytes=0)
