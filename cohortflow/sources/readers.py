@@ -145,7 +145,7 @@ def _stray_quote(record: Column, sep: str) -> Column:
 def _parsed(records: DataFrame, names: list[str], sep: str) -> DataFrame:
     """Values of single records under the given names."""
     fields = ", ".join(f"c{i} string" for i in range(len(names)))
-    value = F.from_csv("record", fields, {"sep": sep, "escape": '"', "multiLine": "true", "lineSep": "\n", "mode": "PERMISSIVE"})
+    value = F.from_csv("record", fields, {"sep": sep, **QUOTED, "multiLine": "true", "lineSep": "\n", "mode": "PERMISSIVE"})
     return records.select(value.alias("v")).select(*[F.col(f"v.c{i}").alias(n) for i, n in enumerate(names)])
 
 

@@ -172,7 +172,7 @@ def test_stray_quotes_are_read_file_by_file(spark, tmp_path):
             spark.conf.set(k, v)
 
 
-@pytest.mark.parametrize("name", ["scan_delimited_encoded"])
+@pytest.mark.parametrize("name", ["scan_delimited_encoded", "scan_delimited_split"])
 def test_scans_keep_nulls_empty_texts_and_rare_characters(spark, tmp_path, name):
     import duckdb
 
