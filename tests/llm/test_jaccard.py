@@ -85,6 +85,23 @@ def test_stage_drops_copies_that_differ_in_more_than_four_bits(spark, docs_of):
     assert drop_similar(docs.limit(0)).collect() == []
 
 
+def test_one_row_of_every_group_stays(docs_of):
+    """Also where rows of a group have no doc_id, or one doc_id stands on several near texts."""
+    rng = random.Random(2)
+    base = [[f"b{i}w{rng.randrange(10_000)}" for _ in range(150)] for i in range(6)]
+    near = lambda i, j: " ".join([*base[i][:j], "new", *base[i][j + 1:]])
+    rows = [(None, near(0, j)) for j in (3, 60, 100, 100)]  # nobody has a name
+    rows += [(7, near(1, j)) for j in (5, 80)] + [(None, near(1, 120))]  # one name, two texts
+    rows += [(7, near(2, 9)), (8, near(2, 70)), (8, near(2, 70))]  # the same name in another group
+    rows += [(None, near(3, 10)), (None, near(4, 10)), (9, near(5, 10)), (9, near(5, 10)), (None, None), (None, " "), (None, "")]
+    got = drop_similar(docs_of(rows)).collect()
+    assert {(r.doc_id, r.text) for r in got} <= set(rows)
+    groups = sorted((str(r.doc_id), (r.text or "").strip()[:2]) for r in got)
+    assert groups == [("7", "b1"), ("7", "b2"), ("9", "b5"), ("None", ""), ("None", "b0"), ("None", "b3"), ("None", "b4")]
+    again = drop_similar(docs_of(rows[::-1])).collect()
+    assert sorted(map(str, again)) == sorted(map(str, got))
+
+
 def test_stage_on_the_tables(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
