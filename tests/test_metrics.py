@@ -65,6 +65,35 @@ def test_draws_sum_to_n_and_repeat(spark):
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, bootstrap.bootstrap_draws(e.repartition(7), 6, 42).collect()))
 
 
+def _shuffled(spark):
+    """Bytes that all stages so far have written for shuffles."""
+    sc = spark.sparkContext
+    none = sc._jvm.java.util.ArrayList
+    stages = sc._jsc.sc().statusStore().stageList(none(), False, False, sc._gateway.new_array(sc._jvm.double, 0), none())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+@pytest.mark.parametrize("replicates,tasks,block", [(7, 3, 16), (1, 9, 5), (400, 2, 2048)])
+def test_totals_of_draws_are_summed_where_they_are_made(spark, monkeypatch, replicates, tasks, block):
+    monkeypatch.setattr(bootstrap, "DRAW_BLOCK", block)
+    e = spark.range(40).select((F.col("id") * 7).alias("name")).unionByName(spark.createDataFrame([(None,)], "name long"))
+    draws = bootstrap.bootstrap_draws(e, replicates, 42, id_col="name")
+    want = draws.groupBy("name").agg(F.sum("weight"), F.count("*"), F.sum(F.col("weight") * F.col("rep")))
+    got = bootstrap.draw_totals(e, replicates, 42, id_col="name", partitions=tasks)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+
+
+def test_draws_are_not_shuffled(spark, sf, monkeypatch):
+    from cohortflow import plans
+    from cohortflow.plans.registry import QUERIES
+
+    plans.load()
+    n = spark.read.parquet(f"{sf}/orders.parquet").count()
+    before = _shuffled(spark)
+    assert QUERIES["bootstrap_draws"](spark, sf).count() == n
+    assert _shuffled(spark) - before < 200 * n  # 2 000 draws an entity
+
+
 def test_weighted_metrics_equal_repeated_rows(spark):
     rng = np.random.default_rng(5)
     y, p, w = rng.integers(0, 2, 60), np.round(rng.uniform(size=60), 2), rng.integers(0, 4, 60)
