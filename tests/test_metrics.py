@@ -94,6 +94,21 @@ def test_draws_are_not_shuffled(spark, sf, monkeypatch):
     assert _shuffled(spark) - before < 200 * n  # 2 000 draws an entity
 
 
+@pytest.mark.parametrize("name", ["paired_bootstrap"])
+def test_predictions_are_not_copied_to_the_batches(spark, monkeypatch, name):
+    rows = [(i, m, i % 3 % 2, (i * 37 % 1000) / 1000.0) for i in range(3000) for m in ("price", "other")]
+    df = spark.createDataFrame(rows, "entity_id int, model string, label int, score double").persist()
+    run = {"bootstrap_ci": lambda: bootstrap.bootstrap_ci(df, ["model"], replicates=160), "paired_bootstrap": lambda: bootstrap.paired_bootstrap(df, "price", replicates=160)}[name]
+    shuffled, out = [], []
+    for replicates in (160, 1):  # kept by a task: two batches a slot, then one replicate a batch
+        monkeypatch.setattr(bootstrap, "COUNT_BYTES", 3000 * replicates)
+        before = _shuffled(spark)
+        out.append(sorted(str([round(v, 9) if isinstance(v, float) else v for v in r]) for r in run().collect()))
+        shuffled.append(_shuffled(spark) - before)
+    df.unpersist()
+    assert out[0] == out[1] and shuffled[1] < 2 * shuffled[0]
+
+
 def test_weighted_metrics_equal_repeated_rows(spark):
     rng = np.random.default_rng(5)
     y, p, w = rng.integers(0, 2, 60), np.round(rng.uniform(size=60), 2), rng.integers(0, 4, 60)
