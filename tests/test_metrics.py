@@ -94,7 +94,7 @@ def test_draws_are_not_shuffled(spark, sf, monkeypatch):
     assert _shuffled(spark) - before < 200 * n  # 2 000 draws an entity
 
 
-@pytest.mark.parametrize("name", ["paired_bootstrap"])
+@pytest.mark.parametrize("name", ["bootstrap_ci", "paired_bootstrap"])
 def test_predictions_are_not_copied_to_the_batches(spark, monkeypatch, name):
     rows = [(i, m, i % 3 % 2, (i * 37 % 1000) / 1000.0) for i in range(3000) for m in ("price", "other")]
     df = spark.createDataFrame(rows, "entity_id int, model string, label int, score double").persist()
